@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, licenses, line_dedup, quality, sharding
+from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, quality, sharding
 from .common import cut, table
 
 
@@ -46,5 +46,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), 0.8)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op5_decontamination, op6_sharding, op7_language_id, op9_license_scan)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op5_decontamination, op6_sharding, op7_language_id, op9_license_scan, op10_ngram_jaccard_join)}
