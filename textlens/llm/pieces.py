@@ -1,6 +1,7 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-A text falls into units (a word with the space mark before it). The units of a batch
+A text falls into units (mostly a word with the space mark before it), cut only where
+no piece crosses. The units of a batch
 that weren't met before are concatenated and indexed by a suffix array; every piece
 is binary-searched for its range of occurrences; the occurrences are edges, sorted
 by where they end; and edges are relaxed from left to right: of the pieces that end
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "\u2581"
 _NONE = -2
 #: Characters whose units are gathered at once; units and pairs that a worker remembers.
-CHARS, UNITS, PAIRS = 2_000_000, 300_000, 3_000_000
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+CHARS, UNITS, PAIRS = 4_000_000, 600_000, 3_000_000
 _FAR = np.int64(2**40)
 
 
@@ -36,6 +36,14 @@ def read_model(path: str) -> list[tuple[str, float, str]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+class _Codes(dict):
+    """Numbers texts as they come."""
+
+    def __missing__(self, text: str) -> int:
+        code = self[text] = len(self)
+        return code
+
+
 class Codec:
     """Encoder and decoder; plain tables, so the driver builds it and executors receive it."""
 
@@ -54,8 +62,12 @@ class Codec:
         self.rank = {p: r for r, p in enumerate(self.pieces)}
         self.id_of = np.array([i for i, _, _ in order] + [-1], np.int64)
         self.length = np.array([len(p) for p in self.pieces] + [1], np.int64)
+        # ASCII marks that no piece has after a Latin letter: no merge crosses that border
+        after = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha() and a < "\u0250"}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalpha() and c not in after)
+        self.unit = re.compile(f"{SPACE}*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[{SPACE}\n{marks}]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self._tables()
-        self.units: dict[str, bytes] = {}
+        self._forget()
         self.known, self.fits = np.empty(0, np.int64), np.empty(0, bool)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -261,30 +273,41 @@ class Codec:
                 left[-2:] = [left[-2] + left[-1]]
         return np.array([sizes[k] for k in left], np.int32).tobytes()
 
+    def _forget(self) -> None:
+        self.units = _Codes()
+        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_UNIT.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        new = {u for units in split for u in units if u not in self.units}
-        plain = {u if u[:2] != SPACE * 2 else SPACE + u.lstrip(SPACE) for u in new if u.strip(SPACE)}
-        plain = sorted(u for u in plain if u not in self.units)
-        found = self._solve(plain) if plain else {}
-        for u in new - found.keys():
-            body = u.lstrip(SPACE)
-            if not body:
-                found[u] = self._run(len(u))
-                continue
-            ids = found.get(SPACE + body) or self.units[SPACE + body]
-            spaces = len(u) - len(body)
-            alone = int.from_bytes(ids[:4], "little") == self.ids.get(SPACE, -1)
-            found[u] = self._run(spaces) + ids[4:] if alone else self._run(spaces - 1) + ids
         if len(self.units) > UNITS:
-            self.units = {u: self.units[u] for units in split for u in units if u in self.units}
-        lookup = self.units
-        lookup.update(found)
-        out = [np.frombuffer(b"".join(map(lookup.__getitem__, units)), np.int32) for units in split]
-        for u in found:
-            if len(u) > 64:
-                del lookup[u]
-        return out
+            self._forget()
+        coded = []
+        for t in texts:
+            units = self.unit.findall((SPACE + t).replace(" ", SPACE)) if t else []
+            coded.append(np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)))
+        new = list(self.units)[len(self.size) :]
+        if new:
+            plain = sorted({u if u[:2] != SPACE * 2 else SPACE + u.lstrip(SPACE) for u in new if u.strip(SPACE)})
+            found = self._solve(plain) if plain else {}
+            ids = [found[u] if u in found else self._spaced(u, found) for u in new]
+            size = np.array([len(x) // 4 for x in ids], np.int64)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
+        codes = np.concatenate(coded) if coded else np.empty(0, np.int64)
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        tokens = self.flat[np.repeat(self.start[codes] - ends + size, size) + np.arange(size.sum())]
+        at = np.concatenate([[0], ends])[np.cumsum([0] + [len(c) for c in coded])]
+        return [tokens[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _spaced(self, unit: str, found: dict[str, bytes]) -> bytes:
+        """Ids of a run of spaces and what follows it."""
+        body = unit.lstrip(SPACE)
+        if not body:
+            return self._run(len(unit))
+        ids, spaces = found[SPACE + body], len(unit) - len(body)
+        alone = int.from_bytes(ids[:4], "little") == self.ids.get(SPACE, -1)
+        return self._run(spaces) + ids[4:] if alone else self._run(spaces - 1) + ids
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, as do unknown ids nothing."""

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, quality, sharding
+from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, pieces, pii, quality, sharding
 from .common import cut, table
 
+#: A public vocabulary, read by the driver; a parameter of the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
@@ -17,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_sites=8).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,5 +61,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), 0.8)
 
 
+def oracle_sql() -> dict[str, str]:
+    return {}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op5_decontamination, op6_sharding, op7_language_id, op9_license_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op4_personal_data, op5_decontamination, op6_sharding, op7_language_id, op8_sentencepiece, op9_license_scan, op10_ngram_jaccard_join)}
