@@ -1,0 +1 @@
+"""Text analysis over DataFrames of documents."""
