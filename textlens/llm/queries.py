@@ -61,8 +61,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), 0.8)
 
 
+_SHINGLES = r"""list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))"""
+_WORDS = r"""list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"""
+
+OP2_SQL = """WITH lines AS (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
+spread AS (SELECT trim(line) AS k, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 8),
+marked AS (SELECT lines.*, k IS NOT NULL AND first <> doc_id AS gone FROM lines LEFT JOIN spread ON trim(line) = k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id"""
+
+OP5_SQL = f"""WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
+i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment FROM d JOIN i USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= n_item * 0.8 - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL}
 
 
 def queries() -> dict:
