@@ -127,7 +127,7 @@ def test_isotonic():
 def test_base_patterns():
     text = "a@b.co, 1.2.3.4 300.1.1.1, 4111 1111 1111 1111, +1 (555) 123-4567"
     assert [s[0] for s in pii.base_spans(text)] == ["email", "ip", "card", "phone"]
-    assert pii.base_spans("@x.y a@b 9" * 3) == [] and pii.joined([]) == ""
+    assert pii.base_spans("@x.y, a@b 9 ") == [] and pii.joined([]) == ""
     field = pii.trained()
     found = pii.added_spans("please call phone (935) 629-5341 today", [], field)
     assert found == [("phone", 18, 32)] and pii.added_spans("on 2024-05-06 and 12 of 30", [], field) == []
