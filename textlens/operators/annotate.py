@@ -1,8 +1,8 @@
 """Tokens, sentences and word classes.
 
-One exchange on doc_id carries the whole chain: documents are cut into lines, lines
-into segments (both map-side), and every later step is a window over one document.
-The text itself never crosses the exchange; a token row carries its own lexeme.
+One exchange on doc_id carries the whole chain: texts are dealt out by doc_id, then cut
+into lines and segments, and every later step is a window over one document. A token
+row carries its own lexeme, never the text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ def tokens(docs: DataFrame) -> DataFrame:
     breaks counts the line breaks in the gap before a token. Documents without a
     token (null, empty, blank) have no row.
     """
-    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", r"(?<=[\r\n])")).alias("line", "t"))
+    # texts are dealt out once, before they become token rows several times their size;
+    # every window below keeps this partitioning
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", "text").repartition(parts, "doc_id")
+    lines = dealt.select("doc_id", F.posexplode_outer(F.split("text", r"(?<=[\r\n])")).alias("line", "t"))
     lines = lines.select("doc_id", "line", "t", _is_title(F.col("t")).alias("title"))
     segs = lines.select("doc_id", "line", "title", F.posexplode_outer(T.segments(F.col("t"))).alias("p", "s")).where("s IS NOT NULL")
     segs = segs.withColumn("kind", T.segment_kind(F.col("s")))
