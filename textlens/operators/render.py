@@ -48,6 +48,29 @@ def ansi(docs: DataFrame, axes: DataFrame) -> DataFrame:
     return binary.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("colored"))
 
 
+def ansi_spans(colored: DataFrame) -> DataFrame:
+    """doc_id, start, end (UTF-8 bytes of the plain text), ansi, lexeme: ``ansi`` undone.
+
+    Styled runs and the text between them are rows; one running sum over a document
+    gives the bytes. Texts with escape characters of their own can't be told apart.
+    """
+    runs = F.regexp_extract_all("colored", F.lit(r"(?s)\x1b\[[0-9;]++m[^\x1b]*+\x1b\[0m|[^\x1b]++|\x1b"), F.lit(0))
+    rows = colored.select("doc_id", F.posexplode(runs).alias("n", "run"))
+    plain = F.regexp_replace("run", r"\x1b\[[0-9;]*m", "")
+    rows = rows.select("doc_id", "n", F.regexp_extract("run", r"^\x1b\[([0-9;]+)m", 1).alias("ansi"), plain.alias("lexeme"))
+    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.octet_length("lexeme")).over(before), F.lit(0)).cast("int"))
+    return rows.where("ansi <> ''").select("doc_id", "start", (F.col("start") + F.octet_length("lexeme")).cast("int").alias("end"), "ansi", "lexeme")
+
+
+def delta_positions(deltas: DataFrame) -> DataFrame:
+    """doc_id, pos, row, col16, length, type: ``token_deltas`` undone by running sums."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = deltas.withColumn("row", F.sum("delta_line").over(w).cast("int"))
+    inside = Window.partitionBy("doc_id", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc_id", "pos", "row", F.sum("delta_start").over(inside).cast("int").alias("col16"), "length", "type")
+
+
 def positions(docs: DataFrame, toks: DataFrame) -> DataFrame:
     """Tokens with 0-based row and columns (scalars and UTF-16 units) without the text.
 

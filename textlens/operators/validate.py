@@ -1,8 +1,8 @@
 """Checks of interchange documents and of classifications that others made.
 
-Flat rules are projections over a document's own arrays and need no exchange. The
-rules about ids and edges are aggregates and joins on (doc_id, id). Only two need
-Python: whether an offset splits a character, and cycles of the outline.
+The rules of an interchange document are projections over its own arrays and need no
+exchange. Three read them as Arrow batches in Python, each once and in linear time:
+whether an offset splits a character, repeated ids, and the edges of the outline.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from .interchange import Contract
 
@@ -33,37 +33,64 @@ def _splits(source: pd.Series, offsets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(ArrayType(StructType().add("i", "integer").add("j", "integer")))
-def _cycles(ids: pd.Series, children: pd.Series) -> pd.Series:
-    """Edges (node, place) that close a cycle, walking nodes and edges in their order."""
+@F.pandas_udf(ArrayType(IntegerType()))
+def _again(values: pd.Series) -> pd.Series:
+    """Places of the values that occurred before in their list."""
     out = []
-    for own, kids in zip(ids, children, strict=True):
+    for own in values:
+        seen: set = set()
+        out.append([i for i, v in enumerate(own) if v in seen or seen.add(v)])
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(StructType().add("i", "integer").add("j", "integer").add("code", "string")))
+def _edges(ids: pd.Series, children: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Broken edges (node, place, code) of each outline; an id means its first node."""
+    out = []
+    for own, kids, s, e in zip(ids, children, starts, ends, strict=True):
         at: dict[int, int] = {}
         for i, node in enumerate(own):
             at.setdefault(node, i)
-        closing, done, open_ = [], set(), set()
-        for root in range(len(own)):
-            path = [] if root in done else [(root, iter(enumerate(kids[root])))]
-            open_.update(i for i, _ in path)
-            while path:
-                i, edges = path[-1]
-                step = next(((j, at[c]) for j, c in edges if c in at and at[c] not in done), None)
-                if step is None:
-                    path.pop()
-                    open_.discard(i)
-                    done.add(i)
-                elif step[1] in open_:
-                    closing.append({"i": i, "j": step[0]})
-                else:
-                    open_.add(step[1])
-                    path.append((step[1], iter(enumerate(kids[step[1]]))))
-        out.append(closing)
+        bad: list[dict] = []
+        owner: dict[int, int] = {}
+        for i, node in enumerate(own):
+            for j, child in enumerate(kids[i]):
+                c = at.get(child)
+                checks = {
+                    "DanglingChildRef": c is None,
+                    "MultipleStructureParents": c is not None and owner.setdefault(child, node) != node,
+                    "ChildRangeOutsideParent": c is not None and (s[c] < s[i] or e[c] > e[i]),
+                }
+                bad += [{"i": i, "j": j, "code": code} for code, broken in checks.items() if broken]
+        out.append(bad + [{"i": i, "j": j, "code": "StructureCycle"} for i, j in _closing(kids, at)])
     return pd.Series(out)
 
 
-def _error(stage, i, j, k: int, code: str, path: Column) -> Column:
-    number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
-    return F.struct(number(stage).alias("stage"), number(i).alias("i"), number(j).alias("j"), F.lit(k).alias("k"), F.lit(code).alias("code"), path.alias("path"))
+def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
+    """Edges that close a cycle, walking nodes and edges in their order."""
+    closing, done, open_ = [], set(), set()
+    for root in range(len(kids)):
+        path = [] if root in done else [(root, iter(enumerate(kids[root])))]
+        open_.update(i for i, _ in path)
+        while path:
+            i, edges = path[-1]
+            step = next(((j, at[c]) for j, c in edges if c in at and at[c] not in done), None)
+            if step is None:
+                path.pop()
+                open_.discard(i)
+                done.add(i)
+            elif step[1] in open_:
+                closing.append((i, step[0]))
+            else:
+                open_.add(step[1])
+                path.append((step[1], iter(enumerate(kids[step[1]]))))
+    return closing
+
+
+def _error(stage, i, j, k, code, path: Column) -> Column:
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    numbers = [lit(v).cast("int").alias(n) for v, n in ((stage, "stage"), (i, "i"), (j, "j"), (k, "k"))]
+    return F.struct(*numbers, lit(code).alias("code"), path.alias("path"))
 
 
 def _path(*parts) -> Column:
@@ -135,8 +162,17 @@ def interchange_errors(found: DataFrame, sources: DataFrame | None = None, contr
     nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), _error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]")))])
     docs = docs.withColumn("ranges", _ranges()).withColumn("length", F.when(given, F.octet_length("bytes")).otherwise(declared))
     split = _splits(F.when(utf8, F.col("bytes")), F.flatten(F.transform("ranges", lambda r: F.array(r["s"], r["e"]))))
-    closing = _cycles(F.transform("structure", lambda n: n["nodeId"]), F.transform("structure", lambda n: F.coalesce(n["childNodeIds"], F.array().cast("array<int>"))))
-    docs = docs.withColumn("split", split).withColumn("closing", closing)
+    def field(array: str, *way: str) -> Column:
+        return F.col(".".join([array, *way]))
+
+    none = F.array().cast("array<int>")
+    children = F.transform("structure", lambda n: F.coalesce(n["childNodeIds"], none))
+    edges = _edges(field("structure", "nodeId"), children, field("structure", "byteRange", "startUtf8"), field("structure", "byteRange", "endUtf8"))
+    ids = {"tokens": "occurrenceId", "structure": "nodeId", "derivation": "passId"}
+    docs = docs.withColumns({"split": split, "edges": edges} | {f"again_{a}": _again(field(a, c)) for a, c in ids.items()})
+
+    def repeated(array: str, stage: int, k: int, code: str) -> Column:
+        return F.transform(f"again_{array}", lambda i: _error(stage, i, -1, k, code, _path(array, "[", i, "]")))
 
     def bounds(r: Column, n: Column) -> list[Column]:
         def bad(when: Column, k: int, code: str, field: str) -> Column:
@@ -151,39 +187,15 @@ def interchange_errors(found: DataFrame, sources: DataFrame | None = None, contr
             bad(F.get("split", n * 2 + 1), 5, "RangeNotOnCharBoundary", ".endUtf8"),
         ]
 
-    cycles = F.transform("closing", lambda c: _error(7, c["i"], c["j"], 0, "StructureCycle", _path("structure[", c["i"], "].childNodeIds[", c["j"], "]")))
-    flat = F.concat(head, _each("ranges", bounds), _each("tokens", layout), depth, nameless, cycles)
-    errors = docs.select("doc_id", F.inline(flat))
-    for name, field, stage, k, code in (("tokens", "occurrenceId", 3, 8, "DuplicateTokenId"), ("structure", "nodeId", 5, 6, "DuplicateNodeId"), ("derivation", "passId", 9, 1, "DuplicateDerivationPassId")):
-        errors = errors.unionByName(_repeated(found, name, field, stage, k, code))
-    return errors.unionByName(_edge_errors(found))
-
-
-def _repeated(found: DataFrame, name: str, field: str, stage: int, k: int, code: str) -> DataFrame:
-    ids = found.select("doc_id", F.posexplode(f"analysis.{name}").alias("i", "x")).select("doc_id", "i", F.col(f"x.{field}").alias("id"))
-    again = ids.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("i"))).where("nth > 1")
-    error = _error(stage, F.col("i"), -1, k, code, _path(name, "[", F.col("i"), "]"))
-    return again.select("doc_id", F.inline(F.array(error)))
-
-
-def _edge_errors(found: DataFrame) -> DataFrame:
-    nodes = found.select("doc_id", F.posexplode("analysis.structure").alias("i", "n"))
-    first = nodes.groupBy("doc_id", F.col("n.nodeId").alias("child")).agg(F.min_by("n.byteRange", "i").alias("inner"))
-    edges = nodes.select("doc_id", "i", F.col("n.nodeId").alias("parent"), F.col("n.byteRange").alias("outer"), F.posexplode("n.childNodeIds").alias("j", "child"))
-    edges = edges.join(first, ["doc_id", "child"], "left")
-    known = F.col("inner").isNotNull()
-    w = Window.partitionBy("doc_id", "child").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.withColumn("owner", F.first("parent").over(w))
-    path = _path("structure[", F.col("i"), "].childNodeIds[", F.col("j"), "]")
-    outside = (F.col("inner.startUtf8") < F.col("outer.startUtf8")) | (F.col("inner.endUtf8") > F.col("outer.endUtf8"))
-    found_errors = F.array_compact(
-        F.array(
-            F.when(~known, _error(6, F.col("i"), F.col("j"), 0, "DanglingChildRef", path)),
-            F.when(known & (F.col("owner") != F.col("parent")), _error(6, F.col("i"), F.col("j"), 1, "MultipleStructureParents", path)),
-            F.when(known & outside, _error(6, F.col("i"), F.col("j"), 2, "ChildRangeOutsideParent", path)),
-        )
-    )
-    return edges.select("doc_id", F.inline(found_errors))
+    def edge(c: Column) -> Column:
+        cycle = c["code"] == "StructureCycle"
+        path = _path("structure[", c["i"], "].childNodeIds[", c["j"], "]")
+        order = F.when(c["code"] == "MultipleStructureParents", 1).when(c["code"] == "ChildRangeOutsideParent", 2).otherwise(0)
+        return _error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path)
+
+    repeats = [repeated("tokens", 3, 8, "DuplicateTokenId"), repeated("structure", 5, 6, "DuplicateNodeId"), repeated("derivation", 9, 1, "DuplicateDerivationPassId")]
+    flat = F.concat(head, _each("ranges", bounds), _each("tokens", layout), depth, nameless, F.transform("edges", edge), *repeats)
+    return docs.select("doc_id", F.inline(flat))
 
 
 def classification_errors(docs: DataFrame, sents: DataFrame, parts: DataFrame, toks: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import annotate, lint, render
+from ..operators import annotate, interchange, lint, render, validate
 from ..sources import documents
+from ..streaming import session
 
 
 def _tokens(spark: SparkSession, sf_dir: str, fixtures: bool = False) -> DataFrame:
@@ -114,9 +115,65 @@ def semantic_token_deltas(spark, sf_dir):
     return render.token_deltas(_placed(spark, sf_dir))
 
 
+def ansi_roundtrip(spark, sf_dir):
+    return render.ansi_spans(ansi_render(spark, sf_dir))
+
+
+def lsp_roundtrip(spark, sf_dir):
+    return render.delta_positions(semantic_token_deltas(spark, sf_dir))
+
+
+def _analyses(spark, sf_dir):
+    docs = documents.corpus(spark, sf_dir, True)
+    toks = annotate.classify(annotate.tokens(docs))
+    return interchange.analyses(docs, annotate.axes(toks), render.outline(annotate.sentences(toks))), docs
+
+
+def ir_documents(spark, sf_dir):
+    return interchange.canonical_json(_analyses(spark, sf_dir)[0])
+
+
+def ir_validation_errors(spark, sf_dir):
+    """The errors of all documents after every token starts a byte late and two share an id."""
+    found, docs = _analyses(spark, sf_dir)
+
+    def late(t):
+        r = t["byteRange"]
+        return t.withField("byteRange", r.withField("startUtf8", r["startUtf8"] + 1)).withField("occurrenceId", F.floor(t["occurrenceId"] / 2).cast("int"))
+
+    damaged = found.select("doc_id", F.col("analysis").withField("tokens", F.transform("analysis.tokens", late)).alias("analysis"))
+    sources = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    return validate.interchange_errors(damaged, sources).select("doc_id", "stage", "code", "path")
+
+
+def classification_errors(spark, sf_dir):
+    """The first error of all documents after every token starts a byte late."""
+    docs = documents.corpus(spark, sf_dir, True)
+    toks = annotate.tokens(docs)
+    kind = F.when(F.col("kind").isin("word", "number"), "Word").otherwise("Punct")
+    parts = toks.select("doc_id", "sent_id", F.col("pos").alias("part"), kind.alias("node_kind"), "start", "end")
+    return validate.classification_errors(docs, annotate.sentences(toks), parts, toks.withColumn("start", F.col("start") + 1))
+
+
+def session_replay(spark, sf_dir):
+    """Each conversation as a session: its first turn opens, every later one is put on top."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
+    text = F.coalesce("text", F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), text))
+    first = F.col("seq") == 1
+    zero = F.when(~first, 0)
+    turns = turns.select(F.col("conv_id").cast("string").alias("uri"), nth.cast("long").alias("seq"), text.alias("t"))
+    events = turns.select(
+        "uri", "seq", F.when(first, "open").otherwise("change").alias("kind"), F.lit("plain").alias("format"),
+        *[zero.alias(c) for c in ("start_line", "start_char", "end_line", "end_char")], F.when(first, F.col("t")).otherwise(F.concat("t", F.lit("\n"))).alias("text"),
+    )
+    return session.replay(events)
+
+
 QUERIES = [
     token_stream, sentence_spans, number_tokens, closed_class_counts, pos_class_counts, proper_nouns, open_class_tokens, contextual_senses, weak_words, run_on_sentences,
     length_outliers, passive_voice, lint_findings, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, ansi_render, highlight_spans, semantic_token_deltas,
+    ansi_roundtrip, lsp_roundtrip, ir_documents, ir_validation_errors, classification_errors, session_replay,
 ]
 
 
@@ -129,6 +186,7 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
+_C = interchange.Contract()
 _IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 _SP = r" \t\r\n\f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 _RE = rf"(?s)\p{{L}}[\p{{L}}\p{{N}}]*(?:[''’\-][\p{{L}}\p{{N}}]+)*|\p{{N}}+(?:[.,]\p{{N}}+)*|[.!?]+|[{_SP}]+|."
@@ -203,7 +261,30 @@ o1 AS (SELECT *, (sum(brk) OVER (PARTITION BY doc_id ORDER BY sent_id))::INT AS
 o2 AS (SELECT *, ((max(par) OVER (PARTITION BY doc_id)) + 1 + sent_id)::INT AS node FROM o1)
 SELECT doc_id, node AS node_id, 'SENTENCE' AS kind, 1 AS depth, "start", "end", '' AS children FROM o2
 UNION ALL SELECT doc_id, par, 'PARAGRAPH', 0, min("start"), max("end"), string_agg(node::VARCHAR, ',' ORDER BY node) FROM o2 GROUP BY doc_id, par"""
+    steps = ", ".join(f"""{{"compilerBuildHash":"{_C.build}","passId":"{p}","ruleId":"{r}","sourceRanges":[{{"endUtf8":<n>,"startUtf8":0}}]}}""" for p, r in _C.passes).replace("}, {", "},{")
+    span = """'{"endUtf8":' || "end" || ',"startUtf8":' || "start" || '}'"""
+    axis = lambda value: f"""coalesce('"' || {value} || '"', 'null')"""
+    lexical = "CASE pos_class WHEN 'Function' THEN 'FUNCTION' WHEN 'ProperNoun' THEN 'PROPER_NOUN_CANDIDATE' WHEN 'Content' THEN 'CONTENT' WHEN 'Open' THEN 'CONTENT' END"
+    token_kind = "CASE WHEN pos_class IN ('Number', 'Punctuation', 'Quote') THEN upper(pos_class) ELSE 'WORD' END"
+    token = f"""'{{"byteRange":' || {span} || ',"functionKind":' || {axis("CASE WHEN pos_class = 'Function' THEN upper(function_kind) END")} || ',"lexicalClass":' || {axis(lexical)}
+  || ',"occurrenceId":' || pos || ',"openClassKind":' || {axis("CASE WHEN pos_class = 'Open' THEN upper(open_kind) END")} || ',"tokenKind":"' || {token_kind} || '"}}'"""
+    node = f"""'{{"byteRange":' || {span} || ',"childNodeIds":[' || children || '],"depth":' || depth || ',"kind":"' || kind || '","nodeId":' || node_id || '}}'"""
+    nodes = outline.replace("SELECT doc_id, node AS node_id", "nodes AS (SELECT doc_id, node AS node_id", 1).replace("FROM o1)\nnodes", "FROM o1),\nnodes", 1) + ")"
+    documents_sql = nodes + f""", tj AS (SELECT doc_id, string_agg({token}, ',' ORDER BY pos) AS tj FROM c GROUP BY 1), nj AS (SELECT doc_id, string_agg({node}, ',' ORDER BY node_id) AS nj FROM nodes GROUP BY 1),
+h AS (SELECT doc_id, name, coalesce(text, '') AS x, octet_length(encode(coalesce(text, ''))) AS n FROM docs)
+SELECT h.doc_id, '{{"contractVersion":"{_C.version}","derivation":[' || replace('{steps}', '<n>', n::VARCHAR) || '],"diagnostics":[],"schemaHash":"{_C.schema_hash}","source":{{"contentHash":"sha256:' || sha256(x) || '","unitId":"' || name || '","utf8ByteLength":' || n
+|| '}},"structure":[' || coalesce(nj, '') || '],"tokens":[' || coalesce(tj, '') || '],"vocabularyHash":"{_C.vocabulary_hash}"}}' AS json FROM h LEFT JOIN tj USING (doc_id) LEFT JOIN nj USING (doc_id)"""
+    wide = "octet_length(encode(s[1])) > 1"
+    late = f"""SELECT doc_id, 3 AS stage, 'EmptyTokenRange' AS code, 'tokens[' || pos || '].byteRange' AS path FROM tok WHERE "end" = "start" + 1
+UNION ALL SELECT doc_id, 3, 'RangeNotOnCharBoundary', 'tokens[' || pos || '].byteRange.startUtf8' FROM tok WHERE {wide} UNION ALL SELECT doc_id, 3, 'DuplicateTokenId', 'tokens[' || pos || ']' FROM tok WHERE pos % 2 = 1"""
+    broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code, 'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' AS path FROM tok GROUP BY doc_id"""
+    replay = """SELECT conv_id::VARCHAR AS uri, count(*) AS generation, 'plain' AS format, string_agg(coalesce(text, ''), chr(10) ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"""
     return {
+        "ir_documents": sql + documents_sql,
+        "ir_validation_errors": sql + late,
+        "classification_errors": sql + broken,
+        "session_replay": replay,
+        "ansi_roundtrip": sql + f", t AS (SELECT *, {role} AS role FROM c) SELECT doc_id, \"start\", \"end\", ansi, s AS lexeme FROM t JOIN ({role_rows}) {roles} ON t.role = r.role WHERE ansi IS NOT NULL",
         "token_stream": _sql(False) + 'SELECT doc_id, pos, s AS lexeme, kind, "start", "end" FROM tok',
         "sentence_spans": sql + 'SELECT doc_id, sent_id, "start", "end", words FROM sent',
         "number_tokens": sql + "SELECT doc_id, s AS lexeme, \"start\" FROM tok WHERE kind = 'number'",
