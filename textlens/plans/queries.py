@@ -279,7 +279,24 @@ SELECT h.doc_id, '{{"contractVersion":"{_C.version}","derivation":[' || replace(
 UNION ALL SELECT doc_id, 3, 'RangeNotOnCharBoundary', 'tokens[' || pos || '].byteRange.startUtf8' FROM tok WHERE {wide} UNION ALL SELECT doc_id, 3, 'DuplicateTokenId', 'tokens[' || pos || ']' FROM tok WHERE pos % 2 = 1"""
     broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code, 'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' AS path FROM tok GROUP BY doc_id"""
     replay = """SELECT conv_id::VARCHAR AS uri, count(*) AS generation, 'plain' AS format, string_agg(coalesce(text, ''), chr(10) ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"""
+    styled = f", st AS (SELECT c.*, r.* FROM (SELECT *, {role} AS own FROM c) c JOIN ({role_rows}) {roles} ON own = r.role)"
+    colored = """ SELECT d.doc_id, coalesce(a.x, d.text) AS colored FROM docs d LEFT JOIN (SELECT seg.doc_id, string_agg(CASE WHEN ansi IS NULL THEN seg.s ELSE chr(27) || '[' || ansi || 'm' || seg.s || chr(27) || '[0m' END, '' ORDER BY seg.p) AS x
+FROM seg LEFT JOIN st ON seg.doc_id = st.doc_id AND seg.p = st.p GROUP BY seg.doc_id) a USING (doc_id)"""
+    w = "(PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    units = "length(s) + len(regexp_extract_all(s, '[\\x{10000}-\\x{10FFFF}]'))"
+    placed = styled + f""", u0 AS (SELECT doc_id, p, s, kind, {units} AS u, coalesce(sum(length(s)) OVER {w}, 0) AS c0, coalesce(sum({units}) OVER {w}, 0) AS c16,
+  CASE WHEN kind = 'space' THEN len(regexp_extract_all(s, '\\r\\n|\\r|\\n')) ELSE 0 END AS nb, length(regexp_replace(s, '(?s)^.*[\\r\\n]', '')) AS tail FROM seg),
+u1 AS (SELECT doc_id, p, u, c0, c16, coalesce(sum(nb) OVER {w}, 0)::INT AS "row", coalesce(last_value(CASE WHEN nb > 0 THEN c0 + length(s) - tail END IGNORE NULLS) OVER {w}, 0) AS ls,
+  coalesce(last_value(CASE WHEN nb > 0 THEN c16 + u - tail END IGNORE NULLS) OVER {w}, 0) AS ls16 FROM u0),
+pl AS (SELECT st.doc_id, pos, s, highlight, token_type, "row", (c0 - ls)::INT AS col, (c16 - ls16)::INT AS col16, u::INT AS "length" FROM st JOIN u1 ON st.doc_id = u1.doc_id AND st.p = u1.p)"""
+    kinds = "list_position([" + ", ".join(f"'{t}'" for t in V.LEGEND) + "], token_type) - 1"
+    editor = "FROM pl WHERE token_type IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY pos)"
+    deltas = f""" SELECT doc_id, pos, "row" - coalesce(lag("row") OVER d, 0) AS delta_line, col16 - CASE WHEN "row" = coalesce(lag("row") OVER d, 0) THEN coalesce(lag(col16) OVER d, 0) ELSE 0 END AS delta_start, "length", {kinds} AS "type", 0 AS modifiers {editor}"""
     return {
+        "ansi_render": sql + styled + colored,
+        "highlight_spans": sql + placed + ' SELECT doc_id, pos, highlight AS class, "row", col, (col + length(s))::INT AS end_col FROM pl WHERE highlight IS NOT NULL',
+        "semantic_token_deltas": sql + placed + deltas,
+        "lsp_roundtrip": sql + placed + f' SELECT doc_id, pos, "row", col16, "length", {kinds} AS "type" FROM pl WHERE token_type IS NOT NULL',
         "ir_documents": sql + documents_sql,
         "ir_validation_errors": sql + late,
         "classification_errors": sql + broken,
