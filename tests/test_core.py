@@ -71,7 +71,7 @@ def test_ansi_strips_back(spark):
     assert {k: re.sub("\x1b\\[[0-9;]*m", "", v) for k, v in colored.items()} == {r["doc_id"]: r["text"] for r in d.collect()}
 
 
-@pytest.mark.parametrize("name", ["sentence_spans", "pos_class_counts", "visual_roles", "length_outliers", "contextual_senses"])
+@pytest.mark.parametrize("name", ["sentence_spans", "pos_class_counts", "visual_roles", "length_outliers", "contextual_senses", "ansi_render", "semantic_token_deltas", "span_report", "ir_documents", "ir_validation_errors", "classification_errors"])
 def test_sql_parity(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -63,6 +63,25 @@ def ansi_spans(colored: DataFrame) -> DataFrame:
     return rows.where("ansi <> ''").select("doc_id", "start", (F.col("start") + F.octet_length("lexeme")).cast("int").alias("end"), "ansi", "lexeme")
 
 
+def _code(text) -> Column:
+    """Markdown code of a text within a table cell: a fence longer than its own backticks."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("`"), longest + 1)
+    pad = F.when(text.startswith("`") | text.endswith("`"), " ").otherwise("")
+    return F.replace(F.concat(fence, pad, text, pad, fence), F.lit("|"), F.lit("\\|"))
+
+
+def span_report(docs: DataFrame, axes: DataFrame) -> DataFrame:
+    """doc_id, report: a Markdown table of the spans that editors style, one text a document."""
+    spans = with_roles(axes).where("token_type IS NOT NULL")
+    place = F.concat(F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
+    line = F.concat(F.lit("| "), _code(place), F.lit(" | "), _code(F.col("lexeme")), F.lit(" | "), _code(F.col("role")), F.lit(" |\n"))
+    rows = spans.select("doc_id", F.struct("pos", line.alias("line")).alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    body = rows.select("doc_id", F.array_join(F.transform("xs", lambda x: x["line"]), "").alias("body"))
+    head = "# Highlight spans\n\n| UTF-8 bytes | Text | Role |\n| --- | --- | --- |\n"
+    return docs.select("doc_id").join(body, "doc_id", "left").select("doc_id", F.concat(F.lit(head), F.coalesce("body", F.lit(""))).alias("report"))
+
+
 def delta_positions(deltas: DataFrame) -> DataFrame:
     """doc_id, pos, row, col16, length, type: ``token_deltas`` undone by running sums."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

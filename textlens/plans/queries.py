@@ -123,6 +123,10 @@ def lsp_roundtrip(spark, sf_dir):
     return render.delta_positions(semantic_token_deltas(spark, sf_dir))
 
 
+def span_report(spark, sf_dir):
+    return render.span_report(documents.corpus(spark, sf_dir, True), annotate.axes(_classified(spark, sf_dir, True)))
+
+
 def _analyses(spark, sf_dir):
     docs = documents.corpus(spark, sf_dir, True)
     toks = annotate.classify(annotate.tokens(docs))
@@ -173,7 +177,7 @@ def session_replay(spark, sf_dir):
 QUERIES = [
     token_stream, sentence_spans, number_tokens, closed_class_counts, pos_class_counts, proper_nouns, open_class_tokens, contextual_senses, weak_words, run_on_sentences,
     length_outliers, passive_voice, lint_findings, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, ansi_render, highlight_spans, semantic_token_deltas,
-    ansi_roundtrip, lsp_roundtrip, ir_documents, ir_validation_errors, classification_errors, session_replay,
+    ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, ir_validation_errors, classification_errors, session_replay,
 ]
 
 
@@ -292,7 +296,11 @@ pl AS (SELECT st.doc_id, pos, s, highlight, token_type, "row", (c0 - ls)::INT AS
     kinds = "list_position([" + ", ".join(f"'{t}'" for t in V.LEGEND) + "], token_type) - 1"
     editor = "FROM pl WHERE token_type IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY pos)"
     deltas = f""" SELECT doc_id, pos, "row" - coalesce(lag("row") OVER d, 0) AS delta_line, col16 - CASE WHEN "row" = coalesce(lag("row") OVER d, 0) THEN coalesce(lag(col16) OVER d, 0) ELSE 0 END AS delta_start, "length", {kinds} AS "type", 0 AS modifiers {editor}"""
+    cell = "CASE WHEN s = '`' THEN '`` ` ``' ELSE '`' || replace(s, '|', '\\|') || '`' END"
+    report = f""" SELECT d.doc_id, '# Highlight spans' || chr(10) || chr(10) || '| UTF-8 bytes | Text | Role |' || chr(10) || '| --- | --- | --- |' || chr(10) || coalesce(x, '') AS report FROM docs d LEFT JOIN
+(SELECT doc_id, string_agg('| `' || "start" || '..' || "end" || '` | ' || {cell} || ' | `' || own || '` |' || chr(10), '' ORDER BY p) AS x FROM st WHERE token_type IS NOT NULL GROUP BY 1) USING (doc_id)"""
     return {
+        "span_report": sql + styled + report,
         "ansi_render": sql + styled + colored,
         "highlight_spans": sql + placed + ' SELECT doc_id, pos, highlight AS class, "row", col, (col + length(s))::INT AS end_col FROM pl WHERE highlight IS NOT NULL',
         "semantic_token_deltas": sql + placed + deltas,
