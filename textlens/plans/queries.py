@@ -70,8 +70,8 @@ def passive_voice(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     docs = documents.corpus(spark, sf_dir, True)
-    classified = annotate.classify(annotate.tokens(docs))
-    return lint.findings(classified, annotate.sentences(classified), docs), docs
+    toks = annotate.tokens(docs)
+    return lint.findings(annotate.classify(toks), annotate.sentences(toks), docs), docs
 
 
 def lint_findings(spark, sf_dir):
