@@ -150,3 +150,58 @@ def test_licences():
     known = {n: re.compile(f"^({p})$") for n, p in licenses.SENTENCES}
     assert known["ApacheRef"].match("licensed under the apache license version 2 0") and known["CCBYNC4"].match("licensed under cc by nc 4 0")
     assert re.search(licenses.rule_regex("MITGrant~MITNotice~AsIsMIT"), ",MITGrant,Other,MITNotice,AsIsMIT,") and not re.search(licenses.rule_regex("A~B"), ",B,A,")
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of fitness."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer.
+"""
+BSD3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from it.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+def licences_found(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(frame).collect()}
+    return [out[i]["licenses"] for i in range(len(texts))], [out[i]["sentence_ids"] for i in range(len(texts))]
+
+
+def test_wrapped_licences(spark):
+    marked = [m + f"\n{m}".join(MIT.split("\n")) for m in (" * ", "# ", "// ", "dnl ", "REM ", "\t-- ")]
+    later = "Foo\nlicensed under the GNU General Public License version 3\nor any later version\nbar"
+    single = "no full stop here\nLicensed under the MIT License\nLicensed under the Apache License, Version 2.0\nmore"
+    texts = [MIT, GPL, BSD, BSD + BSD3, APACHE, *marked, MIT.replace("\n", "\r\n"), MIT.replace("\n", "\r"), later, single, "a\n" * 50_000 + GPL, "software\n" + "*\n" * 50_000 + "x"]
+    found, ids = licences_found(spark, texts)
+    assert found[:5] == ["MIT", "GPL", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"] and ids[1] == "GPLFree,GPLNoWarranty"
+    assert ids[4] == "ApacheRef,ApacheNoUse,ApacheCopy,AsIsBasis"
+    assert found[5:13] == ["MIT"] * 8
+    assert found[13:] == ["GPL-3.0-or-later", "Apache-2.0,MIT", "GPL", ""] and ids[14] == "MITRef,ApacheRef"

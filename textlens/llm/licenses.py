@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Identifier and pattern of known licence sentences. Patterns match a
-# whole normalised sentence (lower case, every run of other characters one space).
+# whole normalised sentence (lower case, every run of other characters one space) or
+# whole lines of it; the first in the list takes the lines.
 SENTENCES = [
     ("ApacheRef", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?apache (software )?license(,? version)? ?v?(2|2 0)( the license)?"),
     ("ApacheNoUse", r"you may not use this file except in compliance with the license"),
@@ -21,8 +22,8 @@ SENTENCES = [
     ("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("MITNotice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("AsIsMIT", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("GPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)?( only)?"),
     ("GPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)? or (any )?later( version)?"),
+    ("GPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)?( only)?"),
     ("GPL2Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?2( 0)?( only)?"),
     ("GPLFree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*"),
     ("GPLNoWarranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
@@ -64,24 +65,42 @@ RULES = [
     ("CC0-1.0", "CC0"),
 ]
 
-#: A sentence ends at a line break or after . ! ? ; before white space.
-SENTENCE_END = r"[\r\n]+|(?<=[.!?;])\s+"
+#: A sentence ends at a blank line (one without letter or digit) or after . ! ? ; before
+#: white space. A single line break with its comment marks is a space inside it.
+SENTENCE_END = r"\n[^\p{L}\p{N}]*\n|(?<=[.!?;])\s+"
+#: Line breaks with the comment words after them.
+LINE_START = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:dnl|rem|c)(?![\p{L}\p{N}]))?"
 #: Only sentences with one of these stems are tried against the patterns.
 STEMS = r"licens|software|warrant|redistribut|conditions|copies|public domain|gpl|cc0|all rights reserved|products"
 
 
+def wrapped(pattern: str) -> str:
+    """A pattern of SENTENCES for a sentence that still has its line breaks.
+
+    It covers whole lines, as many as it needs: notices are wrapped anywhere, and
+    lines without a full stop are sentences of their own. Open ends stay on their line.
+    """
+    head, tail = pattern.startswith(".*"), pattern.endswith(".*")
+    inner = pattern[2 * head : len(pattern) - 2 * tail].replace(".*", "[^<>]*?").replace(" ", "[ \n]")
+    line = "[^\n<>]*"
+    return f"(?<![^\n])(?:{line * head}(?:{inner}){line * tail})(?![^\n])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.lower(s).rlike(STEMS))
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), r"\s+", " ")))
+    breaks = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    sentences = F.filter(F.split(breaks, SENTENCE_END), lambda s: F.lower(s).rlike(STEMS))
+
+    def normal(s: Column) -> Column:
+        s = F.regexp_replace(F.regexp_replace(F.lower(s), LINE_START, "\n"), r"[^\p{L}\p{N}\n]+", " ")
+        return F.regexp_replace(F.regexp_replace(s, r" *\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
     def known(s: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(""))
         for name, pattern in SENTENCES:
-            out = out.when(s.rlike(f"^({pattern})$"), F.lit(name))
-        return out
+            s = F.regexp_replace(s, wrapped(pattern), f"<{name}>")
+        return F.regexp_extract_all(s, F.lit("<([A-Za-z0-9]+)>"), F.lit(1))
 
-    return F.filter(F.transform(normal, known), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.transform(sentences, normal), known))
 
 
 def rule_regex(rule: str) -> str:
