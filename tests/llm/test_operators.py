@@ -205,3 +205,13 @@ def test_wrapped_licences(spark):
     assert ids[4] == "ApacheRef,ApacheNoUse,ApacheCopy,AsIsBasis"
     assert found[5:13] == ["MIT"] * 8
     assert found[13:] == ["GPL-3.0-or-later", "Apache-2.0,MIT", "GPL", ""] and ids[14] == "MITRef,ApacheRef"
+
+
+def test_licence_references(spark):
+    tags = ["MIT", "apache-2.0", "GPL-3.0-only", "GPL-2.0+", "ISC", "(MIT OR Apache-2.0)", "GPL-2.0 WITH Classpath-exception-2.0 */", "BSD-2-Clause OR BSD-3-Clause", "NOASSERTION"]
+    want = ["MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0-or-later", "ISC", "MIT,Apache-2.0", "GPL-2.0", "BSD-2-Clause,BSD-3-Clause", "unknown"]
+    assert licences_found(spark, [f"/* SPDX-License-Identifier: {x}\nint a" for x in tags])[0] == want
+    said = ["This project is licensed under the MIT License - see the LICENSE file for details.", "Licensed under the Apache License 2.1", "Licensed under GPL v2 or, at your option, any later version - see COPYING",
+            "licensed under the MIT License\nlicensed under the Apache License 2.0 - see LICENSE\n", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Zlib\n" + MIT]
+    found, ids = licences_found(spark, said)
+    assert found == ["MIT", "", "GPL-2.0-or-later", "Apache-2.0,MIT", "MIT,Zlib"] and ids[4].startswith("SPDX:MIT,SPDX:Zlib,MITGrant")

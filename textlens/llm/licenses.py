@@ -7,6 +7,8 @@ is one projection over the text: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,13 @@ SENTENCES = [
     ("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("MITNotice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("AsIsMIT", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("GPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)? or (any )?later( version)?"),
+    ("GPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)? or (at your option )?(any )?later( version)?"),
     ("GPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?3( 0)?( only)?"),
+    ("GPL2OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?2( 0)? or (at your option )?(any )?later( version)?"),
     ("GPL2Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(general public license|gpl),? ?(version |v)?2( 0)?( only)?"),
     ("GPLFree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*"),
     ("GPLNoWarranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
+    ("LGPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?3( 0)? or (at your option )?(any )?later( version)?"),
     ("LGPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?3( 0)?"),
     ("BSDRedistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
     ("BSDSource", r".*redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
@@ -52,8 +56,10 @@ RULES = [
     ("MIT", "MITRef"),
     ("GPL-3.0-or-later", "GPL3OrLater"),
     ("GPL-3.0", "GPL3Ref"),
+    ("GPL-2.0-or-later", "GPL2OrLater"),
     ("GPL-2.0", "GPL2Ref"),
     ("GPL", "GPLFree~GPLNoWarranty"),
+    ("LGPL-3.0-or-later", "LGPL3OrLater"),
     ("LGPL-3.0", "LGPL3Ref"),
     ("BSD-3-Clause", "BSDRedistribution~BSDSource~BSDBinary~BSDEndorse"),
     ("BSD-2-Clause", "BSDRedistribution~BSDSource~BSDBinary"),
@@ -65,16 +71,24 @@ RULES = [
     ("CC0-1.0", "CC0"),
 ]
 
-#: A sentence ends at a blank line (one without letter or digit) or after . ! ? ; before
-#: white space. A single line break with its comment marks is a space inside it.
-SENTENCE_END = r"\n[^\p{L}\p{N}]*\n|(?<=[.!?;])\s+"
+#: Sentences that name a licence; a clause may follow, but not the rest of a version.
+REFERENCE = r"Ref$|OrLater$|^CCBY"
+CLAUSE = r"(?: (?!\d)[^\n<>]*)?"
+
+#: A licence name, and the tag with its expression of names.
+SPDX_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX_TAG = rf"(?i)spdx-license-identifier:[ \t(]*({SPDX_NAME}(?:[ \t()]+(?:or|and|with)[ \t()]+{SPDX_NAME})*)"
+
+#: A sentence ends at a blank line (one without letter or digit), after . ! ? ; before
+#: white space, or before an SPDX tag. A single line break with its comment marks is a space inside it.
+SENTENCE_END = r"\n[^\p{L}\p{N}]*\n|(?<=[.!?;])\s+|(?=(?i:spdx-license-identifier:))"
 #: Line breaks with the comment words after them.
 LINE_START = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:dnl|rem|c)(?![\p{L}\p{N}]))?"
 #: Only sentences with one of these stems are tried against the patterns.
 STEMS = r"licens|software|warrant|redistribut|conditions|copies|public domain|gpl|cc0|all rights reserved|products"
 
 
-def wrapped(pattern: str) -> str:
+def wrapped(name: str, pattern: str) -> str:
     """A pattern of SENTENCES for a sentence that still has its line breaks.
 
     It covers whole lines, as many as it needs: notices are wrapped anywhere, and
@@ -83,7 +97,8 @@ def wrapped(pattern: str) -> str:
     head, tail = pattern.startswith(".*"), pattern.endswith(".*")
     inner = pattern[2 * head : len(pattern) - 2 * tail].replace(".*", "[^<>]*?").replace(" ", "[ \n]")
     line = "[^\n<>]*"
-    return f"(?<![^\n])(?:{line * head}(?:{inner}){line * tail})(?![^\n])"
+    end = CLAUSE if re.search(REFERENCE, name) else line * tail
+    return f"(?<![^\n])(?:{line * head}(?:{inner}){end})(?![^\n])"
 
 
 def sentence_ids(text: Column) -> Column:
@@ -97,23 +112,44 @@ def sentence_ids(text: Column) -> Column:
 
     def known(s: Column) -> Column:
         for name, pattern in SENTENCES:
-            s = F.regexp_replace(s, wrapped(pattern), f"<{name}>")
+            s = F.regexp_replace(s, wrapped(name, pattern), f"<{name}>")
         return F.regexp_extract_all(s, F.lit("<([A-Za-z0-9]+)>"), F.lit(1))
 
-    return F.flatten(F.transform(F.transform(sentences, normal), known))
+    def tagged(s: Column) -> Column:
+        return F.when(spdx(s) != "", F.array(F.concat(F.lit("SPDX:"), spdx(s)))).otherwise(F.array().cast("array<string>"))
+
+    rest = F.transform(sentences, lambda s: normal(F.when(spdx(s) != "", F.regexp_replace(s, SPDX_TAG, "\n")).otherwise(s)))
+    return F.flatten(F.zip_with(F.transform(sentences, tagged), F.transform(rest, known), lambda a, b: F.concat(a, b)))
+
+
+def spdx(sentence: Column) -> Column:
+    """Licence names of a sentence's SPDX tag, joined by |; empty without any.
+
+    Exceptions (after WITH) are left out, ``-only`` goes, ``+`` is ``-or-later``; names
+    that RULES has are spelled as there, others as written.
+    """
+    names = F.regexp_extract(sentence, SPDX_TAG, 1)
+    names = F.regexp_replace(names, rf"(?i)[ \t()]+with[ \t()]+{SPDX_NAME}", "")
+    names = F.regexp_replace(names, r"(?i)[ \t()]+(?:or|and)[ \t()]+", "|")
+    names = F.regexp_replace(F.regexp_replace(names, r"(?i)-only(?=\||$)", ""), r"\+(?=\||$)", "-or-later")
+    for name in dict(RULES):
+        names = F.regexp_replace(names, rf"(?i)(?<![^|]){re.escape(name)}(?![^|])", name)
+    return F.when(names.rlike(r"(?i)(?<![^|])(none|noassertion)(?![^|])"), F.lit("")).otherwise(names)
 
 
 def rule_regex(rule: str) -> str:
-    return ",(?:" + ",(?:[A-Za-z0-9]+,)*".join(rule.split("~")) + "),"
+    return ",(?:" + ",(?:[^,]+,)*".join(rule.split("~")) + "),"
 
 
 def licenses_of(ids: Column) -> Column:
-    """Licences whose rule the sequence matches, in rule order without repeats."""
+    """Licences whose rule the sequence matches, in rule order, then those of SPDX tags; no repeats."""
     joined = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
     hits = [F.when(joined.rlike(rule_regex(rule)), F.lit(name)) for name, rule in RULES]
-    found = F.array_distinct(F.array_compact(F.array(*hits)))
+    found = F.array_compact(F.array(*hits))
     # the three-clause text also fits the two-clause rule; the longer one stands
-    return F.when(F.array_contains(found, "BSD-3-Clause"), F.array_remove(found, "BSD-2-Clause")).otherwise(found)
+    found = F.when(F.array_contains(found, "BSD-3-Clause"), F.array_remove(found, "BSD-2-Clause")).otherwise(found)
+    named = F.flatten(F.transform(F.filter(ids, lambda x: x.startswith("SPDX:")), lambda x: F.split(F.substring(x, 6, 1_000_000), r"\|")))
+    return F.array_distinct(F.concat(found, named))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
