@@ -215,3 +215,12 @@ def test_licence_references(spark):
             "licensed under the MIT License\nlicensed under the Apache License 2.0 - see LICENSE\n", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Zlib\n" + MIT]
     found, ids = licences_found(spark, said)
     assert found == ["MIT", "", "GPL-2.0-or-later", "Apache-2.0,MIT", "MIT,Zlib"] and ids[4].startswith("SPDX:MIT,SPDX:Zlib,MITGrant")
+
+
+def test_short_items(spark):
+    texts = ["one", "a one b", "Two, words here", "words two", "x one two three y", "p q r s", "p q r", "a p q r s t", "one two three four five six", "", None]
+    items = {1: "one", 2: "two words", 3: "one two three", 4: "p q r s", 5: "one two three four five", 6: "...", 7: None}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.contained_items(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    want = {(0, 1), (1, 1), (4, 1), (8, 1), (2, 2), (4, 3), (8, 3), (5, 4), (7, 4), (8, 5)}
+    assert {(r["doc_id"], r["item_id"]) for r in out} == want and len(out) == len(want) and all(r["containment"] == 1 for r in out)

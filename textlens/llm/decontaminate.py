@@ -33,12 +33,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def _starts(w: Column) -> Column:
-    return F.when(F.size(w) >= WIDTH, F.sequence(F.lit(1), F.size(w) - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
+def _starts(w: Column, width: int | Column = WIDTH) -> Column:
+    return F.when((F.size(w) >= width) & (F.size(w) > 0), F.sequence(F.lit(1), F.size(w) - (width - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def shingles(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i, WIDTH), " ")))
+def shingles(w: Column, width: int | Column = WIDTH) -> Column:
+    return F.array_distinct(F.transform(_starts(w, width), lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+
+def short_widths(items: DataFrame) -> list[int]:
+    """Word counts, under WIDTH, of the items that are one shingle of their own width."""
+    n = F.size(words(F.col("text")))
+    return sorted(r["n"] for r in items.select(n.alias("n")).where((F.col("n") > 0) & (F.col("n") < WIDTH)).distinct().collect())
 
 
 def _sketch_size(n: Column, threshold: float) -> Column:
@@ -55,12 +61,19 @@ def _with_words(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, words(F.col("text")).alias("_w"))
 
 
-def _spelled(df: DataFrame, key: str) -> DataFrame:
-    return exploded(_with_words(df, key), [key], shingles(F.col("_w")), "s")
+def _spelled(df: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    return exploded(_with_words(df, key), [key], F.concat(*[shingles(F.col("_w"), k) for k in [*widths, WIDTH]]), "s")
+
+
+def _item_shingles(items: DataFrame, key: str) -> DataFrame:
+    """An item under WIDTH words is one shingle."""
+    w = F.col("_w")
+    return exploded(_with_words(items, key), [key], F.when(F.size(w) < WIDTH, F.filter(F.array(F.array_join(w, " ")), lambda s: s != "")).otherwise(shingles(w)), "s")
 
 
-def _hashed(df: DataFrame, key: str, words_column: str | None = None, outputs: tuple[str, ...] = ()) -> DataFrame:
-    """(key, h): a hash for each five words, built from hashes of one, two and four.
+def _hashed(df: DataFrame, key: str, widths: list[int], words_column: str | None = None, outputs: tuple[str, ...] = ()) -> DataFrame:
+    """(key, h): a hash for each five words, built from hashes of one, two and four,
+    and for each run of ``widths`` words; with ``words_column`` for the whole row only.
 
     Every step hashes two neighbours of the array before, which costs a third of
     hashing five strings for each place.
@@ -73,9 +86,16 @@ def _hashed(df: DataFrame, key: str, words_column: str | None = None, outputs: t
     keep = [key, *outputs]
     df = (df if words_column else _with_words(df, key)).select(*keep, F.transform(words_column or "_w", lambda x: F.xxhash64(x)).alias("_1"))
     df = df.select(*keep, "_1", joined("_1", "_1", 1, 1)).withColumnRenamed("_next", "_2")
-    df = df.select(*keep, "_1", joined("_2", "_2", 2, 2)).withColumnRenamed("_next", "_4")
-    df = df.select(*keep, joined("_4", "_1", 4, 1))
-    return exploded(df, keep, F.col("_next"), "h")
+    df = df.select(*keep, "_1", "_2", joined("_2", "_2", 2, 2)).withColumnRenamed("_next", "_4")
+    if 3 in widths:
+        df = df.select("*", joined("_2", "_1", 2, 1)).withColumnRenamed("_next", "_3")
+    df = df.select(*keep, *[f"_{k}" for k in sorted({1, *widths})], joined("_4", "_1", 4, 1))
+    runs = {k: F.col(f"_{k}") for k in widths}
+    if words_column:
+        runs = {k: F.when(F.size("_1") == k, h).otherwise(F.array().cast("array<bigint>")) for k, h in runs.items()}
+    else:
+        runs = {k: F.array_distinct(h) for k, h in runs.items()}
+    return exploded(df, keep, F.concat(*runs.values(), F.col("_next")) if runs else F.col("_next"), "h")
 
 
 def contained_items(
@@ -89,13 +109,16 @@ def contained_items(
     """(doc_id, item_id, n_shared, n_item, containment) of every item found in a document.
 
     Words are lower-case runs of letters and digits, shingles five words, sets of
-    them: repetition does not count. Items and documents under five words, null
-    and empty texts match nothing; so do rows with null keys. Rows that repeat a
-    key count as one text, the union. Only keys and texts are read.
+    them: repetition does not count. An item under five words is one shingle of its
+    own width, sought in documents of any length. Texts without words match nothing;
+    so do rows with null keys. Rows that repeat a key count as one text, the union.
+    Only keys and texts are read.
     """
-    item_sets = _spelled(items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), "text"), "item_id").distinct()
+    named_items = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), "text")
+    widths = short_widths(named_items)
+    item_sets = _item_shingles(named_items, "item_id").distinct()
     item_sets = item_sets.withColumn("n_item", F.count(F.lit(1)).over(_by_item()))
-    ranked = _hashed(item_sets.withColumn("w", F.split("s", " ")), "item_id", "w", ("n_item",))
+    ranked = _hashed(item_sets.withColumn("w", F.split("s", " ")), "item_id", widths, "w", ("n_item",))
     ranked = ranked.withColumn("rank", F.row_number().over(_by_item().orderBy("h")))
     index = ranked.where(F.col("rank") <= _sketch_size(F.col("n_item"), threshold)).select("h", "item_id")
     small = ranked.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -104,13 +127,13 @@ def contained_items(
         return F.broadcast(df) if small else df
 
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text")
-    probes = _hashed(keyed, "doc_id")
+    probes = _hashed(keyed, "doc_id", widths)
     candidates = cut(probes.join(sized(index), "h").select("doc_id", "item_id").distinct())
     # exact step: only the candidates' documents, with the shingles spelled out
     named = cut(candidates.select("doc_id").distinct())
     named = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
     held = keyed.join(named, "doc_id", "left_semi")
-    spelled = _spelled(held, "doc_id")
+    spelled = _spelled(held, "doc_id", widths)
     # a document's repeats of a shingle meet in the distinct count
     shared = spelled.join(sized(item_sets), "s").join(candidates, ["doc_id", "item_id"], "left_semi")
     found = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"), F.max("n_item").alias("n_item"))
