@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column that hold about ``size`` bytes, one row at least."""
+    if not len(column):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def fixed_binary(column: pa.Array, dtype: str) -> np.ndarray:
     """A binary column whose values all have one length, as a matrix; no copy per row."""
     if isinstance(column, pa.ChunkedArray):

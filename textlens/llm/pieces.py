@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 SPACE = "\u2581"
 _NONE = -2
-#: Characters whose units are gathered at once; units and pairs that a worker remembers.
-CHARS, UNITS, PAIRS = 4_000_000, 600_000, 3_000_000
+#: Bytes of text taken at once, units solved at once, and units and pairs that a worker remembers.
+SIZE, SOLVED, UNITS, PAIRS = 1_000_000, 15_000, 250_000, 1_000_000
 _FAR = np.int64(2**40)
 
 
@@ -61,7 +63,7 @@ class Codec:
         self.pieces = [p for _, p, _ in order]  # by rank
         self.rank = {p: r for r, p in enumerate(self.pieces)}
         self.id_of = np.array([i for i, _, _ in order] + [-1], np.int64)
-        self.length = np.array([len(p) for p in self.pieces] + [1], np.int64)
+        self.length = np.array([len(p) for p in self.pieces] + [1], np.int32)
         # ASCII marks that no piece has after a Latin letter: no merge crosses that border
         after = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha() and a < "\u0250"}
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalpha() and c not in after)
@@ -116,7 +118,7 @@ class Codec:
         self.lut = np.ones(0x110000, np.uint16)
         self.lut[[ord(c) for c in self.alphabet]] = list(self.alphabet.values())
         self.lut[0] = 0
-        own = np.flatnonzero(self.reached)
+        own = np.flatnonzero(self.reached).astype(np.int32)
         self.width = -(-int(self.length[:n].max()) // 4)
         low, high = np.zeros((len(own), self.width * 4), np.uint16), np.full((len(own), self.width * 4), 0xFFFF, np.uint16)
         for k, r in enumerate(own):
@@ -131,7 +133,7 @@ class Codec:
     def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether merging leaves x and y as neighbours."""
         n = len(self.pieces)
-        codes, back = np.unique(x * (n + 1) + y, return_inverse=True)
+        codes, back = np.unique(x.astype(np.int64) * (n + 1) + y, return_inverse=True)
         at = np.searchsorted(self.known, codes)
         new = (at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != codes) if len(self.known) else np.ones(len(codes), bool)
         if new.any():
@@ -191,7 +193,7 @@ class Codec:
         count = end - start
         rank = np.repeat(self.own, count)
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return suffixes[np.repeat(start, count) + within], rank
+        return suffixes[np.repeat(start, count) + within].astype(np.int32), rank.astype(np.int32)
 
     def _solve(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units, none of which holds a run of spaces or is one."""
@@ -199,18 +201,18 @@ class Codec:
         x = self.lut[np.minimum(joined, 0x10FFFF)]
         borders = np.flatnonzero(joined == 0)
         begin, end = borders[:-1] + 1, borders[1:]
-        home = np.zeros(len(x) + 1, np.int64)
+        home = np.zeros(len(x) + 1, np.int32)
         home[begin] = begin
         home = np.maximum.accumulate(home)
         start, rank = self._occurrences(x)
-        stray = np.flatnonzero(x == 1)
+        stray = np.flatnonzero(x == 1).astype(np.int32)
         start = np.concatenate([start, stray])
-        rank = np.concatenate([rank, np.full(len(stray), len(self.pieces))])
+        rank = np.concatenate([rank, np.full(len(stray), len(self.pieces), np.int32)])
         stop = start + self.length[rank]
         step = stop - home[start]
         order = np.argsort(step, kind="stable")
         start, rank, stop, step = start[order], rank[order], stop[order], step[order]
-        last = np.full(len(x) + 1, _NONE, np.int64)
+        last = np.full(len(x) + 1, _NONE, np.int32)
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(step)], strict=True):
             if lo == hi:
@@ -287,7 +289,9 @@ class Codec:
         new = list(self.units)[len(self.size) :]
         if new:
             plain = sorted({u if u[:2] != SPACE * 2 else SPACE + u.lstrip(SPACE) for u in new if u.strip(SPACE)})
-            found = self._solve(plain) if plain else {}
+            found: dict[str, bytes] = {}
+            for lo in range(0, len(plain), SOLVED):  # units don't depend on each other
+                found |= self._solve(plain[lo : lo + SOLVED])
             ids = [found[u] if u in found else self._spaced(u, found) for u in new]
             size = np.array([len(x) // 4 for x in ids], np.int64)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
@@ -322,8 +326,8 @@ def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     without a piece; round_trip says that decoding them gives the text back (it does
     for any text without U+2581, which stands for a space in the model). A null text
     has null ids, 0 tokens and round_trip true; an empty one has no ids. Repeated rows
-    are rows; other columns aren't read. Memory is bounded by a slice of ``CHARS``
-    characters or one text, and by the remembered units.
+    are rows; other columns aren't read. Memory is bounded by a slice of ``SIZE``
+    bytes or one text, and by the remembered units.
     """
     codec = Codec(read_model(model_path))
     shared = docs.sparkSession.sparkContext.broadcast(codec)  # the tables of one vocabulary: a few MB
@@ -333,20 +337,14 @@ def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= CHARS):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                ids = codec.encode(texts[lo:hi])
-                back = [t is None or codec.decode(x) == t for t, x in zip(texts[lo:hi], ids, strict=True)]
+            for lo, hi in text_slices(batch.column(1), SIZE):
+                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                ids = codec.encode(texts)
+                back = [t is None or codec.decode(x) == t for t, x in zip(texts, ids, strict=True)]
                 lengths = np.array([len(x) for x in ids], np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([t is None for t in texts[lo:hi]] + [False]))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if len(ids) else np.empty(0, np.int32)))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lengths), lists, pa.array(back)], [key, "n_tokens", "ids", "round_trip"])
-                lo = hi
 
     return source.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
