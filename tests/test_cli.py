@@ -24,7 +24,7 @@ def test_arguments(args, expected):
     assert cli.parse(args) == expected
 
 
-@pytest.mark.parametrize("args", [["--json"], ["ir", "--no-color"], ["a", "b"]])
+@pytest.mark.parametrize("args", [["--json"], ["ir", "--no-color"], ["a", "b"], ["diagnose", "a"]])
 def test_wrong_usage(args):
     with pytest.raises(cli.UsageError):
         cli.parse(args)
@@ -45,5 +45,11 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert "\x1b[" in colored and re.sub("\x1b\\[[0-9;]*m", "", colored) == file.read_text(encoding="utf-8")
     assert cli.main(["--no-color", str(file)]) == 0
     assert capsys.readouterr().out == file.read_text(encoding="utf-8")
+    assert cli.main(["diagnose", "--json", str(file)]) == 0
+    assert json.loads(capsys.readouterr().out)["summary"] == {"ansiColoredTokens": 5, "diagnostics": 1, "editorTokens": 3, "highlightedTokens": 3, "tokens": 8}
+    marked = tmp_path / "a.md"
+    marked.write_text("It is `very` late, really.", encoding="utf-8")
+    assert cli.main(["lint", str(marked)]) == 1
+    assert capsys.readouterr().out == f"{marked}:1:20: info [weak-word]: weak word 'really'\n"
     file.write_bytes(b"\xff")
     assert cli.main(["lint", str(file)]) == 2

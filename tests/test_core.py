@@ -1,10 +1,18 @@
-"""Token, class and finding expectations on small texts; SQL parity on the small corpus."""
+"""Token, class and finding expectations on small texts; SQL parity of every query on the small corpus."""
+
+import json
+import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from textlens.functions import lexer, markdown
 from textlens.functions import vocabulary as V
-from textlens.operators import annotate, lint, render
+from textlens.operators import annotate, lint, prose, render
 from textlens.plans import queries as plans
 from textlens.sources import documents
 
@@ -19,63 +27,145 @@ def rows(df, *columns):
     return [tuple(r) for r in df.orderBy("doc_id", "pos").select(*columns).collect()]
 
 
+def kinds(text):
+    t = lexer.Texts(pa.array([text]))
+    return list(zip(t.lexemes().to_pylist(), [lexer.KINDS[k] for k in t.kind], strict=True))
+
+
 def test_tokens_are_bytes(spark):
     assert rows(annotate.tokens(docs(spark, "é a-b 1,2.")), "lexeme", "kind", "start", "end") == [("é", "word", 0, 2), ("a-b", "word", 3, 6), ("1,2", "number", 7, 10), (".", "end", 10, 11)]
 
 
-def test_empty_and_null(spark):
+def test_empty_null_and_repeated_ids(spark):
     assert annotate.tokens(docs(spark, "", None, " \n ")).count() == 0
+    twice = spark.createDataFrame([(1, "a. b"), (1, "c d."), (None, "e")], "doc_id long, text string")
+    assert sorted((r["lexeme"], r["start"], r["sent_id"]) for r in annotate.tokens(twice).collect()) == [(".", 1, 0), (".", 3, 0), ("a", 0, 0), ("b", 3, 1), ("c", 0, 0), ("d", 2, 0), ("e", 0, 0)]
+    assert {r["data"] is not None for r in render.editor_tokens(docs(spark, None, ""), ["doc_id"]).collect()} == {True}
+
+
+def test_long_tokens():
+    assert kinds("a" + "-a" * 50_000)[0][1] == "word" and len(kinds("a" + "-a" * 50_000)) == 1
+
+
+# a scanner of its own for the lexer's rules
+_SCAN = re.compile(r"[^\W\d_][^\W_]*(?:['\u2019-][^\W_]+)*|[0-9]+(?:[.,][0-9]+)*|[.!?]+|[ \t\r\n\f]+|.", re.S)
 
 
-def test_long_hyphen_token_survives(spark):
-    assert annotate.tokens(docs(spark, "a" + "-a" * 50_000)).count() == 1
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab1 2.,'\u2019-!?\n\r\t(\"\U0001f600\u00e9", max_size=40))
+def test_lexer_against_a_scanner(text):
+    want = [m for m in _SCAN.findall(text) if m.strip(" \t\r\n\f")]
+    assert [x for x, _ in kinds(text)] == want
+    t = lexer.Texts(pa.array(["x y", text, None, text]))
+    raw = text.encode()
+    own = t.doc == 1
+    assert [raw[s:e].decode() for s, e in zip(t.start[own], t.end[own], strict=True)] == want
+    for name in ("kind", "start", "row", "col16", "sent", "cls"):
+        assert np.array_equal(getattr(t, name)[own], getattr(t, name)[t.doc == 3])
+    lines = re.split("\r\n|\r|\n", text)
+    for r, c, n in zip(t.row[own], t.col16[own], t.len16[own], strict=True):
+        units = lines[r].encode("utf-16-le")
+        assert units[2 * c : 2 * (c + n)].decode("utf-16-le") in want
 
 
 @pytest.mark.parametrize(("text", "count"), [('"Hi." Go.', 2), ('Hi. "Go."', 2), ("a.b", 2), ("e.g. x", 3), ("", 0), ("?!?!", 1), ("1.5 x", 1)])
-def test_sentences(spark, text, count):
-    assert annotate.sentences(annotate.tokens(docs(spark, text))).count() == count
+def test_sentences(text, count):
+    assert len(lexer.Texts(pa.array([text])).s_first) == count
 
 
-def test_new_numerals(spark):
-    assert rows(annotate.tokens(docs(spark, "\U00011de1\U00016ff4")), "kind") == [("number",)]
+def test_new_numerals():
+    assert kinds("\U00011de1\U00016ff4") == [("\U00011de1\U00016ff4", "number")]
 
 
 def test_senses(spark):
     text = "I will book a room. The book is old. The lead pipe fell. She writes fast. A fast car."
-    found = annotate.classify(annotate.tokens(docs(spark, text))).where(annotate.F.col("lower").isin(V.AMBIGUOUS))
+    found = annotate.tokens(docs(spark, text)).where(annotate.F.lower("lexeme").isin(V.AMBIGUOUS))
     assert rows(found, "lexeme", "open_kind") == [("book", "Verb"), ("book", "Noun"), ("lead", "Adjective"), ("fast", "Adverb"), ("fast", "Adjective")]
+    assert annotate.word_count() == {"closed": 240, "open": 16}
+
+
+def test_long_runs_of_ambiguous_words():
+    t = lexer.Texts(pa.array(["to " + "book " * 9 + "dog"]))
+    assert [lexer.OPENS[o] if o >= 0 else None for o in t.open[1:4]] == ["Verb", None, None]
 
 
 def test_passive(spark):
     d = spark.createDataFrame([r for r in documents.FIXTURES if r[1] == "passive"], "doc_id long, name string, text string")
-    found = lint.passive_voice(annotate.classify(annotate.tokens(d)), d)
+    found = lint.passive_voice(d)
     assert sorted(r["message"] for r in found.collect()) == ["passive-voice candidate '" + m + "'" for m in ("is closed", "is, written", "was carefully reviewed", "was written")]
 
 
 def test_run_on_boundary(spark):
-    s = annotate.sentences(annotate.tokens(docs(spark, " ".join(["w"] * 40) + ".", " ".join(["w"] * 41) + ".")))
-    assert [r["doc_id"] for r in lint.run_ons(s).collect()] == [1]
+    d = docs(spark, " ".join(["w"] * 40) + ".", " ".join(["w"] * 41) + ".")
+    assert [r["doc_id"] for r in lint.run_ons(d).collect()] == [1]
 
 
 def test_report_positions(spark):
     d = docs(spark, "One é.\r\nIt was very late.")
-    found = lint.findings(*(lambda c: (c, annotate.sentences(c)))(annotate.classify(annotate.tokens(d))), d)
-    assert [r["line"] for r in lint.report_lines(found, d).collect()] == ["t0:2:8: info [weak-word]: weak word 'very'"]
+    assert [r["line"] for r in lint.report_lines(d).collect()] == ["t0:2:8: info [weak-word]: weak word 'very'"]
 
 
 def test_ansi_strips_back(spark):
-    d = docs(spark, 'The "é" cat\n runs 5!', "", "  ")
-    colored = {r["doc_id"]: r["colored"] for r in render.ansi(d, annotate.axes(annotate.classify(annotate.tokens(d)))).collect()}
-    import re
+    d = docs(spark, 'The "é" cat\n runs 5!', "", "  ", None)
+    colored = {r["doc_id"]: r["colored"] for r in render.ansi(d).collect()}
+    assert {k: v and re.sub("\x1b\\[[0-9;]*m", "", v) for k, v in colored.items()} == {r["doc_id"]: r["text"] for r in d.collect()}
+    assert {r["colored"] for r in render.ansi(d, color=False).collect()} == {r["text"] for r in d.collect()}
+
+
+def test_masked_marks_are_not_styled(spark):
+    d = prose.prose(spark.createDataFrame([(1, "The x\n\n```\n.the\n```\n", "markdown")], "doc_id long, text string, format string"))
+    assert render.ansi(d).first()["colored"] == "\x1b[1;35mThe\x1b[0m x\n\n```\n.the\n```\n"
+
+
+def test_bundles(spark):
+    bundle = json.loads(render.highlight_bundles(docs(spark, "a\n\U0001f600 the")).first()["bundle"])
+    assert bundle["syntax"]["spans"][-1] == {"className": "keyword", "range": {"start": {"row": 1, "column": 2}, "end": {"row": 1, "column": 5}}}
 
-    assert {k: re.sub("\x1b\\[[0-9;]*m", "", v) for k, v in colored.items()} == {r["doc_id"]: r["text"] for r in d.collect()}
 
+MASKED = [
+    ("Say `a b` now.", "Say       now."), ("a\n\n    code\n\nb", "a\n\n    .   \n\nb"), ("[a](b (c) 'd')", "[a](b (c) 'd')"), ("[a](b_(c))", "[a]       "), ("[a](<b c> \"d (\")", "[a]             "), ("t](x)", "t](x)"),
+    ("[a][b]\n\n[b]: u\n[b]: v\n", "[a]   \n\n.     \n      \n"), ("![a][]\n\n[a]: u", "![a]  \n\n.     "), ("[a][no]", "[a][no]"), ("<b>x</b> <a@b.c>", "   x            "), ("---\na: b\n---\nc", ".  \n    \n   \nc"),
+    ("---\nno end", "---\nno end"), ("`a", "`a"), ("~~~\na\r\nb", ".  \n \r\n "), ("<div>\nx\n\ny", ".    \n \n\ny"), ("> `a`\n> b", ">    \n> b"), ("- a\n\n      c\n", "- a\n\n      .\n"), ("a \\`b\\` c", "a \\`b\\` c"),
+    ("A\n===\n`b`", "A\n===\n   "), ("[a\\]b][c]\n\n[c]: <d>", "[a\\]b]   \n\n.       "),
+]
 
-@pytest.mark.parametrize("name", ["sentence_spans", "pos_class_counts", "visual_roles", "length_outliers", "contextual_senses", "ansi_render", "semantic_token_deltas", "span_report", "ir_documents", "ir_validation_errors", "classification_errors"])
-def test_sql_parity(spark, name):
+
+@pytest.mark.parametrize(("text", "want"), MASKED)
+def test_masks(text, want):
+    assert markdown.mask(text) == want
+
+
+def test_deep_and_long_markdown():
+    for text in (">" * 5000 + " `a`", "- " * 3000 + "`a`", "`" * 20_001, "[" * 20_000 + "](x)" * 100):
+        assert len(markdown.mask(text)) == len(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab`[]()<>!\\#->+~:\"' \t\n\r*_=.1\u00e9\u6f22\U0001f600", max_size=60))
+def test_masks_keep_coordinates(text):
+    from textlens.operators.consumers import same_coordinates
+
+    assert same_coordinates(text, markdown.mask(text))
+
+
+@pytest.fixture(scope="module")
+def oracle():
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.sql(plans.oracle_sql()[name]).df()
-    got = plans.queries()[name](spark, SF).toPandas()[list(want.columns)]
-    key = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
-    assert len(want) and key(got) == key(want)
+    for name in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return con, plans.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_sql_parity(spark, oracle, name):
+    con, sql = oracle
+    want = con.sql(sql[name]).fetchall()
+    columns = [d[0] for d in con.sql(sql[name]).description]
+    found = plans.queries()[name](spark, SF)
+    assert sorted(found.columns) == sorted(columns)
+    key = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    assert want and key(found.select(*columns).collect()) == key(want)
+
+
+def test_every_query_has_sql_or_a_test():
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"markdown_ansi"}

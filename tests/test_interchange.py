@@ -1,12 +1,14 @@
-"""Interchange documents, their checks and the checks of classifications."""
+"""Interchange documents, their contract, the gate of projections and their readers."""
 
-import copy
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from textlens.operators import annotate, interchange, render, validate
+from textlens.functions import vocabulary as V
+from textlens.operators import consumers, contract, external, interchange, render, validate
+from textlens.operators.contract import Contract
+from textlens.sources import cases
 
 TEXT = "Paris – é is big. We saw Rome.\n\nThe 2 cats sat."
 
@@ -14,8 +16,7 @@ TEXT = "Paris – é is big. We saw Rome.\n\nThe 2 cats sat."
 @pytest.fixture(scope="module")
 def built(spark):
     docs = spark.createDataFrame([(1, "one", TEXT), (2, "none", None), (3, "empty", "")], "doc_id long, name string, text string")
-    toks = annotate.classify(annotate.tokens(docs))
-    found = interchange.analyses(docs, annotate.axes(toks), render.outline(annotate.sentences(toks)))
+    found = interchange.analyses(docs)
     return docs, found, {r["doc_id"]: r["json"] for r in interchange.canonical_json(found).collect()}
 
 
@@ -25,47 +26,14 @@ def test_canonical(spark, built):
         assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     one = json.loads(texts[1])
     assert one["source"]["utf8ByteLength"] == len(TEXT.encode()) and [n["childNodeIds"] for n in one["structure"]][:2] == [[2, 3], [4]]
+    assert one["derivation"][1]["ruleId"] == "contextual-open-class-annotator"
     assert json.loads(texts[2])["tokens"] == [] and json.loads(texts[3])["structure"] == []
-    assert validate.interchange_errors(found, built[0].select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))).count() == 0
+    assert validate.interchange_errors(found, found.select("doc_id", "bytes")).count() == 0
 
 
-def _codes(spark, text, changes):
-    """Errors of one document after changes {pointer: value}, in report order."""
-    doc = copy.deepcopy(json.loads(text))
-    for pointer, value in changes.items():
-        *way, last = [int(p) if p.isdigit() else p for p in pointer.split("/")]
-        at = doc
-        for step in way:
-            at = at[step]
-        at[last] = value
-    parsed, bad = interchange.read_json(spark.createDataFrame([(1, json.dumps(doc))], "doc_id long, json string"))
-    assert bad.count() == 0
-    sources = spark.createDataFrame([(1, bytearray(TEXT.encode()))], "doc_id long, bytes binary")
-    return [(r["code"], r["path"]) for r in validate.interchange_errors(parsed, sources).orderBy("stage", "i", "j", "k").collect()]
-
-
-@pytest.mark.parametrize(
-    ("changes", "expected"),
-    [
-        ({"contractVersion": "x"}, [("UnsupportedContractVersion", "contractVersion")]),
-        ({"source/utf8ByteLength": -1}, [("NegativeByteLength", "source.utf8ByteLength"), ("ByteLengthMismatch", "source.utf8ByteLength")]),
-        ({"tokens/1/byteRange/startUtf8": 7}, [("RangeNotOnCharBoundary", "tokens[1].byteRange.startUtf8")]),
-        ({"tokens/0/byteRange/startUtf8": -3}, [("NegativeOffset", "tokens[0].byteRange.startUtf8")]),
-        ({"tokens/0/byteRange/endUtf8": 0}, [("EmptyTokenRange", "tokens[0].byteRange")]),
-        ({"tokens/3/byteRange/startUtf8": 0}, [("UnsortedTokenRange", "tokens[3].byteRange.startUtf8")]),
-        ({"tokens/3/occurrenceId": 0}, [("DuplicateTokenId", "tokens[3]")]),
-        ({"tokens/0/openClassKind": "NOUN", "tokens/0/lexicalClass": None}, [("IllegalTokenAxes", "tokens[0]")]),
-        ({"structure/0/depth": 1}, [("InvalidOutlineDepth", "structure[0].depth")]),
-        ({"structure/1/childNodeIds": [4, 99]}, [("DanglingChildRef", "structure[1].childNodeIds[1]")]),
-        ({"structure/1/childNodeIds": [3]}, [("MultipleStructureParents", "structure[1].childNodeIds[0]"), ("ChildRangeOutsideParent", "structure[1].childNodeIds[0]")]),
-        ({"structure/1/childNodeIds": [1]}, [("StructureCycle", "structure[1].childNodeIds[0]")]),
-        ({"derivation": []}, [("EmptyDerivation", "derivation")]),
-        ({"derivation/1/passId": "segment"}, [("DuplicateDerivationPassId", "derivation[1]")]),
-        ({"derivation/0/sourceRanges/0/endUtf8": 999}, [("RangeOutOfBounds", "derivation[0].sourceRanges[0].endUtf8")]),
-    ],
-)
-def test_broken_rules(spark, built, changes, expected):
-    assert _codes(spark, built[2][1], changes) == expected
+def test_plain_annotator_has_its_own_name(spark, built):
+    found = interchange.analyses(built[0], Contract(contextual=False)).where("doc_id = 1").first()["analysis"]
+    assert found["derivation"][1]["ruleId"] == "lexical-annotator"
 
 
 def test_malformed_json_is_refused(spark):
@@ -73,36 +41,116 @@ def test_malformed_json_is_refused(spark):
     assert good.count() == 0 and bad.count() == 2
 
 
-def test_identity_of_passes():
-    with pytest.raises(ValueError):
-        interchange.Contract(passes=(("a", "r"), ("a", "s")))
+def test_gate(spark, built):
+    good, bad = interchange.project(built[0])
+    assert good.count() == 3 and bad.count() == 0
+    for c, kind in ((Contract(annotator=("segment", "x")), "DuplicatePassId"), (Contract(parser=("", "")), "MissingPassIdentity")):
+        good, bad = interchange.project(built[0], c)
+        assert good.count() == 0 and {r["error"] for r in bad.collect()} == {kind}
+        with pytest.raises(ValueError):
+            interchange.analyses(built[0], c)
+    trees = cases.broken_trees(spark).where("doc_id IN (0, 2)").withColumn("doc_id", F.col("doc_id") + 1)
+    good, bad = interchange.project(built[0], classified=trees)
+    assert [(r["doc_id"], r["error"]) for r in bad.collect()] == [(3, "InvalidClassification")] and good.count() == 2
+
+
+def test_repeated_documents(spark, built):
+    twice = interchange.analyses(built[0].union(built[0]))
+    assert validate.with_errors(twice).where("size(errors) > 0").count() == 0 and twice.count() == 6
+
+
+SDL = '"One line."\ntype A {\n  a: Int!\n}\n"""\nBlock\n"""\ntype B {\n  "field"\n  b: Int\n}\n"""one"""\n'
 
 
-def _classification(spark, sents, parts, toks, text="é a."):
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    s = spark.createDataFrame([(1, *r) for r in sents], "doc_id long, sent_id int, start int, end int")
-    p = spark.createDataFrame([(1, *r) for r in parts], "doc_id long, sent_id int, part int, node_kind string, start int, end int")
-    t = spark.createDataFrame([(1, *r) for r in toks], "doc_id long, pos int, start int, end int")
-    return [(r["code"], r["path"]) for r in validate.classification_errors(docs, s, p, t).collect()]
+def test_schema_hash_ignores_descriptions():
+    bare = "type A {\n  a: Int!\n}\ntype B {\n  b: Int\n}"
+    assert contract.strip_descriptions(SDL) == bare and contract.schema_hash(SDL) == contract.schema_hash(bare) != contract.schema_hash(bare + "x")
 
 
-GOOD = [(0, 0, "Word", 0, 2), (0, 1, "Word", 3, 4), (0, 2, "Punct", 4, 5)]
-LEAVES = [(0, 0, 2), (1, 3, 4), (2, 4, 5)]
+def _manifest():
+    axes = [dict(zip(("tokenKind", "lexicalClass", "openClassKind", "visualRole"), a, strict=True)) for a in V.AXES]
+    roles = [dict(zip(("visualRole", "ansi", "lspTokenType", "highlightClass"), r, strict=True)) for r in V.ROLES]
+    return {"version": "v", "classRoles": axes, "roleProjections": roles}
 
 
 @pytest.mark.parametrize(
-    ("sents", "parts", "toks", "expected"),
+    ("change", "message"),
     [
-        ([(0, 0, 5)], GOOD, LEAVES, []),
-        ([(0, 0, 5)], [(0, 0, "Sentence", 0, 2), *GOOD[1:]], LEAVES, [("UnexpectedNodeKind", "tree.root.sentences[0].parts[0]")]),
-        ([(0, 5, 0)], GOOD, LEAVES, [("ReversedSpan", "tree.root.sentences[0].span")]),
-        ([(0, 0, 9)], GOOD, LEAVES, [("SpanOutOfBounds", "tree.root.sentences[0].span")]),
-        ([(0, 0, 5)], [(0, 0, "Word", 0, 1), *GOOD[1:]], LEAVES, [("SpanNotOnCharBoundary", "tree.root.sentences[0].parts[0].span")]),
-        ([(0, 0, 5)], [GOOD[0], (0, 1, "Word", 0, 4), GOOD[2]], LEAVES, [("OverlappingSpan", "tree.root.sentences[0].parts[1].span")]),
-        ([(0, 0, 4)], GOOD, LEAVES, [("ChildSpanOutsideParent", "tree.root.sentences[0].parts[2].span")]),
-        ([(0, 0, 5)], GOOD, LEAVES[:2], [("TreeTokenCountMismatch", "tokens")]),
-        ([(0, 0, 5)], GOOD, [(0, 0, 2), (1, 3, 4), (2, 4, 4)], [("TreeTokenSpanMismatch", "tokens[2].span")]),
+        (lambda m: m.update(version="w"), "does not match"), (lambda m: m.update(other=1), "shape"), (lambda m: m["roleProjections"].pop(), "projection roles"), (lambda m: m["roleProjections"].append(m["roleProjections"][0]), "duplicate projection"),
+        (lambda m: m["classRoles"].append(m["classRoles"][0]), "duplicate class role"), (lambda m: m["classRoles"].pop(), "do not match"), (lambda m: m["classRoles"][0].update(visualRole="X"), "without a projection"), (lambda m: m["classRoles"][0].update(extra=1), "shape"),
     ],
-)
-def test_classification(spark, sents, parts, toks, expected):
-    assert _classification(spark, sents, parts, toks) == expected
+)
+def test_manifests(change, message):
+    good = _manifest()
+    axes, projections = contract.read_manifest(json.dumps(good).encode(), "v")
+    assert axes == V.AXES and projections == V.ROLES
+    change(good)
+    with pytest.raises(ValueError, match=message):
+        contract.read_manifest(json.dumps(good).encode(), "v")
+
+
+def test_profiles(spark):
+    found = cases.broken_documents(spark).where("doc_id = -1000")
+    c = Contract()
+    for profiles, code in (([("x", c.schema_hash, c.vocabulary_hash)], "E_CONTRACT_VERSION"), ([(c.version, "x", c.vocabulary_hash), ("y", c.schema_hash, "z")], "E_SCHEMA_HASH"), ([(c.version, c.schema_hash, "x")], "E_VOCABULARY_HASH"), ([(c.version, c.schema_hash, c.vocabulary_hash)], None)):
+        assert consumers.consume(found, profiles).first()["code"] == code
+
+
+def test_editor_consumer(spark):
+    text = "a \U0001f600\r\nthe é"
+    rows = [(1, text, [1, 0, 3, 0, 0]), (2, text, [0, 3, 1, 0, 0]), (3, text, [0, 0, 1, 99, 0]), (4, text, [0, 0, 1]), (5, text, [2, 0, 1, 0, 0]), (6, None, [])]
+    found = spark.createDataFrame(rows, "doc_id long, text string, data array<int>")
+    out = {r["doc_id"]: r["code"] for r in consumers.consume_editor(found).collect()}
+    assert out == {1: None, 2: "E_LSP_POSITION", 3: "E_LSP_SHAPE", 4: "E_LSP_SHAPE", 5: "E_LSP_POSITION", 6: None}
+    assert {r["code"] for r in consumers.consume_editor(found, ["noun"]).collect()} == {"E_LSP_LEGEND"}
+    assert "`8..11` | `the`" in consumers.consume_editor(found).where("doc_id = 1").first()["report"]
+
+
+def test_coordinates():
+    assert consumers.same_coordinates("é`x`", "é   ")
+    assert not consumers.same_coordinates("a\nb", "a b") and not consumers.same_coordinates("abc", "ab") and not consumers.same_coordinates("\U0001f600", "abcd")
+
+
+def test_failures_are_rows(spark):
+    row = spark.range(1).select(*render.failure("invalid-classification", "at tokens: x")).first()
+    assert (row["code"], row["severity"], row["start_line"]) == ("textlens/invalid-classification", "ERROR", 0)
+
+
+SCRIPT = """import json, sys, time
+text = sys.stdin.buffer.read().decode()
+if "slow" in text: time.sleep(9)
+if "fail" in text: sys.stderr.write("bad thing"); sys.exit(7)
+if "big" in text: print("x" * 5000); sys.exit(0)
+if "bytes" in text: sys.stdout.buffer.write(b"\\xff"); sys.exit(0)
+print(json.dumps({"stdin.txt": [{"Action": {"Name": "", "Params": None}, "Span": [1, 2], "Check": "A.B", "Description": "", "Link": "", "Message": "m", "Severity": "error", "Match": text[:2], "Line": 1}]}))
+"""
+
+
+def test_external_process(spark, tmp_path):
+    import sys
+    import threading
+
+    path = tmp_path / "fake.py"
+    path.write_text(SCRIPT)
+    run = external.Analyzer((sys.executable, str(path)), (sys.executable, "-c", "print('own version 3.14.2')"), timeout=2.0, max_bytes=2000)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ok text", "slow", "fail", "big", "bytes"])], "doc_id long, text string")
+    out = {r["doc_id"]: (r["rule"], r["severity"], r["error"]) for r in external.analyze(docs, run).collect()}
+    assert out == {0: ("vale/A.B", "warning", None), 1: (None, None, "Timeout"), 2: (None, None, "ProcessFailure"), 3: (None, None, "OutputTooLarge"), 4: (None, None, "InvalidUtf8")}
+    assert run.version() == (3, 14, 2)
+    stop = threading.Event()
+    stop.set()
+
+    def kind(call):
+        with pytest.raises(external.AnalyzerError) as e:
+            call()
+        return e.value.kind
+
+    assert kind(lambda: run.analyze("x", stop)) == "Cancelled" and kind(lambda: external.Analyzer(("/no/such",)).analyze("x")) == "Unavailable" and kind(lambda: external.Analyzer(())) == "Configuration"
+    assert kind(lambda: external.Analyzer(("x",), (sys.executable, "-c", "print('v2.0.1')")).version()) == "IncompatibleVersion" and kind(lambda: external.Analyzer(("x",), (sys.executable, "-c", "print('nothing')")).version()) == "UnrecognizedVersion"
+    found = external.prepared(external.analyze(docs.where("doc_id = 0"), run), docs)
+    assert external.bind(found, docs).first()["error"] is None
+    assert external.bind(found, docs.withColumn("text", F.lit("new"))).first()["error"] == "SourceMismatch"
+
+
+def test_rule_codes():
+    assert all(map(external.valid_code, ("a/b", "vale/A.B-c_1", "a/b/c"))) and not any(map(external.valid_code, ("a", "a/", "/b", "a//b", "a b/c", "é/b", "a/" + "b" * 128)))

@@ -49,3 +49,33 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     last = {r[0]: r for r in sorted(rows, key=lambda r: r[1])}
     assert [r[:4] for r in sorted(last.values()) if r[4]] == OPEN
+
+
+def test_results(spark):
+    rows = [("a", 3, "plain", "It is very late."), ("b", 1, "plain", "x" * 50), ("c", 1, "plain", "boom")]
+    opened = spark.createDataFrame(rows, "uri string, generation int, format string, text string")
+
+    def analyse(text, form):
+        if text == "boom":
+            raise RuntimeError
+        return session.analysed(text, form)
+
+    shown = session.results(opened, analyse, 40)
+    out = {r["uri"]: r for r in shown.collect()}
+    assert {k: (r["status"], r["result_id"], [d["code"] for d in r["diagnostics"]]) for k, r in out.items()} == {
+        "a": ("accepted", "3", ["weak-word"]), "b": ("oversized", "1", ["textlens/document-too-large"]), "c": ("failed", "1", ["textlens/analysis-failed"]),
+    }
+    assert out["b"]["diagnostics"][0]["message"] == "document is 50 bytes; the analysis limit is 40 bytes" and out["c"]["data"] == []
+    m = session.metrics(spark.createDataFrame(EVENTS, session.EVENT), session.results(session.replay(spark.createDataFrame(EVENTS, session.EVENT)))).first()
+    assert (m["active_documents"], m["accepted_results"], m["cancelled_before_compute"], m["stale_results"]) == (2, 2, 3, 0)
+
+
+def test_messages(spark):
+    import json
+
+    from textlens.sources import cases
+
+    shown = session.results(session.replay(session.events_of_messages(cases.messages(spark))))
+    sent = {r["uri"]: json.loads(r["json"]) for r in session.messages_of_results(shown).collect()}
+    note = sent["file:///b.md"]["params"]["diagnostics"]
+    assert [(d["severity"], d["range"]["start"], d["code"]) for d in note] == [(3, {"line": 0, "character": 11}, "weak-word")] and set(sent) == {"file:///a.txt", "file:///b.md"}

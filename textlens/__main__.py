@@ -1,8 +1,9 @@
 """Command line for one document: colored text, interchange JSON or findings.
 
-textlens [--no-color] [FILE] | ir [FILE] | lint [FILE]; no FILE or "-" is standard
-input, "--" ends the options. lint exits 1 when it finds anything; wrong usage and
-text that isn't UTF-8 exit 2.
+textlens [--no-color] [FILE] | ir [FILE] | diagnose --json [FILE] | lint [FILE]; no
+FILE or "-" is standard input, "--" ends the options. Markdown files are coloured and
+linted without their code, markup and destinations. lint exits 1 when it finds
+anything; wrong usage and text that isn't UTF-8 exit 2.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import sys
 from dataclasses import dataclass
 from pathlib import Path
 
-FLAGS = {"color": {"--no-color"}, "ir": set(), "lint": set()}
+FLAGS = {"color": {"--no-color"}, "ir": set(), "diagnose": {"--json"}, "lint": set()}
 
 
 class UsageError(ValueError):
@@ -28,7 +29,7 @@ class Call:
 
 def parse(args: list[str]) -> Call:
     """A command may only come first; a flag may be repeated; one FILE at most."""
-    command, rest = (args[0], args[1:]) if args and args[0] in ("ir", "lint") else ("color", args)
+    command, rest = (args[0], args[1:]) if args and args[0] in ("ir", "diagnose", "lint") else ("color", args)
     flags, files, options = set(), [], True
     for arg in rest:
         if options and arg == "--":
@@ -41,6 +42,8 @@ def parse(args: list[str]) -> Call:
             flags.add(arg)
         else:
             files.append(arg)
+    if command == "diagnose" and "--json" not in flags:
+        raise UsageError("diagnose needs --json")
     if len(files) > 1:
         raise UsageError(f"unexpected argument {files[1]}")
     return Call(command, None if not files or files[0] == "-" else files[0], frozenset(flags))
@@ -49,23 +52,31 @@ def parse(args: list[str]) -> Call:
 def _print(call: Call, text: str) -> int:
     from pyspark.sql import SparkSession
 
-    from .operators import annotate, interchange, lint, render
+    from pyspark.sql import functions as F
+
+    from .operators import diagnose, interchange, lint, prose, render
     from .sources import documents
 
     spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    name = call.path or ("stdin" if call.command == "ir" else "<stdin>")
+    name = call.path or ("stdin" if call.command in ("ir", "diagnose") else "<stdin>")
     docs = documents.from_text(spark, text, name)
-    toks = annotate.classify(annotate.tokens(docs))
+    read = prose.prose(docs.withColumn("format", documents.format_of_path(F.col("name"))))
     if call.command == "lint":
-        lines = [r["line"] for r in lint.report_lines(lint.findings(toks, annotate.sentences(toks), docs), docs).orderBy("start", "rule").select("line").collect()]
+        lines = [r["line"] for r in lint.report_lines(read).orderBy("start", "rule").select("line").collect()]
         sys.stdout.writelines(line + "\n" for line in lines)
         return int(bool(lines))
     if call.command == "ir":
-        found = interchange.analyses(docs, annotate.axes(toks), render.outline(annotate.sentences(toks)))
-        sys.stdout.write(interchange.canonical_json(found).first()["json"] + "\n")
+        good, refused = interchange.project(docs)
+        found = interchange.canonical_json(good).first()
+        if found is None:
+            print(f"textlens: {refused.first()['message']}", file=sys.stderr)
+            return 2
+        sys.stdout.write(found["json"] + "\n")
+    elif call.command == "diagnose":
+        sys.stdout.write(diagnose.diagnose(docs).first()["report"] + "\n")
     else:
-        sys.stdout.write(render.ansi(docs, annotate.axes(toks)).first()["colored"])
+        sys.stdout.write(render.ansi(read).first()["colored"])
     return 0
 
 

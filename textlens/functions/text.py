@@ -1,4 +1,4 @@
-"""Column expressions over text: tokens, folding, offsets."""
+"""Column expressions over text: folding, offsets, numbers, hashes, escapes."""
 
 from __future__ import annotations
 
@@ -7,29 +7,14 @@ from pyspark.sql import functions as F
 
 #: Numerals newer than the JVM's tables are added to \p{N}.
 _N = r"\p{N}\x{11DE0}-\x{11DE9}\x{16FF4}-\x{16FF6}"
-_SPACE = r" \t\r\n\f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
-#: Lossless: the matches of a text, joined, are the text. Possessive, so long tokens
-#: can't exhaust the stack.
-TOKEN = rf"(?s)\p{{L}}[\p{{L}}{_N}]*+(?:['\x{{2019}}\-][\p{{L}}{_N}]++)*+|[{_N}]++(?:[.,][{_N}]++)*+|[.!?]++|[{_SPACE}]++|."
+NUMBER = rf"[{_N}]++(?:[.,][{_N}]++)*+"
+WHOLE_NUMBER = rf"^{NUMBER}$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def segments(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-
-def segment_kind(s: Column) -> Column:
-    """word, number, end, space, quote or punct of one segment."""
-    from .vocabulary import QUOTES
-
-    return (
-        F.when(s.rlike(r"^\p{L}"), "word")
-        .when(s.rlike(rf"^[{_N}]"), "number")
-        .when(s.rlike("^[.!?]"), "end")
-        .when(s.rlike(rf"^[{_SPACE}]"), "space")
-        .when(s.isin(QUOTES), "quote")
-        .otherwise("punct")
-    )
+def numeric_prefix(text: Column) -> Column:
+    """The number a text begins with, empty without one."""
+    return F.regexp_extract(text, f"^{NUMBER}", 0)
 
 
 def ascii_lower(s: Column) -> Column:
@@ -45,16 +30,9 @@ def byte_slice(text: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-8"), start.cast("int") + 1, (end - start).cast("int")), "UTF-8")
 
 
-def line_number(prefix: Column) -> Column:
-    return (F.regexp_count(prefix, F.lit("\r\n|\r|\n")) + 1).cast("int")
-
-
-def last_line(prefix: Column) -> Column:
-    return F.regexp_replace(prefix, r"(?s)^.*[\r\n]", "")
-
-
-def scalar_column(prefix: Column) -> Column:
-    return (F.char_length(last_line(prefix)) + 1).cast("int")
+def line_breaks(text: Column) -> Column:
+    """LF, CR and CRLF, each one break."""
+    return F.regexp_count(text, F.lit("\r\n|\r|\n"))
 
 
 def utf16_length(s: Column) -> Column:
@@ -63,3 +41,13 @@ def utf16_length(s: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
+
+
+def escaped(text: Column) -> Column:
+    """Untrusted text with quotes, backslashes and everything unprintable as visible escapes."""
+
+    def shown(c: Column) -> Column:
+        named = F.when(c == "\t", r"\t").when(c == "\r", r"\r").when(c == "\n", r"\n").when(c == "\0", r"\0").when(c.isin("'", '"', "\\"), F.concat(F.lit("\\"), c))
+        return named.when(c.rlike(r"^[\p{C}\p{Zl}\p{Zp}\p{Mn}\p{Me}]|^[\p{Zs}&&[^ ]]"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c).cast("long"))), F.lit("}"))).otherwise(c)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), shown), "")

@@ -1,173 +1,199 @@
-"""Tokens, sentences and word classes.
+"""Tokens, sentences and word classes as rows, or as one nested row a document.
 
-One exchange on doc_id carries the whole chain: texts are dealt out by doc_id, then cut
-into lines and segments, and every later step is a window over one document. A token
-row carries its own lexeme, never the text.
+One Arrow pass over the texts: no exchange, no sort and no window, whatever is asked
+for. Every row of the input is a document of its own, so repeated and null ids are
+harmless; ``text`` is read whole and never leaves the pass unless it is kept. Memory
+is bounded by ``SIZE`` bytes of text or the longest single text, at about 60 bytes a
+byte. A text that isn't UTF-8 counts as null (``sources.documents`` reports those).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexer as L
 from ..functions import text as T
 from ..functions import vocabulary as V
 
+#: Bytes of text that are analysed at once.
+SIZE = 1_000_000
+
 
-def _is_title(line: Column) -> Column:
-    """At least two words, two of them capitalised, and every other a closed-class word."""
-    words = F.filter(F.split(line, r"[^\p{IsAlphabetic}'\x{2019}]+"), lambda w: w != "")
-    capital = lambda w: w.rlike(r"^\p{IsUppercase}")
-    closed = F.array(*[F.lit(w) for w, _ in V.CLOSED_ROWS])
-    many = F.size(F.filter(words, capital)) >= 2
-    return F.when(many, F.forall(words, lambda w: capital(w) | F.array_contains(closed, T.closed_key(w)))).otherwise(False)
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column that hold about ``size`` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, lexeme, kind, start, end (UTF-8 bytes), line, title, breaks, sent_id, starts.
+def each(docs: DataFrame, keep: list[str], schema: str, rows: Callable, contextual: bool = True) -> DataFrame:
+    """``rows(texts, batch)`` of every slice: (row of the batch of each result or None, its arrays).
 
-    breaks counts the line breaks in the gap before a token. Documents without a
-    token (null, empty, blank) have no row.
+    ``keep`` are columns of docs that go along; the analysed text is the column
+    ``prose`` where there is one (see ``markdown.prose``), else ``text``.
+    """
+    name = "prose" if "prose" in docs.columns else "text"
+    read = [*keep, *[c for c in ("text", name) if c not in keep]]
+    safe = {c: F.when(F.is_valid_utf8(F.col(c)), F.col(c)).alias(c) for c in {"text", name}}
+    source = docs.select(*[safe.get(c, F.col(c)) for c in dict.fromkeys(read)])
+    kinds = dict(source.dtypes)
+    names = [f.split()[0].split(":")[0] for f in _fields(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(name))
+            for lo, hi in slices(texts, SIZE):
+                part = batch.slice(lo, hi - lo)
+                doc, arrays = rows(L.Texts(texts.slice(lo, hi - lo), contextual), part)
+                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
+                if doc is not None:
+                    kept = [c.take(pa.array(doc)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], [*keep, *names])
+
+    return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], schema]))
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a schema text, split at its outer commas."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[at:i].strip())
+            at = i + 1
+    return [*out, schema[at:].strip()]
+
+
+def named(codes: np.ndarray, names: list[str]) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(codes.astype(np.int32), mask=codes < 0))
+
+
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32, copy=False))
+
+
+#: Interchange and presentation axes by class; roles of open classes follow their kind.
+TOKEN_KINDS = ["WORD", "NUMBER", "PUNCTUATION", "QUOTE"]
+_TOKEN_KIND = np.array([0, 1, 0, 0, 0, 2, 3], np.int8)
+LEXICAL = ["FUNCTION", "CONTENT", "PROPER_NOUN_CANDIDATE"]
+_LEXICAL = np.array([0, -1, 1, 1, 2, -1, -1], np.int8)
+ROLES = [r for r, *_ in V.ROLES]
+_ROLE = np.array([ROLES.index(r) for r in ("STRUCTURAL_KEYWORD", "LITERAL", "UNSTYLED", "UNSTYLED", "TYPE_LIKE", "MUTED", "QUOTED")], np.int8)
+_OPEN_ROLE = np.array([ROLES.index(k.upper()) for k in L.OPENS], np.int8)
+
+
+def role_codes(t: L.Texts) -> np.ndarray:
+    return np.where(t.open >= 0, _OPEN_ROLE[np.maximum(t.open, 0)], _ROLE[t.cls]).astype(np.int8)
+
+
+#: Token columns: type and how it is made.
+COLUMNS: dict[str, tuple[str, Callable[[L.Texts], pa.Array]]] = {
+    "pos": ("int", lambda t: _int(t.pos)),
+    "lexeme": ("string", lambda t: t.lexemes()),
+    "kind": ("string", lambda t: named(t.kind, L.KINDS)),
+    "start": ("int", lambda t: _int(t.start)),
+    "end": ("int", lambda t: _int(t.end)),
+    "row": ("int", lambda t: _int(t.row)),
+    "col": ("int", lambda t: _int(t.col)),
+    "end_col": ("int", lambda t: _int(t.end_col)),
+    "col16": ("int", lambda t: _int(t.col16)),
+    "len16": ("int", lambda t: _int(t.len16)),
+    "breaks": ("int", lambda t: _int(t.breaks)),
+    "sent_id": ("int", lambda t: _int(t.sent)),
+    "starts": ("boolean", lambda t: pa.array(t.starts)),
+    "pos_class": ("string", lambda t: named(t.cls, L.CLASSES)),
+    "function_kind": ("string", lambda t: named(t.function, L.FUNCTIONS)),
+    "open_kind": ("string", lambda t: named(t.open, L.OPENS)),
+    "token_kind": ("string", lambda t: named(_TOKEN_KIND[t.cls], TOKEN_KINDS)),
+    "lexical_class": ("string", lambda t: named(_LEXICAL[t.cls], LEXICAL)),
+    "function_axis": ("string", lambda t: named(t.function, [k.upper() for k in L.FUNCTIONS])),
+    "open_axis": ("string", lambda t: named(t.open, [k.upper() for k in L.OPENS])),
+    "role": ("string", lambda t: named(role_codes(t), ROLES)),
+}
+
+
+def tokens(docs: DataFrame, columns: list[str] | None = None, contextual: bool = True, key: str = "doc_id") -> DataFrame:
+    """A row for each token: the key and ``columns`` (all of COLUMNS unless given).
+
+    breaks counts the line breaks in the gap before a token; row, col and col16 are
+    0-based (characters and UTF-16 units). Documents without a token (null, empty,
+    blank) have no row. Without ``contextual``, ambiguous words stay undecided.
     """
-    # texts are dealt out once, before they become token rows several times their size;
-    # every window below keeps this partitioning
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartition(parts, "doc_id")
-    lines = dealt.select("doc_id", F.posexplode_outer(F.split("text", r"(?<=[\r\n])")).alias("line", "t"))
-    lines = lines.select("doc_id", "line", "t", _is_title(F.col("t")).alias("title"))
-    segs = lines.select("doc_id", "line", "title", F.posexplode_outer(T.segments(F.col("t"))).alias("p", "s")).where("s IS NOT NULL")
-    segs = segs.withColumn("kind", T.segment_kind(F.col("s")))
-    w = Window.partitionBy("doc_id").orderBy("line", "p")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    segs = segs.withColumn("start", F.coalesce(F.sum(F.octet_length("s")).over(before), F.lit(0)).cast("int"))
-    breaks = F.regexp_count(F.col("s"), F.lit("\r\n|\r|\n")) - F.when(F.col("s").startswith("\n") & F.lag("s").over(w).endswith("\r"), 1).otherwise(0)
-    segs = segs.withColumn("b", F.sum(F.when(F.col("kind") == "space", breaks).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    toks = segs.where("kind <> 'space'").withColumn("end", (F.col("start") + F.octet_length("s")).cast("int"))
-    toks = toks.withColumn("breaks", (F.col("b") - F.lag("b").over(w)).cast("int")).drop("b")
-    toks = toks.withColumn("closer", F.col("s").isin(V.CLOSERS) & (F.lag("end").over(w) == F.col("start")))
-    toks = toks.withColumn("closer", F.coalesce("closer", F.lit(False)))
-    anchor = F.last(F.when(~F.col("closer"), F.col("kind")), ignorenulls=True).over(before)
-    toks = toks.withColumn("starts", F.coalesce((anchor == "end") & ~F.col("closer"), F.lit(False)))
-    toks = toks.withColumn("sent_id", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    toks = toks.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
-    return toks.select("doc_id", "pos", F.col("s").alias("lexeme"), "kind", "start", "end", "line", "title", "breaks", "sent_id", "starts")
-
-
-def sentences(toks: DataFrame) -> DataFrame:
-    """doc_id, sent_id, start, end, words, breaks (line breaks before the sentence)."""
-    return toks.groupBy("doc_id", "sent_id").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.count_if(F.col("kind").isin("word", "number")).alias("words"),
-        F.min_by("breaks", "pos").alias("breaks"),
-    )
-
-
-def _lexicon(toks: DataFrame) -> DataFrame:
-    """function_kind and open_kind by two broadcast joins with fixed tables."""
-    spark = toks.sparkSession
-    closed = spark.createDataFrame(V.CLOSED_ROWS, "ck string, function_kind string")
-    seeds = spark.createDataFrame(V.OPEN_ROWS, "ok string, open_kind string")
-    is_word = F.col("kind") == "word"
-    toks = toks.withColumn("lower", T.ascii_lower(F.col("lexeme")))
-    toks = toks.join(F.broadcast(closed), is_word & (T.closed_key(F.col("lexeme")) == F.col("ck")), "left").drop("ck")
-    return toks.join(F.broadcast(seeds), is_word & F.col("function_kind").isNull() & (F.col("lower") == F.col("ok")), "left").drop("ok")
-
-
-def classify(toks: DataFrame, contextual: bool = True) -> DataFrame:
-    """Tokens with pos_class, function_kind and open_kind.
-
-    Classes: Function, Number, Content, Open, ProperNoun, Punctuation, Quote.
+    wanted = list(COLUMNS) if columns is None else columns
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        return t.doc, [COLUMNS[c][1](t) for c in wanted]
+
+    return each(docs, [key], ", ".join(f"`{c}` {COLUMNS[c][0]}" for c in wanted).replace("`", ""), rows, contextual)
+
+
+def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sent_id, start, end, words, breaks (line breaks before the sentence)."""
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        return t.s_doc, [_int(t.s_id), _int(t.s_start), _int(t.s_end), pa.array(t.s_words.astype(np.int64)), _int(t.breaks[t.s_first])]
+
+    return each(docs, [key], "sent_id int, start int, end int, words long, breaks int", rows, False)
+
+
+def title_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, row of the lines that are titles: two capitalised words at least, and every other one closed-class.
+
+    A line counts where a token of it opens the line's words.
     """
-    toks = _lexicon(toks)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    is_word = F.col("kind").isin("word", "number")
-    base = (
-        F.when(F.col("function_kind").isNotNull(), "Function")
-        .when(F.col("kind") == "number", "Number")
-        .when(F.col("open_kind").isNotNull(), "Open")
-        .when(F.col("kind") == "word", "Content")
-        .when(F.col("kind") == "quote", "Quote")
-        .otherwise("Punctuation")
-    )
-    toks = toks.withColumn("pos_class", base)
-    # a word crosses a line when it is the document's first or the token before is on another line
-    first_word = F.coalesce(F.count_if(is_word).over(before), F.lit(0)) == 0
-    toks = toks.withColumn("crossed", is_word & (first_word | (F.lag("line").over(w) != F.col("line"))))
-    toks = toks.withColumn("in_title", F.last(F.when(F.col("crossed"), F.col("title")), ignorenulls=True).over(upto))
-    alpha = is_word & F.col("lexeme").rlike(r"^\p{IsAlphabetic}")
-    toks = toks.withColumn("alpha_before", F.coalesce(F.count_if(alpha).over(before), F.lit(0)))
-    reset = F.col("crossed") | F.col("starts") | (F.col("pos") == 0)
-    toks = toks.withColumn("alpha_reset", F.last(F.when(reset, F.col("alpha_before")), ignorenulls=True).over(upto))
-    proper = F.col("pos_class").isin("Content", "Open") & (F.col("alpha_before") > F.col("alpha_reset")) & ~F.coalesce("in_title", F.lit(False)) & F.col("lexeme").rlike(r"^\p{IsUppercase}")
-    toks = toks.withColumn("pos_class", F.when(proper, "ProperNoun").otherwise(F.col("pos_class")))
-    toks = toks.withColumn("open_kind", F.when(F.col("pos_class") == "Open", F.col("open_kind")))
-    toks = toks.drop("crossed", "in_title", "alpha_before", "alpha_reset")
-    return _refine(toks, w) if contextual else toks
-
-
-def _refine(toks: DataFrame, w) -> DataFrame:
-    """Ambiguous words from left to right: the word before is already decided, the next is not.
-
-    What a neighbour is evidence for fits one letter: N nominal, S subject or "to",
-    V verb. A run of ambiguous words is folded from the word before it.
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        at = np.flatnonzero(t.title)
+        _, one = np.unique(t.doc[at].astype(np.int64) << 32 | t.row[at], return_index=True)
+        return t.doc[at[one]], [_int(t.row[at[one]])]
+
+    return each(docs, [key], "row int", rows, False)
+
+
+TOKEN = "struct<pos:int,lexeme:string,start:int,end:int,kind:string,role:string,token_kind:string,lexical_class:string,function_axis:string,open_axis:string,row:int,col16:int,len16:int>"
+SENTENCE = "struct<start:int,end:int,first:int,size:int,breaks:int>"
+
+
+def nested(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
+    """``keep`` with tokens and sentences as arrays (empty for texts without any), a row for each document."""
+    fields = [f.split(":")[0] for f in TOKEN[7:-1].split(",")]
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        offsets = pa.array(np.append(t.first, len(t.doc)).astype(np.int32))
+        tokens_ = pa.StructArray.from_arrays([COLUMNS[f][1](t) for f in fields], fields)
+        at = pa.array(np.searchsorted(t.s_doc, np.arange(len(t.first) + 1)).astype(np.int32))
+        own = [t.s_start, t.s_end, t.pos[t.s_first], t.s_last - t.s_first, t.breaks[t.s_first]]
+        sents = pa.StructArray.from_arrays([_int(x) for x in own], ["start", "end", "first", "size", "breaks"])
+        return None, [pa.ListArray.from_arrays(offsets, tokens_), pa.ListArray.from_arrays(at, sents)]
+
+    return each(docs, keep, f"tokens array<{TOKEN}>, sentences array<{SENTENCE}>", rows, contextual)
+
+
+def lexicon(words: DataFrame, lexeme: str = "lexeme") -> DataFrame:
+    """Context-free classes of any column of words: function_kind, open_kind and pos_class.
+
+    Two broadcast joins with the fixed tables (240 and 16 rows); precedence is closed
+    class, whole number, seed, content.
     """
-    plural = F.col("lower").rlike(r"(?s)[^s]s$")
-    kind = F.col("function_kind")
-    hint = (
-        F.when((F.col("pos_class") == "Function") & (F.col("lower") == "to"), "S")
-        .when(kind.isin("Article", "Determiner", "Preposition"), "N")
-        .when(kind.isin("Pronoun", "Auxiliary"), "S")
-        .when(F.col("open_kind") == "Adjective", "N")
-        .when((F.col("open_kind") == "Noun") | (F.col("pos_class") == "ProperNoun"), "S")
-        .when(F.col("open_kind") == "Verb", "V")
-        .when((F.col("pos_class") == "Content") & plural, "S")
-        .otherwise("")
-    )
-    ambiguous = (F.col("pos_class") == "Content") & F.col("lower").isin(V.AMBIGUOUS)
-    nounish = F.coalesce(F.lead("pos_class").over(w).isin("Content", "ProperNoun") | (F.lead("open_kind").over(w) == "Noun"), F.lit(False))
-    toks = toks.withColumn("amb", ambiguous).withColumn("nounish", nounish)
-    toks = toks.withColumn("run", F.sum((~F.col("amb")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    step = F.struct("amb", F.when(F.col("amb"), F.col("lower")).alias("word"), "nounish", hint.alias("hint"))
-    inside = Window.partitionBy("doc_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    toks = toks.withColumn("steps", F.collect_list(step).over(inside))
-    start = F.struct(F.lit("").alias("hint"), F.lit("").alias("sense"))
-
-    def decide(state: Column, x: Column) -> Column:
-        prev = state["hint"]
-        sense = (
-            F.when(~x["amb"], "")
-            .when(x["word"].isin("book", "record"), F.when(prev == "S", "Verb").when(prev == "N", "Noun").otherwise(""))
-            .when(x["word"] == "lead", F.when(prev == "S", "Verb").when((prev == "N") & x["nounish"], "Adjective").when(prev == "N", "Noun").otherwise(""))
-            .otherwise(F.when(prev == "V", "Adverb").when(x["nounish"], "Adjective").otherwise(""))
-        )
-        own = F.when(sense == "Verb", "V").when(sense == "Noun", "S").when(sense == "Adjective", "N").otherwise("")
-        return F.struct(F.when(x["amb"], own).otherwise(x["hint"]).alias("hint"), sense.alias("sense"))
-
-    sense = F.when(F.col("amb"), F.aggregate("steps", start, decide)["sense"]).otherwise("")
-    toks = toks.withColumn("sense", sense)
-    decided = F.col("sense") != ""
-    toks = toks.withColumn("pos_class", F.when(decided, "Open").otherwise(F.col("pos_class")))
-    toks = toks.withColumn("open_kind", F.when(decided, F.col("sense")).otherwise(F.col("open_kind")))
-    return toks.drop("amb", "nounish", "run", "steps", "sense")
-
-
-def axes(toks: DataFrame) -> DataFrame:
-    """Orthogonal axes of the interchange document, and the visual role."""
-    c = F.col("pos_class")
-    token_kind = F.when(c == "Number", "NUMBER").when(c == "Punctuation", "PUNCTUATION").when(c == "Quote", "QUOTE").otherwise("WORD")
-    lexical = F.when(c == "Function", "FUNCTION").when(c == "ProperNoun", "PROPER_NOUN_CANDIDATE").when(c.isin("Content", "Open"), "CONTENT")
-    role = (
-        F.when(c == "Function", "STRUCTURAL_KEYWORD")
-        .when(c == "ProperNoun", "TYPE_LIKE")
-        .when(c == "Number", "LITERAL")
-        .when(c == "Punctuation", "MUTED")
-        .when(c == "Quote", "QUOTED")
-        .when(c == "Open", F.upper("open_kind"))
-        .otherwise("UNSTYLED")
-    )
-    return toks.select(
-        "*", token_kind.alias("token_kind"), lexical.alias("lexical_class"),
-        F.when(c == "Function", F.upper("function_kind")).alias("function_axis"), F.when(c == "Open", F.upper("open_kind")).alias("open_axis"), role.alias("role"),
-    )
+    spark = words.sparkSession
+    closed = spark.createDataFrame(V.CLOSED_ROWS, "_ck string, function_kind string")
+    seeds = spark.createDataFrame(V.OPEN_ROWS, "_ok string, open_kind string")
+    word = F.col(lexeme)
+    out = words.join(F.broadcast(closed), T.closed_key(word) == F.col("_ck"), "left").drop("_ck")
+    out = out.join(F.broadcast(seeds), F.col("function_kind").isNull() & (T.ascii_lower(word) == F.col("_ok")), "left").drop("_ok")
+    kind = F.when(F.col("function_kind").isNotNull(), "Function").when(word.rlike(T.WHOLE_NUMBER), "Number").when(F.col("open_kind").isNotNull(), "Open").otherwise("Content")
+    return out.withColumn("pos_class", kind)
+
+
+def word_count() -> dict[str, int]:
+    """Sizes of the two lexicons."""
+    return {"closed": len(V.CLOSED_ROWS), "open": len(V.OPEN_ROWS)}

@@ -7,16 +7,11 @@ document is collected, and texts are not part of it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-# Hashes of the interchange schema and of the role vocabulary.
-SCHEMA_HASH = "sha256:4404256591b2fbaaf4a7a3fb2ae03fd4256afb4557b605a19c0b966ee287e122"
-VOCABULARY_HASH = "sha256:c4f1a36f839ba6e56955c60c8fa45f8d6692685fd137eed2a084416f52531461"
+from . import render, validate
+from .contract import Contract
 
 RANGE = "struct<endUtf8:int,startUtf8:int>"
 TOKEN = f"struct<byteRange:{RANGE},functionKind:string,lexicalClass:string,occurrenceId:int,openClassKind:string,tokenKind:string>"
@@ -27,52 +22,63 @@ SOURCE = "struct<contentHash:string,unitId:string,utf8ByteLength:int>"
 ANALYSIS = f"struct<contractVersion:string,derivation:array<{STEP}>,diagnostics:array<{DIAGNOSTIC}>,schemaHash:string,source:{SOURCE},structure:array<{NODE}>,tokens:array<{TOKEN}>,vocabularyHash:string>"
 
 
-@dataclass(frozen=True)
-class Contract:
-    """What a document says of its producer; give your consumer's version and build."""
-
-    version: str = "textlens.syntax/v1"
-    schema_hash: str = SCHEMA_HASH
-    vocabulary_hash: str = VOCABULARY_HASH
-    build: str = "textlens@0.1"
-    passes: tuple[tuple[str, str], ...] = (("segment", "prose-segmenter"), ("classify", "lexical-annotator"))
-
-    def __post_init__(self) -> None:
-        if any(not p or not r for p, r in self.passes):
-            raise ValueError("a pass lacks its identity")
-        if len({p for p, _ in self.passes}) < len(self.passes):
-            raise ValueError("a pass id occurs twice")
-
-
-def analyses(docs: DataFrame, axes: DataFrame, outline: DataFrame, contract: Contract = Contract()) -> DataFrame:
-    """doc_id, analysis: every document of docs(doc_id, name, text).
+def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
+    """doc_id, bytes, analysis: every document of docs(doc_id, name, text), in one pass without an exchange.
 
     A null text counts as empty. Documents whose length passes 32 bits can't be held
     by the format; analysis is null for them.
     """
-    span = F.struct(F.col("end").cast("int").alias("endUtf8"), F.col("start").cast("int").alias("startUtf8"))
-    token = F.struct(
-        span.alias("byteRange"), F.col("function_axis").alias("functionKind"), F.col("lexical_class").alias("lexicalClass"),
-        F.col("pos").alias("occurrenceId"), F.col("open_axis").alias("openClassKind"), F.col("token_kind").alias("tokenKind"),
-    )
-    node = F.struct(span.alias("byteRange"), F.col("children").alias("childNodeIds"), "depth", "kind", F.col("node_id").alias("nodeId"))
+    fault = contract.fault()
+    if fault:
+        raise ValueError(": ".join(fault))
 
-    def ordered(rows: DataFrame, by: str, item, name: str) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct(F.col(by).alias("o"), item.alias("x"))))
-        return rows.groupBy("doc_id").agg(F.transform(pairs, lambda p: p["x"]).alias(name))
+    def span(x: Column) -> Column:
+        return F.struct(x["end"].alias("endUtf8"), x["start"].alias("startUtf8"))
 
-    parts = docs.select("doc_id", "name", F.coalesce("text", F.lit("")).alias("text"))
-    head = parts.select("doc_id", "name", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").alias("n"))
-    rows = head.join(ordered(axes, "pos", token, "tokens"), "doc_id", "left").join(ordered(outline, "node_id", node, "structure"), "doc_id", "left")
+    def token(t: Column) -> Column:
+        return F.struct(
+            span(t).alias("byteRange"), t["function_axis"].alias("functionKind"), t["lexical_class"].alias("lexicalClass"),
+            t["pos"].alias("occurrenceId"), t["open_axis"].alias("openClassKind"), t["token_kind"].alias("tokenKind"),
+        )
+
+    def node(n: Column) -> Column:
+        return F.struct(span(n).alias("byteRange"), n["children"].alias("childNodeIds"), n["depth"].alias("depth"), n["kind"].alias("kind"), n["node_id"].alias("nodeId"))
+
+    rows = render.with_outline(docs.select("doc_id", "name", "text"), ["doc_id", "name", "text"], contract.contextual)
+    rows = rows.withColumn("bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("n", F.octet_length("bytes"))
     whole = F.array(F.struct(F.col("n").alias("endUtf8"), F.lit(0).alias("startUtf8")))
     steps = [F.struct(F.lit(contract.build).alias("compilerBuildHash"), F.lit(p).alias("passId"), F.lit(r).alias("ruleId"), whole.alias("sourceRanges")) for p, r in contract.passes]
     analysis = F.struct(
         F.lit(contract.version).alias("contractVersion"), F.array(*steps).alias("derivation"), F.array().cast(f"array<{DIAGNOSTIC}>").alias("diagnostics"),
-        F.lit(contract.schema_hash).alias("schemaHash"), F.struct(F.col("hash").alias("contentHash"), F.col("name").alias("unitId"), F.col("n").alias("utf8ByteLength")).alias("source"),
-        F.coalesce("structure", F.array().cast(f"array<{NODE}>")).alias("structure"), F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")).alias("tokens"),
-        F.lit(contract.vocabulary_hash).alias("vocabularyHash"),
+        F.lit(contract.schema_hash).alias("schemaHash"), F.struct(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("contentHash"), F.col("name").alias("unitId"), F.col("n").alias("utf8ByteLength")).alias("source"),
+        F.transform("outline", node).alias("structure"), F.transform("tokens", token).alias("tokens"), F.lit(contract.vocabulary_hash).alias("vocabularyHash"),
     )
-    return rows.select("doc_id", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
+    return rows.select("doc_id", "bytes", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
+
+
+def project(docs: DataFrame, contract: Contract = Contract(), classified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused): the documents that pass their own validation, and (doc_id, error, message) of the rest.
+
+    error is MissingPassIdentity or DuplicatePassId (of the contract, for every
+    document), Overflow, InvalidClassification (where ``classified``, the parts that
+    ``validate.classification_errors`` checks, is given and fails) or
+    InvalidProjectedDocument.
+    """
+    fault = contract.fault()
+    if fault:
+        none = docs.select("doc_id", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast(ANALYSIS).alias("analysis")).where("false")
+        return none, docs.select("doc_id", F.lit(fault[0]).alias("error"), F.lit(fault[1]).alias("message"))
+    found = validate.with_errors(analyses(docs, contract), contract)
+    broken = validate.report(F.col("errors"))
+    kind = F.when(F.col("analysis").isNull(), "Overflow").when(F.size("errors") > 0, "InvalidProjectedDocument")
+    text = F.when(F.col("analysis").isNull(), F.concat(F.lit("source length ("), F.octet_length("bytes").cast("string"), F.lit(") exceeds the 32-bit range; the document is too large to project")))
+    text = text.when(F.size("errors") > 0, F.concat(F.lit("projected document violated its contract: "), broken))
+    found = found.withColumn("error", kind).withColumn("message", text)
+    if classified is not None:
+        bad = validate.classification_errors(classified).select("doc_id", F.concat(F.lit("invalid parser/annotator classification: "), "message").alias("wrong"))
+        found = found.join(bad, "doc_id", "left").withColumn("error", F.when(F.col("wrong").isNotNull(), "InvalidClassification").otherwise(F.col("error")))
+        found = found.withColumn("message", F.coalesce("wrong", "message"))
+    return found.where("error IS NULL").select("doc_id", "bytes", "analysis"), found.where("error IS NOT NULL").select("doc_id", "error", "message")
 
 
 def canonical_json(found: DataFrame) -> DataFrame:

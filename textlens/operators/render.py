@@ -1,69 +1,123 @@
-"""Presentation and interchange: roles, ANSI, editor tokens, highlight spans, documents."""
+"""Presentation: roles, ANSI, editor tokens and diagnostics, highlight spans, outline, reports.
+
+Everything of one document is made in the pass that reads it: row results leave it as
+rows, document results as arrays that column expressions turn into text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexer as L
 from ..functions import text as T
 from ..functions import vocabulary as V
+from . import annotate
+from .annotate import each, named, role_codes
 
 
 def role_table(spark) -> DataFrame:
     return spark.createDataFrame(V.ROLES, "role string, ansi string, token_type string, highlight string")
 
 
-def with_roles(axes: DataFrame) -> DataFrame:
-    """Tokens with the three presentations of their role (a fixed table, broadcast)."""
-    return axes.join(F.broadcast(role_table(axes.sparkSession)), "role", "left")
+def with_roles(tokens: DataFrame) -> DataFrame:
+    """Tokens with the three presentations of their role (a fixed table of ten rows, broadcast)."""
+    return tokens.join(F.broadcast(role_table(tokens.sparkSession)), "role", "left")
 
 
-def role_counts(axes: DataFrame) -> DataFrame:
-    counts = axes.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    return with_roles(counts).select("role", "n", "ansi", "token_type", "highlight")
+def roles_of_axes(tokens: DataFrame) -> DataFrame:
+    """``role`` from token_kind, lexical_class and open_axis alone; null where no rule covers them."""
+    rules = tokens.sparkSession.createDataFrame(V.AXES, "_kind string, _class string, _open string, role string")
+    same = F.col("token_kind").eqNullSafe(F.col("_kind")) & F.col("lexical_class").eqNullSafe(F.col("_class")) & F.col("open_axis").eqNullSafe(F.col("_open"))
+    return tokens.drop("role").join(F.broadcast(rules), same, "left").drop("_kind", "_class", "_open")
 
 
-def ansi(docs: DataFrame, axes: DataFrame) -> DataFrame:
-    """Text with styled tokens between escape codes, gaps verbatim, by document.
+def role_counts(tokens: DataFrame) -> DataFrame:
+    return with_roles(tokens.groupBy("role").agg(F.count(F.lit(1)).alias("n"))).select("role", "n", "ansi", "token_type", "highlight")
 
-    Styled tokens alone meet the text again; documents without any keep it as it is.
-    """
-    styled = with_roles(axes).where("ansi IS NOT NULL")
-    spans = styled.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "ansi", "lexeme"))).alias("spans"))
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
-    binary = joined.withColumn("b", F.encode("text", "UTF-8"))
-
-    def gap(start, end):
-        return F.decode(F.substring(F.col("b"), start + 1, end - start), "UTF-8")
-
-    pieces = F.transform(
-        "spans",
-        lambda x, i: F.concat(
-            gap(F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"]), x["start"]),
-            F.lit("\x1b["), x["ansi"], F.lit("m"), x["lexeme"], F.lit("\x1b[0m"),
-        ),
-    )
-    last = F.element_at("spans", -1)["end"]
-    whole = F.concat(F.array_join(pieces, ""), gap(last, F.octet_length("text")))
-    return binary.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("colored"))
 
+def per_row(df: DataFrame, keep: list[str], read: list[str], schema: str, rows: Callable[..., list[tuple]]) -> DataFrame:
+    """``keep`` with each tuple that ``rows`` gives for the ``read`` values of a row."""
+    source = df.select(*keep, *[F.col(c).alias(f"_{i}") for i, c in enumerate(read)])
+    kinds = dict(source.dtypes)
+    whole = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], schema])
+    fields = annotate._fields(schema)
+    types = pa.schema([(f.split()[0], {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(len(keep) + i) for i in range(len(read))]
+            for i in range(batch.num_rows):
+                found = rows(*(c[i].as_py() for c in columns))
+                if found:
+                    kept = [batch.column(k).take(pa.array([i] * len(found))) for k in range(len(keep))]
+                    own = [pa.array([f[j] for f in found], t.type) for j, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays([*kept, *own], [*keep, *types.names])
+
+    return source.mapInArrow(run, whole)
 
-def ansi_spans(colored: DataFrame) -> DataFrame:
-    """doc_id, start, end (UTF-8 bytes of the plain text), ansi, lexeme: ``ansi`` undone.
 
-    Styled runs and the text between them are rows; one running sum over a document
-    gives the bytes. Texts with escape characters of their own can't be told apart.
+def ansi(docs: DataFrame, color: bool = True, key: str = "doc_id") -> DataFrame:
+    """key, colored: styled tokens between escape codes, gaps verbatim; null stays null.
+
+    Without ``color`` the text is returned as it is and nothing is analysed. Tokens
+    that stand in masked Markdown are never styled.
+    """
+    if not color:
+        return docs.select(key, F.col("text").alias("colored"))
+    codes = [a for _, a, _, _ in V.ROLES]
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        sgr = role_codes(t)
+        styled = np.isin(sgr, [i for i, a in enumerate(codes) if a])
+        source = batch.column(batch.schema.get_field_index("text"))
+        out = []
+        for d in range(len(t.first)):
+            text = source[d].as_buffer() if source[d].is_valid else None
+            if text is None:
+                out.append(None)
+                continue
+            raw, prose, parts, at = text.to_pybytes(), t.bytes[t.offsets[d] : t.offsets[d + 1]].tobytes(), [], 0
+            own = np.arange(t.first[d], t.last[d])
+            for i in own[styled[own]].tolist():
+                s, e = int(t.start[i]), int(t.end[i])
+                if raw[s:e] == prose[s:e]:
+                    parts += [raw[at:s], b"\x1b[", codes[sgr[i]].encode(), b"m", raw[s:e], b"\x1b[0m"]
+                    at = e
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return None, [pa.array(out, pa.string())]
+
+    return each(docs, [key], "colored string", rows)
+
+
+_STYLED = re.compile(r"\x1b\[([0-9;]+)m([^\x1b]*)\x1b\[0m|[^\x1b]+|\x1b")
+
+
+def ansi_spans(colored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, end (UTF-8 bytes of the plain text), ansi, lexeme: ``ansi`` undone.
+
+    Texts with escape characters of their own can't be told apart.
     """
-    runs = F.regexp_extract_all("colored", F.lit(r"(?s)\x1b\[[0-9;]++m[^\x1b]*+\x1b\[0m|[^\x1b]++|\x1b"), F.lit(0))
-    rows = colored.select("doc_id", F.posexplode(runs).alias("n", "run"))
-    plain = F.regexp_replace("run", r"\x1b\[[0-9;]*m", "")
-    rows = rows.select("doc_id", "n", F.regexp_extract("run", r"^\x1b\[([0-9;]+)m", 1).alias("ansi"), plain.alias("lexeme"))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.octet_length("lexeme")).over(before), F.lit(0)).cast("int"))
-    return rows.where("ansi <> ''").select("doc_id", "start", (F.col("start") + F.octet_length("lexeme")).cast("int").alias("end"), "ansi", "lexeme")
 
+    def spans(text: str | None) -> list[tuple]:
+        at, out = 0, []
+        for m in _STYLED.finditer(text or ""):
+            plain = m[0] if m[1] is None else m[2]
+            size = len(plain.encode())
+            if m[1] is not None:
+                out.append((at, at + size, m[1], plain))
+            at += size
+        return out
+
+    return per_row(colored, [key], ["colored"], "start int, end int, ansi string, lexeme string", spans)
 
-def _code(text) -> Column:
+
+def code(text: Column) -> Column:
     """Markdown code of a text within a table cell: a fence longer than its own backticks."""
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
     fence = F.repeat(F.lit("`"), longest + 1)
@@ -71,71 +125,178 @@ def _code(text) -> Column:
     return F.replace(F.concat(fence, pad, text, pad, fence), F.lit("|"), F.lit("\\|"))
 
 
-def span_report(docs: DataFrame, axes: DataFrame) -> DataFrame:
-    """doc_id, report: a Markdown table of the spans that editors style, one text a document."""
-    spans = with_roles(axes).where("token_type IS NOT NULL")
-    place = F.concat(F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
-    line = F.concat(F.lit("| "), _code(place), F.lit(" | "), _code(F.col("lexeme")), F.lit(" | "), _code(F.col("role")), F.lit(" |\n"))
-    rows = spans.select("doc_id", F.struct("pos", line.alias("line")).alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    body = rows.select("doc_id", F.array_join(F.transform("xs", lambda x: x["line"]), "").alias("body"))
-    head = "# Highlight spans\n\n| UTF-8 bytes | Text | Role |\n| --- | --- | --- |\n"
-    return docs.select("doc_id").join(body, "doc_id", "left").select("doc_id", F.concat(F.lit(head), F.coalesce("body", F.lit(""))).alias("report"))
+# Fixed value: the head of a span report.
+REPORT_HEAD = "# Highlight spans\n\n| UTF-8 bytes | Text | Role |\n| --- | --- | --- |\n"
+
+
+def report_of(spans: Column) -> Column:
+    """The Markdown table of spans (start, end, lexeme, role), in their order."""
+
+    def line(x: Column) -> Column:
+        place = F.concat(x["start"].cast("string"), F.lit(".."), x["end"].cast("string"))
+        return F.concat(F.lit("| "), code(place), F.lit(" | "), code(x["lexeme"]), F.lit(" | "), code(x["role"]), F.lit(" |\n"))
+
+    return F.concat(F.lit(REPORT_HEAD), F.array_join(F.transform(spans, line), ""))
+
+
+#: Roles that editors style.
+EDITED = [r for r, _, t, _ in V.ROLES if t]
+
+
+def span_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, report: the spans that editors style, one text a document."""
+    return annotate.nested(docs, [key]).select(key, report_of(F.filter("tokens", lambda t: t["role"].isin(EDITED))).alias("report"))
+
+
+def highlight_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, class, row, col and end_col (scalars); unstyled tokens dropped."""
+    out = with_roles(annotate.tokens(docs, ["pos", "role", "row", "col", "end_col"], key=key)).where("highlight IS NOT NULL")
+    return out.select(key, "pos", F.col("highlight").alias("class"), "row", "col", "end_col")
+
+
+def highlight_bundles(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, bundle: one JSON text a document with its class spans, pretty-printed."""
+    styles = {r: h for r, _, _, h in V.ROLES if h}
 
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        import json
 
-def delta_positions(deltas: DataFrame) -> DataFrame:
-    """doc_id, pos, row, col16, length, type: ``token_deltas`` undone by running sums."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = deltas.withColumn("row", F.sum("delta_line").over(w).cast("int"))
-    inside = Window.partitionBy("doc_id", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc_id", "pos", "row", F.sum("delta_start").over(inside).cast("int").alias("col16"), "length", "type")
+        roles, out = role_codes(t), []
+        for d in range(len(t.first)):
+            spans = []
+            for i in range(t.first[d], t.last[d]):
+                style = styles.get(annotate.ROLES[roles[i]])
+                if style:
+                    point = lambda c: {"row": int(t.row[i]), "column": int(c)}  # noqa: B023, E731
+                    spans.append({"className": style, "range": {"start": point(t.col[i]), "end": point(t.end_col[i])}})
+            out.append(json.dumps({"syntax": {"partial": False, "spans": spans}}, indent=2, ensure_ascii=False) + "\n")
+        return None, [pa.array(out, pa.string())]
+
+    return each(docs, [key], "bundle string", rows)
+
+
+def _edited(t: L.Texts) -> tuple[np.ndarray, ...]:
+    """Tokens that editors style, and their deltas: line, start, length, type."""
+    kinds = np.array([V.LEGEND.index(k) if k else -1 for _, _, k, _ in V.ROLES])[role_codes(t)]
+    at = np.flatnonzero(kinds >= 0)
+    same = np.zeros(len(at), bool)
+    same[1:] = t.doc[at[1:]] == t.doc[at[:-1]]
+    row, col = t.row[at], t.col16[at]
+    line = row - np.where(same, np.append(0, row[:-1])[: len(row)], 0)
+    start = col - np.where(same & (line == 0), np.append(0, col[:-1])[: len(col)], 0)
+    return at, line, start, t.len16[at], kinds[at]
+
+
+def token_deltas(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Editor tokens as (delta line, delta start, UTF-16 length, type, modifiers), a row each."""
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        at, *values = _edited(t)
+        numbers = [t.pos[at], *values, np.zeros(len(at))]
+        return t.doc[at], [pa.array(x.astype(np.int32)) for x in numbers]
+
+    return each(docs, [key], "pos int, delta_line int, delta_start int, length int, type int, modifiers int", rows)
+
+
+def editor_tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and data: all deltas of a document in one array, five numbers a token."""
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        at, *values = _edited(t)
+        data = np.stack([*values, np.zeros(len(at))], 1).astype(np.int32).ravel() if len(at) else np.empty(0, np.int32)
+        ends = np.searchsorted(t.doc[at], np.arange(len(t.first) + 1)) * 5
+        return None, [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data))]
+
+    return each(docs, keep, "data array<int>", rows)
+
+
+def delta_spans(edited: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n, start, end, row, col16, length, type: ``data`` over ``text`` undone to UTF-8 bytes.
+
+    A place that the text doesn't have gives a row with null start and end.
+    """
+    from .consumers import lines_of, place
+
+    def spans(text: str | None, data: list[int]) -> list[tuple]:
+        lines, row, col, out = lines_of(text or ""), 0, 0, []
+        for n in range(0, len(data or []), 5):
+            down, right, length, kind = data[n : n + 4]
+            row, col = (row + down, right) if down else (row, col + right)
+            start, end = place(lines, row, col), place(lines, row, col + length)
+            out.append((n // 5, start, end, row, col, length, kind))
+        return out
+
+    return per_row(edited, [key], ["text", "data"], "n int, start int, end int, row int, col16 int, length int, type int", spans)
+
+
+def editor_diagnostics(docs: DataFrame, key: str = "doc_id", name: str = "textlens") -> DataFrame:
+    """Findings as an editor shows them: ranges in UTF-16 units, WARNING or INFORMATION, code and source."""
+    from .lint import placed_findings
+
+    found = placed_findings(docs, keep=(key,))
+    severity = F.when(F.col("severity") == "warning", "WARNING").otherwise("INFORMATION")
+    return found.select(
+        key, F.col("row").alias("start_line"), F.col("col16").alias("start_char"), F.col("end_row").alias("end_line"), F.col("end_col16").alias("end_char"),
+        severity.alias("severity"), F.col("rule").alias("code"), F.lit(name).alias("source"), "message",
+    )
 
 
-def positions(docs: DataFrame, toks: DataFrame) -> DataFrame:
-    """Tokens with 0-based row and columns (scalars and UTF-16 units) without the text.
+def failure(code: str, message: str | Column, severity: str = "ERROR", name: str = "textlens") -> list[Column]:
+    """One stable diagnostic at the start of a document, for results that can't be trusted.
 
-    A token's columns add up the lengths of the document's segments before it on its
-    line, so one window replaces a slice of the text for every token.
+    Codes: invalid-classification, invalid-source-view, document-too-large, analysis-failed.
     """
-    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", r"(?<=\n)|(?<=\r)(?!\n)")).alias("row", "t"))
-    segs = lines.select("doc_id", "row", F.posexplode_outer(T.segments(F.col("t"))).alias("p", "s")).where("s IS NOT NULL")
-    line = Window.partitionBy("doc_id", "row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    doc = Window.partitionBy("doc_id").orderBy("row", "p")
-    segs = segs.withColumn("col", F.coalesce(F.sum(F.char_length("s")).over(line), F.lit(0)).cast("int"))
-    segs = segs.withColumn("col16", F.coalesce(F.sum(T.utf16_length(F.col("s"))).over(line), F.lit(0)).cast("int"))
-    segs = segs.where(T.segment_kind(F.col("s")) != "space").withColumn("pos", (F.row_number().over(doc) - 1).cast("int"))
-    return toks.join(segs.select("doc_id", "pos", "row", "col", "col16"), ["doc_id", "pos"])
-
-
-def highlight_spans(placed: DataFrame) -> DataFrame:
-    """doc_id, class, start and end as row and scalar column; unstyled tokens dropped."""
-    out = with_roles(placed).where("highlight IS NOT NULL")
-    return out.select("doc_id", "pos", F.col("highlight").alias("class"), "row", "col", (F.col("col") + F.char_length("lexeme")).cast("int").alias("end_col"))
-
-
-def token_deltas(placed: DataFrame) -> DataFrame:
-    """Editor tokens as (delta line, delta start, UTF-16 length, type, modifiers)."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    out = with_roles(placed).where("token_type IS NOT NULL")
-    legend = F.array(*[F.lit(t) for t in V.LEGEND])
-    out = out.withColumn("delta_line", (F.col("row") - F.coalesce(F.lag("row").over(w), F.lit(0))).cast("int"))
-    same = F.col("delta_line") == 0
-    out = out.withColumn("delta_start", (F.col("col16") - F.when(same, F.coalesce(F.lag("col16").over(w), F.lit(0))).otherwise(0)).cast("int"))
-    return out.select("doc_id", "pos", "delta_line", "delta_start", T.utf16_length(F.col("lexeme")).alias("length"), (F.array_position(legend, F.col("token_type")) - 1).cast("int").alias("type"), F.lit(0).alias("modifiers"))
-
-
-def outline(sents: DataFrame) -> DataFrame:
-    """Paragraph and sentence nodes: doc_id, node_id, kind, depth, start, end, children."""
-    w = Window.partitionBy("doc_id").orderBy("sent_id")
-    breaks = F.when(F.row_number().over(w) == 1, 0).otherwise(F.when(F.coalesce("breaks", F.lit(0)) >= 2, 1).otherwise(0))
-    s = sents.withColumn("brk", breaks)
-    s = s.withColumn("par", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    s = s.withColumn("pars", F.max("par").over(Window.partitionBy("doc_id")) + 1)
-    s = s.withColumn("node_id", (F.col("pars") + F.col("sent_id")).cast("int"))
-    none = F.array().cast("array<int>")
-    leaf = s.select("doc_id", "node_id", F.lit("SENTENCE").alias("kind"), F.lit(1).alias("depth"), "start", "end", none.alias("children"))
-    top = s.groupBy("doc_id", "par").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list("node_id")).alias("children"))
-    top = top.select("doc_id", F.col("par").alias("node_id"), F.lit("PARAGRAPH").alias("kind"), F.lit(0).alias("depth"), "start", "end", "children")
-    return top.unionByName(leaf)
+    zero = [F.lit(0).alias(c) for c in ("start_line", "start_char", "end_line", "end_char")]
+    text = message if isinstance(message, Column) else F.lit(message)
+    return [*zero, F.lit(severity).alias("severity"), F.lit(f"{name}/{code}").alias("code"), F.lit(name).alias("source"), text.alias("message")]
+
+
+NODE = "node_id int, kind string, depth int, start int, end int, children array<int>"
+
+
+def _outline(t: L.Texts) -> tuple[np.ndarray, list[pa.Array]]:
+    """Paragraph and then sentence nodes of every text."""
+    docs = len(t.first)
+    s0 = np.searchsorted(t.s_doc, np.arange(docs))
+    cut = np.cumsum((t.breaks[t.s_first] >= 2) & (t.s_id > 0))
+    par = cut - cut[s0[t.s_doc]] if len(cut) else cut
+    count = np.zeros(docs, np.int64)
+    np.maximum.at(count, t.s_doc, par + 1)
+    node = count[t.s_doc] + t.s_id
+    head = np.flatnonzero((par != np.append(-1, par[:-1])[: len(par)]) | (t.s_id == 0)) if len(par) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(head, len(par)))
+    doc = np.concatenate([t.s_doc[head], t.s_doc])
+    ids = np.concatenate([par[head], node])
+    order = np.lexsort((ids, doc))
+    top = (np.arange(len(doc)) < len(head))[order]
+    start = np.concatenate([t.s_start[head], t.s_start])[order]
+    end = np.concatenate([t.s_end[head + sizes - 1], t.s_end])[order]
+    kids = np.concatenate([sizes, np.zeros(len(par), np.int64)])[order]
+    offsets = np.append(0, np.cumsum(kids)).astype(np.int32)
+    arrays = [pa.array(ids[order].astype(np.int32)), named(np.where(top, 0, 1), ["PARAGRAPH", "SENTENCE"]), pa.array((~top).astype(np.int32)),
+              pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(node.astype(np.int32)))]
+    return doc[order], arrays
+
+
+def outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and the nodes of the outline; sentences part at a gap of two line breaks or more."""
+    return each(docs, [key], NODE, lambda t, batch: _outline(t), False)
+
+
+def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
+    """``keep``, tokens and outline as arrays, a row for each document."""
+    fields = [f.split()[0] for f in annotate._fields(NODE)]
+    names = [f.split(":")[0] for f in annotate.TOKEN[7:-1].split(",")]
+
+    def rows(t: L.Texts, batch: pa.RecordBatch):
+        doc, arrays = _outline(t)
+        at = pa.array(np.searchsorted(doc, np.arange(len(t.first) + 1)).astype(np.int32))
+        tokens = pa.StructArray.from_arrays([annotate.COLUMNS[f][1](t) for f in names], names)
+        offsets = pa.array(np.append(t.first, len(t.doc)).astype(np.int32))
+        return None, [pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(arrays, fields))]
+
+    node = "struct<" + ",".join(":".join(f.split(" ", 1)) for f in annotate._fields(NODE)) + ">"
+    return each(docs, keep, f"tokens array<{annotate.TOKEN}>, outline array<{node}>", rows, contextual)
 
 
 def content_hashes(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ whether an offset splits a character, repeated ids, and the edges of the outline
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
-from .interchange import Contract
+from ..functions import text as T
+from .contract import Contract
 
 
 @F.pandas_udf(ArrayType(BooleanType()))
@@ -43,7 +47,7 @@ def _again(values: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(ArrayType(StructType().add("i", "integer").add("j", "integer").add("code", "string")))
+@F.pandas_udf(ArrayType(StructType().add("i", "integer").add("j", "integer").add("code", "string").add("detail", "string")))
 def _edges(ids: pd.Series, children: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Broken edges (node, place, code) of each outline; an id means its first node."""
     out = []
@@ -56,13 +60,14 @@ def _edges(ids: pd.Series, children: pd.Series, starts: pd.Series, ends: pd.Seri
         for i, node in enumerate(own):
             for j, child in enumerate(kids[i]):
                 c = at.get(child)
+                first = node if c is None else owner.setdefault(child, node)
                 checks = {
-                    "DanglingChildRef": c is None,
-                    "MultipleStructureParents": c is not None and owner.setdefault(child, node) != node,
-                    "ChildRangeOutsideParent": c is not None and (s[c] < s[i] or e[c] > e[i]),
+                    "DanglingChildRef": (c is None, f"references missing child {child}"),
+                    "MultipleStructureParents": (first != node, f"child {child} already belongs to parent {first}, not {node}"),
+                    "ChildRangeOutsideParent": (c is not None and (s[c] < s[i] or e[c] > e[i]), f"child {child} falls outside parent {node}"),
                 }
-                bad += [{"i": i, "j": j, "code": code} for code, broken in checks.items() if broken]
-        out.append(bad + [{"i": i, "j": j, "code": "StructureCycle"} for i, j in _closing(kids, at)])
+                bad += [{"i": i, "j": j, "code": code, "detail": detail} for code, (broken, detail) in checks.items() if broken]
+        out.append(bad + [{"i": i, "j": j, "code": "StructureCycle", "detail": f"edge {own[i]} -> {kids[i][j]} closes a structure cycle"} for i, j in _closing(kids, at)])
     return pd.Series(out)
 
 
@@ -87,10 +92,16 @@ def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
     return closing
 
 
-def _error(stage, i, j, k, code, path: Column) -> Column:
+# not deterministic by name only: so that the optimizer leaves each as a column of its
+# own, and never repeats it inside the lambdas that read it
+_splits, _again, _edges = _splits.asNondeterministic(), _again.asNondeterministic(), _edges.asNondeterministic()
+
+
+def _error(stage, i, j, k, code, path: Column, *detail) -> Column:
+    """An error at its place in the report's order; its text names the path and what is wrong there."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     numbers = [lit(v).cast("int").alias(n) for v, n in ((stage, "stage"), (i, "i"), (j, "j"), (k, "k"))]
-    return F.struct(*numbers, lit(code).alias("code"), path.alias("path"))
+    return F.struct(*numbers, lit(code).alias("code"), path.alias("path"), _path("at ", path, ": ", *detail).alias("message"))
 
 
 def _path(*parts) -> Column:
@@ -115,53 +126,68 @@ def _ranges() -> Column:
     return F.concat(own("tokens", 3), own("structure", 5), own("diagnostics", 8), F.flatten(nested))
 
 
-def _axes_broken(t: Column) -> Column:
-    word, lexical = t["tokenKind"] == "WORD", t["lexicalClass"]
-    function, open_ = t["functionKind"].isNotNull(), t["openClassKind"].isNotNull()
-    return F.when(~word, lexical.isNotNull() | function | open_).otherwise(
-        lexical.isNull() | ((lexical == "FUNCTION") & (~function | open_)) | ((lexical == "CONTENT") & function) | ((lexical == "PROPER_NOUN_CANDIDATE") & (function | open_))
+def axes_violation(t: Column) -> Column:
+    """What is wrong with a token's axes; null where they are legal."""
+    function, open_, lexical = t["functionKind"].isNotNull(), t["openClassKind"].isNotNull(), t["lexicalClass"]
+    # The seven texts.
+    other = F.when(lexical.isNotNull(), "a non-word token must not carry a lexicalClass").when(function, "a non-word token must not carry a functionKind").when(open_, "a non-word token must not carry an openClassKind")
+    word = (
+        F.when(lexical.isNull(), "a WORD token must carry a lexicalClass")
+        .when((lexical == "FUNCTION") & ~function, "a FUNCTION word must carry a functionKind")
+        .when((lexical != "FUNCTION") & function, "only a FUNCTION word may carry a functionKind")
+        .when((lexical != "CONTENT") & open_, "only a CONTENT word may carry an openClassKind")
     )
+    return F.when(t["tokenKind"] == "WORD", word).otherwise(other)
 
 
-def interchange_errors(found: DataFrame, sources: DataFrame | None = None, contract: Contract = Contract()) -> DataFrame:
-    """doc_id, stage, i, j, k, code, path of every broken rule; sorted by these it is the report.
+def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
+    """found(doc_id, analysis, bytes and others) with errors: an array of every broken rule, in report order.
 
-    found is doc_id (unique), analysis; sources is doc_id, bytes where the sources are
-    at hand. Null lists count as empty.
+    bytes (null: not at hand) is the source. Null lists of a document count as empty; a null
+    document has no errors (its reader has refused it). No row meets another one, so ids may repeat.
     """
     a = "analysis."
     lists = [F.coalesce(a + c, F.array()).alias(c) for c in ("tokens", "structure", "diagnostics", "derivation")]
-    docs = found.select("doc_id", a + "contractVersion", a + "schemaHash", a + "vocabularyHash", a + "source", *lists)
-    docs = docs.join(sources.select("doc_id", "bytes"), "doc_id", "left") if sources is not None else docs.withColumn("bytes", F.lit(None).cast("binary"))
+    docs = found.select(F.struct(*found.columns).alias("given"), a + "contractVersion", a + "schemaHash", a + "vocabularyHash", a + "source", *lists, "bytes")
     given = F.col("bytes").isNotNull()
     utf8 = F.is_valid_utf8(F.col("bytes").cast("string"))
     declared, root = F.col("source.utf8ByteLength"), F.lit("source")
+    actual = F.concat(F.lit("sha256:"), F.sha2("bytes", 256))
+
+    def other(expected, value: str) -> tuple:
+        return "expected `", expected, "`, found `", T.escaped(F.col(value)), "`"
+
     head = F.array_compact(
         F.array(
-            F.when(F.col("contractVersion") != contract.version, _error(1, 0, -1, 0, "UnsupportedContractVersion", F.lit("contractVersion"))),
-            F.when(F.col("schemaHash") != contract.schema_hash, _error(1, 0, -1, 1, "SchemaHashMismatch", F.lit("schemaHash"))),
-            F.when(F.col("vocabularyHash") != contract.vocabulary_hash, _error(1, 0, -1, 2, "VocabularyHashMismatch", F.lit("vocabularyHash"))),
-            F.when(declared < 0, _error(2, 0, -1, 0, "NegativeByteLength", _path(root, ".utf8ByteLength"))),
-            F.when(given & (declared != F.octet_length("bytes")), _error(2, 0, -1, 1, "ByteLengthMismatch", _path(root, ".utf8ByteLength"))),
-            F.when(given & (F.col("source.contentHash") != F.concat(F.lit("sha256:"), F.sha2("bytes", 256))), _error(2, 0, -1, 2, "ContentHashMismatch", _path(root, ".contentHash"))),
-            F.when(given & ~utf8, _error(2, 0, -1, 3, "SourceNotUtf8", root)),
-            F.when(F.size("derivation") == 0, _error(9, -1, -1, 0, "EmptyDerivation", F.lit("derivation"))),
+            F.when(F.col("contractVersion") != contract.version, _error(1, 0, -1, 0, "UnsupportedContractVersion", F.lit("contractVersion"), "unsupported contract version `", T.escaped(F.col("contractVersion")), "`")),
+            F.when(F.col("schemaHash") != contract.schema_hash, _error(1, 0, -1, 1, "SchemaHashMismatch", F.lit("schemaHash"), *other(contract.schema_hash, "schemaHash"))),
+            F.when(F.col("vocabularyHash") != contract.vocabulary_hash, _error(1, 0, -1, 2, "VocabularyHashMismatch", F.lit("vocabularyHash"), *other(contract.vocabulary_hash, "vocabularyHash"))),
+            F.when(declared < 0, _error(2, 0, -1, 0, "NegativeByteLength", _path(root, ".utf8ByteLength"), declared, " is negative")),
+            F.when(given & (declared != F.octet_length("bytes")), _error(2, 0, -1, 1, "ByteLengthMismatch", _path(root, ".utf8ByteLength"), "declared ", declared, ", actual ", F.octet_length("bytes"))),
+            F.when(given & (F.col("source.contentHash") != actual), _error(2, 0, -1, 2, "ContentHashMismatch", _path(root, ".contentHash"), *other(actual, "source.contentHash"))),
+            F.when(given & ~utf8, _error(2, 0, -1, 3, "SourceNotUtf8", root, "not valid UTF-8")),
+            F.when(F.size("derivation") == 0, _error(9, -1, -1, 0, "EmptyDerivation", F.lit("derivation"), "must not be empty")),
         )
     )
 
     def layout(t: Column, i: Column) -> list[Column]:
         r, before, path = t["byteRange"], F.get("tokens", i - 1)["byteRange"], _path("tokens[", i, "].byteRange")
         unsorted = r["startUtf8"] < before["startUtf8"]
+        wrong = axes_violation(t)
+        start = ("start ", r["startUtf8"])
         return [
-            F.when(r["startUtf8"] == r["endUtf8"], _error(3, i, -1, 6, "EmptyTokenRange", path)),
-            F.when(unsorted, _error(3, i, -1, 7, "UnsortedTokenRange", _path(path, ".startUtf8"))).when(r["startUtf8"] < before["endUtf8"], _error(3, i, -1, 7, "OverlappingTokenRange", _path(path, ".startUtf8"))),
-            F.when(_axes_broken(t), _error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"))),
-        ]
-
-    depth = _each("structure", lambda n, i: [F.when(n["depth"] != F.when(n["kind"] == "PARAGRAPH", 0).otherwise(1), _error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth")))])
-    nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), _error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]")))])
+            F.when(r["startUtf8"] == r["endUtf8"], _error(3, i, -1, 6, "EmptyTokenRange", path, "token ", t["occurrenceId"], " has an empty range")),
+            F.when(unsorted, _error(3, i, -1, 7, "UnsortedTokenRange", _path(path, ".startUtf8"), *start, " precedes tokens[", i - 1, "] start ", before["startUtf8"]))
+            .when(r["startUtf8"] < before["endUtf8"], _error(3, i, -1, 7, "OverlappingTokenRange", _path(path, ".startUtf8"), *start, " overlaps tokens[", i - 1, "] ending at ", before["endUtf8"])),
+            F.when(wrong.isNotNull(), _error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"), wrong)),
+        ]
+
+    due = lambda n: F.when(n["kind"] == "PARAGRAPH", 0).otherwise(1)
+    depth = _each("structure", lambda n, i: [F.when(n["depth"] != due(n), _error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth"), "depth ", n["depth"], ", expected ", due(n), " for this outline kind"))])
+    nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), _error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]"), "empty passId or ruleId"))])
     docs = docs.withColumn("ranges", _ranges()).withColumn("length", F.when(given, F.octet_length("bytes")).otherwise(declared))
     split = _splits(F.when(utf8, F.col("bytes")), F.flatten(F.transform("ranges", lambda r: F.array(r["s"], r["e"]))))
+
     def field(array: str, *way: str) -> Column:
         return F.col(".".join([array, *way]))
 
@@ -172,70 +198,136 @@ def interchange_errors(found: DataFrame, sources: DataFrame | None = None, contr
     docs = docs.withColumns({"split": split, "edges": edges} | {f"again_{a}": _again(field(a, c)) for a, c in ids.items()})
 
     def repeated(array: str, stage: int, k: int, code: str) -> Column:
-        return F.transform(f"again_{array}", lambda i: _error(stage, i, -1, k, code, _path(array, "[", i, "]")))
+        value = lambda i: F.get(F.col(array), i)[ids[array]]
+        shown = (lambda i: ("`", T.escaped(value(i)), "`")) if array == "derivation" else lambda i: (value(i),)
+        return F.transform(f"again_{array}", lambda i: _error(stage, i, -1, k, code, _path(array, "[", i, "]"), f"duplicate {ids[array]} ", *shown(i)))
 
     def bounds(r: Column, n: Column) -> list[Column]:
-        def bad(when: Column, k: int, code: str, field: str) -> Column:
-            return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(r["path"], field)))
+        def bad(when: Column, k: int, code: str, field: str, *detail) -> Column:
+            return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(r["path"], field), *detail))
 
         return [
-            bad(r["s"] < 0, 0, "NegativeOffset", ".startUtf8"),
-            bad(r["e"] < 0, 1, "NegativeOffset", ".endUtf8"),
-            bad(r["s"] > r["e"], 2, "RangeOutOfOrder", ""),
-            bad(r["e"] > F.col("length"), 3, "RangeOutOfBounds", ".endUtf8"),
-            bad(F.get("split", n * 2), 4, "RangeNotOnCharBoundary", ".startUtf8"),
-            bad(F.get("split", n * 2 + 1), 5, "RangeNotOnCharBoundary", ".endUtf8"),
+            bad(r["s"] < 0, 0, "NegativeOffset", ".startUtf8", r["s"], " is negative"),
+            bad(r["e"] < 0, 1, "NegativeOffset", ".endUtf8", r["e"], " is negative"),
+            bad(r["s"] > r["e"], 2, "RangeOutOfOrder", "", "start ", r["s"], " exceeds end ", r["e"]),
+            bad(r["e"] > F.col("length"), 3, "RangeOutOfBounds", ".endUtf8", r["e"], " exceeds source length ", F.col("length")),
+            bad(F.get("split", n * 2), 4, "RangeNotOnCharBoundary", ".startUtf8", r["s"], " is not a UTF-8 character boundary"),
+            bad(F.get("split", n * 2 + 1), 5, "RangeNotOnCharBoundary", ".endUtf8", r["e"], " is not a UTF-8 character boundary"),
         ]
 
     def edge(c: Column) -> Column:
         cycle = c["code"] == "StructureCycle"
         path = _path("structure[", c["i"], "].childNodeIds[", c["j"], "]")
         order = F.when(c["code"] == "MultipleStructureParents", 1).when(c["code"] == "ChildRangeOutsideParent", 2).otherwise(0)
-        return _error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path)
+        return _error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path, c["detail"])
 
     repeats = [repeated("tokens", 3, 8, "DuplicateTokenId"), repeated("structure", 5, 6, "DuplicateNodeId"), repeated("derivation", 9, 1, "DuplicateDerivationPassId")]
     flat = F.concat(head, _each("ranges", bounds), _each("tokens", layout), depth, nameless, F.transform("edges", edge), *repeats)
-    return docs.select("doc_id", F.inline(flat))
+    return docs.select("given.*", F.array_sort(F.when(F.col("given.analysis").isNotNull(), flat).otherwise(F.slice(flat, 1, 0))).alias("errors"))
+
+
+def _with_bytes(found: DataFrame, sources: DataFrame | None) -> DataFrame:
+    found = found.select("doc_id", "analysis")
+    if sources is None:
+        return found.withColumn("bytes", F.lit(None).cast("binary"))
+    return found.join(sources.select("doc_id", "bytes"), "doc_id", "left")
 
 
-def classification_errors(docs: DataFrame, sents: DataFrame, parts: DataFrame, toks: DataFrame) -> DataFrame:
-    """doc_id, code, path: the first broken rule of each document, in tree, token, pairing order.
+def interchange_errors(found: DataFrame, sources: DataFrame | None = None, contract: Contract = Contract()) -> DataFrame:
+    """doc_id, stage, i, j, k, code, path, message of every broken rule; sorted by these it is the report.
 
-    sents: doc_id, sent_id, start, end; parts: doc_id, sent_id, part, node_kind, start,
-    end; toks: doc_id, pos, start, end; docs: doc_id, text (null: empty). Every span set
-    is a window over one document, and no text is joined to spans: offsets that split a
-    character are looked for once a document.
+    found is doc_id (unique), analysis; sources is doc_id, bytes where the sources are
+    at hand. ``with_errors`` does the same without a join where they stand side by side.
     """
-    root = "tree.root.sentences["
-    s = sents.select("doc_id", F.lit(1).alias("stage"), F.col("sent_id").alias("i"), F.lit(-1).alias("j"), "start", "end", F.lit(None).cast("string").alias("node_kind"), _path(root, F.col("sent_id"), "]").alias("path"))
-    p = parts.select("doc_id", F.lit(1).alias("stage"), F.col("sent_id").alias("i"), F.col("part").alias("j"), "start", "end", "node_kind", _path(root, F.col("sent_id"), "].parts[", F.col("part"), "]").alias("path"))
-    t = toks.select("doc_id", F.lit(2).alias("stage"), F.col("pos").alias("i"), F.lit(-1).alias("j"), "start", "end", F.lit(None).cast("string").alias("node_kind"), _path("tokens[", F.col("pos"), "]").alias("path"))
-    spans = s.unionByName(p).unionByName(t).withColumn("level", F.when(F.col("stage") == 2, -2).when(F.col("j") < 0, -1).otherwise(F.col("i")))
-    w = Window.partitionBy("doc_id", "level").orderBy("i", "j")
-    spans = spans.withColumn("s0", F.lag("start").over(w)).withColumn("e0", F.lag("end").over(w))
-    outer = Window.partitionBy("doc_id", "stage", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    spans = spans.withColumn("ps", F.first("start").over(outer)).withColumn("pe", F.first("end").over(outer))
-    offsets = spans.groupBy("doc_id").agg(F.collect_set("start").alias("a"), F.collect_set("end").alias("b")).select("doc_id", F.array_union("a", "b").alias("at"))
-    texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
-    ends = texts.join(offsets, "doc_id").select("doc_id", F.octet_length("b").alias("length"), F.arrays_zip("at", _splits(F.col("b"), F.col("at")).alias("bad")).alias("z"))
-    ends = ends.select("doc_id", "length", F.transform(F.filter("z", lambda x: x["bad"]), lambda x: x["at"]).alias("bad"))
-    spans = spans.join(ends, "doc_id")
-    part = (F.col("stage") == 1) & (F.col("j") >= 0)
-    code = (
-        F.when(part & ~F.coalesce(F.col("node_kind").isin("Word", "Punct"), F.lit(False)), "UnexpectedNodeKind")
-        .when(F.col("start") > F.col("end"), "ReversedSpan")
-        .when(F.col("end") > F.col("length"), "SpanOutOfBounds")
-        .when(F.array_contains("bad", F.col("start")) | F.array_contains("bad", F.col("end")), "SpanNotOnCharBoundary")
-        .when(F.col("start") < F.col("s0"), "UnsortedSpan")
-        .when(F.col("start") < F.col("e0"), "OverlappingSpan")
-        .when(part & ((F.col("start") < F.col("ps")) | (F.col("end") > F.col("pe"))), "ChildSpanOutsideParent")
-    )
-    at = F.when(code == "UnexpectedNodeKind", F.col("path")).otherwise(_path(F.col("path"), ".span"))
-    local = spans.select("doc_id", "stage", "i", "j", code.alias("code"), at.alias("path")).where("code IS NOT NULL")
-    leaf = parts.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "part")) - 1).cast("int")).select("doc_id", "pos", F.struct("start", "end").alias("l"))
-    pairs = leaf.join(toks.select("doc_id", "pos", F.struct("start", "end").alias("t")), ["doc_id", "pos"], "full")
-    counts = pairs.groupBy("doc_id").agg((F.count("l") != F.count("t")).alias("differ")).where("differ")
-    counts = counts.select("doc_id", F.lit(3).alias("stage"), F.lit(0).alias("i"), F.lit(-1).alias("j"), F.lit("TreeTokenCountMismatch").alias("code"), F.lit("tokens").alias("path"))
-    differ = pairs.where("l <> t").select("doc_id", F.lit(4).alias("stage"), F.col("pos").alias("i"), F.lit(-1).alias("j"), F.lit("TreeTokenSpanMismatch").alias("code"), _path("tokens[", F.col("pos"), "].span").alias("path"))
-    every = local.unionByName(counts).unionByName(differ)
-    return every.groupBy("doc_id").agg(F.min(F.struct("stage", "i", "j", "code", "path")).alias("e")).select("doc_id", "e.code", "e.path")
+    return with_errors(_with_bytes(found, sources), contract).select("doc_id", F.inline("errors"))
+
+
+def report(errors: Column) -> Column:
+    """The text of a document's errors, null without any."""
+    lines = F.transform(errors, lambda e: F.concat(F.lit("\n  - "), e["message"]))
+    return F.when(F.size(errors) > 0, F.concat(F.lit("document failed validation ("), F.size(errors).cast("string"), F.lit(" issue(s)):"), F.array_join(lines, "")))
+
+
+#: A tree as its maker gives it: kinds are Document, Sentence, Word and Punct.
+SPAN = "struct<start:int,end:int>"
+TREE = "struct<kind:string,sentences:array<struct<kind:string,start:int,end:int,parts:array<struct<kind:string,start:int,end:int>>>>>"
+
+
+def _first_error(raw: bytes, tree: dict, tokens: list[dict]) -> tuple[str, str, str] | None:
+    """(code, path, message) of the first broken rule in tree, token and pairing order."""
+    size = len(raw)
+
+    def splits(at: int) -> bool:
+        return 0 < at < size and raw[at] & 0xC0 == 0x80
+
+    def checked(path: str, i: int, s: int, e: int, before: tuple | None) -> tuple | None:
+        for broken, code, where, detail in (
+            (s > e, "ReversedSpan", "", f"start {s} exceeds end {e}"),
+            (e > size, "SpanOutOfBounds", ".end", f"{e} exceeds source length {size}"),
+            (splits(s), "SpanNotOnCharBoundary", ".start", f"{s} is not a UTF-8 character boundary"),
+            (splits(e), "SpanNotOnCharBoundary", ".end", f"{e} is not a UTF-8 character boundary"),
+            (before and s < before[0], "UnsortedSpan", ".start", before and f"start {s} precedes item {i - 1} start {before[0]}"),
+            (before and s < before[1], "OverlappingSpan", ".start", before and f"start {s} overlaps item {i - 1} ending at {before[1]}"),
+        ):
+            if broken:
+                return code, path + where, f"at {path + where}: {detail}"
+        return None
+
+    def kind(path: str, expected: str, found: str | None) -> tuple:
+        return "UnexpectedNodeKind", path, f"at {path}: expected {expected}, found {found}"
+
+    tree = tree or {"kind": None, "sentences": []}
+    if tree["kind"] != "Document":
+        return kind("tree.root", "Document", tree["kind"])
+    leaves, last = [], None
+    for i, sentence in enumerate(tree["sentences"] or []):
+        path, own = f"tree.root.sentences[{i}]", (sentence["start"], sentence["end"])
+        if sentence["kind"] != "Sentence":
+            return kind(path, "Sentence", sentence["kind"])
+        if bad := checked(path + ".span", i, *own, last):
+            return bad
+        last, before = own, None
+        for j, part in enumerate(sentence["parts"] or []):
+            inner, span = f"{path}.parts[{j}]", (part["start"], part["end"])
+            if part["kind"] not in ("Word", "Punct"):
+                return kind(inner, "Word or Punct", part["kind"])
+            if bad := checked(inner + ".span", j, *span, before):
+                return bad
+            if span[0] < own[0] or span[1] > own[1]:
+                return "ChildSpanOutsideParent", inner + ".span", f"at {inner}.span: child {span[0]}..{span[1]} falls outside parent {own[0]}..{own[1]}"
+            before = span
+            leaves.append((inner + ".span", span))
+    spans, before = [(t["start"], t["end"]) for t in tokens or []], None
+    for i, span in enumerate(spans):
+        if bad := checked(f"tokens[{i}].span", i, *span, before):
+            return bad
+        before = span
+    if len(leaves) != len(spans):
+        return "TreeTokenCountMismatch", "tokens", f"at tokens: tree has {len(leaves)} leaves but annotator emitted {len(spans)} tokens"
+    for i, ((path, leaf), span) in enumerate(zip(leaves, spans, strict=True)):
+        if leaf != span:
+            return "TreeTokenSpanMismatch", f"tokens[{i}].span", f"at tokens[{i}].span: token {span[0]}..{span[1]} does not match {path} {leaf[0]}..{leaf[1]}"
+    return None
+
+
+def classification_errors(classified: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, code, path, message: the first broken rule of each row that breaks one.
+
+    classified: key, text (null: empty), tree and tokens of the types TREE and
+    array<SPAN>, as another parser and annotator give them. Rows are checked one by
+    one, without an exchange; ids may repeat.
+    """
+    source = classified.select(key, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.col("tree").cast(TREE), F.col("tokens").cast(f"array<{SPAN}>").alias("tokens"))
+    kind = dict(source.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for i in range(batch.num_rows):
+                bad = _first_error(*(batch.column(c)[i].as_py() for c in (1, 2, 3)))
+                if bad:
+                    rows.append(i)
+                    out.append(bad)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([o[k] for o in out], pa.string()) for k in range(3))], [key, "code", "path", "message"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, code string, path string, message string")

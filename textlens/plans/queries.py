@@ -5,81 +5,96 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import annotate, interchange, lint, render, validate
-from ..sources import documents
+from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, validate
+from ..sources import cases, documents
 from ..streaming import session
+from . import expected
 
 
-def _tokens(spark: SparkSession, sf_dir: str, fixtures: bool = False) -> DataFrame:
-    return annotate.tokens(documents.corpus(spark, sf_dir, fixtures))
-
-
-def _classified(spark: SparkSession, sf_dir: str, fixtures: bool = False) -> DataFrame:
-    return annotate.classify(_tokens(spark, sf_dir, fixtures))
+def _docs(spark: SparkSession, sf_dir: str, fixtures: bool = True) -> DataFrame:
+    return documents.corpus(spark, sf_dir, fixtures)
 
 
 def token_stream(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("doc_id", "pos", "lexeme", "kind", "start", "end")
+    return annotate.tokens(_docs(spark, sf_dir, False), ["pos", "lexeme", "kind", "start", "end"])
 
 
 def sentence_spans(spark, sf_dir):
-    return annotate.sentences(_tokens(spark, sf_dir, True)).select("doc_id", "sent_id", "start", "end", "words")
+    return annotate.sentences(_docs(spark, sf_dir)).select("doc_id", "sent_id", "start", "end", "words")
 
 
 def number_tokens(spark, sf_dir):
-    return _tokens(spark, sf_dir, True).where("kind = 'number'").select("doc_id", "lexeme", "start")
+    return annotate.tokens(_docs(spark, sf_dir), ["lexeme", "start", "kind"]).where("kind = 'number'").select("doc_id", "lexeme", "start")
+
+
+def number_prefixes(spark, sf_dir):
+    """The number that the text of a token begins with, where it begins with one."""
+    words = annotate.tokens(_docs(spark, sf_dir), ["pos", "lexeme"])
+    return words.select("doc_id", "pos", T.numeric_prefix(F.col("lexeme")).alias("number")).where("number <> ''")
 
 
 def closed_class_counts(spark, sf_dir):
-    return annotate._lexicon(_tokens(spark, sf_dir, True)).where("function_kind IS NOT NULL").groupBy("function_kind").agg(F.count(F.lit(1)).alias("n"))
+    words = annotate.tokens(_docs(spark, sf_dir), ["lexeme", "kind"]).where("kind = 'word'")
+    return annotate.lexicon(words).where("function_kind IS NOT NULL").groupBy("function_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexicon_classes(spark, sf_dir):
+    """Context-free classes of all words and numbers."""
+    words = annotate.tokens(_docs(spark, sf_dir), ["lexeme", "kind"]).where("kind IN ('word', 'number')")
+    return annotate.lexicon(words).groupBy("pos_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pos_class_counts(spark, sf_dir):
-    return _classified(spark, sf_dir, True).groupBy("pos_class").agg(F.count(F.lit(1)).alias("n"))
+    return annotate.tokens(_docs(spark, sf_dir), ["pos_class"]).groupBy("pos_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def proper_nouns(spark, sf_dir):
-    return _classified(spark, sf_dir, True).where("pos_class = 'ProperNoun'").select("doc_id", "lexeme", "start")
+    return annotate.tokens(_docs(spark, sf_dir), ["lexeme", "start", "pos_class"]).where("pos_class = 'ProperNoun'").select("doc_id", "lexeme", "start")
+
+
+def title_case_lines(spark, sf_dir):
+    return annotate.title_lines(_docs(spark, sf_dir))
 
 
 def open_class_tokens(spark, sf_dir):
-    return annotate.classify(_tokens(spark, sf_dir, True), contextual=False).where("pos_class = 'Open'").select("doc_id", "lexeme", "start", "open_kind")
+    plain = annotate.tokens(_docs(spark, sf_dir), ["lexeme", "start", "pos_class", "open_kind"], contextual=False)
+    return plain.where("pos_class = 'Open'").select("doc_id", "lexeme", "start", "open_kind")
 
 
 def contextual_senses(spark, sf_dir):
-    c = _classified(spark, sf_dir, True).where(F.col("lower").isin(V.AMBIGUOUS))
-    return c.select("doc_id", "pos", "lexeme", "pos_class", "open_kind")
+    c = annotate.tokens(_docs(spark, sf_dir), ["pos", "lexeme", "pos_class", "open_kind"])
+    return c.where(T.ascii_lower(F.col("lexeme")).isin(V.AMBIGUOUS))
 
 
 def weak_words(spark, sf_dir):
-    return lint.weak_words(_classified(spark, sf_dir, True))
+    return lint.weak_words(_docs(spark, sf_dir))
 
 
 def run_on_sentences(spark, sf_dir):
-    return lint.run_ons(annotate.sentences(_tokens(spark, sf_dir, True)))
+    return lint.run_ons(_docs(spark, sf_dir))
 
 
 def length_outliers(spark, sf_dir):
-    return lint.length_outliers(annotate.sentences(_tokens(spark, sf_dir, True)))
+    return lint.length_outliers(_docs(spark, sf_dir))
 
 
 def passive_voice(spark, sf_dir):
-    return lint.passive_voice(_classified(spark, sf_dir, True), documents.corpus(spark, sf_dir, True))
+    return lint.passive_voice(_docs(spark, sf_dir))
 
 
-def _findings(spark, sf_dir):
-    docs = documents.corpus(spark, sf_dir, True)
-    toks = annotate.tokens(docs)
-    return lint.findings(annotate.classify(toks), annotate.sentences(toks), docs), docs
+def lint_findings(spark, sf_dir):
+    return lint.findings(_docs(spark, sf_dir))
 
 
-def lint_findings(spark, sf_dir):
-    return _findings(spark, sf_dir)[0]
+def lint_strict(spark, sf_dir):
+    """The rules under another configuration: shorter sentences, other words."""
+    return lint.findings(_docs(spark, sf_dir), lint.LintConfig(max_words=30, outlier_min=20, outlier_ratio=3, weak_words=["thing", "unquestionably", "good"]))
 
 
 def lint_report_lines(spark, sf_dir):
-    return lint.report_lines(*_findings(spark, sf_dir))
+    return lint.report_lines(_docs(spark, sf_dir))
 
 
 def doc_lint_summary(spark, sf_dir):
@@ -87,32 +102,39 @@ def doc_lint_summary(spark, sf_dir):
 
 
 def paragraph_outline(spark, sf_dir):
-    o = render.outline(annotate.sentences(_tokens(spark, sf_dir, True)))
+    o = render.outline(_docs(spark, sf_dir))
     return o.select("doc_id", "node_id", "kind", "depth", "start", "end", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
 def content_hashes(spark, sf_dir):
-    return render.content_hashes(documents.corpus(spark, sf_dir, True))
+    return render.content_hashes(_docs(spark, sf_dir))
 
 
 def visual_roles(spark, sf_dir):
-    return render.role_counts(annotate.axes(_classified(spark, sf_dir, True)))
+    return render.role_counts(annotate.tokens(_docs(spark, sf_dir), ["role"]))
 
 
-def ansi_render(spark, sf_dir):
-    return render.ansi(documents.corpus(spark, sf_dir, True), annotate.axes(_classified(spark, sf_dir, True)))
+def roles_by_axes(spark, sf_dir):
+    """Roles found from the axes alone, as a reader of documents finds them."""
+    axes = annotate.tokens(_docs(spark, sf_dir), ["token_kind", "lexical_class", "open_axis"])
+    counts = axes.groupBy("token_kind", "lexical_class", "open_axis").agg(F.count(F.lit(1)).alias("n"))
+    return render.roles_of_axes(counts)
 
 
-def _placed(spark, sf_dir):
-    return render.positions(documents.corpus(spark, sf_dir, True), annotate.axes(_classified(spark, sf_dir, True)))
+def ansi_render(spark, sf_dir):
+    return render.ansi(_docs(spark, sf_dir))
 
 
 def highlight_spans(spark, sf_dir):
-    return render.highlight_spans(_placed(spark, sf_dir))
+    return render.highlight_spans(_docs(spark, sf_dir))
 
 
 def semantic_token_deltas(spark, sf_dir):
-    return render.token_deltas(_placed(spark, sf_dir))
+    return render.token_deltas(_docs(spark, sf_dir))
+
+
+def editor_diagnostics(spark, sf_dir):
+    return render.editor_diagnostics(_docs(spark, sf_dir))
 
 
 def ansi_roundtrip(spark, sf_dir):
@@ -120,47 +142,124 @@ def ansi_roundtrip(spark, sf_dir):
 
 
 def lsp_roundtrip(spark, sf_dir):
-    return render.delta_positions(semantic_token_deltas(spark, sf_dir))
+    return render.delta_spans(render.editor_tokens(_docs(spark, sf_dir), ["doc_id", "text"]))
 
 
 def span_report(spark, sf_dir):
-    return render.span_report(documents.corpus(spark, sf_dir, True), annotate.axes(_classified(spark, sf_dir, True)))
+    return render.span_report(_docs(spark, sf_dir))
 
 
-def _analyses(spark, sf_dir):
-    docs = documents.corpus(spark, sf_dir, True)
-    toks = annotate.classify(annotate.tokens(docs))
-    return interchange.analyses(docs, annotate.axes(toks), render.outline(annotate.sentences(toks))), docs
+def ir_documents(spark, sf_dir):
+    return interchange.canonical_json(interchange.analyses(_docs(spark, sf_dir)))
 
 
-def ir_documents(spark, sf_dir):
-    return interchange.canonical_json(_analyses(spark, sf_dir)[0])
+def diagnose_report(spark, sf_dir):
+    return diagnose.diagnose(_docs(spark, sf_dir))
+
+
+def _read_back(spark, sf_dir) -> DataFrame:
+    """Documents written as JSON, read again beside their sources."""
+    docs = _docs(spark, sf_dir)
+    found = interchange.analyses(docs)
+    json = found.select("doc_id", "bytes", F.to_json("analysis", {"ignoreNullFields": "false"}).alias("json"))
+    return json.select("doc_id", F.from_json("json", interchange.ANALYSIS).alias("analysis"), "bytes")
+
+
+def consumer_report(spark, sf_dir):
+    """Span reports that a reader of the JSON makes, and what it says of broken documents."""
+    return consumers.consume(_read_back(spark, sf_dir).unionByName(cases.broken_documents(spark)))
+
+
+def consumer_admission(spark, sf_dir):
+    """The first fault that an admission finds in broken documents."""
+    return consumers.admission(cases.broken_documents(spark)).select("doc_id", "code", "path")
+
+
+def editor_consumer_report(spark, sf_dir):
+    """Span reports from editor tokens."""
+    return consumers.consume_editor(render.editor_tokens(_docs(spark, sf_dir), ["doc_id", "text"]))
 
 
 def ir_validation_errors(spark, sf_dir):
     """The errors of all documents after every token starts a byte late and two share an id."""
-    found, docs = _analyses(spark, sf_dir)
+    found = interchange.analyses(_docs(spark, sf_dir))
 
     def late(t):
         r = t["byteRange"]
         return t.withField("byteRange", r.withField("startUtf8", r["startUtf8"] + 1)).withField("occurrenceId", F.floor(t["occurrenceId"] / 2).cast("int"))
 
-    damaged = found.select("doc_id", F.col("analysis").withField("tokens", F.transform("analysis.tokens", late)).alias("analysis"))
-    sources = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
-    return validate.interchange_errors(damaged, sources).select("doc_id", "stage", "code", "path")
+    damaged = found.withColumn("analysis", F.col("analysis").withField("tokens", F.transform("analysis.tokens", late)))
+    return validate.with_errors(damaged).select("doc_id", F.inline("errors")).select("doc_id", "stage", "code", "path")
+
+
+def ir_broken_documents(spark, sf_dir):
+    """Every rule of interchange documents, broken at least once, with the report's words."""
+    return validate.with_errors(cases.broken_documents(spark)).select("doc_id", F.inline("errors")).select("doc_id", "code", "path", "message")
+
+
+def ir_reports(spark, sf_dir):
+    """The whole report of each broken document."""
+    return validate.with_errors(cases.broken_documents(spark)).select("doc_id", validate.report(F.col("errors")).alias("report"))
+
+
+def projection_gate(spark, sf_dir):
+    """How many documents pass their own validation, and how many are refused."""
+    good, bad = interchange.project(_docs(spark, sf_dir))
+    state = good.select(F.lit("accepted").alias("state")).unionByName(bad.select(F.col("error").alias("state")))
+    return state.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trees(docs: DataFrame) -> DataFrame:
+    """Trees and tokens of the library's own parser, as another program would hand them over."""
+    rows = annotate.nested(docs, ["doc_id", "text"], contextual=False)
+
+    def part(t):
+        return F.struct(F.when(t["kind"].isin("word", "number"), "Word").otherwise("Punct").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
+
+    def sentence(s):
+        return F.struct(F.lit("Sentence").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.transform(F.slice("tokens", s["first"] + 1, s["size"]), part).alias("parts"))
+
+    tree = F.struct(F.lit("Document").alias("kind"), F.transform("sentences", sentence).alias("sentences"))
+    return rows.select("doc_id", "text", tree.alias("tree"), F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
 
 
 def classification_errors(spark, sf_dir):
     """The first error of all documents after every token starts a byte late."""
-    docs = documents.corpus(spark, sf_dir, True)
-    toks = annotate.tokens(docs)
-    kind = F.when(F.col("kind").isin("word", "number"), "Word").otherwise("Punct")
-    parts = toks.select("doc_id", "sent_id", F.col("pos").alias("part"), kind.alias("node_kind"), "start", "end")
-    return validate.classification_errors(docs, annotate.sentences(toks), parts, toks.withColumn("start", F.col("start") + 1))
+    late = F.transform("tokens", lambda t: F.struct((t["start"] + 1).alias("start"), t["end"].alias("end")))
+    return validate.classification_errors(_trees(_docs(spark, sf_dir)).withColumn("tokens", late)).select("doc_id", "code", "path")
+
+
+def classification_cases(spark, sf_dir):
+    """Every rule of classifications, broken once."""
+    return validate.classification_errors(cases.broken_trees(spark))
+
+
+def markdown_masked_lint(spark, sf_dir):
+    """Findings of Markdown and plain texts, code and destinations left out."""
+    docs = documents.markdown_fixtures(spark).unionByName(_docs(spark, sf_dir, False).withColumn("format", F.lit("plain")))
+    return lint.findings(prose.prose(docs))
+
+
+def markdown_masks(spark, sf_dir):
+    return prose.prose(documents.markdown_fixtures(spark)).select("doc_id", "prose")
+
+
+def markdown_ansi(spark, sf_dir):
+    return render.ansi(prose.prose(documents.markdown_fixtures(spark)))
+
+
+def utf8_gate(spark, sf_dir):
+    """Bytes that are no UTF-8 are refused, never replaced."""
+    good, bad = documents.gate(cases.byte_rows(spark))
+    return good.select("name", "format", "text", F.lit(None).cast("string").alias("error")).unionByName(bad.select("name", F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("text"), "error"))
+
+
+def external_alerts(spark, sf_dir):
+    return external.external_findings(cases.alerts(spark)).select("doc_id", "n", "start", "end", "rule", "severity", "message", "error")
 
 
 def session_replay(spark, sf_dir):
-    """Each conversation as a session: its first turn opens, every later one is put on top."""
+    """Each conversation as a session: its first turn opens, every later one is put on top; and an editor's log."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
     text = F.coalesce("text", F.lit(""))
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), text))
@@ -171,13 +270,23 @@ def session_replay(spark, sf_dir):
         "uri", "seq", F.when(first, "open").otherwise("change").alias("kind"), F.lit("plain").alias("format"),
         *[zero.alias(c) for c in ("start_line", "start_char", "end_line", "end_char")], F.when(first, F.col("t")).otherwise(F.concat("t", F.lit("\n"))).alias("text"),
     )
-    return session.replay(events)
+    return session.replay(events.unionByName(cases.session_events(spark)))
+
+
+def session_results(spark, sf_dir):
+    """What an editor shows after a log of messages: tokens and diagnostics of every open document."""
+    events = session.events_of_messages(cases.messages(spark))
+    shown = session.results(session.replay(events.unionByName(cases.session_events(spark))))
+    note = lambda d: F.format_string("%d:%d-%d:%d %s %s: %s", d["start_line"], d["start_char"], d["end_line"], d["end_char"], d["severity"], d["code"], d["message"])
+    return shown.select("uri", "result_id", "status", F.array_join(F.col("data").cast("array<string>"), ",").alias("data"), F.array_join(F.transform("diagnostics", note), "; ").alias("diagnostics"))
 
 
 QUERIES = [
-    token_stream, sentence_spans, number_tokens, closed_class_counts, pos_class_counts, proper_nouns, open_class_tokens, contextual_senses, weak_words, run_on_sentences,
-    length_outliers, passive_voice, lint_findings, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, ansi_render, highlight_spans, semantic_token_deltas,
-    ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, ir_validation_errors, classification_errors, session_replay,
+    token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
+    weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
+    ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, diagnose_report, consumer_report, consumer_admission,
+    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_cases, markdown_masked_lint, markdown_masks, markdown_ansi,
+    utf8_gate, external_alerts, session_replay, session_results,
 ]
 
 
@@ -190,7 +299,6 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-_C = interchange.Contract()
 _IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 _SP = r" \t\r\n\f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 _RE = rf"(?s)\p{{L}}[\p{{L}}\p{{N}}]*(?:[''’\-][\p{{L}}\p{{N}}]+)*|\p{{N}}+(?:[.,]\p{{N}}+)*|[.!?]+|[{_SP}]+|."
@@ -265,7 +373,9 @@ o1 AS (SELECT *, (sum(brk) OVER (PARTITION BY doc_id ORDER BY sent_id))::INT AS
 o2 AS (SELECT *, ((max(par) OVER (PARTITION BY doc_id)) + 1 + sent_id)::INT AS node FROM o1)
 SELECT doc_id, node AS node_id, 'SENTENCE' AS kind, 1 AS depth, "start", "end", '' AS children FROM o2
 UNION ALL SELECT doc_id, par, 'PARAGRAPH', 0, min("start"), max("end"), string_agg(node::VARCHAR, ',' ORDER BY node) FROM o2 GROUP BY doc_id, par"""
-    steps = ", ".join(f"""{{"compilerBuildHash":"{_C.build}","passId":"{p}","ruleId":"{r}","sourceRanges":[{{"endUtf8":<n>,"startUtf8":0}}]}}""" for p, r in _C.passes).replace("}, {", "},{")
+    step = """{"compilerBuildHash":"textlens@0.1","passId":"%s","ruleId":"%s","sourceRanges":[{"endUtf8":<n>,"startUtf8":0}]}"""
+    steps = step % ("segment", "prose-segmenter") + "," + step % ("classify", "contextual-open-class-annotator")
+    schema_hash, vocabulary_hash = expected.SCHEMA, expected.VOCABULARY
     span = """'{"endUtf8":' || "end" || ',"startUtf8":' || "start" || '}'"""
     axis = lambda value: f"""coalesce('"' || {value} || '"', 'null')"""
     lexical = "CASE pos_class WHEN 'Function' THEN 'FUNCTION' WHEN 'ProperNoun' THEN 'PROPER_NOUN_CANDIDATE' WHEN 'Content' THEN 'CONTENT' WHEN 'Open' THEN 'CONTENT' END"
@@ -276,13 +386,14 @@ UNION ALL SELECT doc_id, par, 'PARAGRAPH', 0, min("start"), max("end"), string_a
     nodes = outline.replace("SELECT doc_id, node AS node_id", "nodes AS (SELECT doc_id, node AS node_id", 1).replace("FROM o1)\nnodes", "FROM o1),\nnodes", 1) + ")"
     documents_sql = nodes + f""", tj AS (SELECT doc_id, string_agg({token}, ',' ORDER BY pos) AS tj FROM c GROUP BY 1), nj AS (SELECT doc_id, string_agg({node}, ',' ORDER BY node_id) AS nj FROM nodes GROUP BY 1),
 h AS (SELECT doc_id, name, coalesce(text, '') AS x, octet_length(encode(coalesce(text, ''))) AS n FROM docs)
-SELECT h.doc_id, '{{"contractVersion":"{_C.version}","derivation":[' || replace('{steps}', '<n>', n::VARCHAR) || '],"diagnostics":[],"schemaHash":"{_C.schema_hash}","source":{{"contentHash":"sha256:' || sha256(x) || '","unitId":"' || name || '","utf8ByteLength":' || n
-|| '}},"structure":[' || coalesce(nj, '') || '],"tokens":[' || coalesce(tj, '') || '],"vocabularyHash":"{_C.vocabulary_hash}"}}' AS json FROM h LEFT JOIN tj USING (doc_id) LEFT JOIN nj USING (doc_id)"""
+SELECT h.doc_id, '{{"contractVersion":"textlens.syntax/v1","derivation":[' || replace('{steps}', '<n>', n::VARCHAR) || '],"diagnostics":[],"schemaHash":"{schema_hash}","source":{{"contentHash":"sha256:' || sha256(x) || '","unitId":"' || name || '","utf8ByteLength":' || n
+|| '}},"structure":[' || coalesce(nj, '') || '],"tokens":[' || coalesce(tj, '') || '],"vocabularyHash":"{vocabulary_hash}"}}' AS json FROM h LEFT JOIN tj USING (doc_id) LEFT JOIN nj USING (doc_id)"""
     wide = "octet_length(encode(s[1])) > 1"
     late = f"""SELECT doc_id, 3 AS stage, 'EmptyTokenRange' AS code, 'tokens[' || pos || '].byteRange' AS path FROM tok WHERE "end" = "start" + 1
 UNION ALL SELECT doc_id, 3, 'RangeNotOnCharBoundary', 'tokens[' || pos || '].byteRange.startUtf8' FROM tok WHERE {wide} UNION ALL SELECT doc_id, 3, 'DuplicateTokenId', 'tokens[' || pos || ']' FROM tok WHERE pos % 2 = 1"""
-    broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code, 'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' AS path FROM tok GROUP BY doc_id"""
-    replay = """SELECT conv_id::VARCHAR AS uri, count(*) AS generation, 'plain' AS format, string_agg(coalesce(text, ''), chr(10) ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"""
+    broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code,
+  'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' || CASE WHEN bool_or({wide}) THEN '.start' ELSE '' END AS path FROM tok GROUP BY doc_id"""
+    replay = f"""SELECT conv_id::VARCHAR AS uri, count(*) AS generation, 'plain' AS format, string_agg(coalesce(text, ''), chr(10) ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id UNION ALL {expected.SESSIONS}"""
     styled = f", st AS (SELECT c.*, r.* FROM (SELECT *, {role} AS own FROM c) c JOIN ({role_rows}) {roles} ON own = r.role)"
     colored = """ SELECT d.doc_id, coalesce(a.x, d.text) AS colored FROM docs d LEFT JOIN (SELECT seg.doc_id, string_agg(CASE WHEN ansi IS NULL THEN seg.s ELSE chr(27) || '[' || ansi || 'm' || seg.s || chr(27) || '[0m' END, '' ORDER BY seg.p) AS x
 FROM seg LEFT JOIN st ON seg.doc_id = st.doc_id AND seg.p = st.p GROUP BY seg.doc_id) a USING (doc_id)"""
@@ -292,19 +403,81 @@ FROM seg LEFT JOIN st ON seg.doc_id = st.doc_id AND seg.p = st.p GROUP BY seg.do
   CASE WHEN kind = 'space' THEN len(regexp_extract_all(s, '\\r\\n|\\r|\\n')) ELSE 0 END AS nb, length(regexp_replace(s, '(?s)^.*[\\r\\n]', '')) AS tail FROM seg),
 u1 AS (SELECT doc_id, p, u, c0, c16, coalesce(sum(nb) OVER {w}, 0)::INT AS "row", coalesce(last_value(CASE WHEN nb > 0 THEN c0 + length(s) - tail END IGNORE NULLS) OVER {w}, 0) AS ls,
   coalesce(last_value(CASE WHEN nb > 0 THEN c16 + u - tail END IGNORE NULLS) OVER {w}, 0) AS ls16 FROM u0),
-pl AS (SELECT st.doc_id, pos, s, highlight, token_type, "row", (c0 - ls)::INT AS col, (c16 - ls16)::INT AS col16, u::INT AS "length" FROM st JOIN u1 ON st.doc_id = u1.doc_id AND st.p = u1.p)"""
+pl AS (SELECT st.doc_id, pos, s, "start", "end", highlight, token_type, "row", (c0 - ls)::INT AS col, (c16 - ls16)::INT AS col16, u::INT AS "length" FROM st JOIN u1 ON st.doc_id = u1.doc_id AND st.p = u1.p)"""
     kinds = "list_position([" + ", ".join(f"'{t}'" for t in V.LEGEND) + "], token_type) - 1"
     editor = "FROM pl WHERE token_type IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY pos)"
     deltas = f""" SELECT doc_id, pos, "row" - coalesce(lag("row") OVER d, 0) AS delta_line, col16 - CASE WHEN "row" = coalesce(lag("row") OVER d, 0) THEN coalesce(lag(col16) OVER d, 0) ELSE 0 END AS delta_start, "length", {kinds} AS "type", 0 AS modifiers {editor}"""
     cell = "CASE WHEN s = '`' THEN '`` ` ``' ELSE '`' || replace(s, '|', '\\|') || '`' END"
     report = f""" SELECT d.doc_id, '# Highlight spans' || chr(10) || chr(10) || '| UTF-8 bytes | Text | Role |' || chr(10) || '| --- | --- | --- |' || chr(10) || coalesce(x, '') AS report FROM docs d LEFT JOIN
 (SELECT doc_id, string_agg('| `' || "start" || '..' || "end" || '` | ' || {cell} || ' | `' || own || '` |' || chr(10), '' ORDER BY p) AS x FROM st WHERE token_type IS NOT NULL GROUP BY 1) USING (doc_id)"""
-    return {
+    unseen = "regexp_matches(s, '^[\\x{0B}\\x{85}\\x{2028}\\x{2029}]$')"
+    agent = lambda t: f"({t}.pos_class IN ('Content', 'ProperNoun') OR ({t}.pos_class = 'Open' AND {t}.open_kind = 'Noun') OR coalesce({t}.function_kind = 'Pronoun', false)) AND {t}.lower NOT IN {_IN(V.NO_AGENT)}"
+    ahead = lambda t, k: f"LEFT JOIN wn {t} ON {t}.doc_id = pa.doc_id AND {t}.sent_id = pa.sent_id AND {t}.k = pa.k + pa.skip + {k}"
+    passive = f""", v AS (SELECT *, sum((NOT {unseen})::INT) OVER (PARTITION BY doc_id ORDER BY p) AS vis FROM c),
+wn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY p) AS k FROM v WHERE kind IN ('word', 'number')),
+pa AS (SELECT x.doc_id, x.sent_id, x.k, x.p AS p0, x."start", CASE WHEN (y.pos_class = 'Open' AND y.open_kind = 'Adverb') OR (y.pos_class = 'Content' AND octet_length(encode(y.s)) > 2 AND y.lower LIKE '%ly') THEN 1 ELSE 0 END AS skip
+  FROM wn x JOIN wn y ON y.doc_id = x.doc_id AND y.sent_id = x.sent_id AND y.k = x.k + 1 WHERE x.function_kind = 'Auxiliary' AND x.lower IN {_IN(V.BE_AUXILIARIES)}),
+ph AS (SELECT pa.doc_id, pa.p0, pa."start", t.p AS p1, t."end", t.lower AS part, coalesce(b.function_kind = 'Preposition' AND b.lower = 'by' AND b.vis = t.vis + 1 AND o.vis = b.vis + 1
+    AND CASE WHEN o.function_kind IN ('Article', 'Determiner') THEN q.vis = o.vis + 1 AND {agent("q")} ELSE {agent("o")} END, false) AS phrase
+  FROM pa {ahead("t", 1)} {ahead("b", 2)} {ahead("o", 3)} {ahead("q", 4)} WHERE t.pos_class = 'Content' OR (t.pos_class = 'Open' AND t.open_kind = 'Verb')),
+pv AS (SELECT ph.doc_id, ph."start", ph."end", 'passive-voice' AS rule, 'info' AS severity, 'passive-voice candidate ''' || string_agg(seg.s, '' ORDER BY seg.p) || '''' AS message
+  FROM ph JOIN seg ON seg.doc_id = ph.doc_id AND seg.p BETWEEN ph.p0 AND ph.p1 WHERE part IN {_IN(V.EVENTIVE)} OR (part IN {_IN(V.NEEDS_BY_PHRASE)} AND phrase) GROUP BY ALL)"""
+    other_words = "SELECT doc_id, \"start\", \"end\", 'weak-word' AS rule, 'info' AS severity, 'weak word ''' || lower || '''' AS message FROM c WHERE pos_class IN ('Content', 'Open') AND lower IN ('thing', 'unquestionably', 'good')"
+    strict = f"{other_words} UNION ALL {runs.replace('> 40', '> 30')} UNION ALL {outl.replace('BETWEEN 25 AND 40', 'BETWEEN 20 AND 30').replace('>= 2 * total', '>= 3 * total')} UNION ALL SELECT * FROM pv"
+    lint_all = passive + f", lf AS (SELECT * FROM pv UNION ALL {weak} UNION ALL {runs} UNION ALL {outl})"
+    begin = ' JOIN pl a ON a.doc_id = lf.doc_id AND a."start" = lf."start"'
+    at = begin + ' JOIN pl b ON b.doc_id = lf.doc_id AND b."end" = lf."end"'
+    marks = ", ".join(f"({m[0]}, {'NULL' if m[4] is None else expected.text(m[4])})" for m in documents.MARKDOWN)
+    masked = _sql(False).replace("WITH docs AS (", f"WITH md(doc_id, text) AS (VALUES {marks}), docs AS (SELECT doc_id, '' AS name, text FROM md UNION ALL ", 1)
+    null = lambda v: f"""coalesce('"' || {v} || '"', 'null')"""
+    diag_token = f"""'{{"ansi":' || {null("ansi")} || ',"byteRange":{{"endUtf8":' || "end" || ',"startUtf8":' || "start" || '}},"editorTokenType":' || {null("token_type")} || ',"editorTokenTypeIndex":' || coalesce((CASE WHEN token_type IS NOT NULL THEN {kinds} END)::VARCHAR, 'null')
+  || ',"functionKind":' || {null("CASE WHEN pos_class = 'Function' THEN upper(function_kind) END")} || ',"highlightClass":' || {null("highlight")} || ',"lexicalClass":' || {null(lexical)} || ',"occurrenceId":' || pos
+  || ',"openClassKind":' || {null("CASE WHEN pos_class = 'Open' THEN upper(open_kind) END")} || ',"text":' || to_json(s)::VARCHAR || ',"tokenKind":"' || {token_kind} || '","visualRole":"' || own || '"}}'"""
+    diag_note = """'{"byteRange":{"endUtf8":' || lf."end" || ',"startUtf8":' || lf."start" || '},"code":"' || rule || '","column":' || (a.col + 1) || ',"line":' || (a."row" + 1) || ',"message":' || to_json(message)::VARCHAR
+  || ',"severity":"' || upper(severity) || '","text":' || to_json(decode(encode(d.text)[lf."start" + 1:lf."end"]))::VARCHAR || '}'"""
+    legend = "[" + ",".join(f'"{t}"' for t in V.LEGEND) + "]"
+    diag = placed + lint_all + f""", dt AS (SELECT doc_id, count(*) AS n, count(ansi) AS na, count(highlight) AS nh, count(token_type) AS ne, string_agg({diag_token}, ',' ORDER BY pos) AS j FROM st GROUP BY 1),
+dn AS (SELECT lf.doc_id, count(*) AS n, string_agg({diag_note}, ',' ORDER BY lf."start", rule) AS j FROM lf{begin} JOIN docs d ON d.doc_id = lf.doc_id GROUP BY 1)
+SELECT d.doc_id, '{{"contracts":{{"syntax":{{"contractVersion":"textlens.syntax/v1","schemaHash":"{schema_hash}"}},"vocabulary":{{"hash":"{vocabulary_hash}","legend":{legend}}}}},"diagnostics":[' || coalesce(dn.j, '') || '],"reportVersion":"textlens.diagnose/v1","source":{{"contentHash":"sha256:'
+ || sha256(d.text) || '","unitId":"' || d.name || '","utf8ByteLength":' || octet_length(encode(d.text)) || '}},"summary":{{"ansiColoredTokens":' || coalesce(na, 0) || ',"diagnostics":' || coalesce(dn.n, 0) || ',"editorTokens":' || coalesce(ne, 0) || ',"highlightedTokens":' || coalesce(nh, 0)
+ || ',"tokens":' || coalesce(dt.n, 0) || '}},"tokens":[' || coalesce(dt.j, '') || '],"tool":{{"name":"textlens","version":"0.1"}}}}' AS report FROM docs d LEFT JOIN dt USING (doc_id) LEFT JOIN dn USING (doc_id)"""
+    reports = sql + styled + report
+    good_report = f"""{expected.text(render.REPORT_HEAD)} || '| `7..9` | `it` | `STRUCTURAL_KEYWORD` |' || chr(10) || '| `12..14` | `Go` | `VERB` |' || chr(10) || '| `15..16` | `2` | `LITERAL` |' || chr(10)"""
+    faults = ", ".join(f"(-{1000 + i}, '{c}')" for i, c in enumerate(expected.REPORTED, 1)) + ", (-1999, 'E_JSON')"
+    broken_rows = expected.values("code", "path", "message", rows=expected.BROKEN)
+    axes_rows = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in V.AXES)
+    more = {
+        "passive_voice": sql + passive + " SELECT * FROM pv",
+        "lint_findings": sql + lint_all + " SELECT * FROM lf",
+        "lint_strict": sql + passive + " " + strict,
+        "doc_lint_summary": sql + lint_all + " SELECT doc_id, rule, count(*) AS n FROM lf GROUP BY 1, 2",
+        "lint_report_lines": sql + placed + lint_all + """ SELECT lf.doc_id, lf."start", rule, d.name || ':' || (a."row" + 1) || ':' || (a.col + 1) || ': ' || severity || ' [' || rule || ']: ' || message AS line FROM lf JOIN docs d ON d.doc_id = lf.doc_id""" + begin,
+        "editor_diagnostics": sql + placed + lint_all + """ SELECT lf.doc_id, a."row" AS start_line, a.col16 AS start_char, b."row" AS end_line, (b.col16 + b."length")::INT AS end_char, CASE severity WHEN 'warning' THEN 'WARNING' ELSE 'INFORMATION' END AS severity, rule AS code, 'textlens' AS source, message FROM lf""" + at,
+        "diagnose_report": sql + diag,
+        "consumer_report": f"SELECT doc_id, NULL AS code, report FROM ({reports}) UNION ALL SELECT -1000, NULL, {good_report} UNION ALL SELECT doc_id, code, NULL FROM (VALUES {faults}) f(doc_id, code)",
+        "editor_consumer_report": f"SELECT doc_id, NULL::VARCHAR AS code, report FROM ({reports})",
+        "consumer_admission": expected.values("code", "path", rows=[(-1000, None, None), *[(-1000 - i, *r) for i, r in enumerate(expected.ADMITTED, 1)], (-1999, "E_ARTIFACT_SHAPE", None)]),
+        "ir_broken_documents": broken_rows,
+        "ir_reports": f"WITH b AS (SELECT *, row_number() OVER () AS n FROM ({broken_rows})) SELECT doc_id, 'document failed validation (' || count(*) || ' issue(s)):' || string_agg(chr(10) || '  - ' || message, '' ORDER BY n) AS report FROM b GROUP BY 1 UNION ALL SELECT unnest([-1000, -1999]), NULL",
+        "projection_gate": sql + " SELECT 'accepted' AS state, count(*) AS n FROM docs",
+        "classification_cases": expected.values("code", "path", "message", rows=expected.TREE_ERRORS),
+        "markdown_masks": f"SELECT * FROM (VALUES {marks}) m(doc_id, prose)",
+        "markdown_masked_lint": masked + lint_all + " SELECT * FROM lf",
+        "utf8_gate": expected.BYTES,
+        "external_alerts": expected.values("n", "start", "end", "rule", "severity", "message", "error", rows=expected.ALERTS),
+        "session_results": expected.SHOWN,
+        "number_prefixes": sql + "SELECT doc_id, pos, s AS number FROM tok WHERE kind = 'number'",
+        "lexicon_classes": sql + "SELECT base AS pos_class, count(*) AS n FROM lex WHERE kind IN ('word', 'number') GROUP BY 1",
+        "title_case_lines": sql + 'SELECT doc_id, (line - 1)::INT AS "row" FROM line2',
+        "roles_by_axes": sql + f""", t AS (SELECT {token_kind} AS token_kind, {lexical} AS lexical_class, CASE WHEN pos_class = 'Open' THEN upper(open_kind) END AS open_axis FROM c), g AS (SELECT token_kind, lexical_class, open_axis, count(*) AS n FROM t GROUP BY 1, 2, 3)
+SELECT g.*, role FROM g LEFT JOIN ({axes_rows}) r(a, b, d, role) ON a = token_kind AND b IS NOT DISTINCT FROM lexical_class AND d IS NOT DISTINCT FROM open_axis""",
+    }
+    return more | {
         "span_report": sql + styled + report,
         "ansi_render": sql + styled + colored,
         "highlight_spans": sql + placed + ' SELECT doc_id, pos, highlight AS class, "row", col, (col + length(s))::INT AS end_col FROM pl WHERE highlight IS NOT NULL',
         "semantic_token_deltas": sql + placed + deltas,
-        "lsp_roundtrip": sql + placed + f' SELECT doc_id, pos, "row", col16, "length", {kinds} AS "type" FROM pl WHERE token_type IS NOT NULL',
+        "lsp_roundtrip": sql + placed + f' SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, "start", "end", "row", col16, "length", {kinds} AS "type" FROM pl WHERE token_type IS NOT NULL',
         "ir_documents": sql + documents_sql,
         "ir_validation_errors": sql + late,
         "classification_errors": sql + broken,

@@ -16,22 +16,61 @@ FIXTURES = [
     (-7, "segments", "\"Hi.\" Go. Hi. \"Go.\" a.b e.g. x ?!?! (Yes.) No"),
     (-8, "numbers", "1,234.5 and 3.14 and 2. then 1,,2 or 7.x"),
     (-9, "lines", "One.\n\nTwo.\nThree.\n\n\nFour. Five."),
+    (-11, "agents", "It was quickly written. The lake was known by a cat. It is lost by now. The map was broken by Paris. She is being reviewed. They were closed by fast cars. It was closed by\u2028the wind. He was 5 written."),
+    (-12, "thing", "A good thing came. It was unquestionably Good. One Two three."),
     (-10, "open", "The quick dog quickly connects the silent river. A mountain glows slowly."),
 ]
 
 
+#: Inputs up to so many bytes a core are dealt out anew; larger ones have splits enough.
+SMALL = 16 * 1024 * 1024
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small input over all cores, whatever its files and row groups; a large one as it is.
+
+    A file with one row group is one task however many cores there are. Dealing out a few
+    MB costs nothing; a corpus is never shuffled for it. Results don't depend on this.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores) if size <= cores * SMALL else docs
+
+
 def corpus(spark: SparkSession, sf_dir: str, fixtures: bool = False) -> DataFrame:
     """doc_id, name, text of ``documents``, with the fixtures where asked."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(docs).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
     return docs.unionByName(spark.createDataFrame(FIXTURES, "doc_id long, name string, text string")) if fixtures else docs
 
 
+#: Own Markdown texts and what is prose in them.
+MARKDOWN = [
+    (-101, "fence", "markdown", "It is very good.\n\n```text\nIt is very bad.\n```\n\nThe end is really near.\n", "It is very good.\n\n.      \n               \n   \n\nThe end is really near.\n"),
+    (-102, "span", "markdown", "Say `very much` and é `漢😀` twice, really.", "Say             and é  \u3000\u00a0\u00a0  twice, really."),
+    (-103, "links", "markdown", "A [very long](http://x.y/very \"really\") link, [named][very] and <http://very.x>.\n\n[very]: http://very.y 'very'\n", "A [very long]" + " " * 26 + " link, [named]       and" + " " * 16 + ".\n\n." + " " * 27 + "\n"),
+    (-104, "meta", "markdown", "---\ntitle: very\n---\n<div>\nvery\n</div>\n\nJust text.", ".  \n           \n   \n     \n    \n      \n\nJust text."),
+    (-105, "plain", "plain", "It is `very` plain.", "It is `very` plain."),
+    (-106, "quote", "markdown", "> It was very `really` late.\n>\n>     very\n\n- just\n\n  ~~~\n  very\n  ~~~\n", "> It was very          late.\n>\n>     .   \n\n- just\n\n  .  \n      \n     \n"),
+    (-107, "none", "markdown", None, None),
+]
+
+
+def markdown_fixtures(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([m[:2] + (m[3], m[2]) for m in MARKDOWN], "doc_id long, name string, text string, format string")
+
+
+def gate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of name, bytes: strict UTF-8, never replaced."""
+    valid = F.coalesce(F.is_valid_utf8(F.col("bytes").cast("string")), F.lit(False))
+    good = raw.where(valid).select("name", format_of_path(F.col("name")).alias("format"), F.decode("bytes", "UTF-8").alias("text"))
+    return good, raw.where(~valid).select("name", F.lit("invalid-utf8").alias("error"))
+
+
 def read_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejected): whole files as (name, format, text); invalid UTF-8 is refused, never replaced."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.col("content").alias("bytes"))
-    valid = F.is_valid_utf8(F.col("bytes").cast("string"))
-    good = raw.where(valid).select("name", format_of_path(F.col("name")).alias("format"), F.decode("bytes", "UTF-8").alias("text"))
-    return good, raw.where(~valid).select("name", F.lit("invalid-utf8").alias("error"))
+    return gate(raw)
 
 
 def from_text(spark: SparkSession, text: str, name: str = "<stdin>") -> DataFrame:

@@ -11,10 +11,12 @@ shows is always its newest generation.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -116,3 +118,111 @@ def sessions(events: DataFrame) -> DataFrame:
 
 def analysable(text: Column) -> Column:
     return F.octet_length(text) <= MAX_BYTES
+
+
+RESULT = "uri string, generation int, result_id string, status string, data array<int>, diagnostics array<struct<start_line:int,start_char:int,end_line:int,end_char:int,severity:string,code:string,source:string,message:string>>"
+_DIAGNOSTIC = ("start_line", "start_char", "end_line", "end_char", "severity", "code", "source", "message")
+
+
+def analysed(text: str, form: str) -> tuple[list[int], list[tuple]]:
+    """Editor tokens (five numbers each) and diagnostics of one text."""
+    from ..functions import lexer, markdown
+    from ..operators import consumers, lint, render
+
+    prose = markdown.mask(text) if form == "markdown" else text
+    if prose is not text and not consumers.same_coordinates(text, prose):
+        return [], [(0, 0, 0, 0, "ERROR", "textlens/invalid-source-view", "textlens", "analysis view does not preserve source coordinates")]
+    t = lexer.Texts(pa.array([prose]))
+    _, *values = render._edited(t)
+    data = np.stack([*values, np.zeros(len(values[0]))], 1).astype(int).ravel().tolist()
+    found = sorted((a, lint.RULES.index(r), b, m) for r in lint.RULES for a, b, m in lint._RULES[r](t, lint.LintConfig()))
+    severity = {"warning": "WARNING", "info": "INFORMATION"}
+    return data, [(int(t.row[a]), int(t.col16[a]), int(t.row[b]), int(t.end_col16[b]), severity[lint.SEVERITY.get(lint.RULES[k], "info")], lint.RULES[k], "textlens", m) for a, k, b, m in found]
+
+
+def results(opened: DataFrame, analyse: Callable = analysed, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """What a session shows of each document (uri, generation, format, text): tokens and diagnostics.
+
+    result_id is the generation. status is accepted, oversized (a text beyond
+    ``max_bytes`` isn't analysed and gets one warning), failed (the analysis raised: one
+    error, no tokens) or closed (nothing to show). Works on ``replay`` and on the stream
+    of ``sessions`` alike; only the newest generation of a document gets here, so a
+    superseded one is never analysed or shown.
+    """
+    has_open = "open" in opened.columns
+    rows = opened.select("uri", "generation", "format", "text", F.col("open") if has_open else F.lit(True).alias("open"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for e in frame.itertuples(index=False):
+                size = len((e.text or "").encode())
+                if not e.open:
+                    status, data, notes = "closed", [], []
+                elif size > max_bytes:
+                    status, data = "oversized", []
+                    notes = [(0, 0, 0, 0, "WARNING", "textlens/document-too-large", "textlens", f"document is {size} bytes; the analysis limit is {max_bytes} bytes")]
+                else:
+                    try:
+                        (data, notes), status = analyse(e.text or "", e.format), "accepted"
+                    except Exception:  # whatever an analysis raises concerns its document alone
+                        status, data, notes = "failed", [], [(0, 0, 0, 0, "ERROR", "textlens/analysis-failed", "textlens", "document analysis failed")]
+                shown = [dict(zip(_DIAGNOSTIC, n, strict=True)) for n in notes]
+                out.append((e.uri, e.generation, str(e.generation) if e.open else None, status, data, shown))
+            yield pd.DataFrame(out, columns=["uri", "generation", "result_id", "status", "data", "diagnostics"])
+
+    return rows.mapInPandas(run, RESULT)
+
+
+def metrics(events: DataFrame, shown: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row of ten counters over a replayed log and its ``results``.
+
+    Generations that a later event of their document overtook count as cancelled before
+    they were computed; a batch has no stale results and no queue.
+    """
+    w = Window.partitionBy("uri").orderBy("seq")
+    kept = events.where("uri IS NOT NULL AND kind IN ('open', 'change', 'close')")
+    lives = kept.withColumn("since", F.last(F.when(F.col("kind") != "change", F.col("kind")), True).over(w))
+    made = lives.where("since = 'open'").agg(F.count(F.lit(1)).alias("made"))
+    done = shown.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "oversized", "failed", "closed")])
+    both = made.withColumn("one", F.lit(1)).join(done.withColumn("one", F.lit(1)), "one")
+    open_ = F.col("accepted") + F.col("oversized") + F.col("failed")
+    zero = F.lit(0).cast("long")
+    return both.select(
+        F.lit("textlens.session.metrics/v1").alias("schema_version"), F.lit(max_bytes).cast("long").alias("analysis_limit_bytes"), open_.alias("active_documents"),
+        (F.col("accepted") + F.col("failed")).alias("computations_started"), (F.col("accepted") + F.col("oversized")).alias("accepted_results"), (F.col("made") - open_).alias("cancelled_before_compute"),
+        zero.alias("stale_results"), F.col("oversized").alias("oversized_results"), F.col("failed").alias("analysis_failures"), zero.alias("max_queue_delay_micros"),
+    )
+
+
+def events_of_messages(messages: DataFrame) -> DataFrame:
+    """Events of editor messages (seq, json): open, change (one event for each edit) and close notifications.
+
+    Other messages, and those that can't be read, give no event.
+    """
+    point = "struct<line:int,character:int>"
+    edit = f"struct<range:struct<start:{point},end:{point}>,text:string>"
+    params = f"struct<textDocument:struct<uri:string,languageId:string,version:int,text:string>,contentChanges:array<{edit}>>"
+    m = messages.select("seq", F.from_json("json", f"method string, params {params}").alias("m")).select("seq", "m.method", "m.params.*")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("textDocument/didOpen", "open", "textDocument/didChange", "change", "textDocument/didClose", "close")]), F.col("method"))
+    one = F.array(F.struct(F.lit(None).cast("struct<start:" + point + ",end:" + point + ">").alias("range"), F.col("textDocument.text").alias("text")))
+    edits = F.when(F.col("method") == "textDocument/didChange", F.col("contentChanges")).otherwise(one)
+    rows = m.where(kind.isNotNull()).select("seq", "textDocument", kind.alias("kind"), F.posexplode(edits).alias("k", "e"))
+    form = F.when(F.lower("textDocument.languageId") == "markdown", "markdown").otherwise("plain")
+    return rows.select(
+        F.col("textDocument.uri").alias("uri"), (F.col("seq") * 1000 + F.col("k")).cast("long").alias("seq"), "kind", F.when(F.col("kind") == "open", form).alias("format"),
+        F.col("e.range.start.line").alias("start_line"), F.col("e.range.start.character").alias("start_char"), F.col("e.range.end.line").alias("end_line"), F.col("e.range.end.character").alias("end_char"),
+        F.col("e.text").alias("text"),
+    )
+
+
+def messages_of_results(shown: DataFrame) -> DataFrame:
+    """uri, json: the notification that publishes a document's diagnostics, as an editor reads it."""
+    severity = F.create_map(*[F.lit(x) for x in ("ERROR", 1, "WARNING", 2, "INFORMATION", 3)])
+
+    def note(d: Column) -> Column:
+        at = lambda line, char: F.struct(d[line].alias("line"), d[char].alias("character"))
+        return F.struct(F.struct(at("start_line", "start_char").alias("start"), at("end_line", "end_char").alias("end")).alias("range"), F.element_at(severity, d["severity"]).alias("severity"), d["code"].alias("code"), d["source"].alias("source"), d["message"].alias("message"))
+
+    params = F.struct("uri", F.transform("diagnostics", note).alias("diagnostics"))
+    return shown.select("uri", F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit("textDocument/publishDiagnostics").alias("method"), params.alias("params"))).alias("json"))
