@@ -32,6 +32,20 @@ SENTENCES = [
     ("GPLNoWarranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
     ("LGPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?3( 0)? or (at your option )?(any )?later( version)?"),
     ("LGPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?3( 0)?"),
+    ("AGPL3OrLater", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(affero general public license|agpl),? ?(version |v)?3( 0)? or (at your option )?(any )?later( version)?"),
+    ("AGPL3Ref", r"(this (file|work|software|project|program) is )?(licensed|released|distributed) under (the )?(terms of )?(the )?(gnu )?(affero general public license|agpl),? ?(version |v)?3( 0)?( only)?"),
+    ("AGPLFree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.*"),
+    ("LGPLFree", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.*"),
+    ("LGPLNoWarranty", r"this library is distributed in the hope that it will be useful but without any warranty.*"),
+    ("LGPL21OrLater", r"(this (file|work|library|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?2 1 or (at your option )?(any )?later( version)?"),
+    ("LGPL21Ref", r"(this (file|work|library|software|project|program) is )?(licensed|released|distributed) under (the )?(gnu )?(lesser general public license|lgpl),? ?(version |v)?2 1( only)?"),
+    ("ISCGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCDisclaim", r"the software is provided as is and the author disclaims all warranties.*"),
+    ("ISCRef", r"(this (file|work|software|project|program) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?isc license"),
+    ("UnlicenseFree", r"this is free and unencumbered software released into the public domain"),
+    ("BoostRef", r"(this (file|work|software|project|program) is )?(licensed|released|distributed|subject) (under|to) (the )?(terms of )?(the )?boost software license,? ?(version )?1 0"),
+    ("ZlibMay", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely.*"),
+    ("EPL2Ref", r"(this (file|work|software|project|program) is )?(licensed|released|made available|available|distributed) under (the )?(terms of )?(the )?eclipse public license,? ?(version |v)?2 0"),
     ("BSDRedistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
     ("BSDSource", r".*redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("BSDBinary", r".*redistributions in binary form must reproduce the above copyright notice.*"),
@@ -48,7 +62,8 @@ SENTENCES = [
 ]
 
 # Licence and rule over the identifier sequence, tried in this order.
-# A rule matches a run of identifiers in sequence order; "~" allows others between.
+# A rule matches identifiers in sequence order, "~" allows others between, and takes
+# what it matched: later rules read the rest.
 RULES = [
     ("Apache-2.0", "ApacheNoUse~ApacheCopy"),
     ("Apache-2.0", "ApacheRef"),
@@ -61,6 +76,18 @@ RULES = [
     ("GPL", "GPLFree~GPLNoWarranty"),
     ("LGPL-3.0-or-later", "LGPL3OrLater"),
     ("LGPL-3.0", "LGPL3Ref"),
+    ("AGPL-3.0-or-later", "AGPL3OrLater"),
+    ("AGPL-3.0", "AGPL3Ref"),
+    ("AGPL", "AGPLFree"),
+    ("LGPL", "LGPLFree~LGPLNoWarranty"),
+    ("LGPL-2.1-or-later", "LGPL21OrLater"),
+    ("LGPL-2.1", "LGPL21Ref"),
+    ("ISC", "ISCGrant~ISCDisclaim"),
+    ("ISC", "ISCRef"),
+    ("Unlicense", "UnlicenseFree"),
+    ("BSL-1.0", "BoostRef"),
+    ("Zlib", "ZlibMay"),
+    ("EPL-2.0", "EPL2Ref"),
     ("BSD-3-Clause", "BSDRedistribution~BSDSource~BSDBinary~BSDEndorse"),
     ("BSD-2-Clause", "BSDRedistribution~BSDSource~BSDBinary"),
     ("BSD", "BSDRef"),
@@ -80,12 +107,12 @@ SPDX_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
 SPDX_TAG = rf"(?i)spdx-license-identifier:[ \t(]*({SPDX_NAME}(?:[ \t()]+(?:or|and|with)[ \t()]+{SPDX_NAME})*)"
 
 #: A sentence ends at a blank line (one without letter or digit), after . ! ? ; before
-#: white space, or before an SPDX tag. A single line break with its comment marks is a space inside it.
-SENTENCE_END = r"\n[^\p{L}\p{N}]*\n|(?<=[.!?;])\s+|(?=(?i:spdx-license-identifier:))"
+#: white space (but for the v. of a version), or before an SPDX tag. A single line break with its comment marks is a space inside it.
+SENTENCE_END = r"\n[^\p{L}\p{N}]*\n|(?<=[.!?;])(?<![\s,(][vV]\.)\s+|(?=(?i:spdx-license-identifier:))"
 #: Line breaks with the comment words after them.
 LINE_START = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:dnl|rem|c)(?![\p{L}\p{N}]))?"
 #: Only sentences with one of these stems are tried against the patterns.
-STEMS = r"licens|software|warrant|redistribut|conditions|copies|public domain|gpl|cc0|all rights reserved|products"
+STEMS = r"licens|software|warrant|redistribut|conditions|copies|public domain|gpl|cc0|all rights reserved|products|(?:released|distributed|available|published)\s+under|cc[\s-]by|creative\s+commons"
 
 
 def wrapped(name: str, pattern: str) -> str:
@@ -138,16 +165,19 @@ def spdx(sentence: Column) -> Column:
 
 
 def rule_regex(rule: str) -> str:
-    return ",(?:" + ",(?:[^,]+,)*".join(rule.split("~")) + "),"
+    """A rule over ",id,id,"; groups hold what stands between its identifiers."""
+    return ",(?:" + ",((?:[^,]+,)*?)".join(rule.split("~")) + "),"
 
 
 def licenses_of(ids: Column) -> Column:
     """Licences whose rule the sequence matches, in rule order, then those of SPDX tags; no repeats."""
-    joined = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    hits = [F.when(joined.rlike(rule_regex(rule)), F.lit(name)) for name, rule in RULES]
+    rest = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    hits = []
+    for name, rule in RULES:
+        hits.append(F.when(rest.rlike(rule_regex(rule)), F.lit(name)))
+        between = "".join(f"${k}" for k in range(1, rule.count("~") + 1))
+        rest = F.regexp_replace(rest, rule_regex(rule), f",{between}")
     found = F.array_compact(F.array(*hits))
-    # the three-clause text also fits the two-clause rule; the longer one stands
-    found = F.when(F.array_contains(found, "BSD-3-Clause"), F.array_remove(found, "BSD-2-Clause")).otherwise(found)
     named = F.flatten(F.transform(F.filter(ids, lambda x: x.startswith("SPDX:")), lambda x: F.split(F.substring(x, 6, 1_000_000), r"\|")))
     return F.array_distinct(F.concat(found, named))
 
@@ -160,7 +190,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     two named is read.
     """
     ids = docs.select(F.col(key), sentence_ids(F.col(text)).alias("ids"))
-    found = ids.select(key, "ids", licenses_of(F.col("ids")).alias("found"))
+    none = F.array().cast("array<string>")
+    found = ids.select(key, "ids", F.when(F.size("ids") > 0, licenses_of(F.col("ids"))).otherwise(none).alias("found"))
     return found.select(
         key,
         F.size("ids").cast("long").alias("n_sentences"),
