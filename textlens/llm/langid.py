@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 512
 #: Labelled rows per language that the prototypes are bundled from, about.
 TRAIN_ROWS = 4000
+#: Values of the language column that are learned, the most frequent first.
+LANGUAGES = 500
 #: Columns of a batch's trigram matrix that are held at once.
 CHUNK = 4096
 #: Documents whose vectors are summed at once.
@@ -99,15 +101,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def _sample(labelled: DataFrame, lang: str, text: str, rows: int, seed: int) -> DataFrame:
+    """(lang, text) of about ``rows`` texts of each learned language."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    return known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) * F.col("n") < 1_000_000 * rows)
+
+
+def known_trigrams(labelled: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS, seed: int = 7, most: int = 500_000) -> np.ndarray:
+    """Sorted codes of the trigrams in the texts that the prototypes are bundled from.
+
+    The ``most`` frequent ones at most (by texts that have them, then by code): 4 MB.
+    """
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(seed=seed)
+        for batch in batches:
+            texts = list(batch["text"])
+            for lo in range(0, len(texts), ROWS):
+                _, code, _ = encoder.trigrams(texts[lo : lo + ROWS])
+                code, n = np.unique(code, return_counts=True)
+                yield pd.DataFrame({"code": code, "n": n})
+
+    found = _sample(labelled, lang, text, rows, seed).mapInPandas(codes, "code long, n long")
+    top = found.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(most).select("code").toPandas()
+    return np.sort(top["code"].to_numpy(np.int64))
+
+
 def train_prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS, seed: int = 7) -> dict[str, np.ndarray]:
     """Prototype by language, from about ``rows`` texts of each.
 
     The texts of a language with more are chosen by a hash of the text, so the fit
-    costs the same at any size. What reaches the driver is one vector a language.
+    costs the same at any size. What reaches the driver is one vector a language, for
+    the ``LANGUAGES`` most frequent values at most (ties: the first by name). Null
+    languages and texts teach nothing; repeated rows count as often as they occur; an
+    empty table teaches no language.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) * F.col("n") < 1_000_000 * rows)
+    chosen = _sample(labelled, lang, text, rows, seed)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, sums = Encoder(seed=seed), {}
@@ -115,7 +145,8 @@ def train_prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text"
             unit = _unit(encoder.encode(list(batch["text"]))).astype(np.float64)
             for name, group in batch.groupby("lang").indices.items():
                 sums[name] = sums.get(name, 0) + unit[group].sum(0)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "v": [np.sum(np.stack(group["v"]), 0).tolist()]})
@@ -125,34 +156,68 @@ def train_prototypes(labelled: DataFrame, lang: str = "lang", text: str = "text"
     return {r["lang"]: _unit(np.array(r["v"])) for r in sorted(found, key=lambda r: r["lang"]) if np.any(r["v"])}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = 7) -> DataFrame:
-    """``docs`` with lang_pred and score (cosine with the nearest prototype, 0 at least).
-
-    A null text, one without a letter, and every text when there is no prototype, is
-    ``und`` with score 0. Ties go to the first language by name. The text column is
-    read whole; all columns pass through; rows need no key.
-    """
+def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str, seed: int, known: np.ndarray | None) -> DataFrame:
+    """(r, l): the row as a struct, and lang_pred, score and known of its text."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
     encoder = Encoder(seed=seed)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = encoder.encode([None if t is None or t is pd.NA else t for t in batch])
+            texts = [None if t is None or t is pd.NA else t for t in batch]
+            vectors = encoder.encode(texts)
+            some = np.abs(vectors).any(1)
+            share = _known_share(encoder, texts, known) if known is not None else np.where(some, 1.0, 0.0)
             if not len(names):
-                yield pd.DataFrame({"lang_pred": ["und"] * len(batch), "score": [0.0] * len(batch)})
+                yield pd.DataFrame({"lang_pred": ["und"] * len(batch), "score": [0.0] * len(batch), "known": share})
                 continue
             cosines = (_unit(vectors) @ matrix.T).astype(np.float64)
             best = cosines.argmax(1) if len(batch) else np.empty(0, int)
-            some = np.abs(vectors).any(1)
             score = np.clip(cosines[np.arange(len(batch)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": [names[b] if s else "und" for b, s in zip(best, some, strict=True)], "score": np.where(some, score, 0.0)})
+            yield pd.DataFrame({"lang_pred": [names[b] if s else "und" for b, s in zip(best, some, strict=True)], "score": np.where(some, score, 0.0), "known": share})
+
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), predict(F.col(text)).alias("l"))
+
+
+def _known_share(encoder: Encoder, texts: list[str | None], known: np.ndarray) -> np.ndarray:
+    """The share of each text's trigrams that are known; 0 without any."""
+    out = np.zeros(len(texts))
+    for lo in range(0, len(texts), ROWS):
+        row, code, count = encoder.trigrams(texts[lo : lo + ROWS])
+        n = len(texts[lo : lo + ROWS])
+        at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+        hit = known[at] == code if len(known) else np.zeros(len(code), bool)
+        total = np.bincount(row, count, n)
+        out[lo : lo + n] = np.bincount(row, count * hit, n) / np.maximum(total, 1)
+    return out
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = 7) -> DataFrame:
+    """``docs`` with lang_pred and score (cosine with the nearest prototype, 0 at least).
+
+    A null text, one without a letter, and every text when there is no prototype, is
+    ``und`` with score 0. Ties go to the first language by name. The text column is
+    read whole; rows need no key and equal rows are answered alike; an empty table stays
+    empty. All columns pass through, whatever their names; columns called lang_pred or
+    score give way to the operator's.
+    """
+    out = _scored(docs, prototypes, text, seed, None)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return out.select(*[F.col("r").getField(c).alias(c) for c in kept], F.col("l.lang_pred").alias("lang_pred"), F.col("l.score").alias("score"))
+
 
-    out = docs.withColumn("_lang", predict(F.col(text)))
-    return out.select(*docs.columns, F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
+def in_learned_language(docs: DataFrame, prototypes: dict[str, np.ndarray], known: np.ndarray, min_known: float, text: str = "text", seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is in a learned language.
+
+    Null texts and those without a letter go, and those of which less than ``min_known``
+    of the trigrams is known: other scripts, other languages' spelling, noise.
+    """
+    out = _scored(docs, prototypes, text, seed, known).where((F.col("l.lang_pred") != "und") & (F.col("l.known") >= min_known))
+    return out.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
 def held_out(key: str, parts: int, part: int):
-    return F.pmod(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")), F.lit(parts)) == part
+    """Whether crc32 of the key as text leaves ``part``; a null key is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")), F.lit(parts)) == part, F.lit(False))
 
