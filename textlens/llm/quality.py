@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Labelled rows that the model is fitted on, at most about.
 TRAIN_ROWS = 20_000
 FEATURES = 256
@@ -99,7 +101,11 @@ class Model:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, stats array<double>): one pass over whole texts; the texts go no further."""
+    """(key, stats array<double>): one pass over whole texts; the texts go no further.
+
+    Null and empty texts have statistics of zero; every row gives a row, repeated ones
+    too; no column but the two named is read, so others can't clash.
+    """
 
     @F.pandas_udf("array<double>")
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,13 +119,16 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES, r
     """The model for (doc_id, stats, y in {0, 1}).
 
     At most about ``rows`` rows, chosen by a hash of the key; a fifth of them are
-    set aside for calibration. The driver gets one sum of ``features``^2 numbers a
+    set aside for calibration. A repeated row or label counts as often as it occurs; equal
+    scores are calibrated together; one class alone, or no row, gives a model that scores
+    0.5 everywhere. The driver gets one sum of ``features``^2 numbers a
     partition (few: the sample is bounded) and the set-aside scores.
     """
     total = labelled.count()
     share = min(1.0, rows / max(1, total))
     mixed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1_000_000))
-    sample = labelled.withColumn("m", mixed).where(F.col("m") < int(1_000_000 * share)).coalesce(8)
+    sample = labelled.withColumn("m", mixed).where(F.col("m") < int(1_000_000 * share))
+    sample = cut(sample.select("stats", "y", "m")).coalesce(8)  # few rows by now: the scan stays wide
     rng = np.random.default_rng(seed)
     k = len(STATS)
     blank = Model(np.zeros(k), np.ones(k), rng.standard_normal((k, features)) / np.sqrt(k), rng.uniform(0, 2 * np.pi, features))
@@ -158,7 +167,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES, r
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """``stats`` rows with a score in 0 to 1; 0.5 everywhere without a fitted model."""
+    """``stats`` rows with a score in 0 to 1 (a column of that name gives way); 0.5 everywhere without a fitted model."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
