@@ -16,14 +16,15 @@ ROWS_PER_WINDOW = 200_000
 def rendezvous(key: Column, weights: dict[int, float]) -> Column:
     """The shard with the highest weight / -ln(u), u a hash of (key, shard) in (0, 1).
 
-    Ties go to the lower shard. A null key is a key like any other.
+    u has 52 bits and a half, so that it never rounds to 0 or 1. Ties go to the lower
+    shard. A null key is a key like any other.
     """
     if not weights or any(w <= 0 for w in weights.values()):
         raise ValueError("shards need positive weights")
     contests = []
     for shard, weight in sorted(weights.items()):
-        bits = F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit(shard)), 11)
-        u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
+        bits = F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit(shard)), 12)
+        u = (bits.cast("double") + 0.5) / F.lit(float(2**52))
         contests.append(F.struct((F.lit(float(weight)) / -F.log(u)).alias("score"), F.lit(-shard).alias("shard")))
     return -(F.array_max(F.array(*contests))["shard"])
 
@@ -70,6 +71,12 @@ def assign_shards(
     )
 
 
-def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order inside each file."""
-    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(assigned: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """One folder per shard; a shard of any size is split into files of about ``rows_per_file`` slots, in slot order.
+
+    Files of a shard follow each other by slot: file k of a folder holds the slots from
+    k times ``rows_per_file`` on. An empty table writes no folder; other columns stay.
+    """
+    part = F.floor(F.col("slot") / F.lit(rows_per_file))
+    dealt = assigned.withColumn("_part", part).repartition("shard", "_part").sortWithinPartitions("shard", "slot")
+    dealt.drop("_part").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
