@@ -145,9 +145,13 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that contain a test item; all their columns stay."""
+    """``docs`` without those that contain a test item; all their columns stay, whatever their names.
+
+    Null texts and rows with a null key contain none; rows that repeat a key go together.
+    """
     found = contained_items(docs, items, threshold, key)
-    return docs.join(found.select(key).distinct(), key, "left_anti").select(*docs.columns)
+    gone = found.select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
 def _by_item():

@@ -31,8 +31,6 @@ RECALL = 0.9995
 #: Sets in a block of sketches, about; shingles in a block of whole sets, about.
 BLOCK = 400
 BLOCK_SHINGLES = 1_000_000
-#: Sketch similarity below which a pair of a bucket isn't verified: 0.8 less five standard errors.
-ADMIT = 0.55
 _WORD = re.compile(r"[^\W_]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -43,6 +41,11 @@ def runs_needed(threshold: float, levels: int = LEVELS, recall: float = RECALL)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels)))
 
 
+def admitted(threshold: float, width: int, errors: float = 5.0) -> float:
+    """Sketch similarity below which a pair of a bucket isn't verified: the threshold less five standard errors."""
+    return max(0.0, threshold - errors * math.sqrt(threshold * (1 - threshold) / width))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
@@ -105,12 +108,12 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     digits; a text of one to four words is one shingle of its own length; null texts
     and those without a word link with nothing, nor do rows with a null key. Texts
     with equal sets are collapsed first and count as links of each other. Keys
-    should be unique: rows that repeat one are counted like copies and answered
-    alike for alike texts. No pair reaches a shuffle: blocks report counts and
+    are whole numbers (a text that isn't one is refused) and should be unique: rows that
+    repeat one are counted like copies and answered alike for alike texts. No pair reaches a shuffle: blocks report counts and
     spanning edges. Other columns are not read.
     """
     runs = runs_needed(threshold)
-    width = max(64, runs * LEVELS)
+    width = max(64, runs * LEVELS) if threshold >= 0.7 else max(256, runs * LEVELS)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch = Shingler(), _sketches(width, runs, LEVELS)
@@ -172,7 +175,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
         same = np.zeros((len(x), len(y)), np.uint16)
         for i in range(x.shape[1]):
             same += x[:, i, None] == y[None, :, i]
-        node, root = forest(same >= ADMIT * x.shape[1], ids, None if right is None else other)
+        node, root = forest(same >= admitted(threshold, x.shape[1]) * x.shape[1], ids, None if right is None else other)
         if len(node):
             yield {"u": node, "v": root}
 
@@ -252,5 +255,5 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> Da
     Rows that repeat a key stay together: they are one document.
     """
     links = jaccard_links(docs, threshold, key)
-    gone = links.where(F.col("class_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    gone = links.where(F.col("class_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

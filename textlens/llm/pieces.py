@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -351,8 +352,6 @@ def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
 
 def decode_ids(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with the decoded text as ``decoded`` (null ids: null)."""
-    import pandas as pd
-
     shared = encoded.sparkSession.sparkContext.broadcast(Codec(read_model(model_path)))
 
     @F.pandas_udf("string")
