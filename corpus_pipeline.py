@@ -13,9 +13,8 @@ from textlens.llm import decontaminate, langid, line_dedup, ngram_join, pieces
 from textlens.llm.common import cut, table
 from textlens.llm.queries import MODEL
 
-#: Texts whose nearest language prototype is further than this cosine are rejected:
-#: trigram vectors of unrelated letters stay within 0.05 of zero.
-MIN_COSINE = 0.05
+#: Texts of whose trigrams less than this share occurs in the learned texts are rejected.
+MIN_KNOWN = 0.6
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -23,29 +22,41 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts of no language: null, without a letter, or near no prototype."""
-    prototypes = langid.train_prototypes(docs.select("lang", "text"))
-    found = langid.identify(docs, prototypes)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
+    """Drop texts of no learned language: null, without a letter, or spelled like none of them.
+
+    Empty texts go, very long ones are read whole, equal rows go or stay together, an
+    empty table stays empty, and all columns come through as they are.
+    """
+    labelled = docs.select("lang", "text")
+    prototypes, known = langid.train_prototypes(labelled), langid.known_trigrams(labelled)
+    return langid.in_learned_language(docs, prototypes, known, MIN_KNOWN)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines found on many sites; the first document that has one keeps it."""
-    return _recounted(line_dedup.dedup_lines(docs, min_sites=8).select(*docs.columns))
+    """Remove lines found on many sites; the first document that has one keeps it.
+
+    No row goes. Null texts stay null, rows with a null key or site keep their lines,
+    rows that repeat a key are told apart by their text, other columns are untouched.
+    """
+    return _recounted(line_dedup.dedup_lines(docs, min_sites=8, counts=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates."""
+    """Keep one document of each class of near duplicates, that of the smallest key.
+
+    Texts without a word, null ones and rows with a null key are nobody's duplicate and
+    stay; rows that repeat a key are one document and stay together.
+    """
     return ngram_join.keep_one(docs, 0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item; null texts and null keys contain none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts that are left; decoding gives them back."""
+    """Encode the texts that are left; decoding gives them back. A null text has null ids, an empty one none."""
     return pieces.encode_texts(docs, MODEL)
 
 
@@ -57,7 +68,7 @@ STAGES = [
     ("sentencepiece", encoding),
 ]
 
-#: SQL can't express the language model, the join or the encoder; the stages are tested one by one.
+#: SQL can't express the language model, the join or the encoder; tests/llm/test_pipeline.py has the stages one by one.
 ORACLE_SQL = None
 
 
