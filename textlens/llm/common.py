@@ -69,6 +69,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def join_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], n: int, size: str = "size", spread: str = "id", least: int = 64) -> DataFrame:
+    """``rows`` inner-joined on ``keys`` with ``sizes``, which has one row a key and how many of at most ``n`` rows hold it.
+
+    A key of more rows than a 100,000th of all (and than ``least``) is dealt over
+    several tasks by a hash of ``spread``, so none gets a whole hot key. There are at
+    most 100,000 such keys at any ``n``, which bounds what is broadcast.
+    """
+    most = max(least, n // 100_000)
+    parts = F.ceil(F.col(size) / F.lit(most)).cast("int")
+    hot = sizes.where(F.col(size) > most).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread, F.lit(23)), F.col("_parts")).cast("int"), F.lit(0)))
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, parts - 1).otherwise(0))))
+    return dealt.drop("_parts").join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about ``size`` bytes, one row at least."""
     if not len(column):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, cut, fixed_binary, forest, ragged_binary
+from .common import block_pairs, connected_components, cut, fixed_binary, forest, join_sizes, ragged_binary
 
 WIDTH = 5
 #: Buckets up to this size are not split.
@@ -153,11 +153,12 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
 
     schema = "id long, run int, " + ", ".join(f"p{i} long" for i in range(LEVELS))
     active = classes.select("id", "paths").mapInArrow(opened, schema)
+    places = classes.count() * runs
     leaves = None
     for level in range(LEVELS):
         path = f"p{level}"
         sizes = active.groupBy(path).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        active = active.join(sizes, path)
+        active = join_sizes(active, sizes, [path], places)
         if level == 0:
             active = cut(active)
         done = active if level == LEVELS - 1 else active.where(F.col("size") <= LIMIT)
@@ -186,7 +187,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     # verify: whole sets of the documents in groups, each group dealt into blocks
     weights = classes.select("id", "m", "n").join(groups, "id")
     totals = weights.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
-    wanted = cut(weights.join(totals, "gid").select("id", "m", "gid", "k", "total"))
+    wanted = cut(join_sizes(weights, totals, ["gid"], places, "k").select("id", "m", "gid", "k", "total"))
     named = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +243,9 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     answer = classes.select("h1", "h2", "id", "m").join(links, "id", "left").join(component, classes["id"] == component["node"], "left")
-    answer = answer.select("h1", "h2", F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    answer = answer.select("h1", "h2", "m", F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     alone = F.col("id").isNull() | (F.col("n") == 0)
-    linking = rows.where(~alone).select("id", "h1", "h2", "n").join(answer, ["h1", "h2"]).select("id", "class_id", "n_links", "n")
+    linking = join_sizes(rows.where(~alone).select("id", "h1", "h2", "n"), answer, ["h1", "h2"], rows.count(), "m").select("id", "class_id", "n_links", "n")
     single = rows.where(alone).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n")
     return linking.unionByName(single).select(F.col("id").alias(key), "class_id", "n_links", F.col("n").alias("n_shingles"))
 
