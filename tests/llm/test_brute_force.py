@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from textlens.llm import embed_dedup, langid, licenses, pieces, pii, quality, sharding
+from textlens.llm import embed_dedup, langid, licenses, ngram_join, pieces, pii, quality, sharding
 
 SF = "/root/testdata/sf0.001"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -198,3 +198,23 @@ def test_decoding_and_shards(spark, tmp_path):
         assert slots == sorted(slots) and slots[0] // 500 == slots[-1] // 500
     with pytest.raises(ValueError):
         sharding.rendezvous(F.lit(1), {0: 0.0})
+
+
+def test_links_of_large_groups(spark):
+    """Near copies whose buckets split, equal texts, equal sets, rows that repeat key and text, one key with two texts."""
+    rng = np.random.default_rng(3)
+    words = [[f"w{i}" for i in range(120)] for _ in range(160)]
+    for i, text in enumerate(words):
+        for at in rng.integers(120, size=1 + i % 3):
+            text[at] = f"x{i}"
+    texts = [" ".join(t) for t in words]
+    data = list(enumerate(texts)) + [(160, texts[0]), (161, texts[0].upper()), (162, texts[1]), (162, texts[1]), (163, texts[2]), (163, "another text of its own and nothing else")]
+    sets = [set(ngram_join.Shingler()(t).tolist()) for _, t in data]
+    linked = [[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    least = [k for k, _ in data]
+    for _ in data:
+        least = [min([least[i]] + [least[j] for j, yes in enumerate(row) if yes]) for i, row in enumerate(linked)]
+    want = sorted((k, c, sum(row)) for (k, _), c, row in zip(data, least, linked, strict=True))
+    found = ngram_join.jaccard_links(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == want
+    assert max(n for _, _, n in want) > 64

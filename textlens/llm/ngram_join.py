@@ -6,7 +6,9 @@ function of that run and level, so two sets take the same step with a probabilit
 equal to their Jaccard similarity). A bucket splits only while it is larger than
 ``LIMIT``; small buckets are compared by brute force; runs repeat until a pair at
 the threshold is missed with less than 1 - ``RECALL`` even if all its buckets split
-to the last level. Compared means: sketches admit a pair, whole shingle sets decide.
+to the last level. Compared means: sketches admit a pair, whole shingle sets decide,
+both in the bucket of the first run that the pair shares, so every link counts once
+and work grows with the buckets and not with the components of links.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ WIDTH = 5
 #: Buckets up to this size are not split.
 LIMIT = 64
 LEVELS = 4
-RECALL = 0.9995
+RECALL = 0.9999
 #: Sets in a block of sketches, about; shingles in a block of whole sets, about.
 BLOCK = 400
 BLOCK_SHINGLES = 1_000_000
@@ -79,6 +81,12 @@ class Shingler:
         return np.unique(acc)
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles, as two longs."""
+    whole = xxhash.xxh128_intdigest(s.tobytes())
+    return (whole >> 64) - 2**63, (whole & (2**64 - 1)) - 2**63
+
+
 def _sketches(width: int, runs: int, levels: int):
     rng = np.random.default_rng(5)
     mult = rng.integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,7 +108,7 @@ def _sketches(width: int, runs: int, levels: int):
     return sketch
 
 
-def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, n_shingles of every row.
 
     n_links counts the other documents at ``threshold`` or more, class_id is the
@@ -112,7 +120,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     repeat one are counted like copies and answered alike for alike texts. No pair reaches a shuffle: blocks report counts and
     spanning edges. Other columns are not read.
     """
-    runs = runs_needed(threshold)
+    runs = runs_needed(threshold, recall=recall)
     width = max(64, runs * LEVELS) if threshold >= 0.7 else max(256, runs * LEVELS)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +134,8 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
                     for column in (h1, h2, sig, paths):
                         column.append(None)
                     continue
-                digest = xxhash.xxh128_intdigest(s.tobytes())
-                h1.append((digest >> 64) - 2**63)
-                h2.append((digest & (2**64 - 1)) - 2**63)
+                for column, half in zip((h1, h2), digest(s), strict=True):
+                    column.append(half)
                 a, b = sketch(s)
                 sig.append(a.tobytes())
                 paths.append(b.tobytes())
@@ -140,7 +147,9 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = cut(source.mapInArrow(described, "id long, h1 long, h2 long, n long, sig binary, paths binary"))
     usable = rows.where("n > 0 AND id IS NOT NULL")
-    classes = cut(usable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths")))
+    # a class of equal sets is known by its hash, since a key may repeat over different texts
+    classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
+    classes = cut(classes.withColumn("id", F.col("h1")))
 
     # split buckets: level by level, only those that are still large
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,45 +174,70 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
         done = done.select("id", "run", F.col(path).alias("gid"), "size")
         leaves = done if leaves is None else leaves.unionByName(done)
         active = active.where(F.col("size") > LIMIT).drop("size")
-    members = leaves.join(classes.select("id", "sig"), "id").select("gid", "size", "id", "sig")
+    placed = leaves.groupBy("id").agg(F.collect_list(F.struct("run", "gid", "size")).alias("l"))
+    placed = cut(placed.join(classes.select("id", "least", "m", "n", "sig"), "id").select("id", "least", "m", "n", "sig", "l", F.col("l.run").alias("in_run"), F.col("l.gid").alias("in_gid")))
+    members = placed.select("id", "sig", "in_run", "in_gid", F.explode("l").alias("x")).select("x.gid", "x.size", "id", "sig", "in_run", "in_gid")
+
+    def buckets(t: pa.Table) -> np.ndarray:
+        """The bucket of each row in each run; 0 where it is alone."""
+        run, gid = (t.column(c).combine_chunks() for c in ("in_run", "in_gid"))
+        found = np.zeros((len(t), runs), np.int64)
+        found[np.repeat(np.arange(len(t)), run.value_lengths().to_numpy(zero_copy_only=False)), run.flatten().to_numpy()] = gid.flatten().to_numpy()
+        return found
+
+    def met(gid: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of bucket ``gid`` that share one of an earlier run, where they are compared instead."""
+        earlier = np.zeros((len(x), len(y)), bool)
+        for i in range(int(np.flatnonzero(x[0] == gid)[0])):
+            earlier |= (x[:, i, None] == y[None, :, i]) & (x[:, i, None] != 0)
+        return earlier
 
     def load(t: pa.Table) -> dict:
-        return {"id": t.column("id").to_numpy(), "sig": fixed_binary(t.column("sig"), "u2")}
+        return {"id": t.column("id").to_numpy(), "sig": fixed_binary(t.column("sig"), "u2"), "at": buckets(t)}
 
     def alike(gid: int, a: dict, left: tuple, right: tuple | None) -> Iterator[dict]:
-        x, ids = a["sig"][slice(*left)], a["id"][slice(*left)]
-        y, other = (x, ids) if right is None else (a["sig"][slice(*right)], a["id"][slice(*right)])
+        right = right or left
+        x, y = a["sig"][slice(*left)], a["sig"][slice(*right)]
         same = np.zeros((len(x), len(y)), np.uint16)
         for i in range(x.shape[1]):
             same += x[:, i, None] == y[None, :, i]
-        node, root = forest(same >= admitted(threshold, x.shape[1]) * x.shape[1], ids, None if right is None else other)
-        if len(node):
-            yield {"u": node, "v": root}
+        near = same >= admitted(threshold, x.shape[1]) * x.shape[1]
+        if left == right:
+            np.fill_diagonal(near, False)
+        if not near.any():
+            return
+        near &= ~met(gid, a["at"][slice(*left)], a["at"][slice(*right)])
+        ids = np.concatenate([a["id"][slice(*left)][near.any(1)], a["id"][slice(*right)][near.any(0)]])
+        if len(ids):
+            yield {"gid": np.full(len(ids), gid), "id": ids}
 
-    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    near = block_pairs(members, F.ceil(F.col("size") / F.lit(BLOCK)), load, alike, "u long, v long", pair)
-    groups = cut(connected_components(near).withColumnsRenamed({"node": "id", "component": "gid"}))
+    seat = pa.schema([("gid", pa.int64()), ("id", pa.int64())])
+    near = cut(block_pairs(members, F.ceil(F.col("size") / F.lit(BLOCK)), load, alike, "gid long, id long", seat).distinct())
 
-    # verify: whole sets of the documents in groups, each group dealt into blocks
-    weights = classes.select("id", "m", "n").join(groups, "id")
+    # verify: in each bucket the whole sets of those admitted there, dealt into blocks
+    weights = near.join(placed.select("id", "n"), "id")
     totals = weights.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
-    wanted = cut(join_sizes(weights, totals, ["gid"], places, "k").select("id", "m", "gid", "k", "total"))
-    named = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
+    seats = join_sizes(weights, totals, ["gid"], places, "k").groupBy("id").agg(F.collect_list(F.struct("gid", "k", "total")).alias("seats"))
+    wanted = cut(seats.join(placed, "id").select("least", "id", "m", "in_run", "in_gid", "seats"))
+    named = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            sets = pa.array([shingler(t).tobytes() for t in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [sets], [n for n in batch.schema.names if n != "text"] + ["s"])
-
-    sets = source.join(named, "id").select("id", "m", "gid", "k", "total", "text")
-    sets = sets.mapInArrow(spelled, "id long, m long, gid long, k long, total long, s binary")
+            sets = [shingler(t) for t in batch.column(at).to_pylist()]
+            own = np.fromiter((digest(s)[0] for s in sets), np.int64, len(sets)) == batch.column(0).to_numpy()
+            columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "text"] + ["s"]).filter(pa.array(own))
+
+    texts = source.withColumnRenamed("id", "least").join(named, "least").select("id", "m", "in_run", "in_gid", "seats", "text")
+    texts = texts.mapInArrow(spelled, "id long, m long, in_run array<int>, in_gid array<long>, seats array<struct<gid:long,k:long,total:long>>, s binary")
+    sets = texts.select("id", "m", "in_run", "in_gid", "s", F.explode("seats").alias("x")).select("x.gid", "x.k", "x.total", "id", "m", "in_run", "in_gid", "s")
     blocks = F.ceil(F.greatest(F.col("k") / F.lit(BLOCK), F.col("total") / F.lit(BLOCK_SHINGLES)))
 
     def load_sets(t: pa.Table) -> dict:
         values, offsets = ragged_binary(t.column("s"), "u8")
-        return {"id": t.column("id").to_numpy(), "m": t.column("m").to_numpy(), "s": values, "o": offsets}
+        return {"id": t.column("id").to_numpy(), "m": t.column("m").to_numpy(), "s": values, "o": offsets, "at": buckets(t)}
 
     def verified(gid: int, a: dict, left: tuple, right: tuple | None) -> Iterator[dict]:
         s, e = left[0], (left if right is None else right)[1]
@@ -227,6 +261,12 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
         linked = shared >= threshold * (x[:, None] + y[None, :] - shared) - 1e-9
         ids, m = a["id"][s:e], a["m"][s:e]
         linked &= ids[:k, None] != (ids[:k] if right is None else ids[k:])[None, :]
+        again = np.r_[False, ids[1:] == ids[:-1]]  # a row that repeats its key and text
+        linked[again[:k]] = False
+        linked[:, again[:k] if right is None else again[k:]] = False
+        if not linked.any():
+            return
+        linked &= ~met(gid, a["at"][s:e][:k], a["at"][s:e][:k] if right is None else a["at"][s:e][k:])
         if not linked.any():
             return
         if right is None:
@@ -242,8 +282,10 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     found = cut(block_pairs(sets, blocks, load_sets, verified, "id long, links long, root long", out))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    answer = classes.select("h1", "h2", "id", "m").join(links, "id", "left").join(component, classes["id"] == component["node"], "left")
-    answer = answer.select("h1", "h2", "m", F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    grouped = cut(classes.join(component, classes["id"] == component["node"], "left").select("h1", "h2", "id", "least", "m", F.coalesce("component", "id").alias("root")))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("k"))
+    answer = join_sizes(grouped, smallest, ["root"], places, "k").join(links, "id", "left")
+    answer = answer.select("h1", "h2", "m", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     alone = F.col("id").isNull() | (F.col("n") == 0)
     linking = join_sizes(rows.where(~alone).select("id", "h1", "h2", "n"), answer, ["h1", "h2"], rows.count(), "m").select("id", "class_id", "n_links", "n")
     single = rows.where(alone).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n")
