@@ -33,6 +33,8 @@ RECALL = 0.9999
 #: Sets in a block of sketches, about; shingles in a block of whole sets, about.
 BLOCK = 400
 BLOCK_SHINGLES = 1_000_000
+#: Keys (two longs each) of texts to verify that are broadcast; beyond it texts are shuffled.
+BROADCAST_KEYS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -219,20 +221,19 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     totals = weights.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
     seats = join_sizes(weights, totals, ["gid"], places, "k").groupBy("id").agg(F.collect_list(F.struct("gid", "k", "total")).alias("seats"))
     wanted = cut(seats.join(placed, "id").select("least", "id", "m", "in_run", "in_gid", "seats"))
-    named = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted
+    named = wanted.select("least", "id")
+    named = F.broadcast(named) if wanted.count() <= BROADCAST_KEYS else named
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            sets = [shingler(t) for t in batch.column(at).to_pylist()]
+            sets = [shingler(t) for t in batch.column(1).to_pylist()]
             own = np.fromiter((digest(s)[0] for s in sets), np.int64, len(sets)) == batch.column(0).to_numpy()
-            columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "text"] + ["s"]).filter(pa.array(own))
+            found = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "s"]).filter(pa.array(own))
 
-    texts = source.withColumnRenamed("id", "least").join(named, "least").select("id", "m", "in_run", "in_gid", "seats", "text")
-    texts = texts.mapInArrow(spelled, "id long, m long, in_run array<int>, in_gid array<long>, seats array<struct<gid:long,k:long,total:long>>, s binary")
-    sets = texts.select("id", "m", "in_run", "in_gid", "s", F.explode("seats").alias("x")).select("x.gid", "x.k", "x.total", "id", "m", "in_run", "in_gid", "s")
+    texts = source.withColumnRenamed("id", "least").join(named, "least").select("id", "text").mapInArrow(spelled, "id long, s binary")
+    sets = texts.join(wanted, "id").select(F.explode("seats").alias("x"), "id", "m", "in_run", "in_gid", "s").select("x.gid", "x.k", "x.total", "id", "m", "in_run", "in_gid", "s")
     blocks = F.ceil(F.greatest(F.col("k") / F.lit(BLOCK), F.col("total") / F.lit(BLOCK_SHINGLES)))
 
     def load_sets(t: pa.Table) -> dict:
