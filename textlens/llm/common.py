@@ -47,18 +47,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges(u, v)``; component is its smallest node.
 
     Alternating large-star and small-star rounds: every round is two aggregates
-    and two equi-joins, hubs are dealt over tasks, no group is ever collected, and only
-    scalars (how many edges there are, whether any changed) reach the driver. The fixed
-    point is a round that changes none.
+    and two equi-joins, no group is ever collected, and only one scalar (how many
+    edges changed) reaches the driver. The fixed point is a round that changes none.
+    A component's smallest node is the hub of its edges; the join on it is left to AQE.
     """
     hi, lo = F.greatest("u", "v"), F.least("u", "v")
     e = cut(edges.where("u <> v").select(hi.alias("u"), lo.alias("v")).distinct())
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        # a component's smallest node is the hub of all its edges
-        above = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = join_sizes(above, low, ["u"], 2 * e.count(), "k", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
