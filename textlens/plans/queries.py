@@ -310,7 +310,7 @@ def _sql(fixtures: bool = True) -> str:
     more = f" UNION ALL SELECT * FROM ({_values(documents.FIXTURES)}) f(doc_id, name, text)" if fixtures else ""
     w = "PARTITION BY doc_id ORDER BY p"
     before = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f"""WITH docs AS (SELECT doc_id, 'doc' || doc_id AS name, text FROM documents{more}),
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id, 'doc' || doc_id AS name, text FROM documents{more}),
 seg0 AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, '{_RE}') AS l FROM docs)),
 seg AS (SELECT *, CASE WHEN regexp_matches(s, '^\\p{{L}}') THEN 'word' WHEN regexp_matches(s, '^\\p{{N}}') THEN 'number' WHEN regexp_matches(s, '^[.!?]') THEN 'end'
   WHEN regexp_matches(s, '^[{_SP}]') THEN 'space' WHEN s IN {_IN(V.QUOTES)} THEN 'quote' ELSE 'punct' END AS kind,
@@ -341,23 +341,23 @@ hint AS (SELECT *, CASE WHEN pc0 = 'Open' THEN ok0 END AS ok1, pc0 = 'Content' A
 hint1 AS (SELECT *, CASE WHEN amb THEN NULL WHEN pc0 = 'Function' AND lower = 'to' THEN 'S' WHEN function_kind IN ('Article', 'Determiner', 'Preposition') THEN 'N' WHEN function_kind IN ('Pronoun', 'Auxiliary') THEN 'S'
   WHEN ok1 = 'Adjective' THEN 'N' WHEN ok1 = 'Noun' OR pc0 = 'ProperNoun' THEN 'S' WHEN ok1 = 'Verb' THEN 'V' WHEN pc0 = 'Content' AND regexp_matches(lower, '[^s]s$') THEN 'S' ELSE '' END AS h0,
   coalesce(lead(pc0) OVER ({w}) IN ('Content', 'ProperNoun') OR lead(ok1) OVER ({w}) = 'Noun', false) AS nn FROM hint),
-{_unrolled(w)}
-c AS (SELECT *, CASE WHEN sense <> '' THEN 'Open' ELSE pc0 END AS pos_class, CASE WHEN sense <> '' THEN sense ELSE ok1 END AS open_kind FROM h5)
+{_senses(w)}
+c AS (SELECT *, CASE WHEN sense <> '' THEN 'Open' ELSE pc0 END AS pos_class, CASE WHEN sense <> '' THEN sense ELSE ok1 END AS open_kind FROM hint2 LEFT JOIN senses USING (doc_id, sense_k))
 """
 
 
-def _unrolled(w: str) -> str:
-    """Five rounds decide runs of up to five ambiguous words, left to right."""
-    parts = []
-    for i in range(1, 6):
-        prev, source = ("h0", "hint1") if i == 1 else (f"h{i - 1}", f"h{i - 1}")
-        keep = "*" if i == 1 else "* EXCLUDE (sense)"
-        parts.append(f"""h{i}a AS (SELECT {keep}, coalesce(lag({prev}) OVER ({w}), '') AS b{i} FROM {source}),
-h{i}b AS (SELECT *, CASE WHEN NOT amb THEN '' WHEN lower IN ('book', 'record') THEN CASE b{i} WHEN 'S' THEN 'Verb' WHEN 'N' THEN 'Noun' ELSE '' END
-  WHEN lower = 'lead' THEN CASE WHEN b{i} = 'S' THEN 'Verb' WHEN b{i} = 'N' AND nn THEN 'Adjective' WHEN b{i} = 'N' THEN 'Noun' ELSE '' END
-  ELSE CASE WHEN b{i} = 'V' THEN 'Adverb' WHEN nn THEN 'Adjective' ELSE '' END END AS sense FROM h{i}a),
-h{i} AS (SELECT *, CASE WHEN NOT amb THEN h0 WHEN sense = 'Verb' THEN 'V' WHEN sense = 'Noun' THEN 'S' WHEN sense = 'Adjective' THEN 'N' ELSE '' END AS h{i} FROM h{i}b),""")
-    return "\n".join(parts)
+def _senses(w: str) -> str:
+    """Senses of ambiguous words, left to right through runs of any length."""
+
+    def sense(b: str) -> str:
+        return f"""CASE WHEN x.lower IN ('book', 'record') THEN CASE {b} WHEN 'S' THEN 'Verb' WHEN 'N' THEN 'Noun' ELSE '' END
+  WHEN x.lower = 'lead' THEN CASE WHEN {b} = 'S' THEN 'Verb' WHEN {b} = 'N' AND x.nn THEN 'Adjective' WHEN {b} = 'N' THEN 'Noun' ELSE '' END
+  ELSE CASE WHEN {b} = 'V' THEN 'Adverb' WHEN x.nn THEN 'Adjective' ELSE '' END END"""
+
+    after = "CASE r.sense WHEN 'Verb' THEN 'V' WHEN 'Noun' THEN 'S' WHEN 'Adjective' THEN 'N' ELSE '' END"
+    return f"""hint2 AS MATERIALIZED (SELECT *, coalesce(lag(h0) OVER ({w}), '') AS sense_before, coalesce(lag(amb) OVER ({w}), false) AS sense_follows, row_number() OVER ({w}) AS sense_k FROM hint1),
+senses(doc_id, sense_k, sense) AS (SELECT x.doc_id, x.sense_k, {sense("x.sense_before")} FROM hint2 x WHERE x.amb AND NOT x.sense_follows
+  UNION ALL SELECT x.doc_id, x.sense_k, {sense(f"({after})")} FROM senses r JOIN hint2 x ON x.doc_id = r.doc_id AND x.sense_k = r.sense_k + 1 WHERE x.amb),"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -428,7 +428,7 @@ pv AS (SELECT ph.doc_id, ph."start", ph."end", 'passive-voice' AS rule, 'info' A
     begin = ' JOIN pl a ON a.doc_id = lf.doc_id AND a."start" = lf."start"'
     at = begin + ' JOIN pl b ON b.doc_id = lf.doc_id AND b."end" = lf."end"'
     marks = ", ".join(f"({m[0]}, {'NULL' if m[4] is None else expected.text(m[4])})" for m in documents.MARKDOWN)
-    masked = _sql(False).replace("WITH docs AS (", f"WITH md(doc_id, text) AS (VALUES {marks}), docs AS (SELECT doc_id, '' AS name, text FROM md UNION ALL ", 1)
+    masked = _sql(False).replace("WITH RECURSIVE docs AS (", f"WITH RECURSIVE md(doc_id, text) AS (VALUES {marks}), docs AS (SELECT doc_id, '' AS name, text FROM md UNION ALL ", 1)
     null = lambda v: f"""coalesce('"' || {v} || '"', 'null')"""
     diag_token = f"""'{{"ansi":' || {null("ansi")} || ',"byteRange":{{"endUtf8":' || "end" || ',"startUtf8":' || "start" || '}},"editorTokenType":' || {null("token_type")} || ',"editorTokenTypeIndex":' || coalesce((CASE WHEN token_type IS NOT NULL THEN {kinds} END)::VARCHAR, 'null')
   || ',"functionKind":' || {null("CASE WHEN pos_class = 'Function' THEN upper(function_kind) END")} || ',"highlightClass":' || {null("highlight")} || ',"lexicalClass":' || {null(lexical)} || ',"occurrenceId":' || pos

@@ -11,7 +11,7 @@ FIXTURES = [
     (-2, "run_on", " ".join(["word"] * 41) + ". " + " ".join(["word"] * 40) + "."),
     (-3, "outlier", "Short one. Short two. Short three. " + " ".join(["word"] * 30) + "."),
     (-4, "passive", "The file was written. It was carefully reviewed by Anna. The door is closed. The door is closed by the guard. It was known by now. It is, written."),
-    (-5, "senses", "I will book a room. The book is old. They lead. The lead pipe fell. Take the lead. She writes fast. A fast car. A book record lead fast dog."),
+    (-5, "senses", "I will book a room. The book is old. They lead. The lead pipe fell. Take the lead. She writes fast. A fast car. A book record lead fast dog. We book record lead fast book record lead fast dogs."),
     (-6, "proper", "Paris is big. We saw Paris.\nRome fell. 5 Apples grew.\nThe Working Agreement for Agents\n# Title Here\n\"Quoted Start of Line"),
     (-7, "segments", "\"Hi.\" Go. Hi. \"Go.\" a.b e.g. x ?!?! (Yes.) No"),
     (-8, "numbers", "1,234.5 and 3.14 and 2. then 1,,2 or 7.x"),
