@@ -3,12 +3,15 @@
 import math
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from textlens.llm import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, pieces, pii, quality, sharding
+from textlens.llm.queries import OP5_SQL
 
 SF = "/root/testdata/sf0.001"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -223,4 +226,8 @@ def test_short_items(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = decontaminate.contained_items(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
     want = {(0, 1), (1, 1), (4, 1), (8, 1), (2, 2), (4, 3), (8, 3), (5, 4), (7, 4), (8, 5)}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    con.register("benchmark", pa.table({"item_id": list(items), "text": list(items.values())}))
+    assert sorted(con.execute(OP5_SQL).fetchall()) == sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"], r["containment"]) for r in out)
     assert {(r["doc_id"], r["item_id"]) for r in out} == want and len(out) == len(want) and all(r["containment"] == 1 for r in out)

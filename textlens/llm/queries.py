@@ -69,10 +69,13 @@ spread AS (SELECT trim(line) AS k, min(doc_id) AS first FROM lines WHERE trim(li
 marked AS (SELECT lines.*, k IS NOT NULL AND first <> doc_id AS gone FROM lines LEFT JOIN spread ON trim(line) = k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id"""
 
-OP5_SQL = f"""WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
-i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
+OP5_SQL = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, 5 AS width, unnest({_SHINGLES}) AS s FROM iw WHERE len(w) >= 5 UNION ALL SELECT item_id, len(w), array_to_string(w, ' ') FROM iw WHERE len(w) BETWEEN 1 AND 4),
+short AS (SELECT DISTINCT width FROM i WHERE width < 5),
+d AS (SELECT doc_id, 5 AS width, unnest({_SHINGLES}) AS s FROM dw WHERE len(w) >= 5
+UNION ALL SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda j: array_to_string(w[j:j + width - 1], ' '))) FROM dw JOIN short ON len(w) >= width),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
-SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment FROM d JOIN i USING (s) JOIN n USING (item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment FROM d JOIN i USING (width, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= n_item * 0.8 - 1e-9"""
 
 
