@@ -182,6 +182,21 @@ def test_repeated_keys_of_different_vectors(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
 
 
+def test_pivots_grow_with_the_table(spark, monkeypatch):
+    assert [embed_dedup.setting(n) for n in (0, 100_000, 100_001, 1_600_000, 10**10)] == [(512, 6), (512, 6), (1024, 7), (2048, 8), (4096, 9)]
+    monkeypatch.setattr(embed_dedup, "PIVOTS", 32)
+    monkeypatch.setattr(embed_dedup, "VECTORS", 100)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1200, 12))
+    x[600:] = x[:600] + 0.12 * rng.standard_normal((600, 12))
+    x[900:1000] = x[7]  # a hot vector and a hub
+    assert embed_dedup.setting(1101) == (128, 8)
+    out = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert len(out) == 1200 and all(out[i] <= want[i] for i in out) and sum(out.values()) >= 0.97 * want.sum()
+
+
 def test_decoding_and_shards(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "é\n\n x")], "doc_id long, text string")
     back = {r["doc_id"]: r["decoded"] for r in pieces.decode_ids(pieces.encode_texts(frame, MODEL), MODEL).collect()}
