@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, pieces, pii, quality, sharding
+from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, pieces, pii, quality, resample, sharding, url_filter, vector_codes
 from .common import cut, table
 
 #: A public vocabulary, read by the driver; a parameter of the operator.
@@ -61,6 +61,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), 0.8)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024)
+
+
+URL_RULES = [url_filter.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
 _SHINGLES = r"""list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))"""
 _WORDS = r"""list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"""
 
@@ -84,4 +99,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op4_personal_data, op5_decontamination, op6_sharding, op7_language_id, op8_sentencepiece, op9_license_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_quality, op4_personal_data, op5_decontamination, op6_sharding, op7_language_id, op8_sentencepiece, op9_license_scan, op10_ngram_jaccard_join, op11_vector_codes, op12_importance_resampling, op13_url_filter)}
