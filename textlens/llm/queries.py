@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, pieces, pii, quality, resample, sharding, url_filter, vector_codes
+from . import decontaminate, embed_dedup, langid, licenses, line_dedup, ngram_join, oracles, pieces, pii, quality, resample, sharding, url_filter, vector_codes
 from .common import cut, table
 
 #: A public vocabulary, read by the driver; a parameter of the operator.
@@ -95,7 +95,10 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) >= n_item * 0.8 - 1e-9"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op11_vector_codes": oracles.vector_codes(),
+        "op12_importance_resampling": oracles.importance_resampling(), "op13_url_filter": oracles.url_filter(URL_RULES),
+    }
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """URL filter: rules first, then the ratio of two character language models.
 
 URLs that a rule accepts teach one variable-order Markov model, those that a rule
-rejects another. Both interpolate all orders (a longer context counts as far as it has
-been seen). A URL that no rule decides is judged by the difference of its two
+rejects another. Both interpolate all orders (a longer context counts by how often it
+has been seen). A URL that no rule decides is judged by the difference of its two
 log-likelihoods over its length, against a threshold calibrated on rule-decided URLs
 that taught nothing.
 
@@ -28,6 +28,8 @@ from .common import cut, join_sizes
 
 #: Longest context, in characters.
 ORDER = 5
+#: How many observations the shorter context's distribution counts as.
+STRENGTH = 20.0
 #: Runs of a model that are sent to every task (16 bytes each); a larger one is joined.
 BROADCAST = 2_000_000
 #: Places of a batch that are looked up at once.
@@ -116,14 +118,14 @@ def run_counts(decided: DataFrame) -> DataFrame:
 def gains(counts: DataFrame) -> DataFrame:
     """(code, gain) of every run that has one, from its counts in both classes.
 
-    P(c | context) = (n + D * P(c | context without its first character)) / (N + D), with N
-    how often the context was seen and D how many different characters followed it; an
-    unseen context leaves the shorter one's; 1/256 below all. A level is joined with the
-    level before; a run has at most 256 neighbours there, so no key is hot.
+    P(c | context) = (n + S * P(c | context without its first character)) / (N + S), with N
+    how often the context was seen in the class and S = ``STRENGTH``, so an unseen context
+    leaves the shorter one's; 1/256 below all. A level is joined with the level before; a
+    run has at most 256 neighbours there, so no key is hot.
     """
     size = F.shiftright("code", 56)
     keyed = counts.withColumn("size", size.cast("int")).withColumn("before", F.shiftleft(size - 1, 56).bitwiseOR(F.shiftright(F.col("code").bitwiseAND(_LOW), 8)))
-    seen = keyed.groupBy("before").agg(*[F.sum(c).alias(f"N{c}") for c in "ar"], *[F.sum((F.col(c) > 0).cast("long")).alias(f"D{c}") for c in "ar"])
+    seen = keyed.groupBy("before").agg(*[F.sum(c).alias(f"N{c}") for c in "ar"])
     keyed = cut(keyed.join(seen, "before"))
     found = None
     for k in range(1, ORDER + 2):
@@ -133,8 +135,7 @@ def gains(counts: DataFrame) -> DataFrame:
         else:
             last = found.where(F.shiftright("code", 56) == k - 1).select(F.col("code").alias("suffix"), F.col("pa").alias("qa"), F.col("pr").alias("qr"), F.col("d").alias("shorter"))
             level = level.withColumn("suffix", F.lit((k - 1) << 56).bitwiseOR(F.col("code").bitwiseAND((1 << (8 * (k - 1))) - 1))).join(last, "suffix")
-        p = {c: (F.col(c) + F.col(f"D{c}") * F.col(f"q{c}")) / (F.col(f"N{c}") + F.col(f"D{c}")) for c in "ar"}
-        level = level.select("code", *[F.when(F.col(f"N{c}") > 0, p[c]).otherwise(F.col(f"q{c}")).alias(f"p{c}") for c in "ar"], "shorter")
+        level = level.select("code", *[((F.col(c) + STRENGTH * F.col(f"q{c}")) / (F.col(f"N{c}") + STRENGTH)).alias(f"p{c}") for c in "ar"], "shorter")
         level = cut(level.select("code", "pa", "pr", F.floor(F.lit(1e6) * F.log(F.col("pa") / F.col("pr"))).alias("d"), "shorter"))
         found = level if found is None else found.unionByName(level)
     return found.select("code", (F.col("d") - F.col("shorter")).alias("gain")).where("gain <> 0")
