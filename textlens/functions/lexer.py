@@ -1,9 +1,9 @@
-"""Tokens, sentences and word classes of many texts at once, as arrays.
+"""Tokens of many texts at once, as arrays.
 
-Texts are one array of code points; every rule of the lexer, the segmenter and the
-annotator is a running sum, a running maximum or a table lookup over it, so a batch
-costs a fixed number of passes whatever the texts hold. Only ambiguous words, which
-are few, are decided in a loop from left to right.
+Texts are one array of code points; every rule of the lexer is a running sum, a running
+maximum or a table lookup over it, so a batch costs a fixed number of passes whatever the
+texts hold. Sentences, classes and everything after them are plans over the token rows
+(``operators.annotate``).
 """
 
 from __future__ import annotations
@@ -17,15 +17,9 @@ import regex
 
 from . import vocabulary as V
 
-LETTER, NUMERAL, JOINER, SEPARATOR, END, SPACE, QUOTE, CLOSER, UPPER, ALPHA, BREAK, UNSEEN = (1 << i for i in range(12))
+LETTER, NUMERAL, JOINER, SEPARATOR, END, SPACE, QUOTE = (1 << i for i in range(7))
 KINDS = ["word", "number", "end", "space", "quote", "punct"]
 WORD, NUMBER, STOP, BLANK, QUOTED, PUNCT = range(6)
-CLASSES = ["Function", "Number", "Content", "Open", "ProperNoun", "Punctuation", "Quote"]
-FUNCTION, NUMERIC, CONTENT, OPEN, PROPER, MARK, QUOTATION = range(7)
-FUNCTIONS = list(V.CLOSED)
-OPENS = list(V.OPEN)
-#: Letters of a word that fit one 64-bit number.
-LONGEST = 12
 
 
 @cache
@@ -33,12 +27,10 @@ def _flags() -> np.ndarray:
     """Bits of every code point."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     at = np.r_[0:0xD800, 0xE000:0x110000]
-    table = np.zeros(0x110000, np.uint16)
+    table = np.zeros(0x110000, np.uint8)
     properties = {
         LETTER: r"\p{L}", NUMERAL: r"[\p{N}\U00011DE0-\U00011DE9\U00016FF4-\U00016FF6]", JOINER: r"['’-]", SEPARATOR: "[.,]", END: "[.!?]",
-        SPACE: r"[ \t\r\n\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]", UPPER: r"\p{Uppercase}", ALPHA: r"\p{Alphabetic}",
-        BREAK: r"[\r\n]", UNSEEN: r"[\x0B\x85\u2028\u2029]",
-        QUOTE: "[" + "".join(V.QUOTES) + "]", CLOSER: "[" + "".join(map(regex.escape, V.CLOSERS)) + "]",
+        SPACE: r"[ \t\r\n\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]", QUOTE: "[" + "".join(V.QUOTES) + "]",
     }
     for bit, pattern in properties.items():
         for m in regex.finditer(pattern + "+", every):
@@ -46,63 +38,6 @@ def _flags() -> np.ndarray:
     return table
 
 
-@cache
-def _letters() -> np.ndarray:
-    """1 to 26 for ASCII letters in either case, 27 and 28 for the two apostrophes, else 63."""
-    table = np.full(0x110000, 63, np.uint8)
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        table[[ord(c), ord(c.upper())]] = i + 1
-    table[[ord("'"), ord("’")]] = 27, 28
-    return table
-
-
-def code_of(word: str) -> int:
-    """A lower-case word of letters and apostrophes as a number."""
-    if not codable(word):
-        raise ValueError(f"not a word of up to {LONGEST} letters: {word}")
-    return sum(int(_letters()[ord(c)]) << (5 * i) for i, c in enumerate(word))
-
-
-def codable(word: str) -> bool:
-    return 0 < len(word) <= LONGEST and all(_letters()[ord(c)] != 63 for c in word)
-
-
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def ascii_lower(word: str) -> str:
-    return word.translate(_FOLD)
-
-
-class Words:
-    """A fixed table from words to small numbers, looked up by code; -1 for others."""
-
-    def __init__(self, rows: dict[str, int]):
-        codes = sorted((code_of(w), n) for w, n in rows.items())
-        self.codes = np.array([c for c, _ in codes] or [0], np.int64)
-        self.values = np.array([n for _, n in codes] or [-1], np.int8)
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.values[at], -1).astype(np.int8)
-
-
-@cache
-def _table(name: str) -> Words:
-    rows = {
-        "closed": {w: FUNCTIONS.index(k) for w, k in V.CLOSED_ROWS},
-        "open": {w: OPENS.index(k) for w, k in V.OPEN_ROWS},
-        "ambiguous": {w: i for i, w in enumerate(V.AMBIGUOUS)},
-        "to": {"to": 1},
-        "by": {"by": 1},
-        "be": dict.fromkeys(V.BE_AUXILIARIES, 1),
-        "eventive": dict.fromkeys(V.EVENTIVE, 1),
-        "resultative": dict.fromkeys(V.NEEDS_BY_PHRASE, 1),
-        "no agent": dict.fromkeys(V.NO_AGENT, 1),
-    }
-    return Words(rows[name])
-
-
 def _before(x: np.ndarray, first) -> np.ndarray:
     """x moved one place on."""
     out = np.empty_like(x)
@@ -128,35 +63,34 @@ def _sums(x: np.ndarray) -> np.ndarray:
 class Texts:
     """A column of texts as code points, with the tokens found in it.
 
-    Tokens are numbered over all texts; ``doc`` is a token's row, ``first`` and ``last``
-    the token range of a row. Offsets (``start``, ``end`` in UTF-8 bytes, ``row``,
-    ``col`` in characters and ``col16`` in UTF-16 units) count from the text's start.
+    Tokens are numbered over all texts; ``doc`` is a token's row and ``pos`` its number
+    there. ``glued``: right behind another token. ``start`` and ``end`` count UTF-8 bytes, ``char`` characters and ``unit`` UTF-16
+    units from the text's start.
     """
 
-    def __init__(self, column: pa.Array, contextual: bool = True):
+    def __init__(self, column: pa.Array):
         column = pc.fill_null(column.cast(pa.large_string()), "")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = column.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
         self.bytes, self.offsets = raw, offsets - offsets[0]
-        self.string = raw.tobytes().decode("utf-8")
-        self.x = np.frombuffer(self.string.encode("utf-32-le"), np.uint32)
+        self.x = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         self.at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)).astype(np.int32)  # byte of each character
         self.bounds = np.searchsorted(self.at, self.offsets).astype(np.int32)  # character range of each text
         self._segment()
-        self._place()
-        self._sentences()
-        self._classify()
-        if contextual:
-            self._refine()
+        home = self.bounds[:-1][self.doc]
+        wide = _sums(self.x > 0xFFFF)
+        self.start, self.end = self.at[self.c0] - self.at[home], self.at[self.c1] - self.at[home]
+        self.glued = (self.pos > 0) & (_before(self.c1, -1) == self.c0)
+        self.char = self.c0 - home
+        self.unit = self.char + wide[self.c0] - wide[home]
 
     def _segment(self) -> None:
-        f = self.flags = _flags()[self.x]
+        f = _flags()[self.x]
         n = len(f)
         new = np.zeros(n + 1, bool)
         new[self.bounds] = True
         new = new[:n]
-        self.fresh = new  # first character of a text
         alnum = (f & (LETTER | NUMERAL)) != 0
         starts = np.flatnonzero(alnum & ~(_before(alnum, False) & ~new))
         stops = np.flatnonzero(alnum & ~_after(alnum & ~new)) + 1
@@ -165,7 +99,7 @@ class Texts:
         # runs that one mark parts from the run before, in the same text
         near = np.zeros(len(starts), bool)
         near[1:] = (starts[1:] == stops[:-1] + 1) & ~new[starts[1:]] & ~new[np.minimum(starts[1:] - 1, n - 1)]
-        mark = f[np.maximum(starts - 1, 0)] if n else np.empty(0, np.uint16)
+        mark = f[np.maximum(starts - 1, 0)] if n else np.empty(0, np.uint8)
         joined = near & ((mark & JOINER) != 0)
         chain = np.maximum.accumulate(np.where(joined, 0, np.arange(len(starts)))) if len(starts) else np.empty(0, np.int64)
         seen = _sums(has)
@@ -191,171 +125,26 @@ class Texts:
         kind = np.full(len(seg), PUNCT, np.int8)
         for bit, k in ((QUOTE, QUOTED), (SPACE, BLANK), (END, STOP), (NUMERAL, NUMBER), (LETTER, WORD)):
             kind[(lead & bit) != 0] = k
-        self.seg_kind, self.seg_end = kind, np.append(seg[1:], n)[: len(seg)].astype(np.int32)
+        self.seg_kind, stop = kind, np.append(seg[1:], n)[: len(seg)].astype(np.int32)
         self.token = np.flatnonzero(kind != BLANK).astype(np.int32)  # segments that are tokens
         self.kind = kind[self.token]
-        self.c0, self.c1 = seg[self.token], self.seg_end[self.token]
+        self.c0, self.c1 = seg[self.token], stop[self.token]
         self.doc = (np.searchsorted(self.bounds, self.c0, "right") - 1).astype(np.int32)
-        self.first = np.searchsorted(self.c0, self.bounds[:-1]).astype(np.int32)
-        self.last = np.searchsorted(self.c0, self.bounds[1:]).astype(np.int32)
-        self.pos = np.arange(len(self.doc), dtype=np.int32) - self.first[self.doc]
-
-    def _place(self) -> None:
-        f, x, n = self.flags, self.x, len(self.x)
-        home = self.bounds[:-1][self.doc]
-        self.start = self.at[self.c0] - self.at[home]
-        self.end = self.at[self.c1] - self.at[home]
-        feed = (x == 10) & (_before(x, 0) == 13) & ~self.fresh
-        breaks = self.line_breaks = _sums(((f & BREAK) != 0) & ~feed)
-        self.row = breaks[self.c0] - breaks[home]
-        after = np.where((f & BREAK) != 0, np.arange(1, n + 1, dtype=np.int32), 0)
-        after = np.maximum.accumulate(np.append(np.int32(0), after)) if n else np.zeros(1, np.int32)
-        line = self.line_start = np.maximum(after[:-1] if n else after[:0], 0)
-        begin = np.maximum(line[self.c0], home) if len(self.c0) else self.c0
-        self.col = self.c0 - begin
-        self.wide = _sums(x > 0xFFFF)
-        self.col16 = self.col + self.wide[self.c0] - self.wide[begin]
-        self.len16 = self.c1 - self.c0 + self.wide[self.c1] - self.wide[self.c0]
-        self.end_col16 = self.col16 + self.len16
-        self.end_col = self.col + self.c1 - self.c0
-        gap = np.where(self.pos > 0, _before(self.c1, 0), home)
-        self.breaks = breaks[self.c0] - breaks[gap]
-        raw = _sums((f & BREAK) != 0)
-        self.newline = (raw[self.c0] - raw[gap] > 0) & (self.pos > 0)
-
-    def _sentences(self) -> None:
-        adjacent = (_before(self.c1, -1) == self.c0) & (self.pos > 0)
-        closer = ((self.flags[self.c0] & CLOSER) != 0) & (self.c1 - self.c0 == 1) & adjacent if len(self.c0) else np.zeros(0, bool)
-        index = np.arange(len(self.doc), dtype=np.int32)
-        anchor = np.maximum.accumulate(np.where(closer, -1, index)) if len(index) else index
-        anchor = _before(anchor, -1)
-        known = anchor >= self.first[self.doc] if len(index) else np.zeros(0, bool)
-        self.starts = known & (self.kind[anchor] == STOP) & ~closer if len(index) else known
-        counted = np.cumsum(self.starts, dtype=np.int32)
-        self.sent = counted - counted[self.first[self.doc]] if len(index) else counted
-        # sentences of all texts, in order
-        opens = self.starts | (self.pos == 0)
-        self.s_first = np.flatnonzero(opens).astype(np.int32)
-        self.s_last = np.append(self.s_first[1:], len(index))[: len(self.s_first)].astype(np.int32)
-        self.s_doc = self.doc[self.s_first]
-        self.s_id = self.sent[self.s_first]
-        self.is_word = (self.kind == WORD) | (self.kind == NUMBER)
-        words = _sums(self.is_word)
-        self.s_words = words[self.s_last] - words[self.s_first]
-        self.s_start, self.s_end = self.start[self.s_first], self.end[self.s_last - 1]
-
-    def codes(self, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of character ranges, as they are and with both apostrophes alike; -1 where none fits."""
-        length = c1 - c0
-        fits = length <= LONGEST
-        code, alike = np.zeros(len(c0), np.int64), np.zeros(len(c0), np.int64)
-        table = _letters()
-        for i in range(min(LONGEST, int(length.max(initial=0)))):
-            live = np.flatnonzero(length > i)
-            if not len(live):
-                break
-            c = table[self.x[c0[live] + i]].astype(np.int64)
-            fits[live[c == 63]] = False
-            code[live] |= c << (5 * i)
-            alike[live] |= np.where(c == 28, 27, c) << (5 * i)
-        return np.where(fits, code, -1), np.where(fits, alike, -1)
+        first = np.searchsorted(self.c0, self.bounds[:-1]).astype(np.int32)
+        self.pos = np.arange(len(self.doc), dtype=np.int32) - first[self.doc]
 
-    def _titles(self) -> np.ndarray:
-        """Of each token that begins a line's words, whether its line is a title."""
-        f, n = self.flags, len(self.x)
-        inside = ((f & ALPHA) != 0) | (self.x == 39) | (self.x == 0x2019)
-        lines = np.cumsum((((f & BREAK) != 0) & ~self.fresh) | self.fresh, dtype=np.int32)
-        w0 = np.flatnonzero(inside & ~(_before(inside, False) & ~self.fresh)).astype(np.int32)
-        w1 = (np.flatnonzero(inside & ~_after(inside & ~self.fresh)) + 1).astype(np.int32)
-        capital = (f[w0] & UPPER) != 0
-        line = lines[w0] if n else w0
-        size = int(lines[-1]) + 1 if n else 1
-        good = np.bincount(line[capital], minlength=size) >= 2
-        small = np.flatnonzero(~capital & good[line])
-        if len(small):
-            _, code = self.codes(w0[small], w1[small])
-            good[line[small[_table("closed")(code) < 0]]] = False
-        return good[lines[self.c0]] if n else np.zeros(0, bool)
-
-    def _classify(self) -> None:
-        n = len(self.doc)
-        self.code = np.full(n, -1, np.int64)
-        words = np.flatnonzero(self.kind == WORD)
-        self.code[words], alike = self.codes(self.c0[words], self.c1[words])
-        self.function = np.full(n, -1, np.int8)
-        self.open = np.full(n, -1, np.int8)
-        self.function[words] = _table("closed")(alike)
-        self.open[words] = _table("open")(self.code[words])
-        self.open[self.function >= 0] = -1
-        cls = np.full(n, MARK, np.int8)
-        cls[self.kind == QUOTED] = QUOTATION
-        cls[self.kind == WORD] = CONTENT
-        cls[self.open >= 0] = OPEN
-        cls[self.kind == NUMBER] = NUMERIC
-        cls[self.function >= 0] = FUNCTION
-        self.plain = cls.copy()
-        lead = self.flags[self.c0] if n else np.empty(0, np.uint16)
-        counted = _sums(self.is_word)
-        no_word_yet = counted[:-1] == counted[self.first[self.doc]] if n else np.zeros(0, bool)
-        crossed = self.is_word & (no_word_yet | self.newline)
-        title = self._titles()
-        index = np.arange(n, dtype=np.int32)
-        latest = np.maximum.accumulate(np.where(crossed, index, 0)) if n else index
-        in_title = title[latest] if n else title
-        alpha = _sums(self.is_word & ((lead & ALPHA) != 0))[:-1]
-        reset = crossed | self.starts | (self.pos == 0)
-        since = np.maximum.accumulate(np.where(reset, index, 0)) if n else index
-        seen = alpha > alpha[since] if n else np.zeros(0, bool)
-        upper = (lead & UPPER) != 0
-        self.title, self.crossed = title, crossed
-        cls[((cls == CONTENT) | (cls == OPEN)) & seen & ~in_title & upper] = PROPER
-        self.open[cls != OPEN] = -1
-        self.cls = cls
-
-    def _refine(self) -> None:
-        """Ambiguous words: the word before is already decided, the next one is not."""
-        amb = np.full(len(self.doc), -1, np.int8)
-        content = np.flatnonzero(self.cls == CONTENT)
-        amb[content] = _table("ambiguous")(self.code[content])
-        rare = np.flatnonzero(amb >= 0)
-        if not len(rare):
-            return
-        noun, verb, adjective, adverb = (OPENS.index(k) for k in ("Noun", "Verb", "Adjective", "Adverb"))
-        nominal = {FUNCTIONS.index(k) for k in ("Article", "Determiner", "Preposition")}
-        subject = {FUNCTIONS.index(k) for k in ("Pronoun", "Auxiliary")}
-        nounish = (self.cls == CONTENT) | (self.cls == PROPER) | (self.open == noun)
-
-        def hint(i: int) -> str:
-            """What a token is evidence for: nominal, subject, verb or nothing."""
-            c = self.cls[i]
-            if c == FUNCTION:
-                if self.code[i] == code_of("to"):
-                    return "S"
-                return "N" if self.function[i] in nominal else "S" if self.function[i] in subject else ""
-            if c == OPEN:
-                return {noun: "S", verb: "V", adjective: "N"}.get(int(self.open[i]), "")
-            if c == CONTENT:
-                end = self.string[self.c1[i] - 2 : self.c1[i]] if self.c1[i] - self.c0[i] > 1 else ""
-                return "S" if end[-1:] in ("s", "S") and end[:1] not in ("s", "S") else ""
-            return "S" if c == PROPER else ""
-
-        for i in rare:
-            prev = hint(i - 1) if self.pos[i] else ""
-            after = bool(i + 1 < len(self.doc) and self.pos[i + 1] and nounish[i + 1])
-            word = V.AMBIGUOUS[amb[i]]
-            if word in ("book", "record"):
-                sense = {"S": verb, "N": noun}.get(prev)
-            elif word == "lead":
-                sense = verb if prev == "S" else (adjective if after else noun) if prev == "N" else None
-            else:
-                sense = adverb if prev == "V" else adjective if after else None
-            if sense is not None:
-                self.cls[i], self.open[i] = OPEN, sense
+    def _segments(self) -> pa.Array:
+        at = self.at[np.append(self.seg, len(self.x))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.seg), pa.py_buffer(at), pa.py_buffer(self.bytes))
 
     def lexemes(self) -> pa.Array:
-        at = self.at[np.append(self.seg, len(self.x))].astype(np.int32)
-        every = pa.StringArray.from_buffers(len(self.seg), pa.py_buffer(at), pa.py_buffer(self.bytes))
-        return every.take(pa.array(self.token))
+        return self._segments().take(pa.array(self.token))
+
+    def kinds(self) -> pa.Array:
+        return pa.array(KINDS, pa.string()).take(pa.array(self.kind.astype(np.int32)))
 
-    def slice(self, start: int, end: int) -> str:
-        return self.string[start:end]
+    def gaps(self) -> pa.Array:
+        """The white space before each token, empty where there is none."""
+        before = np.maximum(self.token - 1, 0)
+        blank = (self.token > 0) & (self.seg_kind[before] == BLANK) & (self.seg[before] >= self.bounds[:-1][self.doc]) if len(self.token) else np.zeros(0, bool)
+        return pc.fill_null(self._segments().take(pa.array(before, mask=~blank)), "")

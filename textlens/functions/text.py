@@ -17,13 +17,18 @@ def numeric_prefix(text: Column) -> Column:
     return F.regexp_extract(text, f"^{NUMBER}", 0)
 
 
+def _is_ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.length(s)
+
+
 def ascii_lower(s: Column) -> Column:
-    return F.translate(s, _UPPER, _LOWER)
+    """A to Z in lower case, all else as it is (the quick way for texts of ASCII alone)."""
+    return F.when(_is_ascii(s), F.lower(s)).otherwise(F.translate(s, _UPPER, _LOWER))
 
 
 def closed_key(s: Column) -> Column:
     """ASCII lower case, the curly apostrophe straightened."""
-    return F.translate(s, _UPPER + "’", _LOWER + "'")
+    return F.when(_is_ascii(s), F.lower(s)).otherwise(F.translate(s, _UPPER + "’", _LOWER + "'"))
 
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:

@@ -1,28 +1,37 @@
-"""Tokens, sentences and word classes as rows, or as one nested row a document.
+"""Tokens, sentences and word classes as rows.
 
-One Arrow pass over the texts: no exchange, no sort and no window, whatever is asked
-for. Every row of the input is a document of its own, so repeated and null ids are
-harmless; ``text`` is read whole and never leaves the pass unless it is kept. Memory
-is bounded by ``SIZE`` bytes of text or the longest single text, at about 60 bytes a
-byte. A text that isn't UTF-8 counts as null (``sources.documents`` reports those).
+The lexer is one Arrow pass that yields a row for each token with its offsets. All that
+follows is a plan over those rows: documents are told apart by a row number, token rows
+are exchanged once by it, and sentences, title lines, word guards and senses are windows
+and folds over that one exchange. Lines are rows of the same stream, so that what a line
+is known for is what the last line row says. No text is exchanged with the tokens.
+
+Repeated and null ids are harmless; a text that isn't UTF-8 counts as null
+(``sources.documents`` reports those). Memory of the lexer is bounded by ``SIZE`` bytes
+of text or the longest single text; windows of a long text spill.
+
+Row numbers are given where documents have none. Some results read documents twice and
+meet again by that number, so an input that gives its rows in another order each time it
+is read has to be numbered (``numbered``) and written down first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import lexer as L
 from ..functions import text as T
 from ..functions import vocabulary as V
 
-#: Bytes of text that are analysed at once.
+#: Bytes of text that are cut into tokens at once.
 SIZE = 1_000_000
+ROW = "_row"
 
 
 def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
@@ -35,163 +44,377 @@ def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def each(docs: DataFrame, keep: list[str], schema: str, rows: Callable, contextual: bool = True) -> DataFrame:
-    """``rows(texts, batch)`` of every slice: (row of the batch of each result or None, its arrays).
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, unless they have one."""
+    return docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
 
-    ``keep`` are columns of docs that go along; the analysed text is the column
-    ``prose`` where there is one (see ``markdown.prose``), else ``text``.
-    """
+
+def analysed(docs: DataFrame) -> Column:
+    """The text that is analysed: the column ``prose`` where there is one (see ``prose``), else ``text``; null unless UTF-8."""
     name = "prose" if "prose" in docs.columns else "text"
-    read = [*keep, *[c for c in ("text", name) if c not in keep]]
-    safe = {c: F.when(F.is_valid_utf8(F.col(c)), F.col(c)).alias(c) for c in {"text", name}}
-    source = docs.select(*[safe.get(c, F.col(c)) for c in dict.fromkeys(read)])
+    return F.when(F.is_valid_utf8(F.col(name)), F.col(name))
+
+
+#: What the lexer gives of each token: type, and how it is read off.
+LEXED = {
+    "pos": ("int", lambda t: t.pos), "lexeme": ("string", L.Texts.lexemes), "kind": ("string", L.Texts.kinds), "start": ("int", lambda t: t.start), "end": ("int", lambda t: t.end),
+    "char": ("int", lambda t: t.char), "unit": ("int", lambda t: t.unit), "gap": ("string", L.Texts.gaps), "glued": ("boolean", lambda t: t.glued),
+}
+
+
+def lexed(docs: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """Row number, ``keep`` and ``columns`` of LEXED, a row for each token.
+
+    start and end count UTF-8 bytes, char characters and unit UTF-16 units before the
+    token; gap is the white space before it, glued that there is none but another token. Documents without a token (null, empty,
+    blank) have no row.
+    """
+    kept = [ROW, *keep]
+    source = numbered(docs).select(*kept, analysed(docs).alias("_text"))
     kinds = dict(source.dtypes)
-    names = [f.split()[0].split(":")[0] for f in _fields(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(name))
+            texts = batch.column(len(kept))
             for lo, hi in slices(texts, SIZE):
-                part = batch.slice(lo, hi - lo)
-                doc, arrays = rows(L.Texts(texts.slice(lo, hi - lo), contextual), part)
-                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
-                if doc is not None:
-                    kept = [c.take(pa.array(doc)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*kept, *arrays], [*keep, *names])
+                t = L.Texts(texts.slice(lo, hi - lo))
+                doc = pa.array(t.doc)
+                own = [LEXED[c][1](t) for c in columns]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo).take(doc) for i in range(len(kept))], *[x if isinstance(x, pa.Array) else pa.array(x) for x in own]], [*kept, *columns])
 
-    return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], schema]))
+    return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], *[f"`{c}` {LEXED[c][0]}" for c in columns]]))
 
 
-def _fields(schema: str) -> list[str]:
-    """The fields of a schema text, split at its outer commas."""
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(schema[at:i].strip())
-            at = i + 1
-    return [*out, schema[at:].strip()]
+_LETTER = r"[\p{IsAlphabetic}'’]"
 
 
-def named(codes: np.ndarray, names: list[str]) -> pa.Array:
-    return pa.array(names, pa.string()).take(pa.array(codes.astype(np.int32), mask=codes < 0))
+def title_case(line: Column) -> Column:
+    """Whether a line is a title: two capitalised words at least, and every other one closed-class.
 
+    The search for another word ends at the first, so most lines cost a few characters.
+    """
+    closed = "|".join(w.replace("'", "['’]") for w, _ in V.CLOSED_ROWS)
+    other = rf"(?<!{_LETTER})(?!(?i:{closed})(?!{_LETTER}))(?!\p{{IsUppercase}}){_LETTER}"
+    return ~line.rlike(other) & (F.regexp_count(line, F.lit(rf"(?<!{_LETTER})\p{{IsUppercase}}")) >= 2)
 
-def _int(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.int32, copy=False))
 
+def _line_rows(docs: DataFrame, keep: list[str], sizes: dict, more: dict) -> DataFrame:
+    """Row number, ``keep``, and for each line the sums of ``sizes`` over the lines before it (a row after every CR or LF) and ``more``."""
+    pieces = F.split(F.coalesce(analysed(docs), F.lit("")), r"(?<=[\r\n])", -1)
+    kept = [ROW, *keep]
+    line = lambda x, i: F.struct(*[f(x, i).alias(n) for n, f in (sizes | more).items()])
+    found = numbered(docs).select(*kept, pieces.alias("_pieces")).select(*kept, F.posexplode_outer(F.transform("_pieces", line)).alias("_line", "_x"))
+    earlier = Window.partitionBy(ROW).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(F.col("_x")[c]).over(earlier), F.lit(0)).cast("int")
+    return found.select(*kept, *[total(n).alias(n) for n in sizes], *[F.col("_x")[n].alias(n) for n in more])
 
-#: Interchange and presentation axes by class; roles of open classes follow their kind.
-TOKEN_KINDS = ["WORD", "NUMBER", "PUNCTUATION", "QUOTE"]
-_TOKEN_KIND = np.array([0, 1, 0, 0, 0, 2, 3], np.int8)
-LEXICAL = ["FUNCTION", "CONTENT", "PROPER_NOUN_CANDIDATE"]
-_LEXICAL = np.array([0, -1, 1, 1, 2, -1, -1], np.int8)
-ROLES = [r for r, *_ in V.ROLES]
-_ROLE = np.array([ROLES.index(r) for r in ("STRUCTURAL_KEYWORD", "LITERAL", "UNSTYLED", "UNSTYLED", "TYPE_LIKE", "MUTED", "QUOTED")], np.int8)
-_OPEN_ROLE = np.array([ROLES.index(k.upper()) for k in L.OPENS], np.int8)
-
-
-def role_codes(t: L.Texts) -> np.ndarray:
-    return np.where(t.open >= 0, _OPEN_ROLE[np.maximum(t.open, 0)], _ROLE[t.cls]).astype(np.int8)
-
-
-#: Token columns: type and how it is made.
-COLUMNS: dict[str, tuple[str, Callable[[L.Texts], pa.Array]]] = {
-    "pos": ("int", lambda t: _int(t.pos)),
-    "lexeme": ("string", lambda t: t.lexemes()),
-    "kind": ("string", lambda t: named(t.kind, L.KINDS)),
-    "start": ("int", lambda t: _int(t.start)),
-    "end": ("int", lambda t: _int(t.end)),
-    "row": ("int", lambda t: _int(t.row)),
-    "col": ("int", lambda t: _int(t.col)),
-    "end_col": ("int", lambda t: _int(t.end_col)),
-    "col16": ("int", lambda t: _int(t.col16)),
-    "len16": ("int", lambda t: _int(t.len16)),
-    "breaks": ("int", lambda t: _int(t.breaks)),
-    "sent_id": ("int", lambda t: _int(t.sent)),
-    "starts": ("boolean", lambda t: pa.array(t.starts)),
-    "pos_class": ("string", lambda t: named(t.cls, L.CLASSES)),
-    "function_kind": ("string", lambda t: named(t.function, L.FUNCTIONS)),
-    "open_kind": ("string", lambda t: named(t.open, L.OPENS)),
-    "token_kind": ("string", lambda t: named(_TOKEN_KIND[t.cls], TOKEN_KINDS)),
-    "lexical_class": ("string", lambda t: named(_LEXICAL[t.cls], LEXICAL)),
-    "function_axis": ("string", lambda t: named(t.function, [k.upper() for k in L.FUNCTIONS])),
-    "open_axis": ("string", lambda t: named(t.open, [k.upper() for k in L.OPENS])),
-    "role": ("string", lambda t: named(role_codes(t), ROLES)),
-}
 
+def _bytes(x: Column, i: Column) -> Column:
+    return F.octet_length(x)
 
-def tokens(docs: DataFrame, columns: list[str] | None = None, contextual: bool = True, key: str = "doc_id") -> DataFrame:
-    """A row for each token: the key and ``columns`` (all of COLUMNS unless given).
 
-    breaks counts the line breaks in the gap before a token; row, col and col16 are
-    0-based (characters and UTF-16 units). Documents without a token (null, empty,
-    blank) have no row. Without ``contextual``, ambiguous words stay undecided.
+def lines(docs: DataFrame, keep: list[str] | None = None, title: bool = False) -> DataFrame:
+    """Row number, ``keep``, and start, char, unit, row, stop (and title) of each line: a row after every CR or LF.
+
+    row counts CRLF as one break: an LF that follows a CR begins a line of its own here,
+    of the same row. stop is where the next line starts, and one byte beyond the text on
+    the last one, so that every offset lies on one line. A null text has one line.
     """
-    wanted = list(COLUMNS) if columns is None else columns
+    closed = lambda x, i: (x.endswith("\n") | (x.endswith("\r") & ~F.coalesce(F.startswith(F.get(F.col("_pieces"), i + 1), F.lit("\n")), F.lit(False)))).cast("int")
+    room = lambda x, i: F.octet_length(x) + (i == F.size("_pieces") - 1).cast("int")
+    sizes = {"start": _bytes, "char": lambda x, i: F.length(x), "unit": lambda x, i: T.utf16_length(x), "row": closed}
+    found = _line_rows(docs, keep or [], sizes, {"_room": room} | ({"title": lambda x, i: title_case(x)} if title else {}))
+    return found.withColumn("stop", F.col("start") + F.col("_room")).drop("_room")
 
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        return t.doc, [COLUMNS[c][1](t) for c in wanted]
 
-    return each(docs, [key], ", ".join(f"`{c}` {COLUMNS[c][0]}" for c in wanted).replace("`", ""), rows, contextual)
+def ordered() -> WindowSpec:
+    """Token rows of a document in order, with the line rows before those that begin on them."""
+    return Window.partitionBy(ROW).orderBy("start", "_token")
 
 
-def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, sent_id, start, end, words, breaks (line breaks before the sentence)."""
+def so_far() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        return t.s_doc, [_int(t.s_id), _int(t.s_start), _int(t.s_end), pa.array(t.s_words.astype(np.int64)), _int(t.breaks[t.s_first])]
 
-    return each(docs, [key], "sent_id int, start int, end int, words long, breaks int", rows, False)
+def before() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def title_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, row of the lines that are titles: two capitalised words at least, and every other one closed-class.
+def _with_rows(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tokens and, as rows of the same stream (_token false), other ``rows`` that begin at ``start``."""
+    return tokens.withColumn("_token", F.lit(True)).unionByName(rows.withColumn("_token", F.lit(False)), allowMissingColumns=True)
 
-    A line counts where a token of it opens the line's words.
-    """
 
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        at = np.flatnonzero(t.title)
-        _, one = np.unique(t.doc[at].astype(np.int64) << 32 | t.row[at], return_index=True)
-        return t.doc[at[one]], [_int(t.row[at[one]])]
+def _marks(docs: DataFrame, title: bool, placed: bool) -> DataFrame:
+    """Row number, start and what line rows say: _title_end of titles alone, or _line (and _title_end) of every line."""
+    if placed:
+        found = lines(docs, title=title).withColumn("_line", F.struct("row", "char", "unit"))
+        return found.select(ROW, "start", "_line", *([F.when(F.col("title"), F.col("stop")).alias("_title_end")] if title else []))
+    found = _line_rows(docs, [], {"start": _bytes}, {"_size": _bytes, "title": lambda x, i: title_case(x)}).where("title")
+    return found.select(ROW, "start", (F.col("start") + F.col("_size")).alias("_title_end"))
+
+
+def _carried(column: str) -> Column:
+    """What the last row of another kind says, for the tokens that follow it."""
+    return F.last(column, ignorenulls=True).over(so_far()).alias(column)
+
+
+def _closes() -> Column:
+    """A quote or bracket right behind another token."""
+    return F.coalesce(F.col("glued") & F.col("lexeme").isin(V.CLOSERS), F.lit(False))
+
 
-    return each(docs, [key], "row int", rows, False)
+def _anchor() -> Column:
+    """The kind of the last token that isn't a closer."""
+    return F.last(F.when(~_closes(), F.col("kind")), ignorenulls=True).over(before()).alias("_anchor")
 
 
-TOKEN = "struct<pos:int,lexeme:string,start:int,end:int,kind:string,role:string,token_kind:string,lexical_class:string,function_axis:string,open_axis:string,row:int,col16:int,len16:int>"
-SENTENCE = "struct<start:int,end:int,first:int,size:int,breaks:int>"
+def _begins() -> Column:
+    """Whether a token begins a sentence: it is no closer, and the last token that isn't one was an end."""
+    return F.coalesce(F.col("_token") & (F.col("_anchor") == "end") & ~_closes(), F.lit(False))
 
 
-def nested(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
-    """``keep`` with tokens and sentences as arrays (empty for texts without any), a row for each document."""
-    fields = [f.split(":")[0] for f in TOKEN[7:-1].split(",")]
+def _is_word() -> Column:
+    return F.coalesce(F.col("kind").isin("word", "number"), F.lit(False))
 
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        offsets = pa.array(np.append(t.first, len(t.doc)).astype(np.int32))
-        tokens_ = pa.StructArray.from_arrays([COLUMNS[f][1](t) for f in fields], fields)
-        at = pa.array(np.searchsorted(t.s_doc, np.arange(len(t.first) + 1)).astype(np.int32))
-        own = [t.s_start, t.s_end, t.pos[t.s_first], t.s_last - t.s_first, t.breaks[t.s_first]]
-        sents = pa.StructArray.from_arrays([_int(x) for x in own], ["start", "end", "first", "size", "breaks"])
-        return None, [pa.ListArray.from_arrays(offsets, tokens_), pa.ListArray.from_arrays(at, sents)]
 
-    return each(docs, keep, f"tokens array<{TOKEN}>, sentences array<{SENTENCE}>", rows, contextual)
+#: What the windows read of every token.
+BASE = ["pos", "start", "end", "lexeme", "kind", "glued"]
+
+
+def sentence_tokens(docs: DataFrame, keep: list[str], columns: list[str], placed: bool = False) -> DataFrame:
+    """``keep``, ``columns`` of LEXED, sent_id and starts of every token; with ``placed``, its place on its line too."""
+    docs = numbered(docs)
+    stream = lexed(docs, keep, list(dict.fromkeys([*columns, *BASE])))
+    stream = _with_rows(stream, _marks(docs, False, True)) if placed else stream.withColumn("_token", F.lit(True))
+    stream = stream.select(*[c for c in stream.columns if c != "_line"], _anchor(), *([_carried("_line")] if placed else []))
+    stream = stream.withColumn("starts", _begins())
+    stream = stream.withColumn("sent_id", F.sum(F.col("starts").cast("int")).over(so_far()).cast("int"))
+    return _places(stream.where("_token")) if placed else stream
+
+
+def _places(tokens: DataFrame) -> DataFrame:
+    """row, col, end_col, col16 and len16 (characters and UTF-16 units) of tokens that know their line."""
+    tokens = tokens.withColumns({"row": F.col("_line.row"), "col": F.col("char") - F.col("_line.char"), "col16": F.col("unit") - F.col("_line.unit"), "len16": T.utf16_length(F.col("lexeme"))})
+    return tokens.withColumn("end_col", F.col("col") + F.length("lexeme")).drop("_line")
+
+
+def sentences(docs: DataFrame, keep: list[str] | None = None, breaks: bool = False) -> DataFrame:
+    """Row number, ``keep`` (doc_id unless given), sent_id, start, end, words (and breaks: line breaks before it) of each sentence."""
+    keep = ["doc_id"] if keep is None else keep
+    t = sentence_tokens(docs, keep, ["gap"] if breaks else [])
+    gap = [F.min_by(T.line_breaks(F.col("gap")), "start").alias("breaks")] if breaks else []
+    found = t.groupBy(ROW, "sent_id").agg(*[F.first(c).alias(c) for c in keep], F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(_is_word()).alias("words"), *gap)
+    return found.select(ROW, *keep, "sent_id", "start", "end", "words", *(["breaks"] if breaks else []))
+
+
+def title_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, row of the lines that are titles."""
+    return lines(docs, [key], title=True).where("title").select(key, "row")
+
+
+def _looked_up(rows: DataFrame, word: Column) -> DataFrame:
+    """function_kind and open_kind of a word, by a broadcast join with the fixed tables (256 rows).
+
+    A curly apostrophe counts as a straight one in closed-class words alone; no seed has either.
+    """
+    quote = lambda v: "'" + v.replace("'", "\\'") + "'" if v else "CAST(NULL AS STRING)"
+    table = ", ".join(f"({quote(w)}, {quote(f)}, {quote(o)})" for w, f, o in [*[(w, k, None) for w, k in V.CLOSED_ROWS], *[(w, None, k) for w, k in V.OPEN_ROWS]])
+    known = rows.sparkSession.sql(f"SELECT * FROM VALUES {table} AS t(_known, function_kind, open_kind)")
+    return rows.join(F.broadcast(known), T.closed_key(word) == F.col("_known"), "left").drop("_known")
 
 
 def lexicon(words: DataFrame, lexeme: str = "lexeme") -> DataFrame:
     """Context-free classes of any column of words: function_kind, open_kind and pos_class.
 
-    Two broadcast joins with the fixed tables (240 and 16 rows); precedence is closed
-    class, whole number, seed, content.
+    Precedence is closed class, whole number, seed, content.
     """
-    spark = words.sparkSession
-    closed = spark.createDataFrame(V.CLOSED_ROWS, "_ck string, function_kind string")
-    seeds = spark.createDataFrame(V.OPEN_ROWS, "_ok string, open_kind string")
     word = F.col(lexeme)
-    out = words.join(F.broadcast(closed), T.closed_key(word) == F.col("_ck"), "left").drop("_ck")
-    out = out.join(F.broadcast(seeds), F.col("function_kind").isNull() & (T.ascii_lower(word) == F.col("_ok")), "left").drop("_ok")
     kind = F.when(F.col("function_kind").isNotNull(), "Function").when(word.rlike(T.WHOLE_NUMBER), "Number").when(F.col("open_kind").isNotNull(), "Open").otherwise("Content")
-    return out.withColumn("pos_class", kind)
+    return _looked_up(words, word).withColumn("pos_class", kind)
+
+
+def _first_letter(is_ascii: Column, other: str) -> Column:
+    """Whether a token's first character is such, ASCII told by its code."""
+    code = F.ascii("lexeme")
+    return F.when(code < 128, is_ascii).otherwise(F.col("lexeme").rlike("^" + other))
+
+
+def classified(docs: DataFrame, keep: list[str], columns: list[str], placed: bool = False) -> DataFrame:
+    """``sentence_tokens`` with function_kind, open_kind and pos_class, before neighbours are looked at.
+
+    A content or seed word is a proper-noun candidate if it is capitalised, an
+    alphabetic word came before it since the sentence began or a line was crossed, and
+    the line that was crossed last is no title. A line is crossed by the first word of a
+    document and by a word right after a line break.
+    """
+    docs = numbered(docs)
+    kind, code = F.col("kind"), F.ascii("lexeme")
+    tokens = _looked_up(lexed(docs, keep, list(dict.fromkeys([*columns, *BASE, "gap"]))), F.when(kind == "word", F.col("lexeme")))
+    base = F.when(kind == "number", "Number").when(kind == "quote", "Quote").when(kind != "word", "Punctuation")
+    base = base.when(F.col("function_kind").isNotNull(), "Function").when(F.col("open_kind").isNotNull(), "Open").otherwise("Content")
+    alpha = _is_word() & _first_letter(code.between(65, 90) | code.between(97, 122), r"\p{IsAlphabetic}")
+    capital = (kind == "word") & _first_letter(code.between(65, 90), r"\p{IsUppercase}")
+    tokens = tokens.withColumns({"pos_class": base, "_alpha": alpha, "_capital": capital, "_broken": F.col("gap").rlike(r"[\r\n]") & (F.col("pos") > 0)})
+    tokens = tokens if "gap" in columns else tokens.drop("gap")
+    stream = _with_rows(tokens, _marks(docs, True, placed))
+    marks = ["_title_end", "_line"] if placed else ["_title_end"]
+    others = [c for c in stream.columns if c not in marks]
+    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before()), F.lit(0))
+    stream = stream.select(*others, *map(_carried, marks), _anchor(), count(_is_word()).alias("_words"), count(F.coalesce("_alpha", F.lit(False))).alias("_alphas"))
+    crossed = _is_word() & ((F.col("_words") == 0) | F.col("_broken"))
+    stream = stream.withColumns({"starts": _begins(), "_crossed": crossed})
+    stream = stream.select(
+        "*", F.sum(F.col("starts").cast("int")).over(so_far()).cast("int").alias("sent_id"),
+        F.last(F.when(F.col("_crossed"), F.coalesce(F.col("start") < F.col("_title_end"), F.lit(False))), ignorenulls=True).over(so_far()).alias("_in_title"),
+        F.last(F.when(F.col("_crossed") | F.col("starts"), F.col("_alphas")), ignorenulls=True).over(so_far()).alias("_alphas_then"),
+    ).where("_token")
+    proper = F.col("pos_class").isin("Content", "Open") & F.col("_capital") & ~F.coalesce("_in_title", F.lit(False)) & (F.col("_alphas") > F.coalesce("_alphas_then", F.lit(0)))
+    stream = stream.withColumn("pos_class", F.when(proper, "ProperNoun").otherwise(F.col("pos_class")))
+    stream = stream.withColumn("open_kind", F.when(F.col("pos_class") == "Open", F.col("open_kind")))
+    stream = _places(stream) if placed else stream
+    return stream.drop("_alpha", "_capital", "_broken", "_anchor", "_words", "_alphas", "_alphas_then", "_in_title", "_crossed", "_title_end")
+
+
+def _hint() -> Column:
+    """What a token is evidence for: N (nominal), S (subject), V (verb) or nothing."""
+    kind, open_kind, lexeme = F.col("pos_class"), F.col("open_kind"), F.col("lexeme")
+    function = F.when(T.ascii_lower(lexeme) == "to", "S").when(F.col("function_kind").isin("Article", "Determiner", "Preposition"), "N").when(F.col("function_kind").isin("Pronoun", "Auxiliary"), "S").otherwise("")
+    opened = F.when(open_kind == "Noun", "S").when(open_kind == "Verb", "V").when(open_kind == "Adjective", "N").otherwise("")
+    plural = F.when(lexeme.rlike("[^sS][sS]$"), "S").otherwise("")
+    return F.when(kind == "Function", function).when(kind == "Open", opened).when(kind == "Content", plural).when(kind == "ProperNoun", "S").otherwise("")
+
+
+def _sense(word: Column, hint: Column, nounish_after: Column) -> Column:
+    """V, N, J or R (adverb) for an ambiguous word, - where it stays content."""
+    named = F.when(hint == "S", "V").when(hint == "N", "N").otherwise("-")
+    lead = F.when(hint == "S", "V").when((hint == "N") & nounish_after, "J").when(hint == "N", "N").otherwise("-")
+    fast = F.when(hint == "V", "R").when(nounish_after, "J").otherwise("-")
+    return F.when(word.isin("book", "record"), named).when(word == "lead", lead).otherwise(fast)
+
+
+def refined(docs: DataFrame, keep: list[str], columns: list[str], wanted: list[str], placed: bool = False) -> DataFrame:
+    """Row number and ``wanted`` columns of ``classified`` tokens, with the senses of ambiguous content words.
+
+    A word is decided by the token before, as that was decided itself, and by the class
+    of the token after. Consecutive ambiguous words are an island; an island is one row
+    whose words are folded from left to right, and it carries its words' own columns, so
+    that they are put back by a union: nothing is joined or exchanged again. The fold's
+    state is a hint and a string with a letter a word. Documents without any of the words
+    take no part in the islands' side of the union.
+    """
+    docs = numbered(docs)
+    word = T.ascii_lower(F.col("lexeme"))
+    ambiguous = (F.col("pos_class") == "Content") & word.isin(V.AMBIGUOUS)
+    own = list(dict.fromkeys([*wanted, "pos_class", "open_kind"]))
+    plain = classified(docs, keep, columns, placed).where(~ambiguous).select(ROW, *own)
+    tokens = classified(docs.where(analysed(docs).rlike("(?i)" + "|".join(V.AMBIGUOUS))), keep, columns, placed)
+    tokens = tokens.withColumns({"_hint": _hint(), "_ambiguous": ambiguous})
+    nounish = F.col("pos_class").isin("Content", "ProperNoun") | F.coalesce(F.col("open_kind") == "Noun", F.lit(False))
+    tokens = tokens.withColumn("_nounish", nounish).select(
+        "*", F.coalesce(F.lead("_nounish").over(ordered()), F.lit(False)).alias("_noun_after"), F.coalesce(F.lag("_hint").over(ordered()), F.lit("")).alias("_hint_before"),
+        F.sum((~F.col("_ambiguous")).cast("int")).over(so_far()).alias("_island"),
+    )
+    packed = F.struct(F.col("start").alias("_at"), word.alias("_word"), "_noun_after", "_hint_before", *own)
+    islands = tokens.where("_ambiguous").groupBy(ROW, "_island").agg(F.sort_array(F.collect_list(packed)).alias("_words"))
+
+    def step(state: Column, x: Column) -> Column:
+        sense = _sense(x["_word"], state["hint"], x["_noun_after"])
+        after = F.when(sense == "V", "V").when(sense == "N", "S").when(sense == "J", "N").otherwise("")
+        return F.struct(after.alias("hint"), F.concat(state["senses"], sense).alias("senses"))
+
+    start = F.struct(F.col("_words")[0]["_hint_before"].alias("hint"), F.lit("").alias("senses"))
+    folded = islands.withColumn("_senses", F.encode(F.aggregate("_words", start, step)["senses"], "UTF-8"))
+    out = folded.select(ROW, F.posexplode("_words").alias("_k", "_x"), "_senses").select(ROW, *[F.col("_x")[c].alias(c) for c in own], F.decode(F.substring("_senses", F.col("_k") + 1, F.lit(1)), "UTF-8").alias("_sense"))
+    found = F.when(F.col("_sense") == "V", "Verb").when(F.col("_sense") == "N", "Noun").when(F.col("_sense") == "J", "Adjective").when(F.col("_sense") == "R", "Adverb")
+    out = out.withColumns({"open_kind": found, "pos_class": F.when(found.isNotNull(), "Open").otherwise(F.col("pos_class"))}).drop("_sense")
+    return plain.unionByName(out)
+
+
+#: Interchange and presentation axes by class; roles of open classes follow their kind.
+def _token_kind() -> Column:
+    c = F.col("pos_class")
+    return F.when(c == "Number", "NUMBER").when(c == "Punctuation", "PUNCTUATION").when(c == "Quote", "QUOTE").otherwise("WORD")
+
+
+def _lexical_class() -> Column:
+    c = F.col("pos_class")
+    return F.when(c == "Function", "FUNCTION").when(c == "ProperNoun", "PROPER_NOUN_CANDIDATE").when(c.isin("Content", "Open"), "CONTENT")
+
+
+def role_of_class() -> Column:
+    c = F.col("pos_class")
+    role = F.when(c == "Function", "STRUCTURAL_KEYWORD").when(c == "ProperNoun", "TYPE_LIKE").when(c == "Number", "LITERAL").when(c == "Punctuation", "MUTED").when(c == "Quote", "QUOTED")
+    return role.when(c == "Open", F.upper("open_kind")).otherwise("UNSTYLED")
+
+
+#: Token columns that follow from the class.
+DERIVED = {
+    "token_kind": _token_kind, "lexical_class": _lexical_class, "role": role_of_class, "function_axis": lambda: F.when(F.col("pos_class") == "Function", F.upper("function_kind")),
+    "open_axis": lambda: F.when(F.col("pos_class") == "Open", F.upper("open_kind")),
+}
+CLASSES = ["pos_class", "function_kind", "open_kind", *DERIVED]
+PLACES = ["row", "col", "end_col", "col16", "len16"]
+COLUMNS = ["pos", "lexeme", "kind", "start", "end", *PLACES, "breaks", "sent_id", "starts", *CLASSES]
+
+
+def tokens(docs: DataFrame, columns: list[str] | None = None, contextual: bool = True, key: str = "doc_id") -> DataFrame:
+    """A row for each token: the key and ``columns`` (all of COLUMNS unless given).
+
+    breaks counts the line breaks in the gap before a token; row, col and col16 are
+    0-based (characters and UTF-16 units). Documents without a token (null, empty,
+    blank) have no row. Without ``contextual``, ambiguous words stay undecided. What
+    isn't asked for isn't computed: plain lexer columns need no exchange, sentences
+    three windows, classes the line rows and senses besides.
+    """
+    wanted = COLUMNS if columns is None else columns
+    return with_rows(docs, [key], wanted, contextual).select(key, *wanted)
+
+
+def with_rows(docs: DataFrame, keep: list[str], wanted: list[str], contextual: bool = True) -> DataFrame:
+    """``tokens`` with the row number and ``keep``."""
+    plain = [c for c in wanted if c in LEXED]
+    placed = any(c in PLACES for c in wanted)
+    plain += [c for c in ("char", "unit") if c not in plain and placed] + [c for c in ("gap",) if c not in plain and "breaks" in wanted]
+    if any(c in CLASSES for c in wanted):
+        found = refined(docs, keep, plain, [*keep, *[c for c in wanted if c not in DERIVED and c != "breaks"], "function_kind", *(["gap"] if "breaks" in wanted else [])], placed) if contextual else classified(docs, keep, plain, placed)
+        found = found.withColumns({c: f() for c, f in DERIVED.items() if c in wanted})
+    elif placed or "sent_id" in wanted or "starts" in wanted:
+        found = sentence_tokens(docs, keep, plain, placed)
+    else:
+        found = lexed(docs, keep, plain)
+    if "breaks" in wanted:
+        found = found.withColumn("breaks", T.line_breaks(F.col("gap")))
+    return found.select(ROW, *keep, *[c for c in wanted if c not in keep])
+
+
+TOKEN = ["pos", "lexeme", "start", "end", "kind", "role", "token_kind", "lexical_class", "function_axis", "open_axis", "row", "col", "end_col", "col16", "len16", "breaks", "sent_id"]
+
+
+def grouped(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Row number and all rows of a document as one sorted array of structs, by the first of ``columns``."""
+    return rows.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def nested(docs: DataFrame, keep: list[str], contextual: bool = True, columns: list[str] = TOKEN) -> DataFrame:
+    """``keep`` with all tokens in one array (empty for texts without any), a row for each document."""
+    docs = numbered(docs)
+    found = grouped(with_rows(docs, [], columns, contextual), columns, "tokens")
+    out = docs.join(found, ROW, "left")
+    return out.select(ROW, *keep, F.coalesce("tokens", F.array().cast(found.schema["tokens"].dataType)).alias("tokens"))
+
+
+def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, tokens (pos, start, end, kind) and sentences (start, end, first, size: a range of tokens) as arrays."""
+    docs = numbered(docs)
+    t = sentence_tokens(docs, [], [])
+    token = F.struct("pos", "start", "end", "kind")
+    sents = t.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.sort_array(F.collect_list(token)).alias("own"))
+    rows = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "first", "size", "own"))).alias("s"))
+    sentence = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["first"].alias("first"), s["size"].alias("size"))
+    rows = rows.select(ROW, F.flatten("s.own").alias("tokens"), F.transform("s", sentence).alias("sentences"))
+    none = {c: F.array().cast(rows.schema[c].dataType) for c in ("tokens", "sentences")}
+    return docs.join(rows, ROW, "left").select(*keep, *[F.coalesce(c, n).alias(c) for c, n in none.items()])
 
 
 def word_count() -> dict[str, int]:

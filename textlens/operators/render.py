@@ -1,7 +1,7 @@
 """Presentation: roles, ANSI, editor tokens and diagnostics, highlight spans, outline, reports.
 
-Everything of one document is made in the pass that reads it: row results leave it as
-rows, document results as arrays that column expressions turn into text.
+All of it follows from token rows by windows and groups; results of a whole document are
+grouped by its row number and put together by column expressions.
 """
 
 from __future__ import annotations
@@ -9,16 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexer as L
 from ..functions import text as T
 from ..functions import vocabulary as V
 from . import annotate
-from .annotate import each, named, role_codes
+from .annotate import ROW, analysed, grouped, numbered, with_rows
 
 
 def role_table(spark) -> DataFrame:
@@ -46,7 +44,7 @@ def per_row(df: DataFrame, keep: list[str], read: list[str], schema: str, rows:
     source = df.select(*keep, *[F.col(c).alias(f"_{i}") for i, c in enumerate(read)])
     kinds = dict(source.dtypes)
     whole = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], schema])
-    fields = annotate._fields(schema)
+    fields = [f.strip() for f in schema.split(",")]
     types = pa.schema([(f.split()[0], {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +60,11 @@ def per_row(df: DataFrame, keep: list[str], read: list[str], schema: str, rows:
     return source.mapInArrow(run, whole)
 
 
+def _of_documents(docs: DataFrame, rows: DataFrame, keep: list[str], name: str, empty: str) -> DataFrame:
+    """``keep`` and the column ``name`` of ``rows`` (one a document) for all documents; those without one get an empty ``empty``."""
+    return docs.join(rows, ROW, "left").select(*keep, F.coalesce(name, F.array().cast(empty)).alias(name))
+
+
 def ansi(docs: DataFrame, color: bool = True, key: str = "doc_id") -> DataFrame:
     """key, colored: styled tokens between escape codes, gaps verbatim; null stays null.
 
@@ -70,51 +73,39 @@ def ansi(docs: DataFrame, color: bool = True, key: str = "doc_id") -> DataFrame:
     """
     if not color:
         return docs.select(key, F.col("text").alias("colored"))
-    codes = [a for _, a, _, _ in V.ROLES]
-
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        sgr = role_codes(t)
-        styled = np.isin(sgr, [i for i, a in enumerate(codes) if a])
-        source = batch.column(batch.schema.get_field_index("text"))
-        out = []
-        for d in range(len(t.first)):
-            text = source[d].as_buffer() if source[d].is_valid else None
-            if text is None:
-                out.append(None)
-                continue
-            raw, prose, parts, at = text.to_pybytes(), t.bytes[t.offsets[d] : t.offsets[d + 1]].tobytes(), [], 0
-            own = np.arange(t.first[d], t.last[d])
-            for i in own[styled[own]].tolist():
-                s, e = int(t.start[i]), int(t.end[i])
-                if raw[s:e] == prose[s:e]:
-                    parts += [raw[at:s], b"\x1b[", codes[sgr[i]].encode(), b"m", raw[s:e], b"\x1b[0m"]
-                    at = e
-            out.append(b"".join([*parts, raw[at:]]).decode())
-        return None, [pa.array(out, pa.string())]
-
-    return each(docs, [key], "colored string", rows)
-
-
-_STYLED = re.compile(r"\x1b\[([0-9;]+)m([^\x1b]*)\x1b\[0m|[^\x1b]+|\x1b")
+    docs = numbered(docs)
+    styled = with_roles(with_rows(docs, [], ["start", "end", "role"])).where("ansi IS NOT NULL")
+    spans = grouped(styled, ["start", "end", "ansi"], "spans")
+    raw = docs.select(ROW, key, F.encode("text", "UTF-8").alias("_raw"), F.encode(analysed(docs), "UTF-8").alias("_seen"))
+    found = _of_documents(raw, spans, [key, "_raw", "_seen"], "spans", "array<struct<start:int,end:int,ansi:string>>")
+    cut = lambda bytes_, a, b: F.substring(bytes_, a + 1, b - a)
+    own = F.filter("spans", lambda s: cut(F.col("_raw"), s["start"], s["end"]) == cut(F.col("_seen"), s["start"], s["end"]))
+    plain = lambda a, b: F.decode(cut(F.col("_raw"), a, b), "UTF-8")
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("_own", i - 1)["end"]).otherwise(0)
+        return F.concat(plain(before, s["start"]), F.lit("\x1b["), s["ansi"], F.lit("m"), plain(s["start"], s["end"]), F.lit("\x1b[0m"))
+
+    rest = plain(F.coalesce(F.try_element_at("_own", F.lit(-1))["end"], F.lit(0)), F.octet_length("_raw"))
+    return found.withColumn("_own", own).select(key, F.concat(F.array_join(F.transform("_own", piece), ""), rest).alias("colored"))
+
+
+#: A styled token, or what stands between two.
+_STYLED = r"\x1b\[[0-9;]+m[^\x1b]*+\x1b\[0m|[^\x1b]++|\x1b"
 
 
 def ansi_spans(colored: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, end (UTF-8 bytes of the plain text), ansi, lexeme: ``ansi`` undone.
 
-    Texts with escape characters of their own can't be told apart.
+    Pieces become rows, and a piece starts where a running sum of the plain bytes before
+    it stands. Texts with escape characters of their own can't be told apart.
     """
-
-    def spans(text: str | None) -> list[tuple]:
-        at, out = 0, []
-        for m in _STYLED.finditer(text or ""):
-            plain = m[0] if m[1] is None else m[2]
-            size = len(plain.encode())
-            if m[1] is not None:
-                out.append((at, at + size, m[1], plain))
-            at += size
-        return out
-
-    return per_row(colored, [key], ["colored"], "start int, end int, ansi string, lexeme string", spans)
+    part = lambda i: F.regexp_extract("_piece", r"^\x1b\[([0-9;]+)m([^\x1b]*+)\x1b\[0m$", i)
+    pieces = numbered(colored).select(ROW, key, F.posexplode(F.regexp_extract_all("colored", F.lit(_STYLED), F.lit(0))).alias("_n", "_piece"))
+    pieces = pieces.select(ROW, key, "_n", part(1).alias("ansi"), F.when(part(1) != "", part(2)).otherwise(F.col("_piece")).alias("lexeme"))
+    before = F.sum(F.octet_length("lexeme")).over(Window.partitionBy(ROW).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where("ansi <> ''")
+    return pieces.select(key, "start", (F.col("start") + F.octet_length("lexeme")).alias("end"), "ansi", "lexeme")
 
 
 def code(text: Column) -> Column:
@@ -145,7 +136,10 @@ EDITED = [r for r, _, t, _ in V.ROLES if t]
 
 def span_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, report: the spans that editors style, one text a document."""
-    return annotate.nested(docs, [key]).select(key, report_of(F.filter("tokens", lambda t: t["role"].isin(EDITED))).alias("report"))
+    docs = numbered(docs)
+    spans = grouped(with_rows(docs, [], ["start", "end", "lexeme", "role"]).where(F.col("role").isin(EDITED)), ["start", "end", "lexeme", "role"], "spans")
+    found = _of_documents(docs, spans, [key], "spans", "array<struct<start:int,end:int,lexeme:string,role:string>>")
+    return found.select(key, report_of(F.col("spans")).alias("report"))
 
 
 def highlight_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -156,58 +150,40 @@ def highlight_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def highlight_bundles(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, bundle: one JSON text a document with its class spans, pretty-printed."""
-    styles = {r: h for r, _, _, h in V.ROLES if h}
-
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        import json
-
-        roles, out = role_codes(t), []
-        for d in range(len(t.first)):
-            spans = []
-            for i in range(t.first[d], t.last[d]):
-                style = styles.get(annotate.ROLES[roles[i]])
-                if style:
-                    point = lambda c: {"row": int(t.row[i]), "column": int(c)}  # noqa: B023, E731
-                    spans.append({"className": style, "range": {"start": point(t.col[i]), "end": point(t.end_col[i])}})
-            out.append(json.dumps({"syntax": {"partial": False, "spans": spans}}, indent=2, ensure_ascii=False) + "\n")
-        return None, [pa.array(out, pa.string())]
-
-    return each(docs, [key], "bundle string", rows)
-
-
-def _edited(t: L.Texts) -> tuple[np.ndarray, ...]:
-    """Tokens that editors style, and their deltas: line, start, length, type."""
-    kinds = np.array([V.LEGEND.index(k) if k else -1 for _, _, k, _ in V.ROLES])[role_codes(t)]
-    at = np.flatnonzero(kinds >= 0)
-    same = np.zeros(len(at), bool)
-    same[1:] = t.doc[at[1:]] == t.doc[at[:-1]]
-    row, col = t.row[at], t.col16[at]
-    line = row - np.where(same, np.append(0, row[:-1])[: len(row)], 0)
-    start = col - np.where(same & (line == 0), np.append(0, col[:-1])[: len(col)], 0)
-    return at, line, start, t.len16[at], kinds[at]
+    docs = numbered(docs)
+    columns = ["start", "highlight", "row", "col", "end_col"]
+    rows = with_roles(with_rows(docs, [], ["start", "role", "row", "col", "end_col"])).where("highlight IS NOT NULL")
+    found = _of_documents(docs, grouped(rows, columns, "spans"), [key], "spans", "array<struct<start:int,highlight:string,row:int,col:int,end_col:int>>")
+    point = lambda row, column: F.format_string('{\n            "row": %d,\n            "column": %d\n          }', row, column)
+    span = lambda s: F.concat(
+        F.lit('\n      {\n        "className": "'), s["highlight"], F.lit('",\n        "range": {\n          "start": '), point(s["row"], s["col"]), F.lit(',\n          "end": '), point(s["row"], s["end_col"]), F.lit("\n        }\n      }")
+    )
+    body = F.when(F.size("spans") == 0, "[]").otherwise(F.concat(F.lit("["), F.array_join(F.transform("spans", span), ","), F.lit("\n    ]")))
+    return found.select(key, F.concat(F.lit('{\n  "syntax": {\n    "partial": false,\n    "spans": '), body, F.lit("\n  }\n}\n")).alias("bundle"))
+
+
+def _deltas(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Row number, ``keep``, pos, delta_line, delta_start, length, type, modifiers of the tokens that editors style."""
+    rows = with_roles(with_rows(docs, keep, ["pos", "role", "row", "col16", "len16"])).where("token_type IS NOT NULL")
+    last = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy(ROW).orderBy("pos")), F.lit(0))
+    rows = rows.select("*", last("row").alias("_row_before"), last("col16").alias("_col_before"))
+    line = F.col("row") - F.col("_row_before")
+    start = F.col("col16") - F.when(line == 0, F.col("_col_before")).otherwise(0)
+    kind = F.array_position(F.array(*[F.lit(t) for t in V.LEGEND]), F.col("token_type")) - 1
+    return rows.select(ROW, *keep, "pos", line.alias("delta_line"), start.alias("delta_start"), F.col("len16").alias("length"), kind.cast("int").alias("type"), F.lit(0).alias("modifiers"))
 
 
 def token_deltas(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Editor tokens as (delta line, delta start, UTF-16 length, type, modifiers), a row each."""
-
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        at, *values = _edited(t)
-        numbers = [t.pos[at], *values, np.zeros(len(at))]
-        return t.doc[at], [pa.array(x.astype(np.int32)) for x in numbers]
-
-    return each(docs, [key], "pos int, delta_line int, delta_start int, length int, type int, modifiers int", rows)
+    return _deltas(docs, [key]).drop(ROW)
 
 
 def editor_tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and data: all deltas of a document in one array, five numbers a token."""
-
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        at, *values = _edited(t)
-        data = np.stack([*values, np.zeros(len(at))], 1).astype(np.int32).ravel() if len(at) else np.empty(0, np.int32)
-        ends = np.searchsorted(t.doc[at], np.arange(len(t.first) + 1)) * 5
-        return None, [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data))]
-
-    return each(docs, keep, "data array<int>", rows)
+    docs = numbered(docs)
+    five = ["delta_line", "delta_start", "length", "type", "modifiers"]
+    rows = grouped(_deltas(docs, []).select(ROW, "pos", F.array(*five).alias("five")), ["pos", "five"], "all")
+    return _of_documents(docs, rows.select(ROW, F.flatten("all.five").alias("data")), keep, "data", "array<int>")
 
 
 def delta_spans(edited: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -215,18 +191,12 @@ def delta_spans(edited: DataFrame, key: str = "doc_id") -> DataFrame:
 
     A place that the text doesn't have gives a row with null start and end.
     """
-    from .consumers import lines_of, place
-
-    def spans(text: str | None, data: list[int]) -> list[tuple]:
-        lines, row, col, out = lines_of(text or ""), 0, 0, []
-        for n in range(0, len(data or []), 5):
-            down, right, length, kind = data[n : n + 4]
-            row, col = (row + down, right) if down else (row, col + right)
-            start, end = place(lines, row, col), place(lines, row, col + length)
-            out.append((n // 5, start, end, row, col, length, kind))
-        return out
+    from .places import bytes_of_units, positions
 
-    return per_row(edited, [key], ["text", "data"], "n int, start int, end int, row int, col16 int, length int, type int", spans)
+    edited = numbered(edited)
+    tokens = positions(edited, [key])
+    found = bytes_of_units(tokens, edited)
+    return found.select(key, "n", "start", "end", "row", "col16", "length", "type")
 
 
 def editor_diagnostics(docs: DataFrame, key: str = "doc_id", name: str = "textlens") -> DataFrame:
@@ -254,49 +224,35 @@ def failure(code: str, message: str | Column, severity: str = "ERROR", name: str
 NODE = "node_id int, kind string, depth int, start int, end int, children array<int>"
 
 
-def _outline(t: L.Texts) -> tuple[np.ndarray, list[pa.Array]]:
-    """Paragraph and then sentence nodes of every text."""
-    docs = len(t.first)
-    s0 = np.searchsorted(t.s_doc, np.arange(docs))
-    cut = np.cumsum((t.breaks[t.s_first] >= 2) & (t.s_id > 0))
-    par = cut - cut[s0[t.s_doc]] if len(cut) else cut
-    count = np.zeros(docs, np.int64)
-    np.maximum.at(count, t.s_doc, par + 1)
-    node = count[t.s_doc] + t.s_id
-    head = np.flatnonzero((par != np.append(-1, par[:-1])[: len(par)]) | (t.s_id == 0)) if len(par) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(head, len(par)))
-    doc = np.concatenate([t.s_doc[head], t.s_doc])
-    ids = np.concatenate([par[head], node])
-    order = np.lexsort((ids, doc))
-    top = (np.arange(len(doc)) < len(head))[order]
-    start = np.concatenate([t.s_start[head], t.s_start])[order]
-    end = np.concatenate([t.s_end[head + sizes - 1], t.s_end])[order]
-    kids = np.concatenate([sizes, np.zeros(len(par), np.int64)])[order]
-    offsets = np.append(0, np.cumsum(kids)).astype(np.int32)
-    arrays = [pa.array(ids[order].astype(np.int32)), named(np.where(top, 0, 1), ["PARAGRAPH", "SENTENCE"]), pa.array((~top).astype(np.int32)),
-              pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(node.astype(np.int32)))]
-    return doc[order], arrays
-
-
 def outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and the nodes of the outline; sentences part at a gap of two line breaks or more."""
-    return each(docs, [key], NODE, lambda t, batch: _outline(t), False)
+    return outline_rows(docs, [key]).drop(ROW)
+
+
+def outline_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Row number, ``keep`` and the outline: paragraphs are numbered first, then sentences.
+
+    A paragraph number is a running count of the gaps that part paragraphs.
+    """
+    s = annotate.sentences(docs, keep, breaks=True)
+    order = Window.partitionBy(ROW).orderBy("sent_id")
+    parted = ((F.col("breaks") >= 2) & (F.col("sent_id") > 0)).cast("int")
+    s = s.select("*", F.sum(parted).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int").alias("_par"))
+    s = s.select("*", (F.max("_par").over(Window.partitionBy(ROW)) + 1 + F.col("sent_id")).alias("node_id"))
+    own = ["node_id", "kind", "depth", "start", "end", "children"]
+    lower = s.select(ROW, *keep, "node_id", F.lit("SENTENCE").alias("kind"), F.lit(1).alias("depth"), "start", "end", F.array().cast("array<int>").alias("children"))
+    upper = s.groupBy(ROW, F.col("_par").alias("node_id")).agg(*[F.first(c).alias(c) for c in keep], F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list("node_id")).alias("children"))
+    return lower.unionByName(upper.withColumns({"kind": F.lit("PARAGRAPH"), "depth": F.lit(0)}).select(ROW, *keep, *own))
 
 
 def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
     """``keep``, tokens and outline as arrays, a row for each document."""
-    fields = [f.split()[0] for f in annotate._fields(NODE)]
-    names = [f.split(":")[0] for f in annotate.TOKEN[7:-1].split(",")]
-
-    def rows(t: L.Texts, batch: pa.RecordBatch):
-        doc, arrays = _outline(t)
-        at = pa.array(np.searchsorted(doc, np.arange(len(t.first) + 1)).astype(np.int32))
-        tokens = pa.StructArray.from_arrays([annotate.COLUMNS[f][1](t) for f in names], names)
-        offsets = pa.array(np.append(t.first, len(t.doc)).astype(np.int32))
-        return None, [pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(arrays, fields))]
-
-    node = "struct<" + ",".join(":".join(f.split(" ", 1)) for f in annotate._fields(NODE)) + ">"
-    return each(docs, keep, f"tokens array<{annotate.TOKEN}>, outline array<{node}>", rows, contextual)
+    docs = numbered(docs)
+    columns = ["node_id", "kind", "depth", "start", "end", "children"]
+    node = "struct<" + ",".join(":".join(f.split(" ", 1)) for f in NODE.split(", ")) + ">"
+    nodes = grouped(outline_rows(docs, []), columns, "outline")
+    tokens = annotate.nested(docs, [], contextual, ["pos", "start", "end", "token_kind", "lexical_class", "function_axis", "open_axis"])
+    return docs.join(tokens, ROW, "left").join(nodes, ROW, "left").select(*keep, "tokens", F.coalesce("outline", F.array().cast(f"array<{node}>")).alias("outline"))
 
 
 def content_hashes(docs: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def projection_gate(spark, sf_dir):
 
 def _trees(docs: DataFrame) -> DataFrame:
     """Trees and tokens of the library's own parser, as another program would hand them over."""
-    rows = annotate.nested(docs, ["doc_id", "text"], contextual=False)
+    rows = annotate.with_sentence_ranges(docs, ["doc_id", "text"])
 
     def part(t):
         return F.struct(F.when(t["kind"].isin("word", "number"), "Word").otherwise("Punct").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
@@ -236,7 +236,7 @@ def classification_cases(spark, sf_dir):
 
 def markdown_masked_lint(spark, sf_dir):
     """Findings of Markdown and plain texts, code and destinations left out."""
-    docs = documents.markdown_fixtures(spark).unionByName(_docs(spark, sf_dir, False).withColumn("format", F.lit("plain")))
+    docs = documents.markdown_fixtures(spark).unionByName(_docs(spark, sf_dir, False).drop("_row").withColumn("format", F.lit("plain")))
     return lint.findings(prose.prose(docs))
 
 
