@@ -29,7 +29,7 @@ def rows(df, *columns):
 
 def kinds(text):
     t = lexer.Texts(pa.array([text]))
-    return list(zip(t.lexemes().to_pylist(), [lexer.KINDS[k] for k in t.kind], strict=True))
+    return list(zip(t.lexemes().to_pylist(), t.kinds().to_pylist(), strict=True))
 
 
 def test_tokens_are_bytes(spark):
@@ -60,17 +60,26 @@ def test_lexer_against_a_scanner(text):
     raw = text.encode()
     own = t.doc == 1
     assert [raw[s:e].decode() for s, e in zip(t.start[own], t.end[own], strict=True)] == want
-    for name in ("kind", "start", "row", "col16", "sent", "cls"):
+    for name in ("kind", "start", "end", "char", "unit", "glued"):
         assert np.array_equal(getattr(t, name)[own], getattr(t, name)[t.doc == 3])
-    lines = re.split("\r\n|\r|\n", text)
-    for r, c, n in zip(t.row[own], t.col16[own], t.len16[own], strict=True):
-        units = lines[r].encode("utf-16-le")
-        assert units[2 * c : 2 * (c + n)].decode("utf-16-le") in want
+    units, gaps = text.encode("utf-16-le"), np.array(t.gaps().to_pylist(), object)[own]
+    at = 0
+    for s, c, u, x, gap, glued, broken in zip(t.start[own], t.char[own], t.unit[own], want, gaps, t.glued[own], t.broken()[own], strict=True):
+        assert text[c:].startswith(x) and units[2 * u :].startswith(x.encode("utf-16-le")) and raw[at:s].decode() == gap
+        assert glued == (not gap and at > 0) and broken == (at > 0 and bool(re.search("[\r\n]", gap)))
+        at = s + len(x.encode())
+
+
+def test_places(spark):
+    texts = ["a\r\n\U0001f600 b\rc\n\nd", "\n\nx", "é y\n", "no break"]
+    for r in annotate.tokens(docs(spark, *texts), ["lexeme", "row", "col", "col16", "end_col", "len16"]).collect():
+        line = re.split("\r\n|\r|\n", texts[r["doc_id"]])[r["row"]]
+        assert line[r["col"] : r["end_col"]] == r["lexeme"] == line.encode("utf-16-le")[2 * r["col16"] : 2 * (r["col16"] + r["len16"])].decode("utf-16-le")
 
 
 @pytest.mark.parametrize(("text", "count"), [('"Hi." Go.', 2), ('Hi. "Go."', 2), ("a.b", 2), ("e.g. x", 3), ("", 0), ("?!?!", 1), ("1.5 x", 1)])
-def test_sentences(text, count):
-    assert len(lexer.Texts(pa.array([text])).s_first) == count
+def test_sentences(spark, text, count):
+    assert annotate.sentences(docs(spark, text)).count() == count
 
 
 def test_new_numerals():
@@ -84,9 +93,22 @@ def test_senses(spark):
     assert annotate.word_count() == {"closed": 240, "open": 16}
 
 
-def test_long_runs_of_ambiguous_words():
-    t = lexer.Texts(pa.array(["to " + "book " * 9 + "dog"]))
-    assert [lexer.OPENS[o] if o >= 0 else None for o in t.open[1:4]] == ["Verb", None, None]
+def test_long_runs_of_ambiguous_words(spark):
+    found = rows(annotate.tokens(docs(spark, "to " + "book " * 9 + "dog", "the " + "lead " * 20_000 + "dog")), "doc_id", "pos", "open_kind")
+    assert [k for d, p, k in found if d == 0 and p < 4] == [None, "Verb", None, None]
+    assert {k for d, p, k in found if d == 1 and 0 < p <= 20_000} == {"Adjective"}
+
+
+def test_every_query_has_one_exchange_of_tokens(spark):
+    """Sentences and classes need no exchange but that by row number."""
+    plan = annotate.sentences(docs(spark, "a")).select("sent_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_row") == plan.count("Exchange ") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_one_long_line_is_no_title(spark):
+    """Tests of a line are linear in it."""
+    found = annotate.title_lines(docs(spark, "A" * 300_000 + "\nThe Day of Days\n" + "A1" * 200_000 + "\r\nOf a Day\r\nAn Old Day")).collect()
+    assert sorted(r["row"] for r in found) == [1, 2, 3, 4]
 
 
 def test_passive(spark):
@@ -136,7 +158,7 @@ def test_masks(text, want):
 
 
 def test_deep_and_long_markdown():
-    for text in (">" * 5000 + " `a`", "- " * 3000 + "`a`", "`" * 20_001, "[" * 20_000 + "](x)" * 100):
+    for text in ("- a" + "\n" * 100_000 + "  b `x`\n", ">" * 5000 + " `a`", "- " * 3000 + "`a`", "`" * 20_001, "[" * 20_000 + "](x)" * 100):
         assert len(markdown.mask(text)) == len(text)
 
 

@@ -1,6 +1,7 @@
 """Editing sessions in batch and as a stream."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from textlens.streaming import session
 
@@ -55,12 +56,7 @@ def test_results(spark):
     rows = [("a", 3, "plain", "It is very late."), ("b", 1, "plain", "x" * 50), ("c", 1, "plain", "boom")]
     opened = spark.createDataFrame(rows, "uri string, generation int, format string, text string")
 
-    def analyse(text, form):
-        if text == "boom":
-            raise RuntimeError
-        return session.analysed(text, form)
-
-    shown = session.results(opened, analyse, 40)
+    shown = session.results(opened, 40, F.col("text") == "boom")
     out = {r["uri"]: r for r in shown.collect()}
     assert {k: (r["status"], r["result_id"], [d["code"] for d in r["diagnostics"]]) for k, r in out.items()} == {
         "a": ("accepted", "3", ["weak-word"]), "b": ("oversized", "1", ["textlens/document-too-large"]), "c": ("failed", "1", ["textlens/analysis-failed"]),

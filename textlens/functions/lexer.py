@@ -143,6 +143,11 @@ class Texts:
     def kinds(self) -> pa.Array:
         return pa.array(KINDS, pa.string()).take(pa.array(self.kind.astype(np.int32)))
 
+    def broken(self) -> np.ndarray:
+        """Whether the white space between a token and the one before it holds a line break."""
+        breaks = _sums((self.x == 10) | (self.x == 13))
+        return (self.pos > 0) & (breaks[self.c0] > breaks[_before(self.c1, 0)])
+
     def gaps(self) -> pa.Array:
         """The white space before each token, empty where there is none."""
         before = np.maximum(self.token - 1, 0)

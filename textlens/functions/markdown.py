@@ -72,6 +72,7 @@ def _starts_block(line: str) -> bool:
 
 def _blocks(scan: _Scan, lines: list[tuple[int, int]], depth: int = 0) -> None:
     text, i = scan.text, 0
+    following: list[int | None] = []  # of each line, the first that isn't blank from there on; made once, where an item needs it
     while i < len(lines):
         line = _bare(text, lines[i])
         begin = lines[i][0]
@@ -118,7 +119,8 @@ def _blocks(scan: _Scan, lines: list[tuple[int, int]], depth: int = 0) -> None:
         elif _QUOTE.match(line) and depth < DEEPEST:
             i = _quote(scan, lines, i, depth)
         elif _ITEM.match(line) and depth < DEEPEST:
-            i = _item(scan, lines, i, depth)
+            following = following or _next_content(text, lines)
+            i = _item(scan, lines, i, depth, following)
         else:
             i = _paragraph(scan, lines, i)
 
@@ -150,7 +152,15 @@ def _quote(scan: _Scan, lines: list, i: int, depth: int) -> int:
     return i
 
 
-def _item(scan: _Scan, lines: list, i: int, depth: int) -> int:
+def _next_content(text: str, lines: list) -> list[int | None]:
+    out, at = [None] * len(lines), None
+    for k in range(len(lines) - 1, -1, -1):
+        at = k if _bare(text, lines[k]).strip() else at
+        out[k] = at
+    return out
+
+
+def _item(scan: _Scan, lines: list, i: int, depth: int, next_content: list[int | None]) -> int:
     line = _bare(scan.text, lines[i])
     mark = _ITEM.match(line)
     rest = line[mark.end() :]
@@ -163,7 +173,7 @@ def _item(scan: _Scan, lines: list, i: int, depth: int) -> int:
         line = _bare(scan.text, lines[i])
         indent = len(line) - len(line.lstrip(" "))
         if not line.strip():
-            following = next((k for k in range(i, len(lines)) if _bare(scan.text, lines[k]).strip()), None)
+            following = next_content[i]
             if following is None or len(_bare(scan.text, lines[following])) - len(_bare(scan.text, lines[following]).lstrip(" ")) < width:
                 break
             inner.append(lines[i])

@@ -58,7 +58,7 @@ def analysed(docs: DataFrame) -> Column:
 #: What the lexer gives of each token: type, and how it is read off.
 LEXED = {
     "pos": ("int", lambda t: t.pos), "lexeme": ("string", L.Texts.lexemes), "kind": ("string", L.Texts.kinds), "start": ("int", lambda t: t.start), "end": ("int", lambda t: t.end),
-    "char": ("int", lambda t: t.char), "unit": ("int", lambda t: t.unit), "gap": ("string", L.Texts.gaps), "glued": ("boolean", lambda t: t.glued),
+    "char": ("int", lambda t: t.char), "unit": ("int", lambda t: t.unit), "gap": ("string", L.Texts.gaps), "glued": ("boolean", lambda t: t.glued), "broken": ("boolean", L.Texts.broken),
 }
 
 
@@ -66,7 +66,8 @@ def lexed(docs: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     """Row number, ``keep`` and ``columns`` of LEXED, a row for each token.
 
     start and end count UTF-8 bytes, char characters and unit UTF-16 units before the
-    token; gap is the white space before it, glued that there is none but another token. Documents without a token (null, empty,
+    token; gap is the white space before it, glued that there is none but another token,
+    broken that it holds a line break after another token. Documents without a token (null, empty,
     blank) have no row.
     """
     kept = [ROW, *keep]
@@ -179,7 +180,7 @@ def _is_word() -> Column:
 
 
 #: What the windows read of every token.
-BASE = ["pos", "start", "end", "lexeme", "kind", "glued"]
+BASE = ["start", "lexeme", "kind", "glued"]
 
 
 def sentence_tokens(docs: DataFrame, keep: list[str], columns: list[str], placed: bool = False) -> DataFrame:
@@ -202,7 +203,7 @@ def _places(tokens: DataFrame) -> DataFrame:
 def sentences(docs: DataFrame, keep: list[str] | None = None, breaks: bool = False) -> DataFrame:
     """Row number, ``keep`` (doc_id unless given), sent_id, start, end, words (and breaks: line breaks before it) of each sentence."""
     keep = ["doc_id"] if keep is None else keep
-    t = sentence_tokens(docs, keep, ["gap"] if breaks else [])
+    t = sentence_tokens(docs, keep, ["end", *(["gap"] if breaks else [])])
     gap = [F.min_by(T.line_breaks(F.col("gap")), "start").alias("breaks")] if breaks else []
     found = t.groupBy(ROW, "sent_id").agg(*[F.first(c).alias(c) for c in keep], F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(_is_word()).alias("words"), *gap)
     return found.select(ROW, *keep, "sent_id", "start", "end", "words", *(["breaks"] if breaks else []))
@@ -250,19 +251,18 @@ def classified(docs: DataFrame, keep: list[str], columns: list[str], placed: boo
     """
     docs = numbered(docs)
     kind, code = F.col("kind"), F.ascii("lexeme")
-    tokens = _looked_up(lexed(docs, keep, list(dict.fromkeys([*columns, *BASE, "gap"]))), F.when(kind == "word", F.col("lexeme")))
+    tokens = _looked_up(lexed(docs, keep, list(dict.fromkeys([*columns, *BASE, "broken"]))), F.when(kind == "word", F.col("lexeme")))
     base = F.when(kind == "number", "Number").when(kind == "quote", "Quote").when(kind != "word", "Punctuation")
     base = base.when(F.col("function_kind").isNotNull(), "Function").when(F.col("open_kind").isNotNull(), "Open").otherwise("Content")
     alpha = _is_word() & _first_letter(code.between(65, 90) | code.between(97, 122), r"\p{IsAlphabetic}")
     capital = (kind == "word") & _first_letter(code.between(65, 90), r"\p{IsUppercase}")
-    tokens = tokens.withColumns({"pos_class": base, "_alpha": alpha, "_capital": capital, "_broken": F.col("gap").rlike(r"[\r\n]") & (F.col("pos") > 0)})
-    tokens = tokens if "gap" in columns else tokens.drop("gap")
+    tokens = tokens.withColumns({"pos_class": base, "_alpha": alpha, "_capital": capital})
     stream = _with_rows(tokens, _marks(docs, True, placed))
     marks = ["_title_end", "_line"] if placed else ["_title_end"]
     others = [c for c in stream.columns if c not in marks]
     count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before()), F.lit(0))
     stream = stream.select(*others, *map(_carried, marks), _anchor(), count(_is_word()).alias("_words"), count(F.coalesce("_alpha", F.lit(False))).alias("_alphas"))
-    crossed = _is_word() & ((F.col("_words") == 0) | F.col("_broken"))
+    crossed = _is_word() & ((F.col("_words") == 0) | F.col("broken"))
     stream = stream.withColumns({"starts": _begins(), "_crossed": crossed})
     stream = stream.select(
         "*", F.sum(F.col("starts").cast("int")).over(so_far()).cast("int").alias("sent_id"),
@@ -273,7 +273,7 @@ def classified(docs: DataFrame, keep: list[str], columns: list[str], placed: boo
     stream = stream.withColumn("pos_class", F.when(proper, "ProperNoun").otherwise(F.col("pos_class")))
     stream = stream.withColumn("open_kind", F.when(F.col("pos_class") == "Open", F.col("open_kind")))
     stream = _places(stream) if placed else stream
-    return stream.drop("_alpha", "_capital", "_broken", "_anchor", "_words", "_alphas", "_alphas_then", "_in_title", "_crossed", "_title_end")
+    return stream.drop("_alpha", "_capital", "broken", "_anchor", "_words", "_alphas", "_alphas_then", "_in_title", "_crossed", "_title_end")
 
 
 def _hint() -> Column:
@@ -407,7 +407,7 @@ def nested(docs: DataFrame, keep: list[str], contextual: bool = True, columns: l
 def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, tokens (pos, start, end, kind) and sentences (start, end, first, size: a range of tokens) as arrays."""
     docs = numbered(docs)
-    t = sentence_tokens(docs, [], [])
+    t = sentence_tokens(docs, [], ["pos", "end"])
     token = F.struct("pos", "start", "end", "kind")
     sents = t.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.sort_array(F.collect_list(token)).alias("own"))
     rows = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "first", "size", "own"))).alias("s"))

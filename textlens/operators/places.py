@@ -60,14 +60,13 @@ def bytes_of_units(spans: DataFrame, docs: DataFrame) -> DataFrame:
     slice, and a running sum of those is the byte of each position: linear in the text.
     """
     kept = [c for c in spans.columns if c != ROW]
-    lines = lines_in_units(docs).withColumnRenamed("row", "_line")
-    on = (spans[ROW] == lines[ROW]) & (spans["row"] == lines["_line"])
-    found = spans.join(lines, on, "left").select(spans[ROW], *[spans[c] for c in kept], "unit", "room")
+    lines = lines_in_units(docs).select(F.col(ROW).alias("_of"), F.col("row").alias("_line"), "unit", "room")
+    found = spans.join(lines, (F.col(ROW) == F.col("_of")) & (F.col("row") == F.col("_line")), "left").drop("_of", "_line")
     fits = lambda c: F.when((F.col("col16") >= 0) & (c <= F.col("room")) & (c >= 0), F.col("unit") + c)
     found = found.withColumns({"_a": fits(F.col("col16")), "_b": fits(F.col("col16") + F.col("length"))})
     points = found.select(ROW, F.explode(F.array("_a", "_b")).alias("_p")).where("_p IS NOT NULL")
     points = points.groupBy(ROW).agg(F.sort_array(F.collect_set("_p")).alias("_points"))
-    wide = docs.select(ROW, F.encode(F.coalesce("text", F.lit("")), "UTF-16BE").alias("_wide")).join(points, ROW)
+    wide = docs.select(ROW, F.encode(F.coalesce("text", F.lit("")), "UTF-16BE").alias("_wide")).join(points.withColumnRenamed(ROW, "_of"), F.col(ROW) == F.col("_of")).drop("_of")
     low = lambda p: F.hex(F.substring("_wide", 2 * p + 1, F.lit(1))).between("DC", "DF")
     wide = wide.withColumn("_points", F.filter("_points", lambda p: ~low(p)))  # the second half of a pair is no place
     step = lambda p, i: F.struct(p.alias("_p"), F.octet_length(F.decode(F.substring("_wide", 2 * F.when(i > 0, F.get("_points", i - 1)).otherwise(0) + 1, 2 * (p - F.when(i > 0, F.get("_points", i - 1)).otherwise(0))), "UTF-16BE")).alias("_size"))

@@ -7,16 +7,14 @@ whether an offset splits a character, repeated ids, and the edges of the outline
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from ..functions import text as T
+from .annotate import ROW, numbered
 from .contract import Contract
 
 
@@ -253,81 +251,86 @@ SPAN = "struct<start:int,end:int>"
 TREE = "struct<kind:string,sentences:array<struct<kind:string,start:int,end:int,parts:array<struct<kind:string,start:int,end:int>>>>>"
 
 
-def _first_error(raw: bytes, tree: dict, tokens: list[dict]) -> tuple[str, str, str] | None:
-    """(code, path, message) of the first broken rule in tree, token and pairing order."""
-    size = len(raw)
-
-    def splits(at: int) -> bool:
-        return 0 < at < size and raw[at] & 0xC0 == 0x80
-
-    def checked(path: str, i: int, s: int, e: int, before: tuple | None) -> tuple | None:
-        for broken, code, where, detail in (
-            (s > e, "ReversedSpan", "", f"start {s} exceeds end {e}"),
-            (e > size, "SpanOutOfBounds", ".end", f"{e} exceeds source length {size}"),
-            (splits(s), "SpanNotOnCharBoundary", ".start", f"{s} is not a UTF-8 character boundary"),
-            (splits(e), "SpanNotOnCharBoundary", ".end", f"{e} is not a UTF-8 character boundary"),
-            (before and s < before[0], "UnsortedSpan", ".start", before and f"start {s} precedes item {i - 1} start {before[0]}"),
-            (before and s < before[1], "OverlappingSpan", ".start", before and f"start {s} overlaps item {i - 1} ending at {before[1]}"),
-        ):
-            if broken:
-                return code, path + where, f"at {path + where}: {detail}"
-        return None
-
-    def kind(path: str, expected: str, found: str | None) -> tuple:
-        return "UnexpectedNodeKind", path, f"at {path}: expected {expected}, found {found}"
-
-    tree = tree or {"kind": None, "sentences": []}
-    if tree["kind"] != "Document":
-        return kind("tree.root", "Document", tree["kind"])
-    leaves, last = [], None
-    for i, sentence in enumerate(tree["sentences"] or []):
-        path, own = f"tree.root.sentences[{i}]", (sentence["start"], sentence["end"])
-        if sentence["kind"] != "Sentence":
-            return kind(path, "Sentence", sentence["kind"])
-        if bad := checked(path + ".span", i, *own, last):
-            return bad
-        last, before = own, None
-        for j, part in enumerate(sentence["parts"] or []):
-            inner, span = f"{path}.parts[{j}]", (part["start"], part["end"])
-            if part["kind"] not in ("Word", "Punct"):
-                return kind(inner, "Word or Punct", part["kind"])
-            if bad := checked(inner + ".span", j, *span, before):
-                return bad
-            if span[0] < own[0] or span[1] > own[1]:
-                return "ChildSpanOutsideParent", inner + ".span", f"at {inner}.span: child {span[0]}..{span[1]} falls outside parent {own[0]}..{own[1]}"
-            before = span
-            leaves.append((inner + ".span", span))
-    spans, before = [(t["start"], t["end"]) for t in tokens or []], None
-    for i, span in enumerate(spans):
-        if bad := checked(f"tokens[{i}].span", i, *span, before):
-            return bad
-        before = span
-    if len(leaves) != len(spans):
-        return "TreeTokenCountMismatch", "tokens", f"at tokens: tree has {len(leaves)} leaves but annotator emitted {len(spans)} tokens"
-    for i, ((path, leaf), span) in enumerate(zip(leaves, spans, strict=True)):
-        if leaf != span:
-            return "TreeTokenSpanMismatch", f"tokens[{i}].span", f"at tokens[{i}].span: token {span[0]}..{span[1]} does not match {path} {leaf[0]}..{leaf[1]}"
-    return None
+def _span_faults(x: Column, i: Column, before: Column | None, path: Column) -> list[tuple[Column, str, Column, Column]]:
+    """(broken, code, path, what) of a span (s, e, and whether each splits a character) in the order of checking.
+
+    ``before`` is the span of the item before it in its list, null for the first.
+    """
+    text = lambda *parts: _path(*parts)
+    return [
+        (x["s"] > x["e"], "ReversedSpan", path, text("start ", x["s"], " exceeds end ", x["e"])),
+        (x["e"] > F.col("_size"), "SpanOutOfBounds", _path(path, ".end"), text(x["e"], " exceeds source length ", F.col("_size"))),
+        (x["s_splits"], "SpanNotOnCharBoundary", _path(path, ".start"), text(x["s"], " is not a UTF-8 character boundary")),
+        (x["e_splits"], "SpanNotOnCharBoundary", _path(path, ".end"), text(x["e"], " is not a UTF-8 character boundary")),
+        (x["s"] < before["s"], "UnsortedSpan", _path(path, ".start"), text("start ", x["s"], " precedes item ", i - 1, " start ", before["s"])),
+        (x["s"] < before["e"], "OverlappingSpan", _path(path, ".start"), text("start ", x["s"], " overlaps item ", i - 1, " ending at ", before["e"])),
+    ]
+
+
+def _first(faults: list[tuple[Column, str, Column, Column]], *rank: Column | int) -> Column:
+    """The first broken one of ``faults`` as a struct that sorts by ``rank``; null without any."""
+    places = [(r if isinstance(r, Column) else F.lit(r)).cast("int").alias(f"r{k}") for k, r in enumerate(rank)]
+    out = None
+    for broken, code, path, what in faults:
+        one = F.struct(*places, F.lit(code).alias("code"), path.alias("path"), _path("at ", path, ": ", what).alias("message"))
+        out = F.when(broken, one) if out is None else out.when(broken, one)
+    return out
 
 
 def classification_errors(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, code, path, message: the first broken rule of each row that breaks one.
 
     classified: key, text (null: empty), tree and tokens of the types TREE and
-    array<SPAN>, as another parser and annotator give them. Rows are checked one by
-    one, without an exchange; ids may repeat.
+    array<SPAN>, as another parser and annotator give them; ids may repeat. Sentences,
+    leaves and tokens are rows, leaves and tokens meet in a full outer join on their
+    place in the document, and the first error is the smallest in the order of stages:
+    root, sentences with their parts, tokens, their number, their pairs. Only flags
+    whether an offset splits a character are read off the text, before it is left behind.
     """
-    source = classified.select(key, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.col("tree").cast(TREE), F.col("tokens").cast(f"array<{SPAN}>").alias("tokens"))
-    kind = dict(source.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            for i in range(batch.num_rows):
-                bad = _first_error(*(batch.column(c)[i].as_py() for c in (1, 2, 3)))
-                if bad:
-                    rows.append(i)
-                    out.append(bad)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([o[k] for o in out], pa.string()) for k in range(3))], [key, "code", "path", "message"])
-
-    return source.mapInArrow(run, f"`{key}` {kind}, code string, path string, message string")
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = numbered(classified).select(ROW, key, raw.alias("_raw"), F.octet_length(raw).alias("_size"), F.col("tree").cast(TREE).alias("tree"), F.coalesce(F.col("tokens").cast(f"array<{SPAN}>"), F.array()).alias("tokens"))
+    splits = lambda at: (at > 0) & (at < F.col("_size")) & F.coalesce(F.hex(F.substring("_raw", at + 1, F.lit(1))).between("80", "BF"), F.lit(False))
+
+    def span(x: Column) -> Column:
+        return F.struct(x["start"].alias("s"), x["end"].alias("e"), splits(x["start"]).alias("s_splits"), splits(x["end"]).alias("e_splits"))
+
+    def sentence(s: Column, i: Column) -> Column:
+        parts = F.coalesce(s["parts"], F.array())
+        part = lambda p, j: F.struct(i.alias("i"), j.alias("j"), p["kind"].alias("kind"), span(p).alias("x"), F.when(j > 0, span(F.get(parts, j - 1))).alias("before"), s["start"].alias("from"), s["end"].alias("to"))
+        return F.struct(s["kind"].alias("kind"), span(s).alias("x"), F.transform(parts, part).alias("parts"))
+
+    listed = F.coalesce("tree.sentences", F.array())
+    docs = docs.select(ROW, key, "_size", F.col("tree.kind").alias("_root"), F.transform(listed, sentence).alias("_sentences"), F.transform("tokens", span).alias("_spans"))
+    docs = docs.withColumns({"_leaves": F.flatten("_sentences.parts"), "_heads": F.transform("_sentences", lambda s: F.struct(s["kind"].alias("kind"), s["x"].alias("x")))}).drop("_sentences")
+    docs = docs.withColumns({"_n_leaves": F.size("_leaves"), "_n_spans": F.size("_spans")})
+
+    def kind(is_wrong: Column, path: Column, wanted: str, found: Column) -> tuple:
+        return is_wrong, "UnexpectedNodeKind", path, _path(f"expected {wanted}, found ", F.coalesce(found, F.lit("None")))
+
+    root = _first([kind(~F.col("_root").eqNullSafe("Document"), F.lit("tree.root"), "Document", F.col("_root"))], 0, 0, 0, 0)
+    count = (F.col("_n_leaves") != F.col("_n_spans"), "TreeTokenCountMismatch", F.lit("tokens"), _path("tree has ", F.col("_n_leaves"), " leaves but annotator emitted ", F.col("_n_spans"), " tokens"))
+    whole = docs.select(ROW, key, F.explode(F.filter(F.array(root, _first([count], 3, 0, 0, 0)), lambda x: x.isNotNull())).alias("error"))
+
+    heads = docs.select(ROW, key, "_size", F.posexplode(F.transform("_heads", lambda h, i: F.struct(h["kind"].alias("kind"), h["x"].alias("x"), F.when(i > 0, F.get("_heads", i - 1)["x"]).alias("before")))).alias("_i", "_x"))
+    path, x = _path("tree.root.sentences[", F.col("_i"), "]"), F.col("_x")
+    own = _first([kind(~x["kind"].eqNullSafe("Sentence"), path, "Sentence", x["kind"]), *_span_faults(x["x"], F.col("_i"), x["before"], _path(path, ".span"))], 1, F.col("_i"), -1, 0)
+    heads = heads.select(ROW, key, own.alias("error"))
+
+    leaves = docs.select(ROW, key, "_size", F.posexplode("_leaves").alias("_n", "_leaf"))
+    spans = F.transform("_spans", lambda t, i: F.struct(t.alias("x"), F.when(i > 0, F.get("_spans", i - 1)).alias("before")))
+    tokens = docs.select(F.col(ROW).alias("_row2"), F.col(key).alias("_key2"), F.col("_size").alias("_size2"), F.posexplode(spans).alias("_m", "_token"))
+    both = leaves.join(tokens, (F.col(ROW) == F.col("_row2")) & (F.col("_n") == F.col("_m")), "full")
+    both = both.select(F.coalesce(ROW, "_row2").alias(ROW), F.coalesce(key, "_key2").alias(key), F.coalesce("_size", "_size2").alias("_size"), F.coalesce("_n", "_m").alias("_n"), "_leaf", "_token")
+    leaf, token, n = F.col("_leaf"), F.col("_token"), F.col("_n")
+    path = _path("tree.root.sentences[", leaf["i"], "].parts[", leaf["j"], "]")
+    outside = (leaf["x"]["s"] < leaf["from"]) | (leaf["x"]["e"] > leaf["to"])
+    child = (outside, "ChildSpanOutsideParent", _path(path, ".span"), _path("child ", leaf["x"]["s"], "..", leaf["x"]["e"], " falls outside parent ", leaf["from"], "..", leaf["to"]))
+    part = _first([kind(leaf.isNotNull() & ~F.coalesce(leaf["kind"].isin("Word", "Punct"), F.lit(False)), path, "Word or Punct", leaf["kind"]), *_span_faults(leaf["x"], leaf["j"], leaf["before"], _path(path, ".span")), child], 1, leaf["i"], leaf["j"], 1)
+    spot = _path("tokens[", n, "].span")
+    single = _first(_span_faults(token["x"], n, token["before"], spot), 2, n, 0, 0)
+    apart = (leaf["x"]["s"] != token["x"]["s"]) | (leaf["x"]["e"] != token["x"]["e"])
+    pair = _first([(apart, "TreeTokenSpanMismatch", spot, _path("token ", token["x"]["s"], "..", token["x"]["e"], " does not match ", path, ".span ", leaf["x"]["s"], "..", leaf["x"]["e"]))], 4, n, 0, 0)
+    pairs = both.select(ROW, key, F.explode(F.filter(F.array(part, single, pair), lambda e: e.isNotNull())).alias("error"))
+    every = whole.unionByName(heads.where("error IS NOT NULL")).unionByName(pairs)
+    first = every.groupBy(ROW).agg(F.first(key).alias(key), F.min("error").alias("error"))
+    return first.select(key, "error.code", "error.path", "error.message")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, validate
+from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, structure, validate
 from ..sources import cases, documents
 from ..streaming import session
 from . import expected
@@ -142,7 +142,7 @@ def ansi_roundtrip(spark, sf_dir):
 
 
 def lsp_roundtrip(spark, sf_dir):
-    return render.delta_spans(render.editor_tokens(_docs(spark, sf_dir), ["doc_id", "text"]))
+    return render.delta_spans(render.editor_tokens(_docs(spark, sf_dir), ["_row", "doc_id", "text"]))
 
 
 def span_report(spark, sf_dir):
@@ -211,7 +211,7 @@ def projection_gate(spark, sf_dir):
 
 def _trees(docs: DataFrame) -> DataFrame:
     """Trees and tokens of the library's own parser, as another program would hand them over."""
-    rows = annotate.with_sentence_ranges(docs, ["doc_id", "text"])
+    rows = annotate.with_sentence_ranges(docs, ["_row", "doc_id", "text"])
 
     def part(t):
         return F.struct(F.when(t["kind"].isin("word", "number"), "Word").otherwise("Punct").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
@@ -220,7 +220,7 @@ def _trees(docs: DataFrame) -> DataFrame:
         return F.struct(F.lit("Sentence").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.transform(F.slice("tokens", s["first"] + 1, s["size"]), part).alias("parts"))
 
     tree = F.struct(F.lit("Document").alias("kind"), F.transform("sentences", sentence).alias("sentences"))
-    return rows.select("doc_id", "text", tree.alias("tree"), F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
+    return rows.select("_row", "doc_id", "text", tree.alias("tree"), F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
 
 
 def classification_errors(spark, sf_dir):
@@ -229,6 +229,46 @@ def classification_errors(spark, sf_dir):
     return validate.classification_errors(_trees(_docs(spark, sf_dir)).withColumn("tokens", late)).select("doc_id", "code", "path")
 
 
+def classification_damage(spark, sf_dir):
+    """The first error of documents that are damaged in ten ways, by their id."""
+    trees = _trees(_docs(spark, sf_dir)).withColumn("way", F.pmod("doc_id", F.lit(10)))
+    s, t, way = F.col("tree.sentences"), F.col("tokens"), F.col("way")
+    first = F.get(s, F.lit(0))
+    last = F.size(s) - 1
+    enough = (F.size(first["parts"]) >= 2) & (F.size(t) >= 2)
+
+    def sentences(change) -> Column:
+        return F.transform(s, change)
+
+    def parts(change) -> Column:
+        return sentences(lambda x, i: F.when(i == 0, x.withField("parts", F.transform(x["parts"], change))).otherwise(x))
+
+    lead = F.get(first["parts"], F.lit(0))
+    damaged = F.when(way == 1, sentences(lambda x, i: F.when(i == 0, x.withField("kind", F.lit("Word"))).otherwise(x)))
+    damaged = damaged.when(way == 2, parts(lambda p, j: F.when(j == 0, p.withField("kind", F.lit("Sentence"))).otherwise(p)))
+    damaged = damaged.when(way == 3, sentences(lambda x, i: F.when(i == last, x.withField("start", x["end"] + 1)).otherwise(x)))
+    damaged = damaged.when(way == 4, sentences(lambda x, i: F.when(i == last, x.withField("end", F.octet_length("text") + 9)).otherwise(x)))
+    damaged = damaged.when(way == 5, parts(lambda p, j: F.when(j == 1, p.withField("start", lead["start"])).otherwise(p)))
+    damaged = damaged.when(way == 6, sentences(lambda x, i: F.when(i == 0, x.withField("start", lead["end"])).otherwise(x)))
+    tree = F.col("tree").withField("sentences", damaged.otherwise(s)).withField("kind", F.when(way == 0, "Sentence").otherwise("Document"))
+    swapped = F.transform(t, lambda x, i: F.when(i < 2, F.get(t, 1 - i)).otherwise(x))
+    empty = F.transform(t, lambda x, i: F.when(i == F.size(t) - 1, x.withField("start", x["end"])).otherwise(x))
+    tokens = F.when(way == 7, F.slice(t, 1, F.size(t) - 1)).when(way == 8, swapped).when(way == 9, empty).otherwise(t)
+    return validate.classification_errors(trees.where(enough).select("_row", "doc_id", "text", tree.alias("tree"), tokens.alias("tokens"))).select("doc_id", "code", "path")
+
+
+def outline_damage(spark, sf_dir):
+    """Repeated ids, broken edges and cycles of outlines that are damaged in five ways, by their id."""
+    way, node = F.pmod("doc_id", F.lit(5)), F.col("node_id")
+    o = render.outline_rows(_docs(spark, sf_dir), ["doc_id"])
+    whole = Window.partitionBy("_row")
+    o = o.select("*", node.alias("i"), F.max("node_id").over(whole).alias("_last"), F.count_if(F.col("kind") == "PARAGRAPH").over(whole).cast("int").alias("_pars"))
+    kids = F.when((way == 1) & (node == 0), F.array_append("children", F.lit(999_999))).when((way == 2) & (node == F.col("_pars") - 1) & (node > 0), F.array_append("children", F.col("_pars"))).when((way == 4) & (node == F.col("_pars")), F.array(F.lit(0)))
+    nodes = o.select("_row", "doc_id", "i", F.when((way == 0) & (node == F.col("_last")), 0).otherwise(node).alias("node_id"), "start", F.when((way == 3) & (node == 0), F.col("start") + 1).otherwise(F.col("end")).alias("end"), kids.otherwise(F.col("children")).cast("array<int>").alias("children"))
+    found = [f(nodes, ["doc_id"]).select("doc_id", "code", "path", "message") for f in (structure.repeated_nodes, structure.broken_edges, structure.closing_edges)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def classification_cases(spark, sf_dir):
     """Every rule of classifications, broken once."""
     return validate.classification_errors(cases.broken_trees(spark))
@@ -285,7 +325,7 @@ QUERIES = [
     token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
     ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, diagnose_report, consumer_report, consumer_admission,
-    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_cases, markdown_masked_lint, markdown_masks, markdown_ansi,
+    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ansi,
     utf8_gate, external_alerts, session_replay, session_results,
 ]
 
@@ -393,6 +433,22 @@ SELECT h.doc_id, '{{"contractVersion":"textlens.syntax/v1","derivation":[' || re
 UNION ALL SELECT doc_id, 3, 'RangeNotOnCharBoundary', 'tokens[' || pos || '].byteRange.startUtf8' FROM tok WHERE {wide} UNION ALL SELECT doc_id, 3, 'DuplicateTokenId', 'tokens[' || pos || ']' FROM tok WHERE pos % 2 = 1"""
     broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code,
   'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' || CASE WHEN bool_or({wide}) THEN '.start' ELSE '' END AS path FROM tok GROUP BY doc_id"""
+    damage = """, b AS (SELECT doc_id, sent_id, min(pos) AS p0, max(pos) AS p1 FROM tok GROUP BY 1, 2),
+d AS (SELECT doc_id, (doc_id % 10 + 10) % 10 AS way, max(sent_id) AS last, max(p1) AS t, max(p1) FILTER (sent_id = 0) AS k FROM b GROUP BY 1 HAVING max(p1) FILTER (sent_id = 0) >= 1)
+SELECT doc_id, CASE way WHEN 0 THEN 'UnexpectedNodeKind' WHEN 1 THEN 'UnexpectedNodeKind' WHEN 2 THEN 'UnexpectedNodeKind' WHEN 3 THEN 'ReversedSpan' WHEN 4 THEN 'SpanOutOfBounds' WHEN 5 THEN 'OverlappingSpan'
+  WHEN 6 THEN 'ChildSpanOutsideParent' WHEN 7 THEN 'TreeTokenCountMismatch' WHEN 8 THEN 'UnsortedSpan' ELSE 'TreeTokenSpanMismatch' END AS code,
+CASE way WHEN 0 THEN 'tree.root' WHEN 1 THEN 'tree.root.sentences[0]' WHEN 2 THEN 'tree.root.sentences[0].parts[0]' WHEN 3 THEN 'tree.root.sentences[' || last || '].span' WHEN 4 THEN 'tree.root.sentences[' || last || '].span.end'
+  WHEN 5 THEN 'tree.root.sentences[0].parts[1].span.start' WHEN 6 THEN 'tree.root.sentences[0].parts[0].span' WHEN 7 THEN 'tokens' WHEN 8 THEN 'tokens[1].span.start' ELSE 'tokens[' || t || '].span' END AS path FROM d"""
+    outline_damage = outline.split("SELECT doc_id, node AS node_id")[0].rstrip() + """, n AS (SELECT doc_id, (doc_id % 5 + 5) % 5 AS way, node, par, "start", "end", (max(par) OVER (PARTITION BY doc_id)) + 1 AS pars, max(node) OVER (PARTITION BY doc_id) AS last,
+  row_number() OVER (PARTITION BY doc_id, par ORDER BY node) - 1 AS j FROM o2), g AS (SELECT doc_id, way, pars, last, par, min("start") AS "start", max("end") AS "end", count(*) AS size FROM n GROUP BY ALL),
+e AS (SELECT doc_id, 'DuplicateNodeId' AS code, 'structure[' || last || ']' AS path, 'duplicate nodeId 0' AS what FROM g WHERE way = 0 AND par = 0
+UNION ALL SELECT doc_id, 'DanglingChildRef', 'structure[' || par || '].childNodeIds[' || j || ']', 'references missing child ' || node FROM n WHERE way = 0 AND node = last
+UNION ALL SELECT doc_id, 'DanglingChildRef', 'structure[0].childNodeIds[' || size || ']', 'references missing child 999999' FROM g WHERE way = 1 AND par = 0
+UNION ALL SELECT doc_id, unnest(['MultipleStructureParents', 'ChildRangeOutsideParent']), 'structure[' || par || '].childNodeIds[' || size || ']', unnest(['child ' || pars || ' already belongs to parent 0, not ' || par, 'child ' || pars || ' falls outside parent ' || par]) FROM g WHERE way = 2 AND par = pars - 1 AND par > 0
+UNION ALL SELECT n.doc_id, 'ChildRangeOutsideParent', 'structure[0].childNodeIds[' || j || ']', 'child ' || node || ' falls outside parent 0' FROM n JOIN g ON n.doc_id = g.doc_id AND g.par = 0 WHERE n.way = 3 AND n.par = 0 AND n."end" > g."start" + 1
+UNION ALL SELECT doc_id, 'StructureCycle', 'structure[' || pars || '].childNodeIds[0]', 'edge ' || pars || ' -> 0 closes a structure cycle' FROM g WHERE way = 4 AND par = 0
+UNION ALL SELECT doc_id, 'ChildRangeOutsideParent', 'structure[' || pars || '].childNodeIds[0]', 'child 0 falls outside parent ' || pars FROM g WHERE way = 4 AND par = 0 AND size > 1)
+SELECT doc_id, code, path, 'at ' || path || ': ' || what AS message FROM e"""
     replay = f"""SELECT conv_id::VARCHAR AS uri, count(*) AS generation, 'plain' AS format, string_agg(coalesce(text, ''), chr(10) ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id UNION ALL {expected.SESSIONS}"""
     styled = f", st AS (SELECT c.*, r.* FROM (SELECT *, {role} AS own FROM c) c JOIN ({role_rows}) {roles} ON own = r.role)"
     colored = """ SELECT d.doc_id, coalesce(a.x, d.text) AS colored FROM docs d LEFT JOIN (SELECT seg.doc_id, string_agg(CASE WHEN ansi IS NULL THEN seg.s ELSE chr(27) || '[' || ansi || 'm' || seg.s || chr(27) || '[0m' END, '' ORDER BY seg.p) AS x
@@ -481,6 +537,8 @@ SELECT g.*, role FROM g LEFT JOIN ({axes_rows}) r(a, b, d, role) ON a = token_ki
         "ir_documents": sql + documents_sql,
         "ir_validation_errors": sql + late,
         "classification_errors": sql + broken,
+        "classification_damage": sql + damage,
+        "outline_damage": sql + outline_damage,
         "session_replay": replay,
         "ansi_roundtrip": sql + f", t AS (SELECT *, {role} AS role FROM c) SELECT doc_id, \"start\", \"end\", ansi, s AS lexeme FROM t JOIN ({role_rows}) {roles} ON t.role = r.role WHERE ansi IS NOT NULL",
         "token_stream": _sql(False) + 'SELECT doc_id, pos, s AS lexeme, kind, "start", "end" FROM tok',

@@ -11,15 +11,16 @@ shows is always its newest generation.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import prose, render
+from ..operators.annotate import ROW, numbered
+
 EVENT = "uri string, seq long, kind string, format string, start_line int, start_char int, end_line int, end_char int, text string"
 OUT = "uri string, generation int, format string, text string, open boolean"
 STATE = "generation int, format string, text string"
@@ -120,58 +121,45 @@ def analysable(text: Column) -> Column:
     return F.octet_length(text) <= MAX_BYTES
 
 
-RESULT = "uri string, generation int, result_id string, status string, data array<int>, diagnostics array<struct<start_line:int,start_char:int,end_line:int,end_char:int,severity:string,code:string,source:string,message:string>>"
 _DIAGNOSTIC = ("start_line", "start_char", "end_line", "end_char", "severity", "code", "source", "message")
 
 
-def analysed(text: str, form: str) -> tuple[list[int], list[tuple]]:
-    """Editor tokens (five numbers each) and diagnostics of one text."""
-    from ..functions import lexer, markdown
-    from ..operators import consumers, lint, render
+def _shown(docs: DataFrame) -> DataFrame:
+    """Row number, data and diagnostics of documents (uri, format, text), by the plans of ``render``."""
+    read = prose.prose(docs.withColumn("_of", F.col(ROW)))
+    whole = read.where("prose IS NOT NULL")
+    data = render.editor_tokens(whole, ["_of"])
+    notes = render.editor_diagnostics(whole, "_of").select("_of", F.struct(*_DIAGNOSTIC).alias("d")).groupBy("_of").agg(F.sort_array(F.collect_list("d")).alias("diagnostics"))
+    good = data.join(notes, "_of", "left").select("_of", "data", F.coalesce("diagnostics", _notes()).alias("diagnostics"))
+    bad = read.where("prose IS NULL").select("_of", F.array().cast("array<int>").alias("data"), _notes("ERROR", "invalid-source-view", F.lit("analysis view does not preserve source coordinates")).alias("diagnostics"))
+    return good.unionByName(bad)
+
 
-    prose = markdown.mask(text) if form == "markdown" else text
-    if prose is not text and not consumers.same_coordinates(text, prose):
-        return [], [(0, 0, 0, 0, "ERROR", "textlens/invalid-source-view", "textlens", "analysis view does not preserve source coordinates")]
-    t = lexer.Texts(pa.array([prose]))
-    _, *values = render._edited(t)
-    data = np.stack([*values, np.zeros(len(values[0]))], 1).astype(int).ravel().tolist()
-    found = sorted((a, lint.RULES.index(r), b, m) for r in lint.RULES for a, b, m in lint._RULES[r](t, lint.LintConfig()))
-    severity = {"warning": "WARNING", "info": "INFORMATION"}
-    return data, [(int(t.row[a]), int(t.col16[a]), int(t.row[b]), int(t.end_col16[b]), severity[lint.SEVERITY.get(lint.RULES[k], "info")], lint.RULES[k], "textlens", m) for a, k, b, m in found]
+def _notes(severity: str = "", code: str = "", message: Column | None = None) -> Column:
+    """One diagnostic at the start of a document, or none."""
+    none = F.array().cast("array<struct<start_line:int,start_char:int,end_line:int,end_char:int,severity:string,code:string,source:string,message:string>>")
+    return none if message is None else F.array(F.struct(*render.failure(code, message, severity)))
 
 
-def results(opened: DataFrame, analyse: Callable = analysed, max_bytes: int = MAX_BYTES) -> DataFrame:
+def results(opened: DataFrame, max_bytes: int = MAX_BYTES, failed: Column | None = None) -> DataFrame:
     """What a session shows of each document (uri, generation, format, text): tokens and diagnostics.
 
     result_id is the generation. status is accepted, oversized (a text beyond
-    ``max_bytes`` isn't analysed and gets one warning), failed (the analysis raised: one
-    error, no tokens) or closed (nothing to show). Works on ``replay`` and on the stream
-    of ``sessions`` alike; only the newest generation of a document gets here, so a
-    superseded one is never analysed or shown.
+    ``max_bytes`` isn't analysed and gets one warning), failed (where ``failed`` says
+    that a document can't be analysed: one error, no tokens) or closed (nothing to show).
+    Works on ``replay``, and on the micro-batches of ``sessions`` in a foreachBatch; only
+    the newest generation of a document gets here, so a superseded one is never shown.
     """
-    has_open = "open" in opened.columns
-    rows = opened.select("uri", "generation", "format", "text", F.col("open") if has_open else F.lit(True).alias("open"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for e in frame.itertuples(index=False):
-                size = len((e.text or "").encode())
-                if not e.open:
-                    status, data, notes = "closed", [], []
-                elif size > max_bytes:
-                    status, data = "oversized", []
-                    notes = [(0, 0, 0, 0, "WARNING", "textlens/document-too-large", "textlens", f"document is {size} bytes; the analysis limit is {max_bytes} bytes")]
-                else:
-                    try:
-                        (data, notes), status = analyse(e.text or "", e.format), "accepted"
-                    except Exception:  # whatever an analysis raises concerns its document alone
-                        status, data, notes = "failed", [], [(0, 0, 0, 0, "ERROR", "textlens/analysis-failed", "textlens", "document analysis failed")]
-                shown = [dict(zip(_DIAGNOSTIC, n, strict=True)) for n in notes]
-                out.append((e.uri, e.generation, str(e.generation) if e.open else None, status, data, shown))
-            yield pd.DataFrame(out, columns=["uri", "generation", "result_id", "status", "data", "diagnostics"])
-
-    return rows.mapInPandas(run, RESULT)
+    is_open = F.coalesce(F.col("open"), F.lit(False)) if "open" in opened.columns else F.lit(True)
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    status = F.when(~is_open, "closed").when(size > max_bytes, "oversized").when(F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)), "failed").otherwise("accepted")
+    rows = numbered(opened).select(ROW, "uri", "generation", "format", F.coalesce("text", F.lit("")).alias("text"), status.alias("status"), size.alias("_size"))
+    seen = _shown(rows.where("status = 'accepted'").drop("status", "_size"))
+    large = F.concat(F.lit("document is "), F.col("_size").cast("string"), F.lit(f" bytes; the analysis limit is {max_bytes} bytes"))
+    own = F.when(F.col("status") == "oversized", _notes("WARNING", "document-too-large", large)).when(F.col("status") == "failed", _notes("ERROR", "analysis-failed", F.lit("document analysis failed"))).otherwise(_notes())
+    out = rows.join(seen, F.col(ROW) == F.col("_of"), "left")
+    shown = F.when(F.col("status") == "accepted", F.col("diagnostics")).otherwise(own)
+    return out.select("uri", "generation", F.when(F.col("status") != "closed", F.col("generation").cast("string")).alias("result_id"), "status", F.coalesce("data", F.array().cast("array<int>")).alias("data"), shown.alias("diagnostics"))
 
 
 def metrics(events: DataFrame, shown: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
