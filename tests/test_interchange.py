@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlens.functions import vocabulary as V
-from textlens.operators import consumers, contract, external, interchange, render, validate
+from textlens.operators import consumers, contract, external, interchange, render, structure, validate
 from textlens.operators.contract import Contract
 from textlens.sources import cases
 
@@ -31,6 +31,38 @@ def test_canonical(spark, built):
     assert validate.interchange_errors(found, found.select("doc_id", "bytes")).count() == 0
 
 
+def test_written_documents_come_back(spark, built, tmp_path):
+    path = str(tmp_path / "ir")
+    interchange.write(built[1], path)
+    spark.createDataFrame([("{",)], "value string").write.mode("append").text(path)
+    good, bad = interchange.read(spark, path)
+    back = interchange.canonical_json(good.withColumn("doc_id", F.lit(0))).collect()
+    assert sorted(r["json"] for r in back) == sorted(built[2].values())
+    assert [r["error"] for r in bad.collect()] == ["malformed"]
+
+
+#: Children by node, and the broken edges (node, place) by code.
+ROUGH = [
+    ([[1], [0, 2], [], [9, 0], [3]], {"StructureCycle": [(1, 0)], "DanglingChildRef": [(3, 0)], "MultipleStructureParents": [(3, 1)]}),
+    ([[0]], {"StructureCycle": [(0, 0)]}),
+    ([[1, 2], [], []], {}),
+    ([[1], [2], [3], [4], [1]], {"StructureCycle": [(4, 0)], "MultipleStructureParents": [(4, 0)]}),
+]
+
+
+def test_edges_and_cycles(spark):
+    rows = [(d, i, i, 0, 9, kids) for d, (tree, _) in enumerate(ROUGH) for i, kids in enumerate(tree)]
+    nodes = spark.createDataFrame(rows, "_row long, i int, node_id int, start int, end int, children array<int>")
+    found = {}
+    for f in (structure.broken_edges, structure.closing_edges):
+        for r in f(nodes, []).collect():
+            found.setdefault((r["_row"], r["code"]), []).append((r["i"], r["j"]))
+    assert {k: sorted(v) for k, v in found.items()} == {(d, code): places for d, (_, codes) in enumerate(ROUGH) for code, places in codes.items()}
+    twice = nodes.unionByName(nodes.where("i = 0").withColumn("i", F.lit(7)))
+    assert {(r["_row"], r["i"]) for r in structure.repeated_nodes(twice, []).collect()} == {(d, 7) for d in range(4)}
+    assert structure.closing_edges(nodes.limit(0), []).count() == structure.broken_edges(nodes.limit(0), []).count() == 0
+
+
 def test_plain_annotator_has_its_own_name(spark, built):
     found = interchange.analyses(built[0], Contract(contextual=False)).where("doc_id = 1").first()["analysis"]
     assert found["derivation"][1]["ruleId"] == "lexical-annotator"

@@ -7,7 +7,7 @@ document is collected, and texts are not part of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import render, validate
@@ -86,6 +86,21 @@ def canonical_json(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.to_json("analysis", {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write(found: DataFrame, path: str) -> None:
+    """Canonical JSON texts, a line each, in files that Spark commits as a whole; an existing path is refused.
+
+    Null analyses (documents that the format can't hold) are left out.
+    """
+    canonical_json(found).where("json IS NOT NULL").select("json").write.text(path)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of what ``write`` wrote: unit (its unitId) and analysis, and the error of each line that is none."""
+    lines = spark.read.text(path).select(F.lit(0).alias("doc_id"), F.col("value").alias("json"))
+    good, bad = read_json(lines)
+    return good.select(F.col("analysis.source.unitId").alias("unit"), "analysis"), bad.select("error")
+
+
 def read_json(lines: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
     """(documents, rejected): doc_id and analysis of each JSON text; malformed ones are refused."""
     schema = ANALYSIS[:-1] + ",_bad:string>"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql as sql_functions
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, structure, validate
@@ -281,17 +282,28 @@ def markdown_masked_lint(spark, sf_dir):
 
 
 def markdown_masks(spark, sf_dir):
-    return prose.prose(documents.markdown_fixtures(spark)).select("doc_id", "prose")
+    """What is prose of own Markdown texts, and of all documents in a fence."""
+    docs = documents.markdown_fixtures(spark).unionByName(documents.in_markdown(_docs(spark, sf_dir, False)).drop("_row"))
+    return prose.prose(docs).select("doc_id", "prose")
 
 
 def markdown_ansi(spark, sf_dir):
-    return render.ansi(prose.prose(documents.markdown_fixtures(spark)))
+    """Documents in a fence, colored: tokens of code stay as they are."""
+    return render.ansi(prose.prose(documents.in_markdown(_docs(spark, sf_dir, False))))
 
 
 def utf8_gate(spark, sf_dir):
-    """Bytes that are no UTF-8 are refused, never replaced."""
-    good, bad = documents.gate(cases.byte_rows(spark))
-    return good.select("name", "format", "text", F.lit(None).cast("string").alias("error")).unionByName(bad.select("name", F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("text"), "error"))
+    """Bytes that are no UTF-8 are refused, never replaced: own ones, and documents as files."""
+    good, bad = documents.gate(cases.byte_rows(spark).unionByName(documents.in_files(_docs(spark, sf_dir, False))))
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    return good.select("name", "format", "text", *none("error")).unionByName(bad.select("name", *none("format", "text"), "error"))
+
+
+def sql_tokens(spark, sf_dir):
+    """The lexer as a lateral table function in SQL, over all documents."""
+    sql_functions.register(spark)
+    _docs(spark, sf_dir, False).createOrReplaceTempView("textlens_documents")
+    return spark.sql("SELECT d.doc_id, t.pos, t.lexeme, t.kind, t.start, t.`end` FROM textlens_documents d, LATERAL tokenize_prose(d.text) t")
 
 
 def external_alerts(spark, sf_dir):
@@ -326,7 +338,7 @@ QUERIES = [
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
     ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, diagnose_report, consumer_report, consumer_admission,
     editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ansi,
-    utf8_gate, external_alerts, session_replay, session_results,
+    utf8_gate, sql_tokens, external_alerts, session_replay, session_results,
 ]
 
 
@@ -502,6 +514,12 @@ SELECT d.doc_id, '{{"contracts":{{"syntax":{{"contractVersion":"textlens.syntax/
     faults = ", ".join(f"(-{1000 + i}, '{c}')" for i, c in enumerate(expected.REPORTED, 1)) + ", (-1999, 'E_JSON')"
     broken_rows = expected.values("code", "path", "message", rows=expected.BROKEN)
     axes_rows = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in V.AXES)
+    fence = "('```text' || chr(10) || replace(coalesce(text, ''), chr(96), chr(39)) || chr(10) || '```')"
+    blank = fence
+    for wide, by in (("\\x{10000}-\\x{10FFFF}", "chr(160) || chr(160)"), ("\\x{800}-\\x{FFFF}", "chr(12288)"), ("\\x{80}-\\x{7FF}", "chr(160)")):
+        blank = f"regexp_replace({blank}, '[{wide}]', {by}, 'g')"
+    blank = f"regexp_replace({blank}, '[^\\r\\n\\x{{80}}-\\x{{10FFFF}}]', ' ', 'g')"
+    muted = "chr(27) || '[90m.' || chr(27) || '[0m'"
     more = {
         "passive_voice": sql + passive + " SELECT * FROM pv",
         "lint_findings": sql + lint_all + " SELECT * FROM lf",
@@ -517,9 +535,12 @@ SELECT d.doc_id, '{{"contracts":{{"syntax":{{"contractVersion":"textlens.syntax/
         "ir_reports": f"WITH b AS (SELECT *, row_number() OVER () AS n FROM ({broken_rows})) SELECT doc_id, 'document failed validation (' || count(*) || ' issue(s)):' || string_agg(chr(10) || '  - ' || message, '' ORDER BY n) AS report FROM b GROUP BY 1 UNION ALL SELECT unnest([-1000, -1999]), NULL",
         "projection_gate": sql + " SELECT 'accepted' AS state, count(*) AS n FROM docs",
         "classification_cases": expected.values("code", "path", "message", rows=expected.TREE_ERRORS),
-        "markdown_masks": f"SELECT * FROM (VALUES {marks}) m(doc_id, prose)",
+        "markdown_masks": f"SELECT * FROM (VALUES {marks}) m(doc_id, prose) UNION ALL SELECT doc_id, 'Intro.' || chr(10) || chr(10) || '.' || substr({blank}, 2) || chr(10) || chr(10) || 'End.' FROM documents",
+        "markdown_ansi": f"SELECT doc_id, 'Intro' || {muted} || chr(10) || chr(10) || {fence} || chr(10) || chr(10) || 'End' || {muted} AS colored FROM documents",
+        "sql_tokens": _sql(False) + 'SELECT doc_id, pos, s AS lexeme, kind, "start", "end" FROM tok',
         "markdown_masked_lint": masked + lint_all + " SELECT * FROM lf",
-        "utf8_gate": expected.BYTES,
+        "utf8_gate": expected.BYTES + """ UNION ALL SELECT 'doc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'plain' END END,
+  CASE WHEN doc_id % 3 <> 0 THEN text END, CASE WHEN doc_id % 3 = 0 THEN 'invalid-utf8' END FROM documents""",
         "external_alerts": expected.values("n", "start", "end", "rule", "severity", "message", "error", rows=expected.ALERTS),
         "session_results": expected.SHOWN,
         "number_prefixes": sql + "SELECT doc_id, pos, s AS number FROM tok WHERE kind = 'number'",

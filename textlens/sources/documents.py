@@ -73,6 +73,19 @@ def read_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return gate(raw)
 
 
+def in_markdown(docs: DataFrame) -> DataFrame:
+    """``docs`` in Markdown, each text in a fence between two lines of prose; backticks in it become apostrophes."""
+    inner = F.translate(F.coalesce("text", F.lit("")), "`", "'")
+    return docs.withColumns({"text": F.concat(F.lit("Intro.\n\n```text\n"), inner, F.lit("\n```\n\nEnd.")), "format": F.lit("markdown")})
+
+
+def in_files(docs: DataFrame) -> DataFrame:
+    """name, bytes: ``docs`` as files; every third one by its id begins with a byte that is no UTF-8."""
+    name = F.concat("name", F.when(F.pmod("doc_id", F.lit(2)) == 0, ".md").otherwise(".txt"))
+    raw = F.encode("text", "UTF-8")
+    return docs.select(name.alias("name"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw).alias("bytes"))
+
+
 def from_text(spark: SparkSession, text: str, name: str = "<stdin>") -> DataFrame:
     return spark.createDataFrame([(0, name, text)], "doc_id long, name string, text string")
 
