@@ -72,9 +72,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # Where the field looks: numbers of several groups, and at-signs spelled out
 _NUMBER = re.compile(r"[+(]?[0-9][0-9\x20().\-]{5,}[0-9]")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]\x20?at\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}", re.I)
+_MARKED_AT, _MARKED_DOT = (rf"[\[({{]\x20?{w}\x20?[\])}}]" for w in ("at", "dot"))
+# a local part of any length, from where it begins, and a domain of any number of parts
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?{_MARKED_AT}\x20?[A-Za-z0-9-]++(?:\x20?(?:{_MARKED_DOT}|\.)\x20?[A-Za-z0-9-]++)*+", re.I)
 _WHOLE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\x20?[\[({]\x20?at\x20?[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:[\[({]\x20?dot\x20?[\])}]|\.)\x20?[A-Za-z]{2,})+", re.I)
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
+# a bracketed "at" or "dot" is one token, so that an address of several parts isn't longer than an entity may be
+_TOKEN = re.compile(rf"{_MARKED_AT}|{_MARKED_DOT}|[0-9]+|[^\W\d_]+|[^\w\s]|_", re.I)
+_AT_TOKEN = re.compile(rf"at|@|{_MARKED_AT}", re.I)
 # Words that announce a kind, or another sort of number
 CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "cell", "whatsapp", "telefon", "téléphone", "teléfono"},
@@ -131,7 +135,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], closed: list[bool] | No
     """
     n, spans, rows = len(tokens), [], []
     digit = [text[a].isdigit() for a, _ in tokens]
-    at = [text[a:b].lower() == "at" or text[a] == "@" for a, b in tokens]
+    at = [bool(_AT_TOKEN.fullmatch(text, a, b)) for a, b in tokens]
     for i in range(n):
         some = False
         for j in range(i + 1, min(n, i + LONGEST) + 1):
@@ -322,7 +326,7 @@ def _windows(text: str) -> list[tuple[int, int]]:
     """Merged neighbourhoods of numbers and spelled-out at-signs, cut at no token."""
     places = [m.span() for m in _NUMBER.finditer(text)]
     if any(c in text for c in "[({"):
-        places += [(m.start(), m.end() + 40) for m in _SPELLED.finditer(text)]
+        places += [m.span() for m in _SPELLED.finditer(text)]
     out: list[list[int]] = []
     for s, e in sorted(places):
         s, e = max(0, s - 40), min(len(text), e + 20)
