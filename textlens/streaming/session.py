@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import prose, render
-from ..operators.annotate import ROW, numbered
+from ..operators.annotate import ROW
 
 EVENT = "uri string, seq long, kind string, format string, start_line int, start_char int, end_line int, end_char int, text string"
 OUT = "uri string, generation int, format string, text string, open boolean"
@@ -149,11 +149,12 @@ def results(opened: DataFrame, max_bytes: int = MAX_BYTES, failed: Column | None
     that a document can't be analysed: one error, no tokens) or closed (nothing to show).
     Works on ``replay``, and on the micro-batches of ``sessions`` in a foreachBatch; only
     the newest generation of a document gets here, so a superseded one is never shown.
+    A uri occurs once, and rows meet again by it.
     """
     is_open = F.coalesce(F.col("open"), F.lit(False)) if "open" in opened.columns else F.lit(True)
     size = F.octet_length(F.coalesce("text", F.lit("")))
     status = F.when(~is_open, "closed").when(size > max_bytes, "oversized").when(F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)), "failed").otherwise("accepted")
-    rows = numbered(opened).select(ROW, "uri", "generation", "format", F.coalesce("text", F.lit("")).alias("text"), status.alias("status"), size.alias("_size"))
+    rows = opened.withColumn(ROW, F.col("uri")).select(ROW, "uri", "generation", "format", F.coalesce("text", F.lit("")).alias("text"), status.alias("status"), size.alias("_size"))
     seen = _shown(rows.where("status = 'accepted'").drop("status", "_size"))
     large = F.concat(F.lit("document is "), F.col("_size").cast("string"), F.lit(f" bytes; the analysis limit is {max_bytes} bytes"))
     own = F.when(F.col("status") == "oversized", _notes("WARNING", "document-too-large", large)).when(F.col("status") == "failed", _notes("ERROR", "analysis-failed", F.lit("document analysis failed"))).otherwise(_notes())
