@@ -38,10 +38,11 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, fixtures: bool = False) -> DataFrame:
-    """doc_id, name, text of ``documents``, with the fixtures where asked; rows are numbered where they are read."""
+    """doc_id, name, text of ``documents``, with the fixtures where asked; rows are numbered where they are read, fixtures by their ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
-    docs = docs.unionByName(spark.createDataFrame(FIXTURES, "doc_id long, name string, text string")) if fixtures else docs
-    return spread(docs.withColumn("_row", F.monotonically_increasing_id()))
+    docs = spread(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = spark.createDataFrame(FIXTURES, "doc_id long, name string, text string").withColumn("_row", F.col("doc_id"))
+    return docs.unionByName(own) if fixtures else docs
 
 
 #: Own Markdown texts and what is prose in them.
