@@ -26,7 +26,7 @@ from .common import join_sizes
 #: Integers beyond this aren't coded; below it sums of 2^38 rows and distances of 2^13 components fit 64 bits.
 MOST = 2**24
 #: Vectors that are compared with a codebook at once.
-BLOCK = 2048
+BLOCK = 512
 
 
 @dataclass
@@ -57,7 +57,7 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Components are rows, in the order in which they are added."""
     width, n = x.shape
-    head = max(1, width // 4)
+    head = max(1, width // 2)
     partial = np.zeros((n, book.shape[1]), x.dtype)
     for d in range(head):
         partial += np.square(x[d][:, None] - book[d])
