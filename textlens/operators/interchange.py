@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import render, validate
+from . import annotate, render, validate
 from .contract import Contract
 
 RANGE = "struct<endUtf8:int,startUtf8:int>"
@@ -44,7 +44,7 @@ def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
     def node(n: Column) -> Column:
         return F.struct(span(n).alias("byteRange"), n["children"].alias("childNodeIds"), n["depth"].alias("depth"), n["kind"].alias("kind"), n["node_id"].alias("nodeId"))
 
-    rows = render.with_outline(docs.select("doc_id", "name", "text"), ["doc_id", "name", "text"], contract.contextual)
+    rows = render.with_outline(annotate.numbered(docs), ["doc_id", "name", "text"], contract.contextual)
     rows = rows.withColumn("bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("n", F.octet_length("bytes"))
     whole = F.array(F.struct(F.col("n").alias("endUtf8"), F.lit(0).alias("startUtf8")))
     steps = [F.struct(F.lit(contract.build).alias("compilerBuildHash"), F.lit(p).alias("passId"), F.lit(r).alias("ruleId"), whole.alias("sourceRanges")) for p, r in contract.passes]

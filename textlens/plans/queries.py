@@ -277,7 +277,8 @@ def classification_cases(spark, sf_dir):
 
 def markdown_masked_lint(spark, sf_dir):
     """Findings of Markdown and plain texts, code and destinations left out."""
-    docs = documents.markdown_fixtures(spark).unionByName(_docs(spark, sf_dir, False).drop("_row").withColumn("format", F.lit("plain")))
+    own = documents.markdown_fixtures(spark).withColumn("_row", F.col("doc_id"))
+    docs = own.unionByName(_docs(spark, sf_dir, False).withColumn("format", F.lit("plain")))
     return lint.findings(prose.prose(docs))
 
 
