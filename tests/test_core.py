@@ -1,7 +1,9 @@
 """Token, class and finding expectations on small texts; SQL parity of every query on the small corpus."""
 
 import json
+import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -157,6 +159,25 @@ def test_masks(text, want):
     assert markdown.mask(text) == want
 
 
+def test_masks_as_a_plan(spark):
+    """The window and the expressions give what merging and blanking each text by itself gives."""
+    rng = random.Random(5)
+    made = ["".join(rng.choices("ab`[]()<>!\\#->+~:\"' \t\n\r*_=.1\u00e9\u6f22\U0001f600", k=rng.randrange(80))) for _ in range(3000)]
+    made += ["`a``b`" * 500, "", None, "[a]: b\n\n<div>\n\n```\n", *[t for t, _ in MASKED]]
+    d = spark.createDataFrame([(i, t, "markdown") for i, t in enumerate(made)] + [(-1, "`a`", "plain"), (-2, "`a`", None), (-1, "`b`", "markdown")], "doc_id long, text string, format string")
+    got = [(r["doc_id"], r["prose"]) for r in prose.prose(d).collect()]
+    want = [(i, t if t is None else markdown.mask(t)) for i, t in enumerate(made)] + [(-1, "`a`"), (-2, "`a`"), (-1, "   ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert prose.prose(d.where("false")).count() == 0 and prose.mask_ranges(d.where("false")).count() == 0
+
+
+def test_long_markdown_is_linear():
+    n, took = 50_000, time.time()
+    for text in ("[" * n + "](" * n, "a <!-- " * n, "<?" * n, "[" * n + "]" * n, "[a]: b\n" * n, "[" * n + "](x)" * n, "[a]: b\n\n" * n):
+        markdown.found(text)
+    assert time.time() - took < 30
+
+
 def test_deep_and_long_markdown():
     for text in ("- a" + "\n" * 100_000 + "  b `x`\n", ">" * 5000 + " `a`", "- " * 3000 + "`a`", "`" * 20_001, "[" * 20_000 + "](x)" * 100):
         assert len(markdown.mask(text)) == len(text)

@@ -9,7 +9,7 @@ reference names. Scope: CommonMark blocks and links, and metadata between --- or
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
@@ -40,11 +40,18 @@ _AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\x00-\x20<>]*>|<[\w.!#$
 _LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){1,999})\]", re.S)
 _TITLE = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)"
 _GAP = r"[ \t]*(?:\r\n|\r|\n)?[ \t]*"
+_BLANKS = re.compile(" *")
 _DEFINITION = re.compile(rf"{_LABEL.pattern}:{_GAP}(?:<(?:[^<>\r\n\\]|\\.)*>|[^\s<]\S*)(?:(?=[ \t\r\n]){_GAP}(?:{_TITLE})(?=[ \t]*(?:[\r\n]|$)))?[ \t]*(?:\r\n|\r|\n|$)", re.S)
 
 
+#: Inline HTML that only its own mark closes.
+_CLOSING = {"<!--": "-->", "<?": "?>", "<![CDATA[": "]]>"}
 #: Containers inside each other beyond which a mark is text.
 DEEPEST = 100
+#: Parentheses inside each other that a bare link destination may have.
+DEEPEST_DESTINATION = 32
+#: Characters of a label.
+LABEL = 999
 
 
 @dataclass
@@ -205,7 +212,7 @@ def _paragraph(scan: _Scan, lines: list, i: int) -> int:
     own = lines[first:i]
     whole, places = _joined(text, own)
     at = 0
-    while m := _DEFINITION.match(whole, at + len(whole[at:]) - len(whole[at:].lstrip(" "))):
+    while m := _DEFINITION.match(whole, _BLANKS.match(whole, at).end()):
         if not m[1].strip():
             break
         scan.names.add(_name(m[1]))
@@ -242,6 +249,8 @@ def _destination(text: str, at: int) -> int | None:
                 i += 1
             elif text[i] == "(":
                 depth += 1
+                if depth > DEEPEST_DESTINATION:
+                    return None
             elif text[i] == ")":
                 if not depth:
                     break
@@ -259,7 +268,9 @@ def _destination(text: str, at: int) -> int | None:
 def _inline(scan: _Scan, spans: list[tuple[int, int]]) -> None:
     text, places = _joined(scan.text, spans)
     found: list[tuple[int, int]] = []
-    brackets: list[list] = []  # place, image, active
+    brackets: list[tuple[int, bool]] = []  # place, image
+    spent = 0  # brackets of the stack, from below, that a link stands in: none of them opens another, images apart
+    last = {mark: text.rfind(mark) for mark in [*_CLOSING.values(), ">"]}
     ticks: dict[int, list[int]] = {}
     for m in re.finditer("`+", text):
         ticks.setdefault(len(m[0]), []).append(m.start())
@@ -278,22 +289,22 @@ def _inline(scan: _Scan, spans: list[tuple[int, int]]) -> None:
             else:
                 i += size
         elif c == "<":
-            m = _AUTOLINK.match(text, i) or _INLINE_HTML.match(text, i)
+            m = _AUTOLINK.match(text, i) if last[">"] > i else None
+            if not m and last[">"] > i and all(last[end] > i for mark, end in _CLOSING.items() if text.startswith(mark, i)):
+                m = _INLINE_HTML.match(text, i)
             if m:
                 found.append(m.span())
             i = m.end() if m else i + 1
         elif c == "!" and text[i + 1 : i + 2] == "[":
-            brackets.append([i + 1, True, True])
+            brackets.append((i + 1, True))
             i += 2
         elif c == "[":
-            brackets.append([i, False, True])
+            brackets.append((i, False))
             i += 1
         elif c == "]" and brackets:
-            start, image, active = brackets.pop()
-            end = _link(scan, text, start, i, found) if active or image else None
-            if end is not None and not image:
-                for b in brackets:
-                    b[2] = b[1] and b[2]
+            start, image = brackets.pop()
+            end = _link(scan, text, start, i, found) if image or len(brackets) >= spent else None
+            spent = len(brackets) if end is not None and not image else min(spent, len(brackets))
             i = end or i + 1
         else:
             i += 1
@@ -312,7 +323,7 @@ def _link(scan: _Scan, text: str, start: int, close: int, found: list) -> int |
             found.append(named.span())
             return named.end()
         return None
-    if _name(text[start + 1 : close]) not in scan.names:
+    if close - start > LABEL + 1 or _name(text[start + 1 : close]) not in scan.names:
         return None
     if text[after : after + 2] == "[]":
         found.append((after, after + 2))
@@ -320,8 +331,8 @@ def _link(scan: _Scan, text: str, start: int, close: int, found: list) -> int |
     return after
 
 
-def excluded(text: str) -> list[tuple[int, int, bool]]:
-    """Merged ranges (characters) that aren't prose, and whether they part what stands around them."""
+def found(text: str) -> list[tuple[int, int, bool]]:
+    """Ranges (characters) that aren't prose, and whether they part what stands around them; they may overlap and touch."""
     scan = _Scan(text)
     lines = [m.span() for m in _LINE.finditer(text) if m.end() > m.start()]
     _blocks(scan, lines)
@@ -329,9 +340,15 @@ def excluded(text: str) -> list[tuple[int, int, bool]]:
         _inline(scan, spans)
     rendered = sorted(scan.rendered)
     for at in scan.defined:  # what renders nothing up to the next rendered place goes with a definition
-        scan.masks.append((at, next((r for r in rendered if r > at), len(text)), True))
+        k = bisect_right(rendered, at)
+        scan.masks.append((at, rendered[k] if k < len(rendered) else len(text), True))
+    return [m for m in scan.masks if m[0] < m[1]]
+
+
+def excluded(text: str) -> list[tuple[int, int, bool]]:
+    """``found`` in order, what overlaps or touches merged."""
     merged: list[list] = []
-    for s, e, parts in sorted(m for m in scan.masks if m[0] < m[1]):
+    for s, e, parts in sorted(found(text)):
         if merged and s <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
             merged[-1][2] |= parts

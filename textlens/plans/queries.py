@@ -284,10 +284,17 @@ def markdown_masked_lint(spark, sf_dir):
 
 def markdown_masks(spark, sf_dir):
     """What is prose of own Markdown texts, and of all documents in a fence."""
-    docs = documents.markdown_fixtures(spark).unionByName(documents.in_markdown(_docs(spark, sf_dir, False)).drop("_row"))
+    own = documents.markdown_fixtures(spark).withColumn("_row", F.col("doc_id"))
+    docs = own.unionByName(documents.in_markdown(_docs(spark, sf_dir, False)))
     return prose.prose(docs).select("doc_id", "prose")
 
 
+def markdown_ranges(spark, sf_dir):
+    """What isn't prose of all documents, behind a link, a code span and definitions that touch the fence: byte ranges."""
+    docs = documents.in_linked_markdown(_docs(spark, sf_dir, False))
+    return prose.mask_ranges(docs).drop("_row")
+
+
 def markdown_ansi(spark, sf_dir):
     """Documents in a fence, colored: tokens of code stay as they are."""
     return render.ansi(prose.prose(documents.in_markdown(_docs(spark, sf_dir, False))))
@@ -338,7 +345,7 @@ QUERIES = [
     token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
     ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, diagnose_report, consumer_report, consumer_admission,
-    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ansi,
+    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
     utf8_gate, sql_tokens, external_alerts, session_replay, session_results,
 ]
 
@@ -537,6 +544,9 @@ SELECT d.doc_id, '{{"contracts":{{"syntax":{{"contractVersion":"textlens.syntax/
         "projection_gate": sql + " SELECT 'accepted' AS state, count(*) AS n FROM docs",
         "classification_cases": expected.values("code", "path", "message", rows=expected.TREE_ERRORS),
         "markdown_masks": f"SELECT * FROM (VALUES {marks}) m(doc_id, prose) UNION ALL SELECT doc_id, 'Intro.' || chr(10) || chr(10) || '.' || substr({blank}, 2) || chr(10) || chr(10) || 'End.' FROM documents",
+        "markdown_ranges": """WITH m AS (SELECT doc_id, octet_length(encode(name)) AS n, octet_length(encode(coalesce(text, ''))) AS b FROM (SELECT doc_id, 'doc' || doc_id AS name, text FROM documents))
+            SELECT doc_id, (6 + n)::INT AS start, (9 + n)::INT AS "end", false AS parts FROM m UNION ALL SELECT doc_id, (14 + n)::INT, (16 + 2 * n)::INT, false FROM m
+            UNION ALL SELECT doc_id, (19 + 2 * n)::INT, (37 + 2 * n + 8 + b + 5)::INT, true FROM m""",
         "markdown_ansi": f"SELECT doc_id, 'Intro' || {muted} || chr(10) || chr(10) || {fence} || chr(10) || chr(10) || 'End' || {muted} AS colored FROM documents",
         "sql_tokens": _sql(False) + 'SELECT doc_id, pos, s AS lexeme, kind, "start", "end" FROM tok',
         "markdown_masked_lint": masked + lint_all + " SELECT * FROM lf",

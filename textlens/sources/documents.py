@@ -80,6 +80,13 @@ def in_markdown(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": F.concat(F.lit("Intro.\n\n```text\n"), inner, F.lit("\n```\n\nEnd.")), "format": F.lit("markdown")})
 
 
+def in_linked_markdown(docs: DataFrame) -> DataFrame:
+    """``docs`` in Markdown, each text in a fence behind two definitions; a line before them has a link and a code span of its name."""
+    inner = F.translate(F.coalesce("text", F.lit("")), "`", "'")
+    head = F.concat(F.lit("See ["), "name", F.lit("][x] and `"), "name", F.lit("`.\n\n[x]: /u\n\n[y]: /v\n\n"))
+    return docs.withColumns({"text": F.concat(head, F.lit("```text\n"), inner, F.lit("\n```\n\nEnd.")), "format": F.lit("markdown")})
+
+
 def in_files(docs: DataFrame) -> DataFrame:
     """name, bytes: ``docs`` as files; every third one by its id begins with a byte that is no UTF-8."""
     name = F.concat("name", F.when(F.pmod("doc_id", F.lit(2)) == 0, ".md").otherwise(".txt"))
