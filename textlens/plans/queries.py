@@ -9,7 +9,7 @@ from .. import sql as sql_functions
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, structure, validate
-from ..sources import cases, documents
+from ..sources import cases, documents, files
 from ..streaming import session
 from . import expected
 
@@ -154,6 +154,19 @@ def ir_documents(spark, sf_dir):
     return interchange.canonical_json(interchange.analyses(_docs(spark, sf_dir)))
 
 
+def files_round_trip(spark, sf_dir):
+    """The canonical JSON of all documents, written to a folder of files and read back by line: what each line says of its source."""
+    files.register(spark)
+    folder = files.scratch(spark)
+    found = interchange.canonical_json(interchange.analyses(_docs(spark, sf_dir, False)))
+    found.select("json").write.format("textlens").mode("append").option("path", folder).save()
+    lines = spark.read.format("textlens").option("path", folder).option("lines", "true").load()
+    good, bad = interchange.read_json(lines.select(F.lit(0).alias("doc_id"), F.coalesce("text", F.lit("")).alias("json")))
+    source = F.col("analysis.source")
+    good = good.select(source["unitId"].alias("unit"), source["contentHash"].alias("content_hash"), source["utf8ByteLength"].alias("bytes"), F.size("analysis.tokens").alias("tokens"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(bad.select("error"), allowMissingColumns=True)
+
+
 def diagnose_report(spark, sf_dir):
     return diagnose.diagnose(_docs(spark, sf_dir))
 
@@ -344,7 +357,7 @@ def session_results(spark, sf_dir):
 QUERIES = [
     token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
-    ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, diagnose_report, consumer_report, consumer_admission,
+    ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, files_round_trip, diagnose_report, consumer_report, consumer_admission,
     editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
     utf8_gate, sql_tokens, external_alerts, session_replay, session_results,
 ]
@@ -573,6 +586,7 @@ SELECT g.*, role FROM g LEFT JOIN ({axes_rows}) r(a, b, d, role) ON a = token_ki
         "outline_damage": sql + outline_damage,
         "session_replay": replay,
         "ansi_roundtrip": sql + f", t AS (SELECT *, {role} AS role FROM c) SELECT doc_id, \"start\", \"end\", ansi, s AS lexeme FROM t JOIN ({role_rows}) {roles} ON t.role = r.role WHERE ansi IS NOT NULL",
+        "files_round_trip": _sql(False) + ", n AS (SELECT doc_id, count(*) AS tokens FROM tok GROUP BY doc_id) SELECT 'doc' || doc_id AS unit, 'sha256:' || sha256(coalesce(text, '')) AS content_hash, octet_length(encode(coalesce(text, '')))::INT AS bytes, coalesce(tokens, 0)::INT AS tokens, NULL::VARCHAR AS error FROM documents LEFT JOIN n USING (doc_id)",
         "token_stream": _sql(False) + 'SELECT doc_id, pos, s AS lexeme, kind, "start", "end" FROM tok',
         "sentence_spans": sql + 'SELECT doc_id, sent_id, "start", "end", words FROM sent',
         "number_tokens": sql + "SELECT doc_id, s AS lexeme, \"start\" FROM tok WHERE kind = 'number'",
