@@ -9,6 +9,7 @@ from .. import sql as sql_functions
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, structure, validate
+from ..operators.contract import Contract
 from ..sources import cases, documents, files
 from ..streaming import session
 from . import expected
@@ -206,6 +207,53 @@ def ir_validation_errors(spark, sf_dir):
     return validate.with_errors(damaged).select("doc_id", F.inline("errors")).select("doc_id", "stage", "code", "path")
 
 
+def _damaged(spark, sf_dir) -> DataFrame:
+    """Interchange documents, damaged in twenty ways by their id; every 21st is as it was made, as are those with too few tokens."""
+    found = interchange.analyses(_docs(spark, sf_dir, False)).withColumn("way", F.pmod("doc_id", F.lit(21)))
+    a, way, raw = F.col("analysis"), F.col("way"), F.col("bytes")
+    tokens, size = F.col("analysis.tokens"), F.octet_length("bytes")
+    span = lambda start, end: F.struct(end.cast("int").alias("endUtf8"), start.cast("int").alias("startUtf8"))
+
+    def at(array: str, place: Column, change) -> Column:
+        return a.withField(array, F.transform("analysis." + array, lambda x, i: F.when(i == place, change(x)).otherwise(x)))
+
+    def token(place: Column, start, end) -> Column:
+        return at("tokens", place, lambda t: t.withField("byteRange", span(start(t["byteRange"]), end(t["byteRange"]))))
+
+    def steps(change) -> Column:
+        return a.withField("derivation", F.transform("analysis.derivation", change))
+
+    start, end = (lambda r: r["startUtf8"]), (lambda r: r["endUtf8"])
+    first, last, two = F.lit(0), F.size(tokens) - 1, F.size(tokens) >= 2
+    swapped = F.transform(tokens, lambda t, i: F.when(i < 2, t.withField("byteRange", F.get(tokens, 1 - i)["byteRange"])).otherwise(t))
+    wrong = F.when(F.get(tokens, first)["tokenKind"] == "WORD", F.lit(None).cast("string")).otherwise("CONTENT")
+    note = F.struct(span(F.lit(-5), size + 99).alias("byteRange"), F.lit("c").alias("code"), F.lit("m").alias("message"), F.lit("INFO").alias("severity"))
+    ways = {
+        1: a.withField("contractVersion", F.lit("other")), 2: a.withField("schemaHash", F.lit("x")), 3: a.withField("vocabularyHash", F.lit("z")),
+        4: a.withField("source.utf8ByteLength", F.lit(-1)), 5: a.withField("source.utf8ByteLength", size + 1), 6: a.withField("source.contentHash", F.lit("sha256:no")),
+        8: token(first, lambda r: F.lit(-2), end), 9: token(last, end, start), 10: token(last, start, lambda r: size + 1), 11: token(last, end, end),
+        12: F.when(two, a.withField("tokens", swapped)).otherwise(a), 13: token(F.lit(1), lambda r: F.get(tokens, first)["byteRange"]["startUtf8"], end), 14: at("tokens", first, lambda t: t.withField("lexicalClass", wrong)),
+        15: at("structure", first, lambda n: n.withField("depth", n["depth"] + 1)), 16: a.withField("diagnostics", F.array(note)), 17: a.withField("derivation", F.slice("analysis.derivation", 1, 0)),
+        18: steps(lambda x: x.withField("ruleId", F.lit(""))), 19: steps(lambda x: x.withField("passId", F.lit("p"))), 20: steps(lambda x: x.withField("sourceRanges", F.transform(x["sourceRanges"], lambda r: span(r["startUtf8"], r["endUtf8"] + 1)))),
+    }
+    kind = interchange.ANALYSIS
+    damaged = F.lit(None).cast(kind)
+    for k, change in ways.items():
+        damaged = F.when(way == k, change.cast(kind)).otherwise(damaged)
+    damaged = F.when(way.isin(*ways), damaged).otherwise(a.cast(kind))
+    return found.select("doc_id", damaged.alias("analysis"), F.when(way == 7, F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw).alias("bytes"))
+
+
+def ir_damage(spark, sf_dir):
+    """Every error of all documents, damaged in twenty ways by their id, in the report's words."""
+    return validate.with_errors(_damaged(spark, sf_dir)).select("doc_id", F.inline("errors")).select("doc_id", "stage", "code", "path", "message")
+
+
+def ir_damage_reports(spark, sf_dir):
+    """The whole report of each damaged document, null for those without an error."""
+    return validate.with_errors(_damaged(spark, sf_dir)).select("doc_id", validate.report(F.col("errors")).alias("report"))
+
+
 def ir_broken_documents(spark, sf_dir):
     """Every rule of interchange documents, broken at least once, with the report's words."""
     return validate.with_errors(cases.broken_documents(spark)).select("doc_id", F.inline("errors")).select("doc_id", "code", "path", "message")
@@ -358,7 +406,7 @@ QUERIES = [
     token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
     ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, files_round_trip, diagnose_report, consumer_report, consumer_admission,
-    editor_consumer_report, ir_validation_errors, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
+    editor_consumer_report, ir_validation_errors, ir_damage, ir_damage_reports, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
     utf8_gate, sql_tokens, external_alerts, session_replay, session_results,
 ]
 
@@ -464,6 +512,26 @@ SELECT h.doc_id, '{{"contractVersion":"textlens.syntax/v1","derivation":[' || re
     wide = "octet_length(encode(s[1])) > 1"
     late = f"""SELECT doc_id, 3 AS stage, 'EmptyTokenRange' AS code, 'tokens[' || pos || '].byteRange' AS path FROM tok WHERE "end" = "start" + 1
 UNION ALL SELECT doc_id, 3, 'RangeNotOnCharBoundary', 'tokens[' || pos || '].byteRange.startUtf8' FROM tok WHERE {wide} UNION ALL SELECT doc_id, 3, 'DuplicateTokenId', 'tokens[' || pos || ']' FROM tok WHERE pos % 2 = 1"""
+    n_steps = len(Contract().passes)
+    head = [
+        (1, 1, "UnsupportedContractVersion", "'contractVersion'", "'unsupported contract version `other`'"), (2, 1, "SchemaHashMismatch", "'schemaHash'", f"'expected `{Contract().schema_hash}`, found `x`'"),
+        (3, 1, "VocabularyHashMismatch", "'vocabularyHash'", f"'expected `{Contract().vocabulary_hash}`, found `z`'"), (4, 2, "NegativeByteLength", "'source.utf8ByteLength'", "'-1 is negative'"),
+        (4, 2, "ByteLengthMismatch", "'source.utf8ByteLength'", "'declared -1, actual ' || n"), (5, 2, "ByteLengthMismatch", "'source.utf8ByteLength'", "'declared ' || (n + 1) || ', actual ' || n"),
+        (6, 2, "ContentHashMismatch", "'source.contentHash'", "'expected `sha256:' || sha256(t) || '`, found `sha256:no`'"), (7, 2, "ByteLengthMismatch", "'source.utf8ByteLength'", "'declared ' || n || ', actual ' || (n + 1)"),
+        (7, 2, "ContentHashMismatch", "'source.contentHash'", "'expected `sha256:' || sha256('\\xFF'::BLOB || encode(t)) || '`, found `sha256:' || sha256(t) || '`'"), (7, 2, "SourceNotUtf8", "'source'", "'not valid UTF-8'"),
+        (8, 3, "NegativeOffset", "'tokens[0].byteRange.startUtf8'", "'-2 is negative'"), (9, 3, "RangeOutOfOrder", "'tokens[' || (m - 1) || '].byteRange'", "'start ' || el || ' exceeds end ' || sl"),
+        (10, 3, "RangeOutOfBounds", "'tokens[' || (m - 1) || '].byteRange.endUtf8'", "(n + 1) || ' exceeds source length ' || n"), (11, 3, "EmptyTokenRange", "'tokens[' || (m - 1) || '].byteRange'", "'token ' || (m - 1) || ' has an empty range'"),
+        (12, 3, "UnsortedTokenRange", "'tokens[1].byteRange.startUtf8'", "'start ' || s0 || ' precedes tokens[0] start ' || s1"), (13, 3, "OverlappingTokenRange", "'tokens[1].byteRange.startUtf8'", "'start ' || s0 || ' overlaps tokens[0] ending at ' || e0"),
+        (14, 4, "IllegalTokenAxes", "'tokens[0]'", "CASE WHEN k0 = 'word' THEN 'a WORD token must carry a lexicalClass' ELSE 'a non-word token must not carry a lexicalClass' END"), (15, 5, "InvalidOutlineDepth", "'structure[0].depth'", "'depth 1, expected 0 for this outline kind'"),
+        (16, 8, "NegativeOffset", "'diagnostics[0].byteRange.startUtf8'", "'-5 is negative'"), (16, 8, "RangeOutOfBounds", "'diagnostics[0].byteRange.endUtf8'", "(n + 99) || ' exceeds source length ' || n"), (17, 9, "EmptyDerivation", "'derivation'", "'must not be empty'"),
+        *[(18, 9, "MissingDerivationIdentity", f"'derivation[{i}]'", "'empty passId or ruleId'") for i in range(n_steps)], *[(19, 9, "DuplicateDerivationPassId", f"'derivation[{i}]'", "'duplicate passId `p`'") for i in range(1, n_steps)],
+        *[(20, 9, "RangeOutOfBounds", f"'derivation[{i}].sourceRanges[0].endUtf8'", "(n + 1) || ' exceeds source length ' || n") for i in range(n_steps)],
+    ]
+    enough = {w: 2 if w in (12, 13) else 1 for w in range(8, 16)}
+    errors = " UNION ALL ".join(f"SELECT doc_id, {stage}::INT AS stage, '{code}' AS code, {path} AS path, 'at ' || {path} || ': ' || {text} AS message, {o} AS o FROM dm WHERE way = {w}" + (f" AND m >= {enough[w]}" if w in enough else "") for o, (w, stage, code, path, text) in enumerate(head))
+    damages = f""", dm AS (SELECT d.doc_id, d.doc_id % 21 AS way, coalesce(d.text, '') AS t, octet_length(encode(coalesce(d.text, ''))) AS n, k.* EXCLUDE (doc_id) FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS m, arg_min("start", pos) AS s0, arg_min("end", pos) AS e0, arg_min(kind, pos) AS k0, max("start") FILTER (pos = 1) AS s1, arg_max("start", pos) AS sl, arg_max("end", pos) AS el FROM tok GROUP BY doc_id) k ON d.doc_id = k.doc_id),
+er AS ({errors}) """
     broken = f"""SELECT doc_id, CASE WHEN bool_or({wide}) THEN 'SpanNotOnCharBoundary' ELSE 'TreeTokenSpanMismatch' END AS code,
   'tokens[' || coalesce(min(pos) FILTER ({wide}), 0) || '].span' || CASE WHEN bool_or({wide}) THEN '.start' ELSE '' END AS path FROM tok GROUP BY doc_id"""
     damage = """, b AS (SELECT doc_id, sent_id, min(pos) AS p0, max(pos) AS p1 FROM tok GROUP BY 1, 2),
@@ -581,6 +649,8 @@ SELECT g.*, role FROM g LEFT JOIN ({axes_rows}) r(a, b, d, role) ON a = token_ki
         "lsp_roundtrip": sql + placed + f' SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, "start", "end", "row", col16, "length", {kinds} AS "type" FROM pl WHERE token_type IS NOT NULL',
         "ir_documents": sql + documents_sql,
         "ir_validation_errors": sql + late,
+        "ir_damage": _sql(False) + damages + "SELECT doc_id, stage, code, path, message FROM er",
+        "ir_damage_reports": _sql(False) + damages + """SELECT doc_id, r.report FROM documents LEFT JOIN (SELECT doc_id, 'document failed validation (' || count(*) || ' issue(s)):' || string_agg(chr(10) || '  - ' || message, '' ORDER BY o) AS report FROM er GROUP BY doc_id) r USING (doc_id)""",
         "classification_errors": sql + broken,
         "classification_damage": sql + damage,
         "outline_damage": sql + outline_damage,
