@@ -291,9 +291,9 @@ def classification_errors(spark, sf_dir):
     return validate.classification_errors(_trees(_docs(spark, sf_dir)).withColumn("tokens", late)).select("doc_id", "code", "path")
 
 
-def classification_damage(spark, sf_dir):
-    """The first error of documents that are damaged in ten ways, by their id."""
-    trees = _trees(_docs(spark, sf_dir)).withColumn("way", F.pmod("doc_id", F.lit(10)))
+def _damaged_trees(docs: DataFrame) -> DataFrame:
+    """Trees and tokens, damaged in ten ways by the document's id; documents with less than two parts or tokens are left out."""
+    trees = _trees(docs).withColumn("way", F.pmod("doc_id", F.lit(10)))
     s, t, way = F.col("tree.sentences"), F.col("tokens"), F.col("way")
     first = F.get(s, F.lit(0))
     last = F.size(s) - 1
@@ -316,7 +316,26 @@ def classification_damage(spark, sf_dir):
     swapped = F.transform(t, lambda x, i: F.when(i < 2, F.get(t, 1 - i)).otherwise(x))
     empty = F.transform(t, lambda x, i: F.when(i == F.size(t) - 1, x.withField("start", x["end"])).otherwise(x))
     tokens = F.when(way == 7, F.slice(t, 1, F.size(t) - 1)).when(way == 8, swapped).when(way == 9, empty).otherwise(t)
-    return validate.classification_errors(trees.where(enough).select("_row", "doc_id", "text", tree.alias("tree"), tokens.alias("tokens"))).select("doc_id", "code", "path")
+    return trees.where(enough).select("_row", "doc_id", "text", tree.alias("tree"), tokens.alias("tokens"))
+
+
+def classification_damage(spark, sf_dir):
+    """The first error of documents that are damaged in ten ways, by their id."""
+    return validate.classification_errors(_damaged_trees(_docs(spark, sf_dir))).select("doc_id", "code", "path")
+
+
+def projected_documents(spark, sf_dir):
+    """What becomes of all documents whose parts are checked, where those of two in three are damaged: the source of the accepted, the error of the refused."""
+    docs = _docs(spark, sf_dir, False)
+    good, bad = interchange.project(docs, classified=_damaged_trees(docs.where("doc_id % 3 <> 0")))
+    source = F.col("analysis.source")
+    good = good.select("doc_id", source["contentHash"].alias("content_hash"), F.size("analysis.tokens").alias("tokens"), F.size("analysis.derivation").alias("passes"))
+    return good.unionByName(bad.select("doc_id", "error"), allowMissingColumns=True)
+
+
+def admitted_documents(spark, sf_dir):
+    """The first fault that an admission finds in each document, damaged in twenty ways by its id; null where it is let in."""
+    return consumers.admission(_damaged(spark, sf_dir)).select("doc_id", "code", "path")
 
 
 def outline_damage(spark, sf_dir):
@@ -406,7 +425,7 @@ QUERIES = [
     token_stream, sentence_spans, number_tokens, number_prefixes, closed_class_counts, lexicon_classes, pos_class_counts, proper_nouns, title_case_lines, open_class_tokens, contextual_senses,
     weak_words, run_on_sentences, length_outliers, passive_voice, lint_findings, lint_strict, lint_report_lines, doc_lint_summary, paragraph_outline, content_hashes, visual_roles, roles_by_axes,
     ansi_render, highlight_spans, semantic_token_deltas, editor_diagnostics, ansi_roundtrip, lsp_roundtrip, span_report, ir_documents, files_round_trip, diagnose_report, consumer_report, consumer_admission,
-    editor_consumer_report, ir_validation_errors, ir_damage, ir_damage_reports, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
+    editor_consumer_report, ir_validation_errors, ir_damage, ir_damage_reports, ir_broken_documents, ir_reports, projection_gate, classification_errors, classification_damage, projected_documents, admitted_documents, outline_damage, classification_cases, markdown_masked_lint, markdown_masks, markdown_ranges, markdown_ansi,
     utf8_gate, sql_tokens, external_alerts, session_replay, session_results,
 ]
 
@@ -653,6 +672,12 @@ SELECT g.*, role FROM g LEFT JOIN ({axes_rows}) r(a, b, d, role) ON a = token_ki
         "ir_damage_reports": _sql(False) + damages + """SELECT doc_id, r.report FROM documents LEFT JOIN (SELECT doc_id, 'document failed validation (' || count(*) || ' issue(s)):' || string_agg(chr(10) || '  - ' || message, '' ORDER BY o) AS report FROM er GROUP BY doc_id) r USING (doc_id)""",
         "classification_errors": sql + broken,
         "classification_damage": sql + damage,
+        "admitted_documents": _sql(False) + damages + """SELECT doc_id, (['E_CONTRACT_VERSION', 'E_SCHEMA_HASH', 'E_VOCABULARY_HASH', 'E_ARTIFACT_SHAPE', 'E_BYTE_LENGTH', 'E_CONTENT_HASH', 'E_BYTE_LENGTH', 'E_ARTIFACT_SHAPE', 'E_BYTE_RANGE_ORDER', 'E_BYTE_RANGE_BOUNDS', 'E_TOKEN_EMPTY',
+            'E_TOKEN_UNSORTED', 'E_TOKEN_OVERLAP', 'E_TOKEN_AXES', 'E_OUTLINE_DEPTH', 'E_ARTIFACT_SHAPE', 'E_EMPTY_DERIVATION', 'E_MISSING_DERIVATION_IDENTITY', 'E_DUPLICATE_DERIVATION_PASS_ID', 'E_BYTE_RANGE_BOUNDS'])[CASE WHEN path IS NOT NULL THEN doc_id % 21 END] AS code, path
+            FROM documents LEFT JOIN (SELECT doc_id, arg_min(path, o) AS path FROM er GROUP BY doc_id) USING (doc_id)""",
+        "projected_documents": _sql(False) + damage.replace("SELECT doc_id, CASE way", ", w AS (SELECT doc_id, CASE way").replace("END AS path FROM d", "END AS path FROM d WHERE doc_id % 3 <> 0") + f"""), n AS (SELECT doc_id, count(*) AS tokens FROM tok GROUP BY doc_id)
+            SELECT doc_id, CASE WHEN w.code IS NULL THEN 'sha256:' || sha256(coalesce(text, '')) END AS content_hash, CASE WHEN w.code IS NULL THEN coalesce(tokens, 0)::INT END AS tokens, CASE WHEN w.code IS NULL THEN {n_steps} END AS passes, CASE WHEN w.code IS NOT NULL THEN 'InvalidClassification' END AS error
+            FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN n USING (doc_id)""",
         "outline_damage": sql + outline_damage,
         "session_replay": replay,
         "ansi_roundtrip": sql + f", t AS (SELECT *, {role} AS role FROM c) SELECT doc_id, \"start\", \"end\", ansi, s AS lexeme FROM t JOIN ({role_rows}) {roles} ON t.role = r.role WHERE ansi IS NOT NULL",
