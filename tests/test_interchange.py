@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlens.functions import vocabulary as V
-from textlens.operators import consumers, contract, external, interchange, render, structure, validate
+from textlens.operators import annotate, consumers, contract, external, interchange, render, structure, validate
 from textlens.operators.contract import Contract
 from textlens.sources import cases
 
@@ -186,3 +186,22 @@ def test_external_process(spark, tmp_path):
 
 def test_rule_codes():
     assert all(map(external.valid_code, ("a/b", "vale/A.B-c_1", "a/b/c"))) and not any(map(external.valid_code, ("a", "a/", "/b", "a//b", "a b/c", "é/b", "a/" + "b" * 128)))
+
+
+def test_classifications_are_checked_in_their_row(spark):
+    # long enough that reading the text once an offset, or meeting parts and tokens in a join, would show
+    n = 4_000
+    parts = [("Word", 3 * i, 3 * i + 2) for i in range(n)]
+    spans = [(s, e) for _, s, e in parts]
+    trees = [(1, ("Document", [("Sentence", 0, 3 * n, parts)]), spans), (2, ("Document", [("Sentence", 0, 3 * n, parts)]), [*spans[:-1], (3 * n - 2, 3 * n - 1)])]
+    given = spark.createDataFrame([(i, "é " * n, tree, own) for i, tree, own in trees], f"doc_id long, text string, tree {validate.TREE}, tokens array<{validate.SPAN}>")
+    found = validate.classification_errors(given)
+    assert "Exchange" not in found._jdf.queryExecution().toString() and "Join" not in found._jdf.queryExecution().toString()
+    assert [tuple(r)[:3] for r in found.collect()] == [(2, "SpanNotOnCharBoundary", f"tokens[{n - 1}].span.start")]
+
+
+def test_sentences_carry_their_tokens(spark):
+    docs = spark.createDataFrame([(0, 1, "One two. Three!"), (1, 2, None)], "_row long, doc_id long, text string")
+    rows = {r["doc_id"]: r for r in annotate.with_sentence_ranges(docs, ["doc_id"]).collect()}
+    assert [[t["pos"] for t in s["own"]] for s in rows[1]["sentences"]] == [[0, 1, 2], [3, 4]] and [t for s in rows[1]["sentences"] for t in s["own"]] == rows[1]["tokens"]
+    assert rows[2]["sentences"] == [] and rows[2]["tokens"] == []

@@ -405,13 +405,13 @@ def nested(docs: DataFrame, keep: list[str], contextual: bool = True, columns: l
 
 
 def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, tokens (pos, start, end, kind) and sentences (start, end, first, size: a range of tokens) as arrays."""
+    """``keep``, tokens (pos, start, end, kind) and sentences (start, end, own: its tokens) as arrays."""
     docs = numbered(docs)
     t = sentence_tokens(docs, [], ["pos", "end"])
     token = F.struct("pos", "start", "end", "kind")
-    sents = t.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.sort_array(F.collect_list(token)).alias("own"))
-    rows = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "first", "size", "own"))).alias("s"))
-    sentence = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["first"].alias("first"), s["size"].alias("size"))
+    sents = t.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(token)).alias("own"))
+    rows = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "own"))).alias("s"))
+    sentence = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["own"].alias("own"))
     rows = rows.select(ROW, F.flatten("s.own").alias("tokens"), F.transform("s", sentence).alias("sentences"))
     none = {c: F.array().cast(rows.schema[c].dataType) for c in ("tokens", "sentences")}
     return docs.join(rows, ROW, "left").select(*keep, *[F.coalesce(c, n).alias(c) for c, n in none.items()])

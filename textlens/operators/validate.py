@@ -251,10 +251,10 @@ SPAN = "struct<start:int,end:int>"
 TREE = "struct<kind:string,sentences:array<struct<kind:string,start:int,end:int,parts:array<struct<kind:string,start:int,end:int>>>>>"
 
 
-def _span_faults(x: Column, i: Column, before: Column | None, path: Column) -> list[tuple[Column, str, Column, Column]]:
+def _span_faults(x: dict[str, Column], i: Column, before: dict[str, Column], path: Column) -> list[tuple[Column, str, Column, Column]]:
     """(broken, code, path, what) of a span (s, e, and whether each splits a character) in the order of checking.
 
-    ``before`` is the span of the item before it in its list, null for the first.
+    ``before`` has s and e of the item before it in its list, null for the first.
     """
     text = lambda *parts: _path(*parts)
     return [
@@ -277,60 +277,88 @@ def _first(faults: list[tuple[Column, str, Column, Column]], *rank: Column | int
     return out
 
 
+def _earliest(items: str, faults) -> Column:
+    """Place (from 1) of the first item that breaks a rule of ``faults(x, i)``, 0 without any; no text is made for it."""
+
+    def broken(x: Column, i: Column) -> Column:
+        out = F.lit(False)
+        for test, *_ in faults(x, i):
+            out = out | F.coalesce(test, F.lit(False))
+        return out
+
+    return F.array_position(F.transform(items, broken), F.lit(True))
+
+
 def classification_errors(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, code, path, message: the first broken rule of each row that breaks one.
 
     classified: key, text (null: empty), tree and tokens of the types TREE and
-    array<SPAN>, as another parser and annotator give them; ids may repeat. Sentences,
-    leaves and tokens are rows, leaves and tokens meet in a full outer join on their
-    place in the document, and the first error is the smallest in the order of stages:
-    root, sentences with their parts, tokens, their number, their pairs. Only flags
-    whether an offset splits a character are read off the text, before it is left behind.
+    array<SPAN>, as another parser and annotator give them; ids may repeat. All that a
+    rule reads stands in one row, so nothing is exchanged or joined: a scan of each list
+    finds the first item at fault, only that item's words are made, and the first error is
+    the smallest in the order of stages: root, sentences with their parts, tokens, their
+    number, their pairs. Whether offsets split a character is read off the text in one
+    pass, as a text that is read once an offset costs its length each time.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = numbered(classified).select(ROW, key, raw.alias("_raw"), F.octet_length(raw).alias("_size"), F.col("tree").cast(TREE).alias("tree"), F.coalesce(F.col("tokens").cast(f"array<{SPAN}>"), F.array()).alias("tokens"))
-    splits = lambda at: (at > 0) & (at < F.col("_size")) & F.coalesce(F.hex(F.substring("_raw", at + 1, F.lit(1))).between("80", "BF"), F.lit(False))
+    docs = numbered(classified).select(ROW, key, raw.alias("_raw"), F.octet_length(raw).alias("_size"), F.col("tree").cast(TREE).alias("tree"), F.coalesce(F.col("tokens").cast(f"array<{SPAN}>"), F.array()).alias("_spans"))
+    docs = docs.select(ROW, key, "_raw", "_size", "_spans", F.col("tree.kind").alias("_root"), F.coalesce("tree.sentences", F.array()).alias("_sentences"))
 
-    def span(x: Column) -> Column:
-        return F.struct(x["start"].alias("s"), x["end"].alias("e"), splits(x["start"]).alias("s_splits"), splits(x["end"]).alias("e_splits"))
+    def leaves(s: Column, i: Column) -> Column:
+        return F.transform(F.coalesce(s["parts"], F.array()), lambda p, j: F.struct(i.alias("i"), j.alias("j"), p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), s["start"].alias("from"), s["end"].alias("to")))
 
-    def sentence(s: Column, i: Column) -> Column:
-        parts = F.coalesce(s["parts"], F.array())
-        part = lambda p, j: F.struct(i.alias("i"), j.alias("j"), p["kind"].alias("kind"), span(p).alias("x"), F.when(j > 0, span(F.get(parts, j - 1))).alias("before"), s["start"].alias("from"), s["end"].alias("to"))
-        return F.struct(s["kind"].alias("kind"), span(s).alias("x"), F.transform(parts, part).alias("parts"))
+    docs = docs.select(ROW, key, "_raw", "_size", "_root", "_spans", F.transform("_sentences", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_heads"), F.flatten(F.transform("_sentences", leaves)).alias("_leaves"))
+    lists = ("_heads", "_leaves", "_spans")
+    ends = lambda items: F.flatten(F.transform(items, lambda x: F.array(F.coalesce(x["start"], F.lit(0)), F.coalesce(x["end"], F.lit(0)))))
+    docs = docs.withColumns({f"{c}_split": _splits(F.col("_raw"), ends(c)) for c in lists}).drop("_raw")
 
-    listed = F.coalesce("tree.sentences", F.array())
-    docs = docs.select(ROW, key, "_size", F.col("tree.kind").alias("_root"), F.transform(listed, sentence).alias("_sentences"), F.transform("tokens", span).alias("_spans"))
-    docs = docs.withColumns({"_leaves": F.flatten("_sentences.parts"), "_heads": F.transform("_sentences", lambda s: F.struct(s["kind"].alias("kind"), s["x"].alias("x")))}).drop("_sentences")
-    docs = docs.withColumns({"_n_leaves": F.size("_leaves"), "_n_spans": F.size("_spans")})
+    def span(items: str, i: Column) -> dict[str, Column]:
+        x = F.get(items, i)
+        return {"s": x["start"], "e": x["end"], "s_splits": F.get(f"{items}_split", i * 2), "e_splits": F.get(f"{items}_split", i * 2 + 1)}
 
     def kind(is_wrong: Column, path: Column, wanted: str, found: Column) -> tuple:
         return is_wrong, "UnexpectedNodeKind", path, _path(f"expected {wanted}, found ", F.coalesce(found, F.lit("None")))
 
+    def before(items: str, i: Column) -> dict[str, Column]:
+        x = F.when(i > 0, F.get(items, i - 1))
+        return {"s": x["start"], "e": x["end"]}
+
+    def of_head(h: Column, i: Column) -> list[tuple]:
+        path = _path("tree.root.sentences[", i, "]")
+        return [kind(~h["kind"].eqNullSafe("Sentence"), path, "Sentence", h["kind"]), *_span_faults(span("_heads", i), i, before("_heads", i), _path(path, ".span"))]
+
+    def place(leaf: Column) -> Column:
+        return _path("tree.root.sentences[", leaf["i"], "].parts[", leaf["j"], "]")
+
+    def of_leaf(leaf: Column, n: Column) -> list[tuple]:
+        path = place(leaf)
+        last = F.when(leaf["j"] > 0, F.get("_leaves", n - 1))
+        outside = (leaf["start"] < leaf["from"]) | (leaf["end"] > leaf["to"])
+        child = (outside, "ChildSpanOutsideParent", _path(path, ".span"), _path("child ", leaf["start"], "..", leaf["end"], " falls outside parent ", leaf["from"], "..", leaf["to"]))
+        wrong = kind(~F.coalesce(leaf["kind"].isin("Word", "Punct"), F.lit(False)), path, "Word or Punct", leaf["kind"])
+        return [wrong, *_span_faults(span("_leaves", n), leaf["j"], {"s": last["start"], "e": last["end"]}, _path(path, ".span")), child]
+
+    def of_token(t: Column, n: Column) -> list[tuple]:
+        return _span_faults(span("_spans", n), n, before("_spans", n), _path("tokens[", n, "].span"))
+
+    def of_pair(t: Column, n: Column) -> list[tuple]:
+        leaf, spot = F.get("_leaves", n), _path("tokens[", n, "].span")
+        apart = (leaf["start"] != t["start"]) | (leaf["end"] != t["end"])
+        return [(apart, "TreeTokenSpanMismatch", spot, _path("token ", t["start"], "..", t["end"], " does not match ", place(leaf), ".span ", leaf["start"], "..", leaf["end"]))]
+
+    scans = {"_head": ("_heads", of_head), "_leaf": ("_leaves", of_leaf), "_token": ("_spans", of_token), "_pair": ("_spans", of_pair)}
+    docs = docs.withColumns({name: _earliest(*scan).cast("int") for name, scan in scans.items()})
+
+    def first(name: str, rank) -> Column:
+        items, faults = scans[name]
+        i = F.col(name) - 1
+        return F.when(F.col(name) > 0, _first(faults(F.get(items, i), i), *rank(F.get(items, i), i)))
+
+    n_leaves, n_spans = F.size("_leaves"), F.size("_spans")
     root = _first([kind(~F.col("_root").eqNullSafe("Document"), F.lit("tree.root"), "Document", F.col("_root"))], 0, 0, 0, 0)
-    count = (F.col("_n_leaves") != F.col("_n_spans"), "TreeTokenCountMismatch", F.lit("tokens"), _path("tree has ", F.col("_n_leaves"), " leaves but annotator emitted ", F.col("_n_spans"), " tokens"))
-    whole = docs.select(ROW, key, F.explode(F.filter(F.array(root, _first([count], 3, 0, 0, 0)), lambda x: x.isNotNull())).alias("error"))
-
-    heads = docs.select(ROW, key, "_size", F.posexplode(F.transform("_heads", lambda h, i: F.struct(h["kind"].alias("kind"), h["x"].alias("x"), F.when(i > 0, F.get("_heads", i - 1)["x"]).alias("before")))).alias("_i", "_x"))
-    path, x = _path("tree.root.sentences[", F.col("_i"), "]"), F.col("_x")
-    own = _first([kind(~x["kind"].eqNullSafe("Sentence"), path, "Sentence", x["kind"]), *_span_faults(x["x"], F.col("_i"), x["before"], _path(path, ".span"))], 1, F.col("_i"), -1, 0)
-    heads = heads.select(ROW, key, own.alias("error"))
-
-    leaves = docs.select(ROW, key, "_size", F.posexplode("_leaves").alias("_n", "_leaf"))
-    spans = F.transform("_spans", lambda t, i: F.struct(t.alias("x"), F.when(i > 0, F.get("_spans", i - 1)).alias("before")))
-    tokens = docs.select(F.col(ROW).alias("_row2"), F.col(key).alias("_key2"), F.col("_size").alias("_size2"), F.posexplode(spans).alias("_m", "_token"))
-    both = leaves.join(tokens, (F.col(ROW) == F.col("_row2")) & (F.col("_n") == F.col("_m")), "full")
-    both = both.select(F.coalesce(ROW, "_row2").alias(ROW), F.coalesce(key, "_key2").alias(key), F.coalesce("_size", "_size2").alias("_size"), F.coalesce("_n", "_m").alias("_n"), "_leaf", "_token")
-    leaf, token, n = F.col("_leaf"), F.col("_token"), F.col("_n")
-    path = _path("tree.root.sentences[", leaf["i"], "].parts[", leaf["j"], "]")
-    outside = (leaf["x"]["s"] < leaf["from"]) | (leaf["x"]["e"] > leaf["to"])
-    child = (outside, "ChildSpanOutsideParent", _path(path, ".span"), _path("child ", leaf["x"]["s"], "..", leaf["x"]["e"], " falls outside parent ", leaf["from"], "..", leaf["to"]))
-    part = _first([kind(leaf.isNotNull() & ~F.coalesce(leaf["kind"].isin("Word", "Punct"), F.lit(False)), path, "Word or Punct", leaf["kind"]), *_span_faults(leaf["x"], leaf["j"], leaf["before"], _path(path, ".span")), child], 1, leaf["i"], leaf["j"], 1)
-    spot = _path("tokens[", n, "].span")
-    single = _first(_span_faults(token["x"], n, token["before"], spot), 2, n, 0, 0)
-    apart = (leaf["x"]["s"] != token["x"]["s"]) | (leaf["x"]["e"] != token["x"]["e"])
-    pair = _first([(apart, "TreeTokenSpanMismatch", spot, _path("token ", token["x"]["s"], "..", token["x"]["e"], " does not match ", path, ".span ", leaf["x"]["s"], "..", leaf["x"]["e"]))], 4, n, 0, 0)
-    pairs = both.select(ROW, key, F.explode(F.filter(F.array(part, single, pair), lambda e: e.isNotNull())).alias("error"))
-    every = whole.unionByName(heads.where("error IS NOT NULL")).unionByName(pairs)
-    first = every.groupBy(ROW).agg(F.first(key).alias(key), F.min("error").alias("error"))
-    return first.select(key, "error.code", "error.path", "error.message")
+    count = _first([(n_leaves != n_spans, "TreeTokenCountMismatch", F.lit("tokens"), _path("tree has ", n_leaves, " leaves but annotator emitted ", n_spans, " tokens"))], 3, 0, 0, 0)
+    found = F.least(
+        root, first("_head", lambda h, i: (1, i, -1, 0)), first("_leaf", lambda leaf, n: (1, leaf["i"], leaf["j"], 1)),
+        first("_token", lambda t, n: (2, n, 0, 0)), count, first("_pair", lambda t, n: (4, n, 0, 0)),
+    )
+    return docs.select(key, found.alias("error")).where("error IS NOT NULL").select(key, "error.code", "error.path", "error.message")

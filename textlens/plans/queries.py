@@ -279,7 +279,7 @@ def _trees(docs: DataFrame) -> DataFrame:
         return F.struct(F.when(t["kind"].isin("word", "number"), "Word").otherwise("Punct").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
 
     def sentence(s):
-        return F.struct(F.lit("Sentence").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.transform(F.slice("tokens", s["first"] + 1, s["size"]), part).alias("parts"))
+        return F.struct(F.lit("Sentence").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.transform(s["own"], part).alias("parts"))
 
     tree = F.struct(F.lit("Document").alias("kind"), F.transform("sentences", sentence).alias("sentences"))
     return rows.select("_row", "doc_id", "text", tree.alias("tree"), F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
