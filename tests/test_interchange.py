@@ -205,3 +205,13 @@ def test_sentences_carry_their_tokens(spark):
     rows = {r["doc_id"]: r for r in annotate.with_sentence_ranges(docs, ["doc_id"]).collect()}
     assert [[t["pos"] for t in s["own"]] for s in rows[1]["sentences"]] == [[0, 1, 2], [3, 4]] and [t for s in rows[1]["sentences"] for t in s["own"]] == rows[1]["tokens"]
     assert rows[2]["sentences"] == [] and rows[2]["tokens"] == []
+
+
+def test_projection_is_one_plan(spark):
+    docs = spark.createDataFrame([(1, "one", TEXT), (2, "none", None)], "doc_id long, name string, text string")
+    found = interchange.projected(docs)
+    # the lexer and its second pass for ambiguous words; outlines come from the same tokens
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert [(r["error"], r["analysis"] is not None) for r in found.collect()] == [(None, True)] * 2
+    good, bad = interchange.project(docs, Contract(annotator=("", "x")))
+    assert good.count() == 0 and bad.count() == 2

@@ -56,8 +56,8 @@ def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
     return rows.select("doc_id", "bytes", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
 
 
-def project(docs: DataFrame, contract: Contract = Contract(), classified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, refused): the documents that pass their own validation, and (doc_id, error, message) of the rest.
+def projected(docs: DataFrame, contract: Contract = Contract(), classified: DataFrame | None = None) -> DataFrame:
+    """doc_id, bytes, analysis, error, message of every document, accepted (error null) or refused, in one plan.
 
     error is MissingPassIdentity or DuplicatePassId (of the contract, for every
     document), Overflow, InvalidClassification (where ``classified``, the parts that
@@ -66,8 +66,8 @@ def project(docs: DataFrame, contract: Contract = Contract(), classified: DataFr
     """
     fault = contract.fault()
     if fault:
-        none = docs.select("doc_id", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast(ANALYSIS).alias("analysis")).where("false")
-        return none, docs.select("doc_id", F.lit(fault[0]).alias("error"), F.lit(fault[1]).alias("message"))
+        none = [F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast(ANALYSIS).alias("analysis")]
+        return docs.select("doc_id", *none, F.lit(fault[0]).alias("error"), F.lit(fault[1]).alias("message"))
     found = validate.with_errors(analyses(docs, contract), contract)
     broken = validate.report(F.col("errors"))
     kind = F.when(F.col("analysis").isNull(), "Overflow").when(F.size("errors") > 0, "InvalidProjectedDocument")
@@ -78,6 +78,12 @@ def project(docs: DataFrame, contract: Contract = Contract(), classified: DataFr
         bad = validate.classification_errors(classified).select("doc_id", F.concat(F.lit("invalid parser/annotator classification: "), "message").alias("wrong"))
         found = found.join(bad, "doc_id", "left").withColumn("error", F.when(F.col("wrong").isNotNull(), "InvalidClassification").otherwise(F.col("error")))
         found = found.withColumn("message", F.coalesce("wrong", "message"))
+    return found.select("doc_id", "bytes", "analysis", "error", "message")
+
+
+def project(docs: DataFrame, contract: Contract = Contract(), classified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused): the two sides of ``projected``, each a plan of its own; whoever wants both reads that."""
+    found = projected(docs, contract, classified)
     return found.where("error IS NULL").select("doc_id", "bytes", "analysis"), found.where("error IS NOT NULL").select("doc_id", "error", "message")
 
 
