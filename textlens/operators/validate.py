@@ -112,18 +112,24 @@ def _each(array: str, check) -> Column:
 
 
 def _ranges() -> Column:
-    """Every byte range of a document: its stage, place, path and ends."""
+    """Every byte range of a document: its stage, place and ends."""
 
-    def item(stage: int, i: Column, j: Column, path: Column, r: Column) -> Column:
-        return F.struct(F.lit(stage).alias("stage"), i.cast("int").alias("i"), j.cast("int").alias("j"), path.alias("path"), r["startUtf8"].alias("s"), r["endUtf8"].alias("e"))
+    def item(stage: int, i: Column, j: Column, r: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), i.cast("int").alias("i"), j.cast("int").alias("j"), r["startUtf8"].alias("s"), r["endUtf8"].alias("e"))
 
     def own(array: str, stage: int) -> Column:
-        return F.transform(array, lambda x, i: item(stage, i, F.lit(-1), _path(array, "[", i, "].byteRange"), x["byteRange"]))
+        return F.transform(array, lambda x, i: item(stage, i, F.lit(-1), x["byteRange"]))
 
-    nested = F.transform("derivation", lambda x, i: F.transform(x["sourceRanges"], lambda r, j: item(9, i, j, _path("derivation[", i, "].sourceRanges[", j, "]"), r)))
+    nested = F.transform("derivation", lambda x, i: F.transform(x["sourceRanges"], lambda r, j: item(9, i, j, r)))
     return F.concat(own("tokens", 3), own("structure", 5), own("diagnostics", 8), F.flatten(nested))
 
 
+def _range_path(r: Column) -> Column:
+    """Where a byte range stands; made for the broken ones alone."""
+    own = F.when(r["stage"] == 3, "tokens").when(r["stage"] == 5, "structure").when(r["stage"] == 8, "diagnostics")
+    return F.when(r["stage"] == 9, _path("derivation[", r["i"], "].sourceRanges[", r["j"], "]")).otherwise(_path(own, "[", r["i"], "].byteRange"))
+
+
 def axes_violation(t: Column) -> Column:
     """What is wrong with a token's axes; null where they are legal."""
     function, open_, lexical = t["functionKind"].isNotNull(), t["openClassKind"].isNotNull(), t["lexicalClass"]
@@ -202,7 +208,7 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
 
     def bounds(r: Column, n: Column) -> list[Column]:
         def bad(when: Column, k: int, code: str, field: str, *detail) -> Column:
-            return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(r["path"], field), *detail))
+            return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(_range_path(r), field), *detail))
 
         return [
             bad(r["s"] < 0, 0, "NegativeOffset", ".startUtf8", r["s"], " is negative"),
