@@ -1,13 +1,17 @@
 """Interchange documents, their contract, the gate of projections and their readers."""
 
 import json
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textlens.functions import lexer
 from textlens.functions import vocabulary as V
 from textlens.operators import annotate, consumers, contract, external, interchange, render, structure, validate
 from textlens.operators.contract import Contract
+from textlens.plans import queries as plans
 from textlens.sources import cases
 
 TEXT = "Paris – é is big. We saw Rome.\n\nThe 2 cats sat."
@@ -215,3 +219,14 @@ def test_projection_is_one_plan(spark):
     assert [(r["error"], r["analysis"] is not None) for r in found.collect()] == [(None, True)] * 2
     good, bad = interchange.project(docs, Contract(annotator=("", "x")))
     assert good.count() == 0 and bad.count() == 2
+
+
+def test_line_breaks_are_counted_by_the_lexer():
+    texts = ["\r\na\r\n\n b\r", "\nc \r \n\r d", None, "e\r", "\n\nf. g"]
+    t = lexer.Texts(pa.array(texts))
+    assert t.breaks().tolist() == [len(re.findall("\r\n|\r|\n", g)) for g in t.gaps().to_pylist()] == [1, 2, 1, 3, 0, 2, 0, 0]
+
+
+def test_outline_damage_cuts_texts_once(spark):
+    plan = plans.outline_damage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan

@@ -148,6 +148,15 @@ class Texts:
         breaks = _sums((self.x == 10) | (self.x == 13))
         return (self.pos > 0) & (breaks[self.c0] > breaks[_before(self.c1, 0)])
 
+    def breaks(self) -> np.ndarray:
+        """Line breaks in the white space before each token; CRLF is one."""
+        lf, cr = self.x == 10, self.x == 13
+        behind = _before(cr, False)
+        behind[self.bounds[:-1][self.bounds[:-1] < len(cr)]] = False
+        so_far = _sums((lf & ~behind) | cr)
+        before = np.where(self.pos > 0, _before(self.c1, 0), self.bounds[:-1][self.doc])
+        return so_far[self.c0] - so_far[before]
+
     def gaps(self) -> pa.Array:
         """The white space before each token, empty where there is none."""
         before = np.maximum(self.token - 1, 0)

@@ -59,6 +59,7 @@ def analysed(docs: DataFrame) -> Column:
 LEXED = {
     "pos": ("int", lambda t: t.pos), "lexeme": ("string", L.Texts.lexemes), "kind": ("string", L.Texts.kinds), "start": ("int", lambda t: t.start), "end": ("int", lambda t: t.end),
     "char": ("int", lambda t: t.char), "unit": ("int", lambda t: t.unit), "gap": ("string", L.Texts.gaps), "glued": ("boolean", lambda t: t.glued), "broken": ("boolean", L.Texts.broken),
+    "breaks": ("int", L.Texts.breaks),
 }
 
 
@@ -160,9 +161,14 @@ def _carried(column: str) -> Column:
     return F.last(column, ignorenulls=True).over(so_far()).alias(column)
 
 
+def _with_closers(tokens: DataFrame, columns: list[str]) -> DataFrame:
+    """_closer: a quote or bracket right behind another token. It is told before the exchange, which then carries no lexeme that isn't asked for."""
+    closer = F.coalesce(F.col("glued") & F.col("lexeme").isin(V.CLOSERS), F.lit(False))
+    return tokens.withColumn("_closer", closer).drop(*[c for c in ("glued", "lexeme") if c not in columns])
+
+
 def _closes() -> Column:
-    """A quote or bracket right behind another token."""
-    return F.coalesce(F.col("glued") & F.col("lexeme").isin(V.CLOSERS), F.lit(False))
+    return F.coalesce("_closer", F.lit(False))
 
 
 def _anchor() -> Column:
@@ -186,7 +192,8 @@ BASE = ["start", "lexeme", "kind", "glued"]
 def sentence_tokens(docs: DataFrame, keep: list[str], columns: list[str], placed: bool = False) -> DataFrame:
     """``keep``, ``columns`` of LEXED, sent_id and starts of every token; with ``placed``, its place on its line too."""
     docs = numbered(docs)
-    stream = lexed(docs, keep, list(dict.fromkeys([*columns, *BASE])))
+    own = [*columns, *(["lexeme"] if placed else [])]
+    stream = _with_closers(lexed(docs, keep, list(dict.fromkeys([*columns, *BASE]))), own)
     stream = _with_rows(stream, _marks(docs, False, True)) if placed else stream.withColumn("_token", F.lit(True))
     stream = stream.select(*[c for c in stream.columns if c != "_line"], _anchor(), *([_carried("_line")] if placed else []))
     stream = stream.withColumn("starts", _begins())
@@ -203,8 +210,8 @@ def _places(tokens: DataFrame) -> DataFrame:
 def sentences(docs: DataFrame, keep: list[str] | None = None, breaks: bool = False) -> DataFrame:
     """Row number, ``keep`` (doc_id unless given), sent_id, start, end, words (and breaks: line breaks before it) of each sentence."""
     keep = ["doc_id"] if keep is None else keep
-    t = sentence_tokens(docs, keep, ["end", *(["gap"] if breaks else [])])
-    gap = [F.min_by(T.line_breaks(F.col("gap")), "start").alias("breaks")] if breaks else []
+    t = sentence_tokens(docs, keep, ["end", *(["breaks"] if breaks else [])])
+    gap = [F.min_by("breaks", "start").alias("breaks")] if breaks else []
     found = t.groupBy(ROW, "sent_id").agg(*[F.first(c).alias(c) for c in keep], F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(_is_word()).alias("words"), *gap)
     return found.select(ROW, *keep, "sent_id", "start", "end", "words", *(["breaks"] if breaks else []))
 
@@ -256,7 +263,8 @@ def classified(docs: DataFrame, keep: list[str], columns: list[str], placed: boo
     base = base.when(F.col("function_kind").isNotNull(), "Function").when(F.col("open_kind").isNotNull(), "Open").otherwise("Content")
     alpha = _is_word() & _first_letter(code.between(65, 90) | code.between(97, 122), r"\p{IsAlphabetic}")
     capital = (kind == "word") & _first_letter(code.between(65, 90), r"\p{IsUppercase}")
-    tokens = tokens.withColumns({"pos_class": base, "_alpha": alpha, "_capital": capital})
+    tokens = tokens.withColumns({"pos_class": base, "_alpha": alpha, "_capital": capital, "_ambiguous_word": T.ascii_lower(F.col("lexeme")).isin(V.AMBIGUOUS)})
+    tokens = _with_closers(tokens, ["lexeme"])
     stream = _with_rows(tokens, _marks(docs, True, placed))
     marks = ["_title_end", "_line"] if placed else ["_title_end"]
     others = [c for c in stream.columns if c not in marks]
@@ -305,7 +313,7 @@ def refined(docs: DataFrame, keep: list[str], columns: list[str], wanted: list[s
     """
     docs = numbered(docs)
     word = T.ascii_lower(F.col("lexeme"))
-    ambiguous = (F.col("pos_class") == "Content") & word.isin(V.AMBIGUOUS)
+    ambiguous = (F.col("pos_class") == "Content") & F.col("_ambiguous_word")
     own = list(dict.fromkeys([*wanted, "pos_class", "open_kind"]))
     plain = classified(docs, keep, columns, placed).where(~ambiguous).select(ROW, *own)
     tokens = classified(docs.where(analysed(docs).rlike("(?i)" + "|".join(V.AMBIGUOUS))), keep, columns, placed)
@@ -375,16 +383,14 @@ def with_rows(docs: DataFrame, keep: list[str], wanted: list[str], contextual: b
     """``tokens`` with the row number and ``keep``."""
     plain = [c for c in wanted if c in LEXED]
     placed = any(c in PLACES for c in wanted)
-    plain += [c for c in ("char", "unit") if c not in plain and placed] + [c for c in ("gap",) if c not in plain and "breaks" in wanted]
+    plain += [c for c in ("char", "unit") if c not in plain and placed]
     if any(c in CLASSES for c in wanted):
-        found = refined(docs, keep, plain, [*keep, *[c for c in wanted if c not in DERIVED and c != "breaks"], "function_kind", *(["gap"] if "breaks" in wanted else [])], placed) if contextual else classified(docs, keep, plain, placed)
+        found = refined(docs, keep, plain, [*keep, *[c for c in wanted if c not in DERIVED], "function_kind"], placed) if contextual else classified(docs, keep, plain, placed)
         found = found.withColumns({c: f() for c, f in DERIVED.items() if c in wanted})
     elif placed or "sent_id" in wanted or "starts" in wanted:
         found = sentence_tokens(docs, keep, plain, placed)
     else:
         found = lexed(docs, keep, plain)
-    if "breaks" in wanted:
-        found = found.withColumn("breaks", T.line_breaks(F.col("gap")))
     return found.select(ROW, *keep, *[c for c in wanted if c not in keep])
 
 

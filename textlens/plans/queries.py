@@ -345,7 +345,8 @@ def outline_damage(spark, sf_dir):
     whole = Window.partitionBy("_row")
     o = o.select("*", node.alias("i"), F.max("node_id").over(whole).alias("_last"), F.count_if(F.col("kind") == "PARAGRAPH").over(whole).cast("int").alias("_pars"))
     kids = F.when((way == 1) & (node == 0), F.array_append("children", F.lit(999_999))).when((way == 2) & (node == F.col("_pars") - 1) & (node > 0), F.array_append("children", F.col("_pars"))).when((way == 4) & (node == F.col("_pars")), F.array(F.lit(0)))
-    nodes = o.select("_row", "doc_id", "i", F.when((way == 0) & (node == F.col("_last")), 0).otherwise(node).alias("node_id"), "start", F.when((way == 3) & (node == 0), F.col("start") + 1).otherwise(F.col("end")).alias("end"), kids.otherwise(F.col("children")).cast("array<int>").alias("children"))
+    # eight readings of the nodes below: written down once, else each would cut and exchange all texts again
+    nodes = files.written(o.select("_row", "doc_id", "i", F.when((way == 0) & (node == F.col("_last")), 0).otherwise(node).alias("node_id"), "start", F.when((way == 3) & (node == 0), F.col("start") + 1).otherwise(F.col("end")).alias("end"), kids.otherwise(F.col("children")).cast("array<int>").alias("children")))
     found = [f(nodes, ["doc_id"]).select("doc_id", "code", "path", "message") for f in (structure.repeated_nodes, structure.broken_edges, structure.closing_edges)]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

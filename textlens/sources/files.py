@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -220,3 +220,10 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="textlens-files-")
     return f"{folder.rstrip('/')}/texts-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there, for plans that read them more than once."""
+    folder = scratch(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
