@@ -77,3 +77,14 @@ def test_a_task_that_ran_twice_is_moved_once(tmp_path):
     writer.commit([writer.write(iter([batch])), None])
     kept = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
     assert sorted(p.name[:4] for p in kept) == ["_SUC", "part"] and b"".join(p.read_bytes() for p in kept) == b"a\nb\n"
+
+
+def test_packed_files_come_back(spark, tmp_path):
+    files.register(spark)
+    folder = str(tmp_path / "packed")
+    texts = [f'{{"n":{i},"é":"{"x" * 500}"}}' for i in range(2_000)]
+    spark.createDataFrame([(t,) for t in texts], "json string").write.format("textlens").mode("append").option("path", folder).option("compression", "zstd").save()
+    packed = [p for p in (tmp_path / "packed").iterdir() if p.name.endswith(".zst")]
+    assert packed and sum(p.stat().st_size for p in packed) < sum(map(len, texts)) / 4
+    back = spark.read.format("textlens").option("path", folder).option("lines", "true").option("partitionBytes", "100").load()
+    assert sorted(r["text"] for r in back.collect()) == sorted(texts)

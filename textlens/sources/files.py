@@ -16,6 +16,8 @@ out; a document with a line break of its own is refused). Tasks write under
 ``_temporary`` with names of their own, so that a task that is lost and run again, or
 twice, leaves no trace: files are moved to their place by the driver once all tasks have
 ended, old ones go then where the mode is overwrite, and ``_SUCCESS`` is written last.
+With the option ``compression`` ``zstd`` files are packed (``.zst``); they are unpacked as a
+stream where they are read, and not cut.
 What a task leaves that outlives its job's abort stays there and is never read.
 
 ``path`` is a local (or mounted) folder or any address that pyarrow has a file system for.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +44,8 @@ BATCH = 4_000_000
 PARTITION = 32 * 1024 * 1024
 SCHEMA = pa.schema([("name", pa.string()), ("format", pa.string()), ("text", pa.string()), ("error", pa.string())])
 _MARKDOWN = (".md", ".markdown")
+#: Files that are unpacked as they are read, and so never cut.
+PACKED = ".zst"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -74,7 +79,7 @@ def parts(files: list[tuple[str, int]], size: int, lines: bool) -> list[Part]:
     for path, length in files:
         at = 0
         while at < length or at == 0:
-            stop = min(at + size, length) if lines else length
+            stop = min(at + size, length) if lines and not path.endswith(PACKED) else length
             if not out or room < stop - at:
                 out.append(Part([]))
                 room = size
@@ -86,9 +91,9 @@ def parts(files: list[tuple[str, int]], size: int, lines: bool) -> list[Part]:
 
 def _lines(file: io.BufferedReader, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(first byte, line) of the lines that start in the piece, without their breaks."""
-    file.seek(max(start - 1, 0))
     at = start
     if start:
+        file.seek(start - 1)
         at = start - 1 + len(file.readline())
     while at < stop and (line := file.readline()):
         yield at, line.rstrip(b"\r\n")
@@ -108,7 +113,9 @@ class _Reader(DataSourceReader):
     def _documents(self, part: Part) -> Iterator[tuple[str, bytes]]:
         system = _opened(self.path)[0]
         for path, start, stop in part.pieces:
-            with system.open_input_file(path) as raw:
+            packed = path.endswith(PACKED)
+            stop = sys.maxsize if packed else stop  # of what is unpacked
+            with system.open_input_stream(path, compression="zstd") if packed else system.open_input_file(path) as raw:
                 if self.by_line:
                     yield from ((f"{path}#{at}", line) for at, line in _lines(io.BufferedReader(raw, 1 << 20), start, stop))
                 else:
@@ -140,8 +147,8 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+    def __init__(self, path: str, overwrite: bool, packed: bool = False) -> None:
+        self.path, self.overwrite, self.job, self.packed = path, overwrite, uuid.uuid4().hex, packed
 
     def _staging(self) -> tuple[fs.FileSystem, str, str]:
         system, root = _opened(self.path)
@@ -150,7 +157,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, _, staging = self._staging()
-        file, out = f"part-{uuid.uuid4().hex}.json", None
+        file, out = f"part-{uuid.uuid4().hex}.json" + (PACKED if self.packed else ""), None
         try:
             for batch in iterator:
                 for line in batch.column(0).cast(pa.large_string()).drop_null():
@@ -159,7 +166,7 @@ class _Writer(DataSourceArrowWriter):
                         raise ValueError("a document has a line break")
                     if out is None:
                         system.create_dir(staging, recursive=True)
-                        out = system.open_output_stream(f"{staging}/{file}", buffer_size=1 << 20)
+                        out = system.open_output_stream(f"{staging}/{file}", compression="zstd" if self.packed else None, buffer_size=1 << 20)
                     out.write(data + b"\n")
         finally:
             if out is not None:
@@ -204,7 +211,10 @@ class Texts(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         if len(schema.fields) != 1 or schema.fields[0].dataType.simpleString() != "string":
             raise ValueError("one string column is written, a document a row")
-        return _Writer(self.options["path"], overwrite)
+        packing = self.options.get("compression", "none").lower()
+        if packing not in ("none", "zstd"):
+            raise ValueError("compression is none or zstd")
+        return _Writer(self.options["path"], overwrite, packing == "zstd")
 
 
 def register(spark: SparkSession) -> None:
