@@ -1,4 +1,4 @@
-"""Places of offsets: which line an offset lies on, and what byte a UTF-16 position is."""
+"""Places of offsets: what byte a UTF-16 position is."""
 
 from __future__ import annotations
 
@@ -8,24 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .annotate import ROW
 
-#: Bytes of a bin as a power of two. A line lies in as many bins as it covers; a bin of 2^10 bytes has 2^10 lines at most.
-BIN = 10
-
-
-def located(rows: DataFrame, lines: DataFrame, at: str, name: str) -> DataFrame:
-    """``rows`` with ``name``, the line (a struct) of ``lines`` (``annotate.lines``) that the byte offset ``at`` lies on.
-
-    An interval join within bins of a document's bytes: an offset is in one bin and meets
-    the lines of that bin alone, so no document's lines are compared with all its
-    offsets. Rows without a document or beyond its end drop out.
-    """
-    spread = F.explode(F.sequence(F.shiftright("start", BIN), F.shiftright(F.col("stop") - 1, BIN)))
-    binned = lines.select(F.col(ROW).alias("_line_of"), spread.alias("_line_bin"), F.struct(*[c for c in lines.columns if c != ROW]).alias(name))
-    line = F.col(name)
-    inside = (F.col(at) >= line["start"]) & (F.col(at) < line["stop"])
-    found = rows.withColumn("_bin", F.shiftright(at, BIN)).join(binned, (F.col(ROW) == F.col("_line_of")) & (F.col("_bin") == F.col("_line_bin")) & inside)
-    return found.drop("_bin", "_line_of", "_line_bin")
-
 
 def positions(edited: DataFrame, keep: list[str]) -> DataFrame:
     """Row number, ``keep``, n, row, col16, length, type of editor tokens (five numbers each in ``data``): deltas undone.

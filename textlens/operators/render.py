@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexer as L
 from ..functions import text as T
 from ..functions import vocabulary as V
 from . import annotate
@@ -35,6 +37,17 @@ def roles_of_axes(tokens: DataFrame) -> DataFrame:
     return tokens.drop("role").join(F.broadcast(rules), same, "left").drop("_kind", "_class", "_open")
 
 
+def shown(t: L.Texts) -> np.ndarray:
+    """Tokens that may have a role which editors style: numbers, quotes, capitals of names and words of the two lexicons. No other leaves the lexer."""
+    words = [w for w, _ in [*V.CLOSED_ROWS, *V.OPEN_ROWS]]
+    return (t.kind == L.NUMBER) | (t.kind == L.QUOTED) | t.guarded | t.among(words, straight=True)
+
+
+def shown_or_muted(t: L.Texts) -> np.ndarray:
+    """``shown`` and marks."""
+    return shown(t) | (t.kind == L.PUNCT) | (t.kind == L.STOP)
+
+
 def role_counts(tokens: DataFrame) -> DataFrame:
     return with_roles(tokens.groupBy("role").agg(F.count(F.lit(1)).alias("n"))).select("role", "n", "ansi", "token_type", "highlight")
 
@@ -74,13 +87,13 @@ def ansi(docs: DataFrame, color: bool = True, key: str = "doc_id") -> DataFrame:
     if not color:
         return docs.select(key, F.col("text").alias("colored"))
     docs = numbered(docs)
-    styled = with_roles(with_rows(docs, [], ["start", "end", "role"])).where("ansi IS NOT NULL")
+    styled = with_roles(with_rows(docs, [], ["start", "end", "role"], only=shown_or_muted)).where("ansi IS NOT NULL")
     spans = grouped(styled, ["start", "end", "ansi"], "spans")
     raw = docs.select(ROW, key, F.encode("text", "UTF-8").alias("_raw"), F.encode(analysed(docs), "UTF-8").alias("_seen"))
     found = _of_documents(raw, spans, [key, "_raw", "_seen"], "spans", "array<struct<start:int,end:int,ansi:string>>")
     cut = lambda bytes_, a, b: F.substring(bytes_, a + 1, b - a)
-    own = F.filter("spans", lambda s: cut(F.col("_raw"), s["start"], s["end"]) == cut(F.col("_seen"), s["start"], s["end"]))
-    plain = lambda a, b: F.decode(cut(F.col("_raw"), a, b), "UTF-8")
+    own = F.filter("spans", lambda s: cut(F.col("_raw"), s["start"], s["end"]) == cut(F.col("_seen"), s["start"], s["end"])) if "prose" in docs.columns else F.col("spans")
+    plain = lambda a, b: cut(F.col("_raw"), a, b).cast("string")
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("_own", i - 1)["end"]).otherwise(0)
@@ -137,14 +150,14 @@ EDITED = [r for r, _, t, _ in V.ROLES if t]
 def span_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, report: the spans that editors style, one text a document."""
     docs = numbered(docs)
-    spans = grouped(with_rows(docs, [], ["start", "end", "lexeme", "role"]).where(F.col("role").isin(EDITED)), ["start", "end", "lexeme", "role"], "spans")
+    spans = grouped(with_rows(docs, [], ["start", "end", "lexeme", "role"], only=shown).where(F.col("role").isin(EDITED)), ["start", "end", "lexeme", "role"], "spans")
     found = _of_documents(docs, spans, [key], "spans", "array<struct<start:int,end:int,lexeme:string,role:string>>")
     return found.select(key, report_of(F.col("spans")).alias("report"))
 
 
 def highlight_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, class, row, col and end_col (scalars); unstyled tokens dropped."""
-    out = with_roles(annotate.tokens(docs, ["pos", "role", "row", "col", "end_col"], key=key)).where("highlight IS NOT NULL")
+    out = with_roles(with_rows(docs, [key], ["pos", "role", "row", "col", "end_col"], only=shown)).where("highlight IS NOT NULL")
     return out.select(key, "pos", F.col("highlight").alias("class"), "row", "col", "end_col")
 
 
@@ -152,7 +165,7 @@ def highlight_bundles(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, bundle: one JSON text a document with its class spans, pretty-printed."""
     docs = numbered(docs)
     columns = ["start", "highlight", "row", "col", "end_col"]
-    rows = with_roles(with_rows(docs, [], ["start", "role", "row", "col", "end_col"])).where("highlight IS NOT NULL")
+    rows = with_roles(with_rows(docs, [], ["start", "role", "row", "col", "end_col"], only=shown)).where("highlight IS NOT NULL")
     found = _of_documents(docs, grouped(rows, columns, "spans"), [key], "spans", "array<struct<start:int,highlight:string,row:int,col:int,end_col:int>>")
     point = lambda row, column: F.format_string('{\n            "row": %d,\n            "column": %d\n          }', row, column)
     span = lambda s: F.concat(
@@ -164,7 +177,7 @@ def highlight_bundles(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def _deltas(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Row number, ``keep``, pos, delta_line, delta_start, length, type, modifiers of the tokens that editors style."""
-    rows = with_roles(with_rows(docs, keep, ["pos", "role", "row", "col16", "len16"])).where("token_type IS NOT NULL")
+    rows = with_roles(with_rows(docs, keep, ["pos", "role", "row", "col16", "len16"], only=shown)).where("token_type IS NOT NULL")
     last = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy(ROW).orderBy("pos")), F.lit(0))
     rows = rows.select("*", last("row").alias("_row_before"), last("col16").alias("_col_before"))
     line = F.col("row") - F.col("_row_before")
