@@ -389,10 +389,10 @@ def utf8_gate(spark, sf_dir):
 
 
 def sql_tokens(spark, sf_dir):
-    """The lexer as a lateral table function in SQL, over all documents."""
+    """The lexer as a lateral function in SQL, over all documents."""
     sql_functions.register(spark)
     _docs(spark, sf_dir, False).createOrReplaceTempView("textlens_documents")
-    return spark.sql("SELECT d.doc_id, t.pos, t.lexeme, t.kind, t.start, t.`end` FROM textlens_documents d, LATERAL tokenize_prose(d.text) t")
+    return spark.sql("SELECT d.doc_id, t.pos, t.lexeme, t.kind, t.start, t.`end` FROM textlens_documents d, LATERAL inline(prose_tokens(d.text)) t")
 
 
 def external_alerts(spark, sf_dir):
