@@ -87,17 +87,18 @@ def ansi(docs: DataFrame, color: bool = True, key: str = "doc_id") -> DataFrame:
     if not color:
         return docs.select(key, F.col("text").alias("colored"))
     docs = numbered(docs)
-    styled = with_roles(with_rows(docs, [], ["start", "end", "role"], only=shown_or_muted)).where("ansi IS NOT NULL")
-    spans = grouped(styled, ["start", "end", "ansi"], "spans")
+    styled = with_roles(with_rows(docs, [], ["start", "end", "lexeme", "role"], only=shown_or_muted)).where("ansi IS NOT NULL")
+    # a token is styled where it is a row, in compiled code; what is left for the whole document are the gaps
+    styled = styled.withColumn("styled", F.concat(F.lit("\x1b["), "ansi", F.lit("m"), "lexeme", F.lit("\x1b[0m")))
+    spans = grouped(styled, ["start", "end", "styled"], "spans")
     raw = docs.select(ROW, key, F.encode("text", "UTF-8").alias("_raw"), F.encode(analysed(docs), "UTF-8").alias("_seen"))
-    found = _of_documents(raw, spans, [key, "_raw", "_seen"], "spans", "array<struct<start:int,end:int,ansi:string>>")
+    found = _of_documents(raw, spans, [key, "_raw", "_seen"], "spans", "array<struct<start:int,end:int,styled:string>>")
     cut = lambda bytes_, a, b: F.substring(bytes_, a + 1, b - a)
     own = F.filter("spans", lambda s: cut(F.col("_raw"), s["start"], s["end"]) == cut(F.col("_seen"), s["start"], s["end"])) if "prose" in docs.columns else F.col("spans")
     plain = lambda a, b: cut(F.col("_raw"), a, b).cast("string")
 
     def piece(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get("_own", i - 1)["end"]).otherwise(0)
-        return F.concat(plain(before, s["start"]), F.lit("\x1b["), s["ansi"], F.lit("m"), plain(s["start"], s["end"]), F.lit("\x1b[0m"))
+        return F.concat(plain(F.when(i > 0, F.get("_own", i - 1)["end"]).otherwise(0), s["start"]), s["styled"])
 
     rest = plain(F.coalesce(F.try_element_at("_own", F.lit(-1))["end"], F.lit(0)), F.octet_length("_raw"))
     return found.withColumn("_own", own).select(key, F.concat(F.array_join(F.transform("_own", piece), ""), rest).alias("colored"))
@@ -126,21 +127,22 @@ def code(text: Column) -> Column:
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
     fence = F.repeat(F.lit("`"), longest + 1)
     pad = F.when(text.startswith("`") | text.endswith("`"), " ").otherwise("")
-    return F.replace(F.concat(fence, pad, text, pad, fence), F.lit("|"), F.lit("\\|"))
+    return F.replace(F.when(text.contains("`"), F.concat(fence, pad, text, pad, fence)).otherwise(F.concat(F.lit("`"), text, F.lit("`"))), F.lit("|"), F.lit("\\|"))
 
 
 # Fixed value: the head of a span report.
 REPORT_HEAD = "# Highlight spans\n\n| UTF-8 bytes | Text | Role |\n| --- | --- | --- |\n"
 
 
-def report_of(spans: Column) -> Column:
-    """The Markdown table of spans (start, end, lexeme, role), in their order."""
+def report_line(x: Callable[[str], Column]) -> Column:
+    """The line of a span report; ``x`` gives a span's start, end, lexeme and role."""
+    place = F.concat(x("start").cast("string"), F.lit(".."), x("end").cast("string"))
+    return F.concat(F.lit("| `"), place, F.lit("` | "), code(x("lexeme")), F.lit(" | `"), x("role"), F.lit("` |\n"))
 
-    def line(x: Column) -> Column:
-        place = F.concat(x["start"].cast("string"), F.lit(".."), x["end"].cast("string"))
-        return F.concat(F.lit("| "), code(place), F.lit(" | "), code(x["lexeme"]), F.lit(" | "), code(x["role"]), F.lit(" |\n"))
 
-    return F.concat(F.lit(REPORT_HEAD), F.array_join(F.transform(spans, line), ""))
+def report_of(spans: Column) -> Column:
+    """The Markdown table of spans (start, end, lexeme, role), in their order."""
+    return F.concat(F.lit(REPORT_HEAD), F.array_join(F.transform(spans, lambda x: report_line(lambda c: x[c])), ""))
 
 
 #: Roles that editors style.
@@ -150,9 +152,10 @@ EDITED = [r for r, _, t, _ in V.ROLES if t]
 def span_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, report: the spans that editors style, one text a document."""
     docs = numbered(docs)
-    spans = grouped(with_rows(docs, [], ["start", "end", "lexeme", "role"], only=shown).where(F.col("role").isin(EDITED)), ["start", "end", "lexeme", "role"], "spans")
-    found = _of_documents(docs, spans, [key], "spans", "array<struct<start:int,end:int,lexeme:string,role:string>>")
-    return found.select(key, report_of(F.col("spans")).alias("report"))
+    # lines are written where tokens are rows, in compiled code
+    rows = with_rows(docs, [], ["start", "end", "lexeme", "role"], only=shown).where(F.col("role").isin(EDITED)).withColumn("line", report_line(F.col))
+    found = _of_documents(docs, grouped(rows, ["start", "line"], "spans"), [key], "spans", "array<struct<start:int,line:string>>")
+    return found.select(key, F.concat(F.lit(REPORT_HEAD), F.array_join("spans.line", "")).alias("report"))
 
 
 def highlight_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
