@@ -12,7 +12,7 @@ from textlens.functions import vocabulary as V
 from textlens.operators import annotate, consumers, contract, external, interchange, render, structure, validate
 from textlens.operators.contract import Contract
 from textlens.plans import queries as plans
-from textlens.sources import cases
+from textlens.sources import cases, documents
 
 TEXT = "Paris – é is big. We saw Rome.\n\nThe 2 cats sat."
 
@@ -230,3 +230,29 @@ def test_line_breaks_are_counted_by_the_lexer():
 def test_outline_damage_cuts_texts_once(spark):
     plan = plans.outline_damage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_whole_documents_are_not_exchanged(spark):
+    texts = [t for _, _, t in documents.FIXTURES] + ["Lead, book fast.\n\nTo record book lead. The’re fast “dogs” 5x book", "", None, "fast", "Take the lead\r\n\r\nbook"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = annotate.whole(docs, ["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    columns = ["pos", "start", "end", "function_axis", "lexical_class", "open_axis", "token_kind"]
+    for contextual in (True, False):
+        rows = annotate.whole(docs, ["doc_id"], contextual).select("doc_id", F.inline("tokens")).select("doc_id", "occurrenceId", "byteRange.startUtf8", "byteRange.endUtf8", "functionKind", "lexicalClass", "openClassKind", "tokenKind")
+        assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, map(tuple, annotate.tokens(docs, columns, contextual).collect())))
+    sents = found.select("doc_id", F.inline("sentences")).select("doc_id", "start", "end").collect()
+    assert sorted(map(tuple, sents)) == sorted(map(tuple, annotate.sentences(docs).select("doc_id", "start", "end").collect()))
+
+
+def test_only_suspects_are_spelled_out():
+    texts = pa.array([b"a\xc3\xa9 b", None, b"", b"xyz"])
+    starts, ends = pa.array([[0, 2, 4], [0, None], [], [1, 0, 2]], pa.list_(pa.int32())), pa.array([[1, 3, 5], [9, 5], [], [1, 2, 4]], pa.list_(pa.int32()))
+    found = validate._suspected(texts, pa.array([5, None, 0, 3], pa.int32()), starts, ends, True).to_pylist()
+    assert [[(x["i"], x["s_splits"], x["e_splits"]) for x in own] for own in found] == [[(1, True, False)], [(1, False, False)], [], [(0, False, False), (1, False, False), (2, False, False)]]
+    lists = lambda *x: pa.array(x, pa.list_(pa.int32()))
+    kids = pa.array([[[1], []], [[1], [0]], [[1, 1], []], [[5], []], [[1], []], [[1], []]], pa.list_(pa.list_(pa.int32())))
+    n = len(kids)
+    sound = validate._sound(lists(*[[0, 1]] * (n - 1), [0, 0]), kids, lists(*[[0, 0]] * n), lists(*[[9, 5]] * 4, [5, 9], [9, 9]))
+    assert sound.tolist() == [True, False, False, False, False, False]

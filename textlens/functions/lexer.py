@@ -21,6 +21,12 @@ from . import vocabulary as V
 LETTER, NUMERAL, JOINER, SEPARATOR, END, SPACE, QUOTE, CLOSER, ALPHABETIC, UPPERCASE = (1 << i for i in range(10))
 KINDS = ["word", "number", "end", "space", "quote", "punct"]
 WORD, NUMBER, STOP, BLANK, QUOTED, PUNCT = range(6)
+#: Classes before neighbours are looked at, with their lexical class and token kind in the interchange format.
+CLASSES = [
+    ("Number", None, "NUMBER"), ("Quote", None, "QUOTE"), ("Punctuation", None, "PUNCTUATION"), ("Function", "FUNCTION", "WORD"),
+    ("ProperNoun", "PROPER_NOUN_CANDIDATE", "WORD"), ("Open", "CONTENT", "WORD"), ("Content", "CONTENT", "WORD"),
+]
+NAME, OPEN, CONTENT = 4, 5, 6
 
 
 @cache
@@ -69,6 +75,17 @@ def _among(found: pa.Array, words: list[str], straight: bool) -> np.ndarray:
     return pc.is_in(found, pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
 
 
+def _place(found: pa.Array, words: list[str]) -> np.ndarray:
+    """The place of each word in ``words``, its ASCII letters in lower case and curly apostrophes straight; -1 for others."""
+    found = pc.replace_substring(pc.ascii_lower(found), "\u2019", "'")
+    return pc.fill_null(pc.index_in(found, value_set=pa.array(words, pa.string())), -1).to_numpy(zero_copy_only=False)
+
+
+def listed(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """``values`` in lists of so many."""
+    return pa.ListArray.from_arrays(pa.array(_sums(counts)), values)
+
+
 class Texts:
     """A column of texts as code points, with the tokens found in it.
 
@@ -315,3 +332,64 @@ class Texts:
         np.add.at(depth, at[found], 1)
         np.add.at(depth, at[np.minimum(found + reach, len(at) - 1)] + 1, -1)
         return np.cumsum(depth[:-1]) > 0
+
+    @cached_property
+    def closed(self) -> np.ndarray:
+        """The place of each word in CLOSED_ROWS, -1 for others."""
+        return np.where(self.kind == WORD, _place(self._lexemes, [w for w, _ in V.CLOSED_ROWS]), -1)
+
+    @cached_property
+    def seed(self) -> np.ndarray:
+        """The place of each open-class seed in OPEN_ROWS, -1 for others and for names."""
+        return np.where((self.kind == WORD) & ~self.guarded, _place(self._lexemes, [w for w, _ in V.OPEN_ROWS]), -1)
+
+    @cached_property
+    def base(self) -> np.ndarray:
+        """The class of each token before neighbours are looked at, as its place in CLASSES."""
+        kind = self.kind
+        return np.select([kind == NUMBER, kind == QUOTED, kind != WORD, self.closed >= 0, self.guarded, self.seed >= 0], range(6), 6).astype(np.int32)
+
+    def _named(self, at: np.ndarray, names: list) -> pa.Array:
+        return pa.array(names, pa.string()).take(pa.array(at, pa.int32(), mask=at < 0))
+
+    def _each_text(self, tokens: np.ndarray | None = None) -> np.ndarray:
+        """How many tokens (of ``tokens``) each text has."""
+        return np.bincount(self.doc if tokens is None else self.doc[tokens], minlength=len(self.bounds) - 1)
+
+    def token_lists(self) -> pa.ListArray:
+        """Each text's tokens with their axes, as the interchange format has them."""
+        names = ["byteRange", "functionKind", "lexicalClass", "occurrenceId", "openClassKind", "tokenKind"]
+        span = pa.StructArray.from_arrays([pa.array(self.end), pa.array(self.start)], ["endUtf8", "startUtf8"])
+        closed, seed = (self._named(at, [k.upper() for _, k in rows]) for at, rows in ((self.closed, V.CLOSED_ROWS), (np.where(self.base == OPEN, self.seed, -1), V.OPEN_ROWS)))
+        lexical, kind = (self._named(self.base, [c[i] for c in CLASSES]) for i in (1, 2))
+        return listed(self._each_text(), pa.StructArray.from_arrays([span, closed, lexical, pa.array(self.pos), seed, kind], names))
+
+    def sentence_lists(self) -> pa.ListArray:
+        """Each text's sentences: start, end, and the line breaks before them."""
+        head = np.flatnonzero(self.starts | (self.pos == 0))
+        last = np.append(head[1:], len(self.pos))[: len(head)] - 1
+        return listed(self._each_text(head), pa.StructArray.from_arrays([pa.array(self.start[head]), pa.array(self.end[last]), pa.array(self.breaks()[head])], ["start", "end", "breaks"]))
+
+    def _undecided(self) -> np.ndarray:
+        return (self.base == CONTENT) & self.among(V.AMBIGUOUS)
+
+    def undecided_lists(self) -> pa.ListArray:
+        """The number of each token among the ambiguous content words of its text, from 1; 0 for all others."""
+        mine = self._undecided()
+        so_far = _sums(mine)
+        return listed(self._each_text(), pa.array(np.where(mine, so_far[1:] - so_far[self._each - self.pos], 0).astype(np.int32)))
+
+    def island_lists(self) -> pa.ListArray:
+        """Each text's runs of ambiguous content words: the word, whether a noun may follow, and the token before."""
+        mine = self._undecided()
+        at = np.flatnonzero(mine)
+        head = at[(self.pos[at] == 0) | ~_before(mine, False)[at]]
+        noun = np.array([k == "Noun" for _, k in V.OPEN_ROWS])
+        nounish = (self.base == CONTENT) | (self.base == NAME) | ((self.base == OPEN) & noun[self.seed])
+        follows = _after(nounish) & ~_after(self.pos == 0)
+        before = np.where(self.pos[at] > 0, at - 1, -1)
+        of = lambda x: np.where(before < 0, -1, x[before]) if len(x) else before
+        behind = [self._named(of(self.base), [c[0] for c in CLASSES]), self._named(of(self.seed), [k for _, k in V.OPEN_ROWS]), self._named(of(self.closed), [k for _, k in V.CLOSED_ROWS]), self._lexemes.take(pa.array(before, pa.int64(), mask=before < 0))]
+        words = pa.StructArray.from_arrays([pc.ascii_lower(self._lexemes.take(pa.array(at))), pa.array(follows[at]), *behind], ["word", "noun_after", "pos_class", "open_kind", "function_kind", "lexeme"])
+        sizes = np.diff(np.append(np.searchsorted(at, head), len(at)))
+        return listed(self._each_text(head), listed(sizes, words))

@@ -171,10 +171,10 @@ def classified(docs: DataFrame, keep: list[str], columns: list[str], only: Only
     return tokens.select(ROW, *keep, *own, "function_kind", F.when(~F.col("guarded"), F.col("open_kind")).alias("open_kind"), base.alias("pos_class"))
 
 
-def _hint() -> Column:
-    """What a token is evidence for: N (nominal), S (subject), V (verb) or nothing."""
-    kind, open_kind, lexeme = F.col("pos_class"), F.col("open_kind"), F.col("lexeme")
-    function = F.when(T.ascii_lower(lexeme) == "to", "S").when(F.col("function_kind").isin("Article", "Determiner", "Preposition"), "N").when(F.col("function_kind").isin("Pronoun", "Auxiliary"), "S").otherwise("")
+def _hint(x: Callable[[str], Column] = F.col) -> Column:
+    """What a token is evidence for: N (nominal), S (subject), V (verb) or nothing; ``x`` gives its columns."""
+    kind, open_kind, lexeme = x("pos_class"), x("open_kind"), x("lexeme")
+    function = F.when(T.ascii_lower(lexeme) == "to", "S").when(x("function_kind").isin("Article", "Determiner", "Preposition"), "N").when(x("function_kind").isin("Pronoun", "Auxiliary"), "S").otherwise("")
     opened = F.when(open_kind == "Noun", "S").when(open_kind == "Verb", "V").when(open_kind == "Adjective", "N").otherwise("")
     plural = F.when(lexeme.rlike("[^sS][sS]$"), "S").otherwise("")
     return F.when(kind == "Function", function).when(kind == "Open", opened).when(kind == "Content", plural).when(kind == "ProperNoun", "S").otherwise("")
@@ -188,6 +188,22 @@ def _sense(word: Column, hint: Column, nounish_after: Column) -> Column:
     return F.when(word.isin("book", "record"), named).when(word == "lead", lead).otherwise(fast)
 
 
+def _folded(words: Column, hint: Column, of: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """The senses of an island's words, a letter each, from left to right; ``hint`` is of the token before, ``of`` gives a word and whether a noun may follow."""
+
+    def step(state: Column, x: Column) -> Column:
+        word, noun_after = of(x)
+        sense = _sense(word, state["hint"], noun_after)
+        after = F.when(sense == "V", "V").when(sense == "N", "S").when(sense == "J", "N").otherwise("")
+        return F.struct(after.alias("hint"), F.concat(state["senses"], sense).alias("senses"))
+
+    return F.aggregate(words, F.struct(hint.alias("hint"), F.lit("").alias("senses")), step)["senses"]
+
+
+def _open_kind(sense: Column) -> Column:
+    return F.when(sense == "V", "Verb").when(sense == "N", "Noun").when(sense == "J", "Adjective").when(sense == "R", "Adverb")
+
+
 def beside_ambiguous(t: L.Texts) -> np.ndarray:
     """Ambiguous words and the tokens beside them."""
     return t.beside(t.among(V.AMBIGUOUS))
@@ -219,15 +235,10 @@ def refined(docs: DataFrame, keep: list[str], columns: list[str], wanted: list[s
     packed = F.struct(F.col("start").alias("_at"), word.alias("_word"), "_noun_after", "_hint_before", *own)
     islands = tokens.where("_ambiguous").groupBy(ROW, "_island").agg(F.sort_array(F.collect_list(packed)).alias("_words"))
 
-    def step(state: Column, x: Column) -> Column:
-        sense = _sense(x["_word"], state["hint"], x["_noun_after"])
-        after = F.when(sense == "V", "V").when(sense == "N", "S").when(sense == "J", "N").otherwise("")
-        return F.struct(after.alias("hint"), F.concat(state["senses"], sense).alias("senses"))
-
-    start = F.struct(F.col("_words")[0]["_hint_before"].alias("hint"), F.lit("").alias("senses"))
-    folded = islands.withColumn("_senses", F.encode(F.aggregate("_words", start, step)["senses"], "UTF-8"))
+    senses = _folded(F.col("_words"), F.col("_words")[0]["_hint_before"], lambda x: (x["_word"], x["_noun_after"]))
+    folded = islands.withColumn("_senses", F.encode(senses, "UTF-8"))
     out = folded.select(ROW, F.posexplode("_words").alias("_k", "_x"), "_senses").select(ROW, *[F.col("_x")[c].alias(c) for c in own], F.decode(F.substring("_senses", F.col("_k") + 1, F.lit(1)), "UTF-8").alias("_sense"))
-    found = F.when(F.col("_sense") == "V", "Verb").when(F.col("_sense") == "N", "Noun").when(F.col("_sense") == "J", "Adjective").when(F.col("_sense") == "R", "Adverb")
+    found = _open_kind(F.col("_sense"))
     out = out.withColumns({"open_kind": found, "pos_class": F.when(found.isNotNull(), "Open").otherwise(F.col("pos_class"))}).drop("_sense")
     return plain.unionByName(out)
 
@@ -310,6 +321,53 @@ def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.join(rows, ROW, "left").select(*keep, *[F.coalesce(c, n).alias(c) for c, n in none.items()])
 
 
+#: A token of a whole document, as the interchange format has it.
+AXES = "struct<byteRange:struct<endUtf8:int,startUtf8:int>,functionKind:string,lexicalClass:string,occurrenceId:int,openClassKind:string,tokenKind:string>"
+_SENTENCE = "struct<start:int,end:int,breaks:int>"
+_ISLAND = "array<struct<word:string,noun_after:boolean,pos_class:string,open_kind:string,function_kind:string,lexeme:string>>"
+
+
+def _in_lists(docs: DataFrame, keep: list[str], lists: dict[str, tuple[str, Callable[[L.Texts], pa.Array]]]) -> DataFrame:
+    """``keep`` and ``lists`` (type of their items, and how they are read off), a row for each document."""
+    source = docs.select(*keep, analysed(docs).alias("_text"))
+    kinds = dict(source.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keep))
+            for lo, hi in slices(texts, SIZE):
+                t = L.Texts(texts.slice(lo, hi - lo))
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *[read(t) for _, read in lists.values()]], [*keep, *lists])
+
+    return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{c}` array<{kind}>" for c, (kind, _) in lists.items()]]))
+
+
+def whole(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
+    """``keep``, tokens (of type AXES) and sentences (start, end, breaks) as arrays, a row for each document, without an exchange.
+
+    A batch of texts is cut at once, so its tokens already stand by document and in order:
+    they leave the lexer as one list a document, and no row of a token is made. Texts
+    that hold an ambiguous word are a second pass, which gives the words' islands as well;
+    these are folded in the document's own row.
+    """
+    lists = {"tokens": (AXES, L.Texts.token_lists), "sentences": (_SENTENCE, L.Texts.sentence_lists)}
+    if not contextual:
+        return _in_lists(docs, keep, lists)
+    asked = F.coalesce(analysed(docs).rlike(rf"(?i)(?<![a-z])(?:{'|'.join(V.AMBIGUOUS)})(?![a-z])"), F.lit(False))
+    islands = {"_nth": ("int", L.Texts.undecided_lists), "_islands": (_ISLAND, L.Texts.island_lists)}
+    found = _in_lists(docs.where(asked), keep, lists | islands)
+    senses = F.transform("_islands", lambda w: _folded(w, _hint(lambda c: F.get(w, F.lit(0))[c]), lambda x: (x["word"], x["noun_after"])))
+    found = found.withColumn("_senses", F.encode(F.array_join(senses, ""), "UTF-8"))
+
+    def decided(t: Column, i: Column) -> Column:
+        nth = F.get("_nth", i)
+        return F.when(nth > 0, t.withField("openClassKind", F.upper(_open_kind(F.decode(F.substring("_senses", nth, F.lit(1)), "UTF-8"))))).otherwise(t)
+
+    tokens = F.when(F.octet_length("_senses") > 0, F.transform("tokens", decided)).otherwise(F.col("tokens"))
+    return _in_lists(docs.where(~asked), keep, lists).unionByName(found.select(*keep, tokens.alias("tokens"), "sentences"))
+
+
 def word_count() -> dict[str, int]:
     """Sizes of the two lexicons."""
     return {"closed": len(V.CLOSED_ROWS), "open": len(V.OPEN_ROWS)}

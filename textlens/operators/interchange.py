@@ -7,14 +7,14 @@ document is collected, and texts are not part of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import annotate, render, validate
 from .contract import Contract
 
 RANGE = "struct<endUtf8:int,startUtf8:int>"
-TOKEN = f"struct<byteRange:{RANGE},functionKind:string,lexicalClass:string,occurrenceId:int,openClassKind:string,tokenKind:string>"
+TOKEN = annotate.AXES
 NODE = f"struct<byteRange:{RANGE},childNodeIds:array<int>,depth:int,kind:string,nodeId:int>"
 DIAGNOSTIC = f"struct<byteRange:{RANGE},code:string,message:string,severity:string>"
 STEP = f"struct<compilerBuildHash:string,passId:string,ruleId:string,sourceRanges:array<{RANGE}>>"
@@ -32,26 +32,14 @@ def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
     if fault:
         raise ValueError(": ".join(fault))
 
-    def span(x: Column) -> Column:
-        return F.struct(x["end"].alias("endUtf8"), x["start"].alias("startUtf8"))
-
-    def token(t: Column) -> Column:
-        return F.struct(
-            span(t).alias("byteRange"), t["function_axis"].alias("functionKind"), t["lexical_class"].alias("lexicalClass"),
-            t["pos"].alias("occurrenceId"), t["open_axis"].alias("openClassKind"), t["token_kind"].alias("tokenKind"),
-        )
-
-    def node(n: Column) -> Column:
-        return F.struct(span(n).alias("byteRange"), n["children"].alias("childNodeIds"), n["depth"].alias("depth"), n["kind"].alias("kind"), n["node_id"].alias("nodeId"))
-
-    rows = render.with_outline(annotate.numbered(docs), ["doc_id", "name", "text"], contract.contextual)
+    rows = render.with_outline(docs, ["doc_id", "name", "text"], contract.contextual)
     rows = rows.withColumn("bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("n", F.octet_length("bytes"))
     whole = F.array(F.struct(F.col("n").alias("endUtf8"), F.lit(0).alias("startUtf8")))
     steps = [F.struct(F.lit(contract.build).alias("compilerBuildHash"), F.lit(p).alias("passId"), F.lit(r).alias("ruleId"), whole.alias("sourceRanges")) for p, r in contract.passes]
     analysis = F.struct(
         F.lit(contract.version).alias("contractVersion"), F.array(*steps).alias("derivation"), F.array().cast(f"array<{DIAGNOSTIC}>").alias("diagnostics"),
         F.lit(contract.schema_hash).alias("schemaHash"), F.struct(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("contentHash"), F.col("name").alias("unitId"), F.col("n").alias("utf8ByteLength")).alias("source"),
-        F.transform("outline", node).alias("structure"), F.transform("tokens", token).alias("tokens"), F.lit(contract.vocabulary_hash).alias("vocabularyHash"),
+        F.col("outline").alias("structure"), "tokens", F.lit(contract.vocabulary_hash).alias("vocabularyHash"),
     )
     return rows.select("doc_id", "bytes", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
 

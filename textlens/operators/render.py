@@ -262,32 +262,26 @@ def outline_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
-    """``keep``, tokens and outline as arrays, a row for each document.
+    """``keep``, tokens and outline as the interchange format has them, a row for each document, without an exchange.
 
-    Texts are cut once: tokens are grouped by sentence and sentences by document, and the
-    outline is read off a document's sentences, whose number is a twelfth of its tokens'.
+    Texts are cut once; the outline is read off a document's sentences, whose number is a
+    twelfth of its tokens'.
     """
-    docs = numbered(docs)
-    columns = ["pos", "start", "end", "token_kind", "lexical_class", "function_axis", "open_axis"]
-    rows = with_rows(docs, [], [*columns, "sent_id", "breaks"], contextual)
-    sents = rows.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("breaks", "pos").alias("breaks"), F.sort_array(F.collect_list(F.struct(*columns))).alias("own"))
-    sents = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "breaks", "own"))).alias("_s"))
-    sents = sents.select(ROW, F.flatten("_s.own").alias("tokens"), F.transform("_s", lambda s: s.dropFields("own")).alias("_s"))
+    sents = annotate.whole(docs, keep, contextual).withColumnRenamed("sentences", "_s")
     # places of the sentences that begin a paragraph
     heads = F.filter(F.transform("_s", lambda s, i: F.when((i == 0) | (s["breaks"] >= 2), i)), lambda i: i.isNotNull())
     sents = sents.withColumn("_heads", heads).withColumn("_pars", F.size("_heads"))
 
     def node(node_id: Column, kind: str, depth: int, start: Column, end: Column, children: Column) -> Column:
-        return F.struct(node_id.cast("int").alias("node_id"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), start.alias("start"), end.alias("end"), children.cast("array<int>").alias("children"))
+        span = F.struct(end.alias("endUtf8"), start.alias("startUtf8"))
+        return F.struct(span.alias("byteRange"), children.cast("array<int>").alias("childNodeIds"), F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), node_id.cast("int").alias("nodeId"))
 
     def paragraph(first: Column, p: Column) -> Column:
         last = F.coalesce(F.get("_heads", p + 1), F.size("_s")) - 1
         return node(p, "PARAGRAPH", 0, F.get("_s", first)["start"], F.get("_s", last)["end"], F.sequence(first + F.col("_pars"), last + F.col("_pars")))
 
     sentence = lambda s, i: node(i + F.col("_pars"), "SENTENCE", 1, s["start"], s["end"], F.array())
-    sents = sents.select(F.col(ROW).alias("_of"), "tokens", F.concat(F.transform("_heads", paragraph), F.transform("_s", sentence)).alias("outline"))
-    none = {c: F.array().cast(sents.schema[c].dataType) for c in ("tokens", "outline")}
-    return docs.join(sents, F.col(ROW) == F.col("_of"), "left").select(*keep, *[F.coalesce(c, n).alias(c) for c, n in none.items()])
+    return sents.select(*keep, "tokens", F.concat(F.transform("_heads", paragraph), F.transform("_s", sentence)).alias("outline"))
 
 
 def content_hashes(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
 """Checks of interchange documents and of classifications that others made.
 
 The rules of an interchange document are projections over its own arrays and need no
-exchange. Three read them as Arrow batches in Python, each once and in linear time:
-whether an offset splits a character, repeated ids, and the edges of the outline.
+exchange. Three read them as Arrow batches, each once and in linear time: byte ranges,
+repeated ids, and the edges of the outline. A batch is looked through as a whole, and only
+what may be broken is spelled out as errors, by expressions over these few items.
 """
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
@@ -35,21 +40,97 @@ def _splits(source: pd.Series, offsets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _again(values: pd.Series) -> pd.Series:
-    """Places of the values that occurred before in their list."""
-    out = []
-    for own in values:
-        seen: set = set()
-        out.append([i for i, v in enumerate(own) if v in seen or seen.add(v)])
-    return pd.Series(out)
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many items each list has (null: none), and all of them with nulls as 0."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
 
 
-@F.pandas_udf(ArrayType(StructType().add("i", "integer").add("j", "integer").add("code", "string").add("detail", "string")))
-def _edges(ids: pd.Series, children: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """Broken edges (node, place, code) of each outline; an id means its first node."""
-    out = []
-    for own, kids, s, e in zip(ids, children, starts, ends, strict=True):
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+#: A range that may break a rule: its place, and whether an end of it splits a character.
+_SUSPECT = StructType().add("i", "integer").add("s_splits", "boolean").add("e_splits", "boolean")
+
+
+def _suspected(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Array, in_order: bool) -> pa.Array:
+    """Of each list, the ranges that break a rule of ranges or, with ``in_order``, one of empty or unordered tokens; few beside them."""
+    sizes, s = _flat(starts)
+    e = _flat(ends)[1]
+    raw = pc.fill_null(source, b"").cast(pa.large_binary())
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    most = pc.fill_null(length, 2**31 - 1).to_numpy(zero_copy_only=False)
+    doc, first = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), _starts(sizes)
+
+    def splits(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        inside = np.flatnonzero((x > 0) & (x < np.diff(at)[doc]))
+        out[inside] = (data[at[doc[inside]] + x[inside]] & 0xC0) == 0x80
+        return out
+
+    s_splits, e_splits = splits(s), splits(e)
+    bad = (s < 0) | (e < 0) | (s > e) | (e > most[doc]) | s_splits | e_splits
+    if in_order:
+        bad |= s == e
+        behind = (s[1:] < s[:-1]) | (s[1:] < e[:-1])
+        bad[1:] |= behind & (doc[1:] == doc[:-1])
+    found = np.flatnonzero(bad)
+    items = pa.StructArray.from_arrays([pa.array((found - first[doc[found]]).astype(np.int32)), pa.array(s_splits[found]), pa.array(e_splits[found])], ["i", "s_splits", "e_splits"])
+    return pa.ListArray.from_arrays(pa.array(_starts(np.bincount(doc[found], minlength=len(sizes))).astype(np.int32)), items)
+
+
+@F.arrow_udf(ArrayType(_SUSPECT))
+def _suspects(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    return _suspected(source, length, starts, ends, False)
+
+
+@F.arrow_udf(ArrayType(_SUSPECT))
+def _token_suspects(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    return _suspected(source, length, starts, ends, True)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _again(values: pa.Array) -> pa.Array:
+    """Places of the values that occurred before in their list; lists of rising numbers have none and are not walked."""
+    sizes, flat = _flat(values) if pa.types.is_integer(values.type.value_type) else (np.ones(len(values)), None)
+    walked = np.ones(len(values), bool)
+    if flat is not None and not values.flatten().null_count:
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        walked = np.bincount(doc[1:][(flat[1:] <= flat[:-1]) & (doc[1:] == doc[:-1])], minlength=len(sizes)) > 0
+    out: list[list[int]] = [[]] * len(values)
+    for n in np.flatnonzero(walked):
+        seen: set = set()
+        out[n] = [i for i, v in enumerate(values[n].as_py() or []) if (flat is None or v is not None) and (v in seen or seen.add(v))]
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _sound(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> np.ndarray:
+    """Outlines whose nodes are numbered by their places, whose edges lead on to later nodes within them, and to each once at most: none of their edges is broken."""
+    sizes, own = _flat(ids)
+    doc, first = np.repeat(np.arange(len(sizes)), sizes), _starts(sizes)
+    place = np.arange(len(own)) - first[doc]
+    bad = [doc[own != place]]
+    kids, child = _flat(children.flatten())
+    node = np.repeat(np.arange(len(kids)), kids)
+    s, e = _flat(starts)[1], _flat(ends)[1]
+    of = doc[node]
+    wrong = (child <= place[node]) | (child >= sizes[of])
+    to = np.where(wrong, 0, first[of] + child)
+    wrong |= (s[to] < s[node]) | (e[to] > e[node]) | (np.bincount(to, minlength=len(own))[to] > 1)
+    return np.bincount(np.concatenate([*bad, of[wrong]]), minlength=len(sizes)) == 0
+
+
+_EDGE = StructType().add("i", "integer").add("j", "integer").add("code", "string").add("detail", "string")
+
+
+@F.arrow_udf(ArrayType(_EDGE))
+def _edges(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Broken edges (node, place, code) of each outline; an id means its first node. Sound outlines are not walked."""
+    out: list[list[dict]] = [[]] * len(ids)
+    number = lambda values: [np.nan if v is None else v for v in values]
+    for n in np.flatnonzero(~_sound(ids, children, starts, ends)):
+        own, kids, s, e = ids[n].as_py(), children[n].as_py(), number(starts[n].as_py()), number(ends[n].as_py())
         at: dict[int, int] = {}
         for i, node in enumerate(own):
             at.setdefault(node, i)
@@ -65,8 +146,8 @@ def _edges(ids: pd.Series, children: pd.Series, starts: pd.Series, ends: pd.Seri
                     "ChildRangeOutsideParent": (c is not None and (s[c] < s[i] or e[c] > e[i]), f"child {child} falls outside parent {node}"),
                 }
                 bad += [{"i": i, "j": j, "code": code, "detail": detail} for code, (broken, detail) in checks.items() if broken]
-        out.append(bad + [{"i": i, "j": j, "code": "StructureCycle", "detail": f"edge {own[i]} -> {kids[i][j]} closes a structure cycle"} for i, j in _closing(kids, at)])
-    return pd.Series(out)
+        out[n] = bad + [{"i": i, "j": j, "code": "StructureCycle", "detail": f"edge {own[i]} -> {kids[i][j]} closes a structure cycle"} for i, j in _closing(kids, at)]
+    return pa.array(out, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("code", pa.string()), ("detail", pa.string())])))
 
 
 def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
@@ -93,6 +174,10 @@ def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
 # not deterministic by name only: so that the optimizer leaves each as a column of its
 # own, and never repeats it inside the lambdas that read it
 _splits, _again, _edges = _splits.asNondeterministic(), _again.asNondeterministic(), _edges.asNondeterministic()
+_suspects, _token_suspects = _suspects.asNondeterministic(), _token_suspects.asNondeterministic()
+
+
+ERRORS = "array<struct<stage:int,i:int,j:int,k:int,code:string,path:string,message:string>>"
 
 
 def _error(stage, i, j, k, code, path: Column, *detail) -> Column:
@@ -106,22 +191,37 @@ def _path(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _each(array: str, check) -> Column:
-    """check(x, i) lists errors (null: none) of each item."""
-    return F.flatten(F.transform(array, lambda x, i: F.array_compact(F.array(*check(x, i)))))
+def _each(array: str | Column, check) -> Column:
+    """check(x, i), or check(x), lists errors (null: none) of each item."""
+    numbered = len(inspect.signature(check).parameters) == 2
+    errors = lambda *x: F.array_compact(F.array(*check(*x)))
+    return F.flatten(F.transform(array, (lambda x, i: errors(x, i)) if numbered else lambda x: errors(x)))
+
+
+def _where(array: str | Column, broken, check) -> Column:
+    """``_each`` for the documents that have an item which is ``broken``; the rules of all others are not spelled out."""
+    return F.when(F.exists(array, broken), _each(array, check)).otherwise(F.array().cast(ERRORS))
+
+
+def _list(array: str) -> Column:
+    return F.col("given.analysis.tokens" if array == "tokens" else array)
+
+
+#: Stage of the byte ranges of each list.
+_STAGES = {"tokens": 3, "structure": 5, "diagnostics": 8}
 
 
 def _ranges() -> Column:
-    """Every byte range of a document: its stage, place and ends."""
+    """The byte ranges of a document that may break a rule (``_suspects``): their stage, place, ends, and whether an end splits a character."""
 
-    def item(stage: int, i: Column, j: Column, r: Column) -> Column:
-        return F.struct(F.lit(stage).alias("stage"), i.cast("int").alias("i"), j.cast("int").alias("j"), r["startUtf8"].alias("s"), r["endUtf8"].alias("e"))
+    def item(stage: int, i: Column, j: Column, r: Column, x: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), i.cast("int").alias("i"), j.cast("int").alias("j"), r["startUtf8"].alias("s"), r["endUtf8"].alias("e"), x["s_splits"].alias("s_splits"), x["e_splits"].alias("e_splits"))
 
     def own(array: str, stage: int) -> Column:
-        return F.transform(array, lambda x, i: item(stage, i, F.lit(-1), x["byteRange"]))
+        return F.transform(f"bad_{array}", lambda x: item(stage, x["i"], F.lit(-1), F.get(_list(array), x["i"])["byteRange"], x))
 
-    nested = F.transform("derivation", lambda x, i: F.transform(x["sourceRanges"], lambda r, j: item(9, i, j, r)))
-    return F.concat(own("tokens", 3), own("structure", 5), own("diagnostics", 8), F.flatten(nested))
+    nested = F.transform("bad_sources", lambda x: item(9, F.get("sources", x["i"])["i"], F.get("sources", x["i"])["j"], F.get("sources", x["i"])["r"], x))
+    return F.concat(*[own(a, n) for a, n in _STAGES.items()], nested)
 
 
 def _range_path(r: Column) -> Column:
@@ -151,7 +251,8 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
     document has no errors (its reader has refused it). No row meets another one, so ids may repeat.
     """
     a = "analysis."
-    lists = [F.coalesce(a + c, F.array()).alias(c) for c in ("tokens", "structure", "diagnostics", "derivation")]
+    # tokens are read where they were given: a second copy of them would be most of what is written
+    lists = [F.coalesce(a + c, F.array()).alias(c) for c in ("structure", "diagnostics", "derivation")]
     docs = found.select(F.struct(*found.columns).alias("given"), a + "contractVersion", a + "schemaHash", a + "vocabularyHash", a + "source", *lists, "bytes")
     given = F.col("bytes").isNotNull()
     utf8 = F.is_valid_utf8(F.col("bytes").cast("string"))
@@ -174,39 +275,51 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
         )
     )
 
-    def layout(t: Column, i: Column) -> list[Column]:
-        r, before, path = t["byteRange"], F.get("tokens", i - 1)["byteRange"], _path("tokens[", i, "].byteRange")
+    def layout(x: Column) -> list[Column]:
+        i, t = x["i"], F.get(_list("tokens"), x["i"])
+        r, before, path = t["byteRange"], F.get(_list("tokens"), i - 1)["byteRange"], _path("tokens[", i, "].byteRange")
         unsorted = r["startUtf8"] < before["startUtf8"]
-        wrong = axes_violation(t)
         start = ("start ", r["startUtf8"])
         return [
             F.when(r["startUtf8"] == r["endUtf8"], _error(3, i, -1, 6, "EmptyTokenRange", path, "token ", t["occurrenceId"], " has an empty range")),
             F.when(unsorted, _error(3, i, -1, 7, "UnsortedTokenRange", _path(path, ".startUtf8"), *start, " precedes tokens[", i - 1, "] start ", before["startUtf8"]))
             .when(r["startUtf8"] < before["endUtf8"], _error(3, i, -1, 7, "OverlappingTokenRange", _path(path, ".startUtf8"), *start, " overlaps tokens[", i - 1, "] ending at ", before["endUtf8"])),
-            F.when(wrong.isNotNull(), _error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"), wrong)),
         ]
 
+    def axes(t: Column, i: Column) -> list[Column]:
+        wrong = axes_violation(t)
+        return [F.when(wrong.isNotNull(), _error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"), wrong))]
+
     due = lambda n: F.when(n["kind"] == "PARAGRAPH", 0).otherwise(1)
-    depth = _each("structure", lambda n, i: [F.when(n["depth"] != due(n), _error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth"), "depth ", n["depth"], ", expected ", due(n), " for this outline kind"))])
+    depth = _where("structure", lambda n: n["depth"] != due(n), lambda n, i: [F.when(n["depth"] != due(n), _error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth"), "depth ", n["depth"], ", expected ", due(n), " for this outline kind"))])
     nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), _error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]"), "empty passId or ruleId"))])
-    docs = docs.withColumn("ranges", _ranges()).withColumn("length", F.when(given, F.octet_length("bytes")).otherwise(declared))
-    split = _splits(F.when(utf8, F.col("bytes")), F.flatten(F.transform("ranges", lambda r: F.array(r["s"], r["e"]))))
+    sources = F.flatten(F.transform("derivation", lambda x, i: F.transform(x["sourceRanges"], lambda r, j: F.struct(i.alias("i"), j.alias("j"), r.alias("r")))))
+    docs = docs.withColumns({"sources": sources, "length": F.when(given, F.octet_length("bytes")).otherwise(declared), "text": F.when(utf8, F.col("bytes"))})
 
     def field(array: str, *way: str) -> Column:
-        return F.col(".".join([array, *way]))
+        found = _list(array)
+        for name in way:
+            found = found[name]
+        return found
+
+    def suspects(array: str, ranges: str) -> Column:
+        return (_token_suspects if array == "tokens" else _suspects)("text", "length", field(array, ranges, "startUtf8"), field(array, ranges, "endUtf8"))
 
     none = F.array().cast("array<int>")
     children = F.transform("structure", lambda n: F.coalesce(n["childNodeIds"], none))
     edges = _edges(field("structure", "nodeId"), children, field("structure", "byteRange", "startUtf8"), field("structure", "byteRange", "endUtf8"))
     ids = {"tokens": "occurrenceId", "structure": "nodeId", "derivation": "passId"}
-    docs = docs.withColumns({"split": split, "edges": edges} | {f"again_{a}": _again(field(a, c)) for a, c in ids.items()})
+    bad = {f"bad_{a}": suspects(a, "byteRange") for a in _STAGES} | {"bad_sources": suspects("sources", "r")}
+    docs = docs.withColumns(bad | {"edges": edges} | {f"again_{a}": _again(field(a, c)) for a, c in ids.items()})
 
     def repeated(array: str, stage: int, k: int, code: str) -> Column:
-        value = lambda i: F.get(F.col(array), i)[ids[array]]
+        value = lambda i: F.get(_list(array), i)[ids[array]]
         shown = (lambda i: ("`", T.escaped(value(i)), "`")) if array == "derivation" else lambda i: (value(i),)
         return F.transform(f"again_{array}", lambda i: _error(stage, i, -1, k, code, _path(array, "[", i, "]"), f"duplicate {ids[array]} ", *shown(i)))
 
-    def bounds(r: Column, n: Column) -> list[Column]:
+    docs = docs.withColumn("ranges", _ranges())
+
+    def bounds(r: Column) -> list[Column]:
         def bad(when: Column, k: int, code: str, field: str, *detail) -> Column:
             return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(_range_path(r), field), *detail))
 
@@ -215,8 +328,8 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
             bad(r["e"] < 0, 1, "NegativeOffset", ".endUtf8", r["e"], " is negative"),
             bad(r["s"] > r["e"], 2, "RangeOutOfOrder", "", "start ", r["s"], " exceeds end ", r["e"]),
             bad(r["e"] > F.col("length"), 3, "RangeOutOfBounds", ".endUtf8", r["e"], " exceeds source length ", F.col("length")),
-            bad(F.get("split", n * 2), 4, "RangeNotOnCharBoundary", ".startUtf8", r["s"], " is not a UTF-8 character boundary"),
-            bad(F.get("split", n * 2 + 1), 5, "RangeNotOnCharBoundary", ".endUtf8", r["e"], " is not a UTF-8 character boundary"),
+            bad(r["s_splits"], 4, "RangeNotOnCharBoundary", ".startUtf8", r["s"], " is not a UTF-8 character boundary"),
+            bad(r["e_splits"], 5, "RangeNotOnCharBoundary", ".endUtf8", r["e"], " is not a UTF-8 character boundary"),
         ]
 
     def edge(c: Column) -> Column:
@@ -226,7 +339,7 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
         return _error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path, c["detail"])
 
     repeats = [repeated("tokens", 3, 8, "DuplicateTokenId"), repeated("structure", 5, 6, "DuplicateNodeId"), repeated("derivation", 9, 1, "DuplicateDerivationPassId")]
-    flat = F.concat(head, _each("ranges", bounds), _each("tokens", layout), depth, nameless, F.transform("edges", edge), *repeats)
+    flat = F.concat(head, _each("ranges", bounds), _each("bad_tokens", layout), _where(_list("tokens"), lambda t: axes_violation(t).isNotNull(), axes), depth, nameless, F.transform("edges", edge), *repeats)
     return docs.select("given.*", F.array_sort(F.when(F.col("given.analysis").isNotNull(), flat).otherwise(F.slice(flat, 1, 0))).alias("errors"))
 
 
