@@ -256,3 +256,14 @@ def test_only_suspects_are_spelled_out():
     n = len(kids)
     sound = validate._sound(lists(*[[0, 1]] * (n - 1), [0, 0]), kids, lists(*[[0, 0]] * n), lists(*[[9, 5]] * 4, [5, 9], [9, 9]))
     assert sound.tolist() == [True, False, False, False, False, False]
+
+
+def test_report_cuts_styled_tokens_alone(spark, built):
+    found = consumers.consume(built[1])
+    assert "transform(filter(" in found._jdf.queryExecution().optimizedPlan().toString()
+    out = {r["doc_id"]: (r["code"], r["report"]) for r in found.collect()}
+    lines = [line.split(" | ") for line in out[1][1].removeprefix(render.REPORT_HEAD).splitlines()]
+    raw = TEXT.encode()
+    cut = [[raw[slice(*map(int, place.strip("| `").split("..")))].decode(), text.strip("`"), role.strip("` |")] for place, text, role in lines]
+    assert all(a == b for a, b, _ in cut) and ["is", "is", "STRUCTURAL_KEYWORD"] in cut and ["2", "2", "LITERAL"] in cut
+    assert not {"big", ".", "–", "é"} & {text for _, text, _ in cut} and out[2] == out[3] == (None, render.REPORT_HEAD)

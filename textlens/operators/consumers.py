@@ -132,9 +132,17 @@ def consume(found: DataFrame, profiles: list[Profile] | None = None) -> DataFram
 
     def span(t: Column) -> Column:
         s, e = t["byteRange"]["startUtf8"], t["byteRange"]["endUtf8"]
-        return F.struct(s.alias("start"), e.alias("end"), F.decode(F.substring(F.col("bytes"), s + 1, e - s), "UTF-8").alias("lexeme"), role(t).alias("role"))
+        return F.struct(s.alias("start"), e.alias("end"), F.substring(F.col("bytes"), s + 1, e - s).cast("string").alias("lexeme"), role(t).alias("role"))
 
-    spans = F.filter(F.transform("analysis.tokens", span), lambda x: x["role"].isin(render.EDITED))
+    def unstyled(t: Column) -> Column:
+        out = F.lit(False)
+        for kind, lexical, open_, name in V.AXES:
+            if name not in render.EDITED:
+                out = out | (t["openClassKind"].eqNullSafe(F.lit(open_)) & t["lexicalClass"].eqNullSafe(F.lit(lexical)) & t["tokenKind"].eqNullSafe(F.lit(kind)))
+        return out
+
+    # most tokens have no style: they go before texts are cut and roles looked up
+    spans = F.filter(F.transform(F.filter("analysis.tokens", lambda t: ~unstyled(t)), span), lambda x: x["role"].isin(render.EDITED))
     rows = rows.withColumn("code", code)
     return rows.select("doc_id", "code", F.when(F.col("code").isNull(), render.report_of(spans)).alias("report"))
 
