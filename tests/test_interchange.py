@@ -246,11 +246,13 @@ def test_whole_documents_are_not_exchanged(spark):
     assert sorted(map(tuple, sents)) == sorted(map(tuple, annotate.sentences(docs).select("doc_id", "start", "end").collect()))
 
 
-def test_only_suspects_are_spelled_out():
+def test_only_suspects_are_spelled_out(monkeypatch):
     texts = pa.array([b"a\xc3\xa9 b", None, b"", b"xyz"])
     starts, ends = pa.array([[0, 2, 4], [0, None], [], [1, 0, 2]], pa.list_(pa.int32())), pa.array([[1, 3, 5], [9, 5], [], [1, 2, 4]], pa.list_(pa.int32()))
     found = validate._suspected(texts, pa.array([5, None, 0, 3], pa.int32()), starts, ends, True).to_pylist()
     assert [[(x["i"], x["s_splits"], x["e_splits"]) for x in own] for own in found] == [[(1, True, False)], [(1, False, False)], [], [(0, False, False), (1, False, False), (2, False, False)]]
+    monkeypatch.setattr(validate, "PART", 2)
+    assert validate._in_parts(lambda *x: validate._suspected(*x, True), texts, pa.array([5, None, 0, 3], pa.int32()), starts, ends).to_pylist() == found
     lists = lambda *x: pa.array(x, pa.list_(pa.int32()))
     kids = pa.array([[[1], []], [[1], [0]], [[1, 1], []], [[5], []], [[1], []], [[1], []]], pa.list_(pa.list_(pa.int32())))
     n = len(kids)

@@ -9,6 +9,7 @@ what may be broken is spelled out as errors, by expressions over these few items
 from __future__ import annotations
 
 import inspect
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,21 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
 
 
+#: List items of a batch that are looked through at once.
+PART = 200_000
+
+
+def _in_parts(check: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``check`` over runs of rows whose last column, of lists, holds about PART items (a row at least), so that its arrays stay small whatever a batch holds."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(columns[-1]), 0).to_numpy(zero_copy_only=False))
+    parts, lo = [], 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, "right")))
+        parts.append(check(*[c.slice(lo, hi - lo) for c in columns]))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else check(*columns)
+
+
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
@@ -82,16 +98,15 @@ def _suspected(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Ar
 
 @F.arrow_udf(ArrayType(_SUSPECT))
 def _suspects(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    return _suspected(source, length, starts, ends, False)
+    return _in_parts(lambda *x: _suspected(*x, False), source, length, starts, ends)
 
 
 @F.arrow_udf(ArrayType(_SUSPECT))
 def _token_suspects(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    return _suspected(source, length, starts, ends, True)
+    return _in_parts(lambda *x: _suspected(*x, True), source, length, starts, ends)
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _again(values: pa.Array) -> pa.Array:
+def _repeats(values: pa.Array) -> pa.Array:
     """Places of the values that occurred before in their list; lists of rising numbers have none and are not walked."""
     sizes, flat = _flat(values) if pa.types.is_integer(values.type.value_type) else (np.ones(len(values)), None)
     walked = np.ones(len(values), bool)
@@ -105,6 +120,11 @@ def _again(values: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _again(values: pa.Array) -> pa.Array:
+    return _in_parts(_repeats, values)
+
+
 def _sound(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> np.ndarray:
     """Outlines whose nodes are numbered by their places, whose edges lead on to later nodes within them, and to each once at most: none of their edges is broken."""
     sizes, own = _flat(ids)
@@ -124,8 +144,7 @@ def _sound(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array)
 _EDGE = StructType().add("i", "integer").add("j", "integer").add("code", "string").add("detail", "string")
 
 
-@F.arrow_udf(ArrayType(_EDGE))
-def _edges(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+def _broken(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """Broken edges (node, place, code) of each outline; an id means its first node. Sound outlines are not walked."""
     out: list[list[dict]] = [[]] * len(ids)
     number = lambda values: [np.nan if v is None else v for v in values]
@@ -150,6 +169,11 @@ def _edges(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array)
     return pa.array(out, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("code", pa.string()), ("detail", pa.string())])))
 
 
+@F.arrow_udf(ArrayType(_EDGE))
+def _edges(ids: pa.Array, children: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    return _in_parts(_broken, ids, children, starts, ends)
+
+
 def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
     """Edges that close a cycle, walking nodes and edges in their order."""
     closing, done, open_ = [], set(), set()
