@@ -211,6 +211,20 @@ def test_sentences_carry_their_tokens(spark):
     assert rows[2]["sentences"] == [] and rows[2]["tokens"] == []
 
 
+def test_trees_are_not_exchanged(spark):
+    docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
+    found = annotate.trees(docs, ["doc_id"])
+    for df in (found, annotate.with_sentence_ranges(docs, ["doc_id"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert [(s["kind"], s["start"], s["end"], [tuple(p) for p in s["parts"]]) for s in rows[1]["sentences"]] == [
+        ("Sentence", 0, 9, [("Word", 0, 2), ("Punct", 3, 4), ("Word", 4, 7), ("Punct", 7, 8), ("Punct", 8, 9)]), ("Sentence", 10, 15, [("Word", 10, 12), ("Word", 13, 14), ("Punct", 14, 15)]),
+    ]
+    assert [tuple(t) for t in rows[1]["tokens"]] == [tuple(p)[1:] for s in rows[1]["sentences"] for p in s["parts"]]
+    assert rows[2]["sentences"] == rows[2]["tokens"] == rows[3]["sentences"] == []
+
+
 def test_projection_is_one_plan(spark):
     docs = spark.createDataFrame([(1, "one", TEXT), (2, "none", None)], "doc_id long, name string, text string")
     found = interchange.projected(docs)

@@ -370,6 +370,37 @@ class Texts:
         last = np.append(head[1:], len(self.pos))[: len(head)] - 1
         return listed(self._each_text(head), pa.StructArray.from_arrays([pa.array(self.start[head]), pa.array(self.end[last]), pa.array(self.breaks()[head])], ["start", "end", "breaks"]))
 
+    def _spans(self) -> dict[str, pa.Array]:
+        return {"start": pa.array(self.start), "end": pa.array(self.end)}
+
+    def _in_sentences(self, tokens: pa.Array, name: str, **same: str) -> pa.ListArray:
+        """Each text's sentences: what is the ``same`` of each, start, end, and their own tokens under ``name``."""
+        head = np.flatnonzero(self.starts | (self.pos == 0))
+        sizes = np.diff(np.append(head, len(self.pos)))
+        found = {k: pa.repeat(pa.scalar(v), len(head)) for k, v in same.items()} | {"start": pa.array(self.start[head]), "end": pa.array(self.end[head + sizes - 1]), name: listed(sizes, tokens)}
+        return listed(self._each_text(head), pa.StructArray.from_arrays(list(found.values()), list(found)))
+
+    def _kinds(self) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(self.pos), *self._spans().values(), self.kinds()], ["pos", "start", "end", "kind"])
+
+    def kind_lists(self) -> pa.ListArray:
+        """Each text's tokens: pos, start, end, kind."""
+        return listed(self._each_text(), self._kinds())
+
+    def range_lists(self) -> pa.ListArray:
+        """Each text's sentences: start, end, and their tokens as in ``kind_lists``."""
+        return self._in_sentences(self._kinds(), "own")
+
+    def span_lists(self) -> pa.ListArray:
+        """Each text's tokens: start, end."""
+        return listed(self._each_text(), pa.StructArray.from_arrays(list(self._spans().values()), ["start", "end"]))
+
+    def tree_lists(self) -> pa.ListArray:
+        """Each text's sentences as a parser's tree has them, with their words and marks."""
+        kind = pa.array(["Word", "Punct"], pa.string()).take(pa.array(np.where(self.is_word(), 0, 1).astype(np.int32)))
+        parts = pa.StructArray.from_arrays([kind, *self._spans().values()], ["kind", "start", "end"])
+        return self._in_sentences(parts, "parts", kind="Sentence")
+
     def _undecided(self) -> np.ndarray:
         return (self.base == CONTENT) & self.among(V.AMBIGUOUS)
 

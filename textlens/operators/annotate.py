@@ -308,19 +308,6 @@ def nested(docs: DataFrame, keep: list[str], contextual: bool = True, columns: l
     return out.select(ROW, *keep, F.coalesce("tokens", F.array().cast(found.schema["tokens"].dataType)).alias("tokens"))
 
 
-def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, tokens (pos, start, end, kind) and sentences (start, end, own: its tokens) as arrays."""
-    docs = numbered(docs)
-    t = lexed(docs, [], ["pos", "start", "end", "kind", "sent_id"])
-    token = F.struct("pos", "start", "end", "kind")
-    sents = t.groupBy(ROW, "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(token)).alias("own"))
-    rows = sents.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end", "own"))).alias("s"))
-    sentence = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["own"].alias("own"))
-    rows = rows.select(ROW, F.flatten("s.own").alias("tokens"), F.transform("s", sentence).alias("sentences"))
-    none = {c: F.array().cast(rows.schema[c].dataType) for c in ("tokens", "sentences")}
-    return docs.join(rows, ROW, "left").select(*keep, *[F.coalesce(c, n).alias(c) for c, n in none.items()])
-
-
 #: A token of a whole document, as the interchange format has it.
 AXES = "struct<byteRange:struct<endUtf8:int,startUtf8:int>,functionKind:string,lexicalClass:string,occurrenceId:int,openClassKind:string,tokenKind:string>"
 _SENTENCE = "struct<start:int,end:int,breaks:int>"
@@ -343,6 +330,20 @@ def _in_lists(docs: DataFrame, keep: list[str], lists: dict[str, tuple[str, Call
     return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{c}` array<{kind}>" for c, (kind, _) in lists.items()]]))
 
 
+_RANGED = "struct<pos:int,start:int,end:int,kind:string>"
+
+
+def with_sentence_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, tokens (pos, start, end, kind) and sentences (start, end, own: its tokens) as arrays, without an exchange."""
+    return _in_lists(docs, keep, {"tokens": (_RANGED, L.Texts.kind_lists), "sentences": (f"struct<start:int,end:int,own:array<{_RANGED}>>", L.Texts.range_lists)})
+
+
+def trees(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, tokens (start, end) and sentences (kind, start, end, parts: kind, start, end) as another parser would give them, without an exchange."""
+    part = "struct<kind:string,start:int,end:int>"
+    return _in_lists(docs, keep, {"tokens": ("struct<start:int,end:int>", L.Texts.span_lists), "sentences": (f"struct<kind:string,start:int,end:int,parts:array<{part}>>", L.Texts.tree_lists)})
+
+
 def whole(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
     """``keep``, tokens (of type AXES) and sentences (start, end, breaks) as arrays, a row for each document, without an exchange.
 

@@ -272,16 +272,8 @@ def projection_gate(spark, sf_dir):
 
 def _trees(docs: DataFrame) -> DataFrame:
     """Trees and tokens of the library's own parser, as another program would hand them over."""
-    rows = annotate.with_sentence_ranges(docs, ["_row", "doc_id", "text"])
-
-    def part(t):
-        return F.struct(F.when(t["kind"].isin("word", "number"), "Word").otherwise("Punct").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
-
-    def sentence(s):
-        return F.struct(F.lit("Sentence").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.transform(s["own"], part).alias("parts"))
-
-    tree = F.struct(F.lit("Document").alias("kind"), F.transform("sentences", sentence).alias("sentences"))
-    return rows.select("_row", "doc_id", "text", tree.alias("tree"), F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
+    rows = annotate.trees(docs, ["_row", "doc_id", "text"])
+    return rows.select("_row", "doc_id", "text", F.struct(F.lit("Document").alias("kind"), "sentences").alias("tree"), "tokens")
 
 
 def classification_errors(spark, sf_dir):
