@@ -211,6 +211,30 @@ def test_sentences_carry_their_tokens(spark):
     assert rows[2]["sentences"] == [] and rows[2]["tokens"] == []
 
 
+def test_first_faults_are_found_for_a_batch(spark, monkeypatch):
+    span = lambda s, e: {"start": s, "end": e}
+    head = lambda s, e, *parts: {"kind": "Sentence", **span(s, e), "parts": [{"kind": "Word", **span(*p)} for p in parts]}
+    trees = [[head(0, 4, (0, 2), (3, 4)), head(5, 9, (5, 9), (8, 9))], [head(0, None, (0, 1), (None, 3)), None], None, []]
+    tokens = [[span(0, 2), span(3, 4), span(5, 9), span(9, 9)], [span(0, 1), span(2, None)], None, [span(1, 0)]]
+    given = (
+        pa.array(["aé bcdefg".encode(), b"abc", None, b""]), pa.array([{"kind": "Document", "sentences": t} for t in trees], pa.struct([("kind", pa.string()), ("sentences", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("parts", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])))])),
+        pa.array(tokens, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    )
+    found = validate._faults(*given)
+    place = lambda x: x and (x["n"], x["i"], x["j"], x["s_splits"], x["e_splits"])
+    assert [[place(r[c]) for c in ("head", "leaf", "token", "pair")] for r in found.to_pylist()] == [
+        [None, (0, 0, 0, False, True), (0, 0, 0, False, True), (3, 1, 1, False, False)], [(1, 1, 1, False, False), None, None, None],
+        [None] * 4, [None, None, (0, 0, 0, False, False), None],
+    ]
+    assert found.field("leaves").to_pylist() == [4, 2, 0, 0]
+    monkeypatch.setattr(validate, "PART", 1)
+    assert validate._in_parts(validate._faults, *given).to_pylist() == found.to_pylist()
+    # the lists are read in the pass, not item by item in expressions
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    rows = docs.select("*", F.lit(None).cast(validate.TREE).alias("tree"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("tokens"))
+    assert "transform(" not in validate.classification_errors(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_trees_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
     found = annotate.trees(docs, ["doc_id"])

@@ -12,35 +12,16 @@ import inspect
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
-from .annotate import ROW, numbered
 from .contract import Contract
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _splits(source: pd.Series, offsets: pd.Series) -> pd.Series:
-    """Of each offset, whether it lies inside a character of the UTF-8 source."""
-    out = []
-    for b, at in zip(source, offsets, strict=True):
-        at = np.asarray(at if at is not None else [], np.int64)
-        if b is None:
-            out.append(np.zeros(len(at), bool))
-            continue
-        data = np.frombuffer(b, np.uint8)
-        inside = (at > 0) & (at < len(data))
-        flag = np.zeros(len(at), bool)
-        flag[inside] = (data[at[inside]] & 0xC0) == 0x80
-        out.append(flag)
-    return pd.Series(out)
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """How many items each list has (null: none), and all of them with nulls as 0."""
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
@@ -65,6 +46,21 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def _splitter(source: pa.Array) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether offsets ``x`` of the rows ``doc`` lie inside a character of the UTF-8 source."""
+    raw = pc.fill_null(source, b"").cast(pa.large_binary())
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+
+    def splits(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        inside = np.flatnonzero((x > 0) & (x < np.diff(at)[doc]))
+        out[inside] = (data[at[doc[inside]] + x[inside].astype(np.int64)] & 0xC0) == 0x80
+        return out
+
+    return splits
+
+
 #: A range that may break a rule: its place, and whether an end of it splits a character.
 _SUSPECT = StructType().add("i", "integer").add("s_splits", "boolean").add("e_splits", "boolean")
 
@@ -73,19 +69,10 @@ def _suspected(source: pa.Array, length: pa.Array, starts: pa.Array, ends: pa.Ar
     """Of each list, the ranges that break a rule of ranges or, with ``in_order``, one of empty or unordered tokens; few beside them."""
     sizes, s = _flat(starts)
     e = _flat(ends)[1]
-    raw = pc.fill_null(source, b"").cast(pa.large_binary())
-    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
     most = pc.fill_null(length, 2**31 - 1).to_numpy(zero_copy_only=False)
     doc, first = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), _starts(sizes)
-
-    def splits(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), bool)
-        inside = np.flatnonzero((x > 0) & (x < np.diff(at)[doc]))
-        out[inside] = (data[at[doc[inside]] + x[inside]] & 0xC0) == 0x80
-        return out
-
-    s_splits, e_splits = splits(s), splits(e)
+    splits = _splitter(source)
+    s_splits, e_splits = splits(doc, s), splits(doc, e)
     bad = (s < 0) | (e < 0) | (s > e) | (e > most[doc]) | s_splits | e_splits
     if in_order:
         bad |= s == e
@@ -197,7 +184,7 @@ def _closing(kids: list, at: dict[int, int]) -> list[tuple[int, int]]:
 
 # not deterministic by name only: so that the optimizer leaves each as a column of its
 # own, and never repeats it inside the lambdas that read it
-_splits, _again, _edges = _splits.asNondeterministic(), _again.asNondeterministic(), _edges.asNondeterministic()
+_again, _edges = _again.asNondeterministic(), _edges.asNondeterministic()
 _suspects, _token_suspects = _suspects.asNondeterministic(), _token_suspects.asNondeterministic()
 
 
@@ -410,26 +397,71 @@ def _span_faults(x: dict[str, Column], i: Column, before: dict[str, Column], pat
     ]
 
 
-def _first(faults: list[tuple[Column, str, Column, Column]], *rank: Column | int) -> Column:
-    """The first broken one of ``faults`` as a struct that sorts by ``rank``; null without any."""
-    places = [(r if isinstance(r, Column) else F.lit(r)).cast("int").alias(f"r{k}") for k, r in enumerate(rank)]
-    out = None
-    for broken, code, path, what in faults:
-        one = F.struct(*places, F.lit(code).alias("code"), path.alias("path"), _path("at ", path, ": ", what).alias("message"))
-        out = F.when(broken, one) if out is None else out.when(broken, one)
-    return out
+#: The first item at fault of a list: its number, its sentence and place there (parts alone), and whether an end of it splits a character.
+_PLACE = StructType().add("n", "integer").add("i", "integer").add("j", "integer").add("s_splits", "boolean").add("e_splits", "boolean")
+_FAULTS = StructType().add("head", _PLACE).add("leaf", _PLACE).add("token", _PLACE).add("pair", _PLACE).add("leaves", "integer")
 
 
-def _earliest(items: str, faults) -> Column:
-    """Place (from 1) of the first item that breaks a rule of ``faults(x, i)``, 0 without any; no text is made for it."""
+def _numbers(x: pa.Array) -> np.ndarray:
+    """Nulls as NaN, which no comparison finds at fault."""
+    return x.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    def broken(x: Column, i: Column) -> Column:
-        out = F.lit(False)
-        for test, *_ in faults(x, i):
-            out = out | F.coalesce(test, F.lit(False))
-        return out
 
-    return F.array_position(F.transform(items, broken), F.lit(True))
+def _faults(source: pa.Array, tree: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The first sentence, part, token and pair of each row that break a rule of ``classification_errors``, and how many parts there are."""
+    size, splits = pc.fill_null(pc.binary_length(source), 0).to_numpy(zero_copy_only=False), _splitter(source)
+
+    def lists(x: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The list and place there of each item, and the items."""
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        return of, np.arange(len(of)) - _starts(sizes)[of], x.flatten()
+
+    def ends(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return _numbers(pc.struct_field(items, "start")), _numbers(pc.struct_field(items, "end"))
+
+    def is_no(items: pa.Array, *kinds: str) -> np.ndarray:
+        return ~pc.is_in(pc.struct_field(items, "kind"), pa.array(kinds, pa.string())).to_numpy(zero_copy_only=False)
+
+    def spans(doc: np.ndarray, place: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        wrong = (s > e) | (e > size[doc]) | splits(doc, s) | splits(doc, e)
+        wrong[1:] |= (place[1:] > 0) & ((s[1:] < s[:-1]) | (s[1:] < e[:-1]))
+        return wrong
+
+    def first(wrong: np.ndarray, doc: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+        found = np.flatnonzero(wrong)
+        rows, which = np.unique(doc[found], return_index=True)
+        found = found[which]
+        own = [pa.array(x[found].astype(np.int32)) for x in (n, i, j)] + [pa.array(splits(doc[found], x[found])) for x in (s, e)]
+        at = np.full(len(size), -1, np.int64)
+        at[rows] = np.arange(len(rows))
+        return pa.StructArray.from_arrays(own, ["n", "i", "j", "s_splits", "e_splits"]).take(pa.array(at, mask=at < 0))
+
+    doc, i, heads = lists(pc.struct_field(tree, "sentences"))
+    s, e = ends(heads)
+    head = first(is_no(heads, "Sentence") | spans(doc, i, s, e), doc, i, i, i, s, e)
+    of, j, leaves = lists(pc.struct_field(heads, "parts"))
+    l_doc, ls, le = doc[of], *ends(leaves)
+    counts = np.bincount(l_doc, minlength=len(size))
+    n = np.arange(len(of)) - _starts(counts)[l_doc]
+    wrong = is_no(leaves, "Word", "Punct") | spans(l_doc, j, ls, le) | (ls < s[of]) | (le > e[of])
+    leaf = first(wrong, l_doc, n, i[of], j, ls, le)
+    t_doc, t, items = lists(tokens)
+    ts, te = ends(items)
+    token = first(spans(t_doc, t, ts, te), t_doc, t, t, t, ts, te)
+    both = np.flatnonzero(t < counts[t_doc])
+    mate, d = _starts(counts)[t_doc[both]] + t[both], t_doc[both]
+    other = lambda a, b: (a != b) & ~np.isnan(a) & ~np.isnan(b)
+    pair = first(other(ls[mate], ts[both]) | other(le[mate], te[both]), d, t[both], i[of][mate], j[mate], ts[both], te[both])
+    return pa.StructArray.from_arrays([head, leaf, token, pair, pa.array(counts.astype(np.int32))], ["head", "leaf", "token", "pair", "leaves"])
+
+
+@F.arrow_udf(_FAULTS)
+def _first_faults(source: pa.Array, tree: pa.Array, tokens: pa.Array) -> pa.Array:
+    return _in_parts(_faults, source, tree, tokens)
+
+
+_first_faults = _first_faults.asNondeterministic()  # as those above
 
 
 def classification_errors(classified: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -437,71 +469,67 @@ def classification_errors(classified: DataFrame, key: str = "doc_id") -> DataFra
 
     classified: key, text (null: empty), tree and tokens of the types TREE and
     array<SPAN>, as another parser and annotator give them; ids may repeat. All that a
-    rule reads stands in one row, so nothing is exchanged or joined: a scan of each list
-    finds the first item at fault, only that item's words are made, and the first error is
-    the smallest in the order of stages: root, sentences with their parts, tokens, their
-    number, their pairs. Whether offsets split a character is read off the text in one
-    pass, as a text that is read once an offset costs its length each time.
+    rule reads stands in one row, so nothing is exchanged or joined: an Arrow pass over
+    the lists of a batch finds the first item of each at fault, only that item's words are
+    made, and the first error is the smallest in the order of stages: root, sentences with
+    their parts, tokens, their number, their pairs.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = numbered(classified).select(ROW, key, raw.alias("_raw"), F.octet_length(raw).alias("_size"), F.col("tree").cast(TREE).alias("tree"), F.coalesce(F.col("tokens").cast(f"array<{SPAN}>"), F.array()).alias("_spans"))
-    docs = docs.select(ROW, key, "_raw", "_size", "_spans", F.col("tree.kind").alias("_root"), F.coalesce("tree.sentences", F.array()).alias("_sentences"))
-
-    def leaves(s: Column, i: Column) -> Column:
-        return F.transform(F.coalesce(s["parts"], F.array()), lambda p, j: F.struct(i.alias("i"), j.alias("j"), p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), s["start"].alias("from"), s["end"].alias("to")))
-
-    docs = docs.select(ROW, key, "_raw", "_size", "_root", "_spans", F.transform("_sentences", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_heads"), F.flatten(F.transform("_sentences", leaves)).alias("_leaves"))
-    lists = ("_heads", "_leaves", "_spans")
-    ends = lambda items: F.flatten(F.transform(items, lambda x: F.array(F.coalesce(x["start"], F.lit(0)), F.coalesce(x["end"], F.lit(0)))))
-    docs = docs.withColumns({f"{c}_split": _splits(F.col("_raw"), ends(c)) for c in lists}).drop("_raw")
-
-    def span(items: str, i: Column) -> dict[str, Column]:
-        x = F.get(items, i)
-        return {"s": x["start"], "e": x["end"], "s_splits": F.get(f"{items}_split", i * 2), "e_splits": F.get(f"{items}_split", i * 2 + 1)}
-
-    def kind(is_wrong: Column, path: Column, wanted: str, found: Column) -> tuple:
-        return is_wrong, "UnexpectedNodeKind", path, _path(f"expected {wanted}, found ", F.coalesce(found, F.lit("None")))
-
-    def before(items: str, i: Column) -> dict[str, Column]:
-        x = F.when(i > 0, F.get(items, i - 1))
-        return {"s": x["start"], "e": x["end"]}
-
-    def of_head(h: Column, i: Column) -> list[tuple]:
-        path = _path("tree.root.sentences[", i, "]")
-        return [kind(~h["kind"].eqNullSafe("Sentence"), path, "Sentence", h["kind"]), *_span_faults(span("_heads", i), i, before("_heads", i), _path(path, ".span"))]
-
-    def place(leaf: Column) -> Column:
-        return _path("tree.root.sentences[", leaf["i"], "].parts[", leaf["j"], "]")
-
-    def of_leaf(leaf: Column, n: Column) -> list[tuple]:
-        path = place(leaf)
-        last = F.when(leaf["j"] > 0, F.get("_leaves", n - 1))
-        outside = (leaf["start"] < leaf["from"]) | (leaf["end"] > leaf["to"])
-        child = (outside, "ChildSpanOutsideParent", _path(path, ".span"), _path("child ", leaf["start"], "..", leaf["end"], " falls outside parent ", leaf["from"], "..", leaf["to"]))
-        wrong = kind(~F.coalesce(leaf["kind"].isin("Word", "Punct"), F.lit(False)), path, "Word or Punct", leaf["kind"])
-        return [wrong, *_span_faults(span("_leaves", n), leaf["j"], {"s": last["start"], "e": last["end"]}, _path(path, ".span")), child]
-
-    def of_token(t: Column, n: Column) -> list[tuple]:
-        return _span_faults(span("_spans", n), n, before("_spans", n), _path("tokens[", n, "].span"))
-
-    def of_pair(t: Column, n: Column) -> list[tuple]:
-        leaf, spot = F.get("_leaves", n), _path("tokens[", n, "].span")
-        apart = (leaf["start"] != t["start"]) | (leaf["end"] != t["end"])
-        return [(apart, "TreeTokenSpanMismatch", spot, _path("token ", t["start"], "..", t["end"], " does not match ", place(leaf), ".span ", leaf["start"], "..", leaf["end"]))]
-
-    scans = {"_head": ("_heads", of_head), "_leaf": ("_leaves", of_leaf), "_token": ("_spans", of_token), "_pair": ("_spans", of_pair)}
-    docs = docs.withColumns({name: _earliest(*scan).cast("int") for name, scan in scans.items()})
-
-    def first(name: str, rank) -> Column:
-        items, faults = scans[name]
-        i = F.col(name) - 1
-        return F.when(F.col(name) > 0, _first(faults(F.get(items, i), i), *rank(F.get(items, i), i)))
-
-    n_leaves, n_spans = F.size("_leaves"), F.size("_spans")
-    root = _first([kind(~F.col("_root").eqNullSafe("Document"), F.lit("tree.root"), "Document", F.col("_root"))], 0, 0, 0, 0)
-    count = _first([(n_leaves != n_spans, "TreeTokenCountMismatch", F.lit("tokens"), _path("tree has ", n_leaves, " leaves but annotator emitted ", n_spans, " tokens"))], 3, 0, 0, 0)
-    found = F.least(
-        root, first("_head", lambda h, i: (1, i, -1, 0)), first("_leaf", lambda leaf, n: (1, leaf["i"], leaf["j"], 1)),
-        first("_token", lambda t, n: (2, n, 0, 0)), count, first("_pair", lambda t, n: (4, n, 0, 0)),
+    docs = classified.select(key, raw.alias("_raw"), F.col("tree").cast(TREE).alias("_tree"), F.coalesce(F.col("tokens").cast(f"array<{SPAN}>"), F.array()).alias("_spans"))
+    docs = docs.withColumn("_found", _first_faults("_raw", "_tree", "_spans"))
+    head, leaf, token, pair, leaves = (F.col("_found")[c] for c in ("head", "leaf", "token", "pair", "leaves"))
+    root, sentences, tokens = F.col("_tree.kind"), F.col("_tree.sentences"), F.size("_spans")
+    # root, sentence, part, token, count, pair: the stage that the first error is of
+    stage = F.when(~root.eqNullSafe("Document"), 0).when(head.isNotNull() & (leaf.isNull() | (head["i"] <= leaf["i"])), 1).when(leaf.isNotNull(), 2).when(token.isNotNull(), 3).when(leaves != tokens, 4).when(pair.isNotNull(), 5)
+    docs = docs.withColumn("_stage", stage).where("_stage IS NOT NULL")
+
+    # the item at fault, the one before it and what it is compared with (a part's parent, a token's part) are picked here, so that a rule is written once
+    def of(*stages: Column | None) -> Column:
+        pick = F
+        for n, x in enumerate(stages, 1):
+            pick = pick if x is None else pick.when(F.col("_stage") == n, x)
+        return pick
+
+    def item(x: Column, kind: Column | None = None) -> Column:
+        return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+
+    def before(x: Callable[[Column], Column], i: Column) -> Column:
+        return F.when(i > 0, item(x(i - 1)))
+
+    sentence, span = (lambda i: F.get(sentences, i)), (lambda i: F.get("_spans", i))
+    part = lambda at: lambda j: F.get(F.get(sentences, at["i"])["parts"], j)
+    own = lambda x: item(x, x["kind"])
+    docs = docs.select(
+        key, "_stage", F.octet_length("_raw").alias("_size"), root.alias("_root"), leaves.alias("_leaves"), tokens.alias("_tokens"), of(head, leaf, token, None, pair).alias("_at"),
+        of(own(sentence(head["n"])), own(part(leaf)(leaf["j"])), item(span(token["n"])), None, item(span(pair["n"]))).alias("_x"),
+        of(before(sentence, head["n"]), before(part(leaf), leaf["j"]), before(span, token["n"])).alias("_before"),
+        of(item(F.lit(None).cast(SPAN)), item(sentence(leaf["i"])), None, None, item(part(pair)(pair["j"]))).alias("_other"),
     )
-    return docs.select(key, found.alias("error")).where("error IS NOT NULL").select(key, "error.code", "error.path", "error.message")
+    at, x, other, stage = F.col("_at"), F.col("_x"), F.col("_other"), F.col("_stage")
+    place = _path("tree.root.sentences[", at["i"], "].parts[", at["j"], "]")
+    node = of(_path("tree.root.sentences[", at["n"], "]"), place)
+    spot = F.when(stage < 3, _path(node, ".span")).otherwise(_path("tokens[", at["n"], "].span"))
+    docs = docs.withColumns({"_node": node, "_spot": spot, "_mate": F.when(stage == 5, place)})
+    kind = lambda found, wanted: _path("expected ", wanted, ", found ", F.coalesce(found, F.lit("None")))
+    wrong = ((stage == 1) & ~x["kind"].eqNullSafe("Sentence")) | ((stage == 2) & ~F.coalesce(x["kind"].isin("Word", "Punct"), F.lit(False)))
+    both = {"s": x["start"], "e": x["end"], "s_splits": at["s_splits"], "e_splits": at["e_splits"]}
+    faults = [
+        (stage == 0, "UnexpectedNodeKind", F.lit("tree.root"), kind(F.col("_root"), F.lit("Document"))),
+        (stage == 4, "TreeTokenCountMismatch", F.lit("tokens"), _path("tree has ", F.col("_leaves"), " leaves but annotator emitted ", F.col("_tokens"), " tokens")),
+        (stage == 5, "TreeTokenSpanMismatch", F.col("_spot"), _path("token ", x["start"], "..", x["end"], " does not match ", F.col("_mate"), ".span ", other["start"], "..", other["end"])),
+        (wrong, "UnexpectedNodeKind", F.col("_node"), kind(x["kind"], F.when(stage == 1, "Sentence").otherwise("Word or Punct"))),
+        *_span_faults(both, F.when(stage == 2, at["j"]).otherwise(at["n"]), {"s": F.col("_before.start"), "e": F.col("_before.end")}, F.col("_spot")),
+        (F.lit(True), "ChildSpanOutsideParent", F.col("_spot"), _path("child ", x["start"], "..", x["end"], " falls outside parent ", other["start"], "..", other["end"])),
+    ]
+
+    def first(*values: Column | int) -> Column:
+        """The value that belongs to the first broken rule."""
+        out = None
+        for (broken, *_), (n, v) in zip(faults, enumerate(values), strict=True):
+            test = F.col("_rule") == n if "_rule" in docs.columns else broken
+            out = F.when(test, v) if out is None else out.when(test, v)
+        return out
+
+    docs = docs.withColumn("_rule", first(*range(len(faults))))
+    docs = docs.select(key, first(*[code for _, code, _, _ in faults]).alias("code"), first(*[path for _, _, path, _ in faults]).alias("path"), first(*[what for *_, what in faults]).alias("_what"))
+    return docs.select(key, "code", "path", _path("at ", F.col("path"), ": ", F.col("_what")).alias("message"))
