@@ -235,6 +235,23 @@ def test_first_faults_are_found_for_a_batch(spark, monkeypatch):
     assert "transform(" not in validate.classification_errors(rows)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_outlines_are_checked_in_their_row(spark):
+    plan = plans.outline_damage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    docs = spark.createDataFrame([(1, TEXT), (2, None), (3, "a. b\n\nc")], "doc_id long, text string")
+    own = {r["doc_id"]: [tuple(n) for n in r["outline"]] for r in render.outlines(docs, ["doc_id"]).collect()}
+    assert own == {r["doc_id"]: [tuple(n) for n in r["outline"]] for r in render.with_outline(docs, ["doc_id"]).collect()} and not own[2]
+    node = f"struct<byteRange:{interchange.RANGE},childNodeIds:array<int>,nodeId:int>"
+    rough = spark.createDataFrame([(1, [((9, 0), [1, 7], 0), ((5, 0), [0], 1), ((12, 0), None, 1)])], f"doc_id long, outline array<{node}>")
+    assert sorted(tuple(r)[1:3] for r in validate.outline_errors(rough, ["doc_id"]).collect()) == [
+        ("ChildRangeOutsideParent", "structure[1].childNodeIds[0]"), ("DanglingChildRef", "structure[0].childNodeIds[1]"), ("DuplicateNodeId", "structure[2]"), ("StructureCycle", "structure[1].childNodeIds[0]"),
+    ]
+    # small files must not become large tables in the driver's memory
+    nodes = spark.createDataFrame([(0, 0, 0, 0, 9, [1])], "_row long, i int, node_id int, start int, end int, children array<int>")
+    for f in (structure.broken_edges, structure.closing_edges):
+        assert "Broadcast" not in f(nodes, [])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trees_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
     found = annotate.trees(docs, ["doc_id"])

@@ -330,6 +330,11 @@ def _in_lists(docs: DataFrame, keep: list[str], lists: dict[str, tuple[str, Call
     return source.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{c}` array<{kind}>" for c, (kind, _) in lists.items()]]))
 
 
+def sentence_lists(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and sentences (start, end, breaks) as an array, a row for each document, without an exchange."""
+    return _in_lists(docs, keep, {"sentences": (_SENTENCE, L.Texts.sentence_lists)})
+
+
 _RANGED = "struct<pos:int,start:int,end:int,kind:string>"
 
 

@@ -267,7 +267,16 @@ def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> D
     Texts are cut once; the outline is read off a document's sentences, whose number is a
     twelfth of its tokens'.
     """
-    sents = annotate.whole(docs, keep, contextual).withColumnRenamed("sentences", "_s")
+    return _outlined(annotate.whole(docs, keep, contextual), [*keep, "tokens"])
+
+
+def outlines(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``with_outline`` without tokens."""
+    return _outlined(annotate.sentence_lists(docs, keep), keep)
+
+
+def _outlined(sents: DataFrame, keep: list[str]) -> DataFrame:
+    sents = sents.withColumnRenamed("sentences", "_s")
     # places of the sentences that begin a paragraph
     heads = F.filter(F.transform("_s", lambda s, i: F.when((i == 0) | (s["breaks"] >= 2), i)), lambda i: i.isNotNull())
     sents = sents.withColumn("_heads", heads).withColumn("_pars", F.size("_heads"))
@@ -281,7 +290,7 @@ def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> D
         return node(p, "PARAGRAPH", 0, F.get("_s", first)["start"], F.get("_s", last)["end"], F.sequence(first + F.col("_pars"), last + F.col("_pars")))
 
     sentence = lambda s, i: node(i + F.col("_pars"), "SENTENCE", 1, s["start"], s["end"], F.array())
-    return sents.select(*keep, "tokens", F.concat(F.transform("_heads", paragraph), F.transform("_s", sentence)).alias("outline"))
+    return sents.select(*keep, F.concat(F.transform("_heads", paragraph), F.transform("_s", sentence)).alias("outline"))
 
 
 def content_hashes(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Outlines as edge tables: repeated ids, broken edges and cycles, for documents of any size.
 
 Nodes are rows: row number, i (place in the document), node_id, start, end, children. An
-edge is a row for each child; an id means the first node that has it.
+edge is a row for each child; an id means the first node that has it. Nodes are packed
+small in files and large in memory, so no side of a join is ever broadcast by its size.
+Outlines that stand in one row are ``validate.outline_errors``'.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def edges(nodes: DataFrame, keep: list[str]) -> DataFrame:
     """Row number, ``keep``, i, node_id, start, end of the parent, j and child; target (i, start, end) is null for a missing child."""
     found = nodes.select(ROW, *keep, "i", "node_id", "start", "end", F.posexplode("children").alias("j", "child"))
     firsts = nodes.groupBy(F.col(ROW).alias("_of"), F.col("node_id").alias("_id")).agg(F.min(F.struct("i", "start", "end")).alias("target"))
-    return found.join(firsts, (F.col(ROW) == F.col("_of")) & (F.col("child") == F.col("_id")), "left").drop("_of", "_id")
+    return found.join(firsts.hint("merge"), (F.col(ROW) == F.col("_of")) & (F.col("child") == F.col("_id")), "left").drop("_of", "_id")
 
 
 def repeated_nodes(nodes: DataFrame, keep: list[str]) -> DataFrame:
@@ -95,11 +97,11 @@ def closing_edges(nodes: DataFrame, keep: list[str], rounds: int = 2) -> DataFra
     e = edges(nodes, []).where("target IS NOT NULL").select(ROW, "i", "j", F.col("target.i").alias("to"))
     for _ in range(rounds):
         inner = e.select(F.col(ROW).alias("_of"), F.col("i").alias("_i")).distinct()
-        e = e.join(inner, (F.col(ROW) == F.col("_of")) & (F.col("to") == F.col("_i")), "left_semi")
+        e = e.join(inner.hint("merge"), (F.col(ROW) == F.col("_of")) & (F.col("to") == F.col("_i")), "left_semi")
     left = e.groupBy(ROW).agg(F.collect_list(F.struct("i", "j", "to")).alias("edges"))
     closing = left.select(ROW, F.inline(_closing("edges")))
     parents = nodes.select(F.col(ROW).alias("_of"), F.col("i").alias("_i"), *keep, "node_id", "children")
-    closing = closing.join(parents, (F.col(ROW) == F.col("_of")) & (F.col("i") == F.col("_i")))
+    closing = closing.join(parents.hint("merge"), (F.col(ROW) == F.col("_of")) & (F.col("i") == F.col("_i")))
     path = _text("structure[", F.col("i"), "].childNodeIds[", F.col("j"), "]")
     text = _text("edge ", F.col("node_id"), " -> ", F.get("children", F.col("j")), " closes a structure cycle")
     return closing.select(ROW, *keep, "j", *_error(F.col("i"), "StructureCycle", path, text))

@@ -255,6 +255,27 @@ def axes_violation(t: Column) -> Column:
     return F.when(t["tokenKind"] == "WORD", word).otherwise(other)
 
 
+def _broken_edges(structure: Column) -> Column:
+    children = F.transform(structure, lambda n: F.coalesce(n["childNodeIds"], F.array().cast("array<int>")))
+    return _edges(structure["nodeId"], children, structure["byteRange"]["startUtf8"], structure["byteRange"]["endUtf8"])
+
+
+def outline_errors(found: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, code, path, message: repeated ids, broken edges and cycles of ``found``'s outlines, a row each.
+
+    outline is a list of nodes as the interchange format has them. All that a rule reads
+    stands in one row, so that nothing is exchanged, joined or broadcast.
+    """
+    docs = found.withColumns({"_edges": _broken_edges(F.col("outline")), "_again": _again(F.col("outline.nodeId"))})
+    error = lambda i, j, code, detail: F.struct(i.alias("i"), j.alias("j"), code.alias("code"), detail.alias("detail"))
+    edges = F.transform("_edges", lambda e: error(e["i"], e["j"], e["code"], e["detail"]))
+    again = F.transform("_again", lambda i: error(i, F.lit(None).cast("int"), F.lit("DuplicateNodeId"), _path("duplicate nodeId ", F.get("outline", i)["nodeId"])))
+    rows = docs.select(*keep, F.inline(F.concat(edges, again)))
+    node = _path("structure[", F.col("i"), "]")
+    rows = rows.withColumn("path", F.when(F.col("j").isNull(), node).otherwise(_path(node, ".childNodeIds[", F.col("j"), "]")))
+    return rows.select(*keep, "code", "path", _path("at ", F.col("path"), ": ", F.col("detail")).alias("message"))
+
+
 def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
     """found(doc_id, analysis, bytes and others) with errors: an array of every broken rule, in report order.
 
@@ -316,9 +337,7 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
     def suspects(array: str, ranges: str) -> Column:
         return (_token_suspects if array == "tokens" else _suspects)("text", "length", field(array, ranges, "startUtf8"), field(array, ranges, "endUtf8"))
 
-    none = F.array().cast("array<int>")
-    children = F.transform("structure", lambda n: F.coalesce(n["childNodeIds"], none))
-    edges = _edges(field("structure", "nodeId"), children, field("structure", "byteRange", "startUtf8"), field("structure", "byteRange", "endUtf8"))
+    edges = _broken_edges(F.col("structure"))
     ids = {"tokens": "occurrenceId", "structure": "nodeId", "derivation": "passId"}
     bad = {f"bad_{a}": suspects(a, "byteRange") for a in _STAGES} | {"bad_sources": suspects("sources", "r")}
     docs = docs.withColumns(bad | {"edges": edges} | {f"again_{a}": _again(field(a, c)) for a, c in ids.items()})

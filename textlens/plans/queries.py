@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sql as sql_functions
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, structure, validate
+from ..operators import annotate, consumers, diagnose, external, interchange, lint, prose, render, validate
 from ..operators.contract import Contract
 from ..sources import cases, documents, files
 from ..streaming import session
@@ -332,15 +332,19 @@ def admitted_documents(spark, sf_dir):
 
 def outline_damage(spark, sf_dir):
     """Repeated ids, broken edges and cycles of outlines that are damaged in five ways, by their id."""
-    way, node = F.pmod("doc_id", F.lit(5)), F.col("node_id")
-    o = render.outline_rows(_docs(spark, sf_dir), ["doc_id"])
-    whole = Window.partitionBy("_row")
-    o = o.select("*", node.alias("i"), F.max("node_id").over(whole).alias("_last"), F.count_if(F.col("kind") == "PARAGRAPH").over(whole).cast("int").alias("_pars"))
-    kids = F.when((way == 1) & (node == 0), F.array_append("children", F.lit(999_999))).when((way == 2) & (node == F.col("_pars") - 1) & (node > 0), F.array_append("children", F.col("_pars"))).when((way == 4) & (node == F.col("_pars")), F.array(F.lit(0)))
-    # eight readings of the nodes below: written down once, else each would cut and exchange all texts again
-    nodes = files.written(o.select("_row", "doc_id", "i", F.when((way == 0) & (node == F.col("_last")), 0).otherwise(node).alias("node_id"), "start", F.when((way == 3) & (node == 0), F.col("start") + 1).otherwise(F.col("end")).alias("end"), kids.otherwise(F.col("children")).cast("array<int>").alias("children")))
-    found = [f(nodes, ["doc_id"]).select("doc_id", "code", "path", "message") for f in (structure.repeated_nodes, structure.broken_edges, structure.closing_edges)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    way, pars, last = F.pmod("doc_id", F.lit(5)), F.col("_pars"), F.size("outline") - 1
+    o = render.outlines(_docs(spark, sf_dir), ["doc_id"])
+    o = o.withColumn("_pars", F.size(F.filter("outline", lambda n: n["kind"] == "PARAGRAPH")))
+
+    def damaged(n: Column) -> Column:
+        node, span, own = n["nodeId"], n["byteRange"], n["childNodeIds"]
+        kids = F.when((way == 1) & (node == 0), F.array_append(own, F.lit(999_999))).when((way == 2) & (node == pars - 1) & (node > 0), F.array_append(own, pars)).when((way == 4) & (node == pars), F.array(F.lit(0)))
+        end = F.when((way == 3) & (node == 0), span["startUtf8"] + 1).otherwise(span["endUtf8"])
+        return F.struct(F.struct(end.alias("endUtf8"), span["startUtf8"].alias("startUtf8")).alias("byteRange"), kids.otherwise(own).alias("childNodeIds"), F.when((way == 0) & (node == last), 0).otherwise(node).alias("nodeId"))
+
+    # written down, so that texts are cut once whatever reads the outlines
+    nodes = files.written(o.select("doc_id", F.transform("outline", damaged).alias("outline")))
+    return validate.outline_errors(nodes, ["doc_id"]).select("doc_id", "code", "path", "message")
 
 
 def classification_cases(spark, sf_dir):
