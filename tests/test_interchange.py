@@ -252,6 +252,16 @@ def test_outlines_are_checked_in_their_row(spark):
         assert "Broadcast" not in f(nodes, [])._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_meet_verdicts_before_they_are_analysed(spark):
+    plan = plans.projected_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    join = next(depth(line) for line in lines if "Join LeftOuter" in line)
+    # the join's rows are cut above it, once; nothing that was cut is exchanged
+    above = [line for line in lines if "MapInArrow" in line and depth(line) < join]
+    assert len(above) == 1 and "_wrong" in above[0]
+
+
 def test_trees_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
     found = annotate.trees(docs, ["doc_id"])

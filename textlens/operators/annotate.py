@@ -349,20 +349,21 @@ def trees(docs: DataFrame, keep: list[str]) -> DataFrame:
     return _in_lists(docs, keep, {"tokens": ("struct<start:int,end:int>", L.Texts.span_lists), "sentences": (f"struct<kind:string,start:int,end:int,parts:array<{part}>>", L.Texts.tree_lists)})
 
 
-def whole(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
+def whole(docs: DataFrame, keep: list[str], contextual: bool = True, once: bool = False) -> DataFrame:
     """``keep``, tokens (of type AXES) and sentences (start, end, breaks) as arrays, a row for each document, without an exchange.
 
     A batch of texts is cut at once, so its tokens already stand by document and in order:
     they leave the lexer as one list a document, and no row of a token is made. Texts
     that hold an ambiguous word are a second pass, which gives the words' islands as well;
-    these are folded in the document's own row.
+    these are folded in the document's own row. With ``once`` that is the pass of all
+    texts: for docs that are a join, which two passes would make twice.
     """
     lists = {"tokens": (AXES, L.Texts.token_lists), "sentences": (_SENTENCE, L.Texts.sentence_lists)}
     if not contextual:
         return _in_lists(docs, keep, lists)
     asked = F.coalesce(analysed(docs).rlike(rf"(?i)(?<![a-z])(?:{'|'.join(V.AMBIGUOUS)})(?![a-z])"), F.lit(False))
     islands = {"_nth": ("int", L.Texts.undecided_lists), "_islands": (_ISLAND, L.Texts.island_lists)}
-    found = _in_lists(docs.where(asked), keep, lists | islands)
+    found = _in_lists(docs if once else docs.where(asked), keep, lists | islands)
     senses = F.transform("_islands", lambda w: _folded(w, _hint(lambda c: F.get(w, F.lit(0))[c]), lambda x: (x["word"], x["noun_after"])))
     found = found.withColumn("_senses", F.encode(F.array_join(senses, ""), "UTF-8"))
 
@@ -371,7 +372,8 @@ def whole(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFram
         return F.when(nth > 0, t.withField("openClassKind", F.upper(_open_kind(F.decode(F.substring("_senses", nth, F.lit(1)), "UTF-8"))))).otherwise(t)
 
     tokens = F.when(F.octet_length("_senses") > 0, F.transform("tokens", decided)).otherwise(F.col("tokens"))
-    return _in_lists(docs.where(~asked), keep, lists).unionByName(found.select(*keep, tokens.alias("tokens"), "sentences"))
+    found = found.select(*keep, tokens.alias("tokens"), "sentences")
+    return found if once else _in_lists(docs.where(~asked), keep, lists).unionByName(found)
 
 
 def word_count() -> dict[str, int]:

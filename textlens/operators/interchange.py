@@ -22,17 +22,17 @@ SOURCE = "struct<contentHash:string,unitId:string,utf8ByteLength:int>"
 ANALYSIS = f"struct<contractVersion:string,derivation:array<{STEP}>,diagnostics:array<{DIAGNOSTIC}>,schemaHash:string,source:{SOURCE},structure:array<{NODE}>,tokens:array<{TOKEN}>,vocabularyHash:string>"
 
 
-def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
-    """doc_id, bytes, analysis: every document of docs(doc_id, name, text), in one pass without an exchange.
+def analyses(docs: DataFrame, contract: Contract = Contract(), keep: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """doc_id, ``keep``, bytes, analysis: every document of docs(doc_id, name, text), in one pass without an exchange.
 
-    A null text counts as empty. Documents whose length passes 32 bits can't be held
+    A null text counts as empty; ``once`` is of ``annotate.whole``. Documents whose length passes 32 bits can't be held
     by the format; analysis is null for them.
     """
     fault = contract.fault()
     if fault:
         raise ValueError(": ".join(fault))
 
-    rows = render.with_outline(docs, ["doc_id", "name", "text"], contract.contextual)
+    rows = render.with_outline(docs, ["doc_id", "name", "text", *keep], contract.contextual, once)
     rows = rows.withColumn("bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("n", F.octet_length("bytes"))
     whole = F.array(F.struct(F.col("n").alias("endUtf8"), F.lit(0).alias("startUtf8")))
     steps = [F.struct(F.lit(contract.build).alias("compilerBuildHash"), F.lit(p).alias("passId"), F.lit(r).alias("ruleId"), whole.alias("sourceRanges")) for p, r in contract.passes]
@@ -41,7 +41,7 @@ def analyses(docs: DataFrame, contract: Contract = Contract()) -> DataFrame:
         F.lit(contract.schema_hash).alias("schemaHash"), F.struct(F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("contentHash"), F.col("name").alias("unitId"), F.col("n").alias("utf8ByteLength")).alias("source"),
         F.col("outline").alias("structure"), "tokens", F.lit(contract.vocabulary_hash).alias("vocabularyHash"),
     )
-    return rows.select("doc_id", "bytes", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
+    return rows.select("doc_id", *keep, "bytes", F.when(F.col("n") <= 2147483647, analysis).alias("analysis"))
 
 
 def projected(docs: DataFrame, contract: Contract = Contract(), classified: DataFrame | None = None) -> DataFrame:
@@ -56,16 +56,18 @@ def projected(docs: DataFrame, contract: Contract = Contract(), classified: Data
     if fault:
         none = [F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast(ANALYSIS).alias("analysis")]
         return docs.select("doc_id", *none, F.lit(fault[0]).alias("error"), F.lit(fault[1]).alias("message"))
-    found = validate.with_errors(analyses(docs, contract), contract)
+    if classified is not None:
+        # what is wrong with its parts meets a document as a text: analysed, it is some twenty times as large
+        bad = validate.classification_errors(classified).select("doc_id", F.concat(F.lit("invalid parser/annotator classification: "), "message").alias("_wrong"))
+        docs = docs.join(bad, "doc_id", "left")
+    found = validate.with_errors(analyses(docs, contract) if classified is None else analyses(docs, contract, ("_wrong",), once=True), contract)
     broken = validate.report(F.col("errors"))
     kind = F.when(F.col("analysis").isNull(), "Overflow").when(F.size("errors") > 0, "InvalidProjectedDocument")
     text = F.when(F.col("analysis").isNull(), F.concat(F.lit("source length ("), F.octet_length("bytes").cast("string"), F.lit(") exceeds the 32-bit range; the document is too large to project")))
     text = text.when(F.size("errors") > 0, F.concat(F.lit("projected document violated its contract: "), broken))
     found = found.withColumn("error", kind).withColumn("message", text)
     if classified is not None:
-        bad = validate.classification_errors(classified).select("doc_id", F.concat(F.lit("invalid parser/annotator classification: "), "message").alias("wrong"))
-        found = found.join(bad, "doc_id", "left").withColumn("error", F.when(F.col("wrong").isNotNull(), "InvalidClassification").otherwise(F.col("error")))
-        found = found.withColumn("message", F.coalesce("wrong", "message"))
+        found = found.withColumn("error", F.when(F.col("_wrong").isNotNull(), "InvalidClassification").otherwise(F.col("error"))).withColumn("message", F.coalesce("_wrong", "message"))
     return found.select("doc_id", "bytes", "analysis", "error", "message")
 
 

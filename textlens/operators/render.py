@@ -261,13 +261,13 @@ def outline_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
     return lower.unionByName(upper.withColumns({"kind": F.lit("PARAGRAPH"), "depth": F.lit(0)}).select(ROW, *keep, *own))
 
 
-def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True) -> DataFrame:
+def with_outline(docs: DataFrame, keep: list[str], contextual: bool = True, once: bool = False) -> DataFrame:
     """``keep``, tokens and outline as the interchange format has them, a row for each document, without an exchange.
 
     Texts are cut once; the outline is read off a document's sentences, whose number is a
     twelfth of its tokens'.
     """
-    return _outlined(annotate.whole(docs, keep, contextual), [*keep, "tokens"])
+    return _outlined(annotate.whole(docs, keep, contextual, once), [*keep, "tokens"])
 
 
 def outlines(docs: DataFrame, keep: list[str]) -> DataFrame:
