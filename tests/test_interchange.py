@@ -262,6 +262,14 @@ def test_texts_meet_verdicts_before_they_are_analysed(spark):
     assert len(above) == 1 and "_wrong" in above[0]
 
 
+def test_reports_exchange_texts_not_tokens(spark):
+    plan = plans.diagnose_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(collect_list(struct(pos" not in plan and "function_axis" not in plan
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line and "LeftOuter" in line)
+    assert sum("MapInArrow" in line for line in lines[:join]) == 1 and not any("Exchange" in line for line in lines[:join])
+
+
 def test_trees_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
     found = annotate.trees(docs, ["doc_id"])
