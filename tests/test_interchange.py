@@ -270,6 +270,24 @@ def test_reports_exchange_texts_not_tokens(spark):
     assert sum("MapInArrow" in line for line in lines[:join]) == 1 and not any("Exchange" in line for line in lines[:join])
 
 
+def test_codes_without_messages(spark):
+    found = cases.broken_documents(spark)
+    columns = ["doc_id", "stage", "i", "j", "k", "code", "path"]
+    told = validate.with_errors(found).select("doc_id", F.inline("errors")).select(*columns)
+    codes = validate.error_codes(found, ["doc_id"])
+    assert sorted(map(str, codes.select(*columns).collect())) == sorted(map(str, told.collect()))
+    assert "array_sort" not in codes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeats_are_sorted_not_walked():
+    lists = [[0, 0, 1, 1, 1], None, [3, 1, 3, 2, 1], [], [5, 4], [1, 2]]
+    want = [[1, 3, 4], [], [2, 4], [], [], []]
+    assert validate._repeats(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == want
+    assert validate._repeats(pa.array([[str(x) for x in v or []] for v in lists], pa.list_(pa.string()))).to_pylist() == want
+    assert validate._repeats(pa.array([[1, None, 1, None]], pa.list_(pa.int32()))).to_pylist() == [[2]]
+    assert validate._repeats(pa.array([[0, 0], *lists], pa.list_(pa.int32())).slice(1)).to_pylist() == want
+
+
 def test_trees_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, 'He "ran." Go 2!'), (2, None), (3, " ")], "doc_id long, text string")
     found = annotate.trees(docs, ["doc_id"])

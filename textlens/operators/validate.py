@@ -94,16 +94,23 @@ def _token_suspects(source: pa.Array, length: pa.Array, starts: pa.Array, ends:
 
 
 def _repeats(values: pa.Array) -> pa.Array:
-    """Places of the values that occurred before in their list; lists of rising numbers have none and are not walked."""
-    sizes, flat = _flat(values) if pa.types.is_integer(values.type.value_type) else (np.ones(len(values)), None)
-    walked = np.ones(len(values), bool)
-    if flat is not None and not values.flatten().null_count:
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        walked = np.bincount(doc[1:][(flat[1:] <= flat[:-1]) & (doc[1:] == doc[:-1])], minlength=len(sizes)) > 0
+    """Places of the values that occurred before in their list; numbers are sorted by list and value for that, and those of rising lists not even that."""
+    if pa.types.is_integer(values.type.value_type) and not values.flatten().null_count:
+        sizes, flat = _flat(values)
+        doc, first = np.repeat(np.arange(len(sizes)), sizes), _starts(sizes)
+        at = np.flatnonzero((flat[1:] <= flat[:-1]) & (doc[1:] == doc[:-1])) + 1
+        walked = np.zeros(len(sizes), bool)
+        walked[doc[at]] = True
+        if (flat[at] < flat[at - 1]).any():
+            mine = np.flatnonzero(walked[doc])
+            order = mine[np.lexsort((flat[mine], doc[mine]))]  # stable: of equal values, the first stands first
+            at = np.sort(order[1:][(flat[order][1:] == flat[order][:-1]) & (doc[order][1:] == doc[order][:-1])])
+        return pa.ListArray.from_arrays(pa.array(_starts(np.bincount(doc[at], minlength=len(sizes))).astype(np.int32)), pa.array((at - first[doc[at]]).astype(np.int32)))
     out: list[list[int]] = [[]] * len(values)
-    for n in np.flatnonzero(walked):
+    numbers = pa.types.is_integer(values.type.value_type)
+    for n in range(len(values)):
         seen: set = set()
-        out[n] = [i for i, v in enumerate(values[n].as_py() or []) if (flat is None or v is not None) and (v in seen or seen.add(v))]
+        out[n] = [i for i, v in enumerate(values[n].as_py() or []) if (not numbers or v is not None) and (v in seen or seen.add(v))]
     return pa.array(out, pa.list_(pa.int32()))
 
 
@@ -282,6 +289,23 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
     bytes (null: not at hand) is the source. Null lists of a document count as empty; a null
     document has no errors (its reader has refused it). No row meets another one, so ids may repeat.
     """
+    docs, errors = _checked(found, contract)
+    return docs.select("given.*", F.array_sort(errors).alias("errors"))
+
+
+def error_codes(found: DataFrame, keep: list[str], contract: Contract = Contract()) -> DataFrame:
+    """``keep``, stage, i, j, k, code, path of every broken rule, a row each, unsorted: ``with_errors`` for readers who want no messages, so that none is made."""
+    docs, errors = _checked(found, contract, told=False)
+    return docs.select(*[F.col("given")[c].alias(c) for c in keep], F.inline(errors)).drop("message")
+
+
+def _checked(found: DataFrame, contract: Contract, told: bool = True) -> tuple[DataFrame, Column]:
+    """The documents with what their checks read, and the broken rules as an array; without ``told``, their messages are null."""
+
+    def error(stage, i, j, k, code, path: Column, *detail) -> Column:
+        whole = _error(stage, i, j, k, code, path, *(detail if told else ("",)))
+        return whole if told else whole.withField("message", F.lit(None).cast("string"))
+
     a = "analysis."
     # tokens are read where they were given: a second copy of them would be most of what is written
     lists = [F.coalesce(a + c, F.array()).alias(c) for c in ("structure", "diagnostics", "derivation")]
@@ -296,14 +320,14 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
 
     head = F.array_compact(
         F.array(
-            F.when(F.col("contractVersion") != contract.version, _error(1, 0, -1, 0, "UnsupportedContractVersion", F.lit("contractVersion"), "unsupported contract version `", T.escaped(F.col("contractVersion")), "`")),
-            F.when(F.col("schemaHash") != contract.schema_hash, _error(1, 0, -1, 1, "SchemaHashMismatch", F.lit("schemaHash"), *other(contract.schema_hash, "schemaHash"))),
-            F.when(F.col("vocabularyHash") != contract.vocabulary_hash, _error(1, 0, -1, 2, "VocabularyHashMismatch", F.lit("vocabularyHash"), *other(contract.vocabulary_hash, "vocabularyHash"))),
-            F.when(declared < 0, _error(2, 0, -1, 0, "NegativeByteLength", _path(root, ".utf8ByteLength"), declared, " is negative")),
-            F.when(given & (declared != F.octet_length("bytes")), _error(2, 0, -1, 1, "ByteLengthMismatch", _path(root, ".utf8ByteLength"), "declared ", declared, ", actual ", F.octet_length("bytes"))),
-            F.when(given & (F.col("source.contentHash") != actual), _error(2, 0, -1, 2, "ContentHashMismatch", _path(root, ".contentHash"), *other(actual, "source.contentHash"))),
-            F.when(given & ~utf8, _error(2, 0, -1, 3, "SourceNotUtf8", root, "not valid UTF-8")),
-            F.when(F.size("derivation") == 0, _error(9, -1, -1, 0, "EmptyDerivation", F.lit("derivation"), "must not be empty")),
+            F.when(F.col("contractVersion") != contract.version, error(1, 0, -1, 0, "UnsupportedContractVersion", F.lit("contractVersion"), "unsupported contract version `", T.escaped(F.col("contractVersion")), "`")),
+            F.when(F.col("schemaHash") != contract.schema_hash, error(1, 0, -1, 1, "SchemaHashMismatch", F.lit("schemaHash"), *other(contract.schema_hash, "schemaHash"))),
+            F.when(F.col("vocabularyHash") != contract.vocabulary_hash, error(1, 0, -1, 2, "VocabularyHashMismatch", F.lit("vocabularyHash"), *other(contract.vocabulary_hash, "vocabularyHash"))),
+            F.when(declared < 0, error(2, 0, -1, 0, "NegativeByteLength", _path(root, ".utf8ByteLength"), declared, " is negative")),
+            F.when(given & (declared != F.octet_length("bytes")), error(2, 0, -1, 1, "ByteLengthMismatch", _path(root, ".utf8ByteLength"), "declared ", declared, ", actual ", F.octet_length("bytes"))),
+            F.when(given & (F.col("source.contentHash") != actual), error(2, 0, -1, 2, "ContentHashMismatch", _path(root, ".contentHash"), *other(actual, "source.contentHash"))),
+            F.when(given & ~utf8, error(2, 0, -1, 3, "SourceNotUtf8", root, "not valid UTF-8")),
+            F.when(F.size("derivation") == 0, error(9, -1, -1, 0, "EmptyDerivation", F.lit("derivation"), "must not be empty")),
         )
     )
 
@@ -313,18 +337,18 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
         unsorted = r["startUtf8"] < before["startUtf8"]
         start = ("start ", r["startUtf8"])
         return [
-            F.when(r["startUtf8"] == r["endUtf8"], _error(3, i, -1, 6, "EmptyTokenRange", path, "token ", t["occurrenceId"], " has an empty range")),
-            F.when(unsorted, _error(3, i, -1, 7, "UnsortedTokenRange", _path(path, ".startUtf8"), *start, " precedes tokens[", i - 1, "] start ", before["startUtf8"]))
-            .when(r["startUtf8"] < before["endUtf8"], _error(3, i, -1, 7, "OverlappingTokenRange", _path(path, ".startUtf8"), *start, " overlaps tokens[", i - 1, "] ending at ", before["endUtf8"])),
+            F.when(r["startUtf8"] == r["endUtf8"], error(3, i, -1, 6, "EmptyTokenRange", path, "token ", t["occurrenceId"], " has an empty range")),
+            F.when(unsorted, error(3, i, -1, 7, "UnsortedTokenRange", _path(path, ".startUtf8"), *start, " precedes tokens[", i - 1, "] start ", before["startUtf8"]))
+            .when(r["startUtf8"] < before["endUtf8"], error(3, i, -1, 7, "OverlappingTokenRange", _path(path, ".startUtf8"), *start, " overlaps tokens[", i - 1, "] ending at ", before["endUtf8"])),
         ]
 
     def axes(t: Column, i: Column) -> list[Column]:
         wrong = axes_violation(t)
-        return [F.when(wrong.isNotNull(), _error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"), wrong))]
+        return [F.when(wrong.isNotNull(), error(4, i, -1, 0, "IllegalTokenAxes", _path("tokens[", i, "]"), wrong))]
 
     due = lambda n: F.when(n["kind"] == "PARAGRAPH", 0).otherwise(1)
-    depth = _where("structure", lambda n: n["depth"] != due(n), lambda n, i: [F.when(n["depth"] != due(n), _error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth"), "depth ", n["depth"], ", expected ", due(n), " for this outline kind"))])
-    nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), _error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]"), "empty passId or ruleId"))])
+    depth = _where("structure", lambda n: n["depth"] != due(n), lambda n, i: [F.when(n["depth"] != due(n), error(5, i, -1, 7, "InvalidOutlineDepth", _path("structure[", i, "].depth"), "depth ", n["depth"], ", expected ", due(n), " for this outline kind"))])
+    nameless = _each("derivation", lambda s, i: [F.when((s["passId"] == "") | (s["ruleId"] == ""), error(9, i, -1, 0, "MissingDerivationIdentity", _path("derivation[", i, "]"), "empty passId or ruleId"))])
     sources = F.flatten(F.transform("derivation", lambda x, i: F.transform(x["sourceRanges"], lambda r, j: F.struct(i.alias("i"), j.alias("j"), r.alias("r")))))
     docs = docs.withColumns({"sources": sources, "length": F.when(given, F.octet_length("bytes")).otherwise(declared), "text": F.when(utf8, F.col("bytes"))})
 
@@ -345,13 +369,13 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
     def repeated(array: str, stage: int, k: int, code: str) -> Column:
         value = lambda i: F.get(_list(array), i)[ids[array]]
         shown = (lambda i: ("`", T.escaped(value(i)), "`")) if array == "derivation" else lambda i: (value(i),)
-        return F.transform(f"again_{array}", lambda i: _error(stage, i, -1, k, code, _path(array, "[", i, "]"), f"duplicate {ids[array]} ", *shown(i)))
+        return F.transform(f"again_{array}", lambda i: error(stage, i, -1, k, code, _path(array, "[", i, "]"), f"duplicate {ids[array]} ", *shown(i)))
 
     docs = docs.withColumn("ranges", _ranges())
 
     def bounds(r: Column) -> list[Column]:
         def bad(when: Column, k: int, code: str, field: str, *detail) -> Column:
-            return F.when(when, _error(r["stage"], r["i"], r["j"], k, code, _path(_range_path(r), field), *detail))
+            return F.when(when, error(r["stage"], r["i"], r["j"], k, code, _path(_range_path(r), field), *detail))
 
         return [
             bad(r["s"] < 0, 0, "NegativeOffset", ".startUtf8", r["s"], " is negative"),
@@ -366,11 +390,11 @@ def with_errors(found: DataFrame, contract: Contract = Contract()) -> DataFrame:
         cycle = c["code"] == "StructureCycle"
         path = _path("structure[", c["i"], "].childNodeIds[", c["j"], "]")
         order = F.when(c["code"] == "MultipleStructureParents", 1).when(c["code"] == "ChildRangeOutsideParent", 2).otherwise(0)
-        return _error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path, c["detail"])
+        return error(F.when(cycle, 7).otherwise(6), c["i"], c["j"], order, c["code"], path, c["detail"])
 
     repeats = [repeated("tokens", 3, 8, "DuplicateTokenId"), repeated("structure", 5, 6, "DuplicateNodeId"), repeated("derivation", 9, 1, "DuplicateDerivationPassId")]
     flat = F.concat(head, _each("ranges", bounds), _each("bad_tokens", layout), _where(_list("tokens"), lambda t: axes_violation(t).isNotNull(), axes), depth, nameless, F.transform("edges", edge), *repeats)
-    return docs.select("given.*", F.array_sort(F.when(F.col("given.analysis").isNotNull(), flat).otherwise(F.slice(flat, 1, 0))).alias("errors"))
+    return docs, F.when(F.col("given.analysis").isNotNull(), flat).otherwise(F.slice(flat, 1, 0))
 
 
 def _with_bytes(found: DataFrame, sources: DataFrame | None) -> DataFrame:

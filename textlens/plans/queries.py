@@ -204,7 +204,7 @@ def ir_validation_errors(spark, sf_dir):
         return t.withField("byteRange", r.withField("startUtf8", r["startUtf8"] + 1)).withField("occurrenceId", F.floor(t["occurrenceId"] / 2).cast("int"))
 
     damaged = found.withColumn("analysis", F.col("analysis").withField("tokens", F.transform("analysis.tokens", late)))
-    return validate.with_errors(damaged).select("doc_id", F.inline("errors")).select("doc_id", "stage", "code", "path")
+    return validate.error_codes(damaged, ["doc_id"]).select("doc_id", "stage", "code", "path")
 
 
 def _damaged(spark, sf_dir) -> DataFrame:
